@@ -30,6 +30,11 @@ are part of the results, not tuning knobs):
   groups < 5 dropped; rates in percent round 1, AUC round 4
 - pilot targets: AUC 80 (on the x100 scale), 60, 70; amber at 0.75 * target
 - synthetic quality thresholds: KS complement 0.80, correlation similarity 0.75
+- recommended action texts (attendance < 60, quiz < 40, aid < 4, none):
+  "Schedule an attendance review meeting within 3 days."
+  "Refer to academic support / peer tutoring programme."
+  "Review financial aid eligibility — student may qualify for bursary."
+  "Monitor student progress weekly. No urgent intervention required."
 """
 
 from __future__ import annotations
@@ -112,3 +117,10 @@ KS_COMPLEMENT_MIN = 0.80
 CORR_SIMILARITY_MIN = 0.75
 
 ID_COLUMN_FALLBACK = ["student_id", "id_student", "anon_id"]
+
+ACTION_TEXTS = [
+    "Schedule an attendance review meeting within 3 days.",
+    "Refer to academic support / peer tutoring programme.",
+    "Review financial aid eligibility — student may qualify for bursary.",
+    "Monitor student progress weekly. No urgent intervention required.",
+]

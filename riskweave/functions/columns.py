@@ -91,7 +91,7 @@ def enum_check(c: str | Column, values: list[str]) -> Column:
 
 def percent(num: Column, den: Column, digits: int = 2) -> Column:
     """num / den * 100 rounded; null when den is 0 or null."""
-    return F.round(num.cast("double") / F.nullif(den.cast("double"), F.lit(0.0)) * 100, digits)
+    return fround(num.cast("double") / F.nullif(den.cast("double"), F.lit(0.0)) * 100, digits)
 
 
 def fround(c: str | Column, digits: int) -> Column:

@@ -35,6 +35,6 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> dict[str, Query]:
     """Import every query module (registration happens at import)."""
-    from . import q_features  # noqa: F401
+    from . import q_dashboard, q_features  # noqa: F401
 
     return REGISTRY
