@@ -7,32 +7,37 @@ from pyspark.sql import functions as F
 
 
 def value_counts_cumulative(df: DataFrame, value_col: str, n_ranges: int | None = None,
-                            weight_col: str | None = None) -> DataFrame:
-    """Distinct values of ``value_col`` with their count and the count of all
-    smaller values: (value, cnt, cnt_below, n_total).
-
-    Scales to any number of distinct values: values are range-partitioned,
-    each range computes local running totals, and per-range offsets (one row
-    per range) are added back. No window ever sees all rows.
+                            weight_col: str | None = None, groups: list[str] | None = None) -> DataFrame:
+    """Distinct (groups, value) with their count and the count of smaller values
+    in the same group: (groups..., value, cnt, cnt_below, n_total).
+
+    Scales to any number of distinct values and to few, huge groups: rows are
+    range-partitioned on (groups, value), each range computes local running
+    totals, and per-(range, group) offsets (a table of ranges x groups rows)
+    are added back. No window ever sees a whole group.
     """
     spark = df.sparkSession
+    groups = groups or []
     n_ranges = n_ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     weight = F.col(weight_col) if weight_col else F.lit(1)
     vals = (df.where(F.col(value_col).isNotNull())
-              .groupBy(value_col).agg(F.sum(weight).cast("long").alias("cnt")))
-    ranged = vals.repartitionByRange(n_ranges, value_col).withColumn("_range", F.spark_partition_id())
-    in_range = Window.partitionBy("_range").orderBy(value_col).rowsBetween(Window.unboundedPreceding, 0)
+              .groupBy(*groups, value_col).agg(F.sum(weight).cast("long").alias("cnt")))
+    ranged = (vals.repartitionByRange(n_ranges, *groups, value_col)
+                  .withColumn("_range", F.spark_partition_id()))
+    in_range = (Window.partitionBy("_range", *groups).orderBy(value_col)
+                .rowsBetween(Window.unboundedPreceding, 0))
     local = ranged.withColumn("_local_cum", F.sum("cnt").over(in_range))
-    per_range = local.groupBy("_range").agg(F.sum("cnt").alias("_range_total"))
-    # One row per range: a window over it is tiny.
-    all_ranges = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    per_range = local.groupBy("_range", *groups).agg(F.sum("cnt").alias("_range_total"))
+    # ranges x groups rows: windows over it are tiny.
+    gw = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(1))
     offsets = per_range.select(
-        "_range",
-        F.coalesce(F.sum("_range_total").over(all_ranges), F.lit(0)).alias("_offset"),
-        F.sum("_range_total").over(Window.partitionBy(F.lit(1))).alias("n_total"),
+        "_range", *groups,
+        F.coalesce(F.sum("_range_total").over(gw.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)),
+                   F.lit(0)).alias("_offset"),
+        F.sum("_range_total").over(gw).alias("n_total"),
     )
-    return (local.join(F.broadcast(offsets), "_range")
-                 .select(value_col, "cnt",
+    return (local.join(F.broadcast(offsets), ["_range", *groups])
+                 .select(*groups, value_col, "cnt",
                          (F.col("_offset") + F.col("_local_cum") - F.col("cnt")).alias("cnt_below"),
                          "n_total"))
 

@@ -162,3 +162,9 @@ def with_ctes(*ctes: str) -> str:
 
 
 FEATURE_CTES = [BINDING, FEATURES]
+
+
+def split_final(text: str) -> tuple[str, str]:
+    """Split ``cte, cte ... SELECT ...`` text at its last top-level SELECT line."""
+    i = text.rfind("\nSELECT ")
+    return text[:i], text[i + 1:]
