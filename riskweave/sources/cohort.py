@@ -128,3 +128,26 @@ def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("event_id") % 7 == 0).alias("is_dismissed"),
         F.col("ts").cast("timestamp").alias("created_at"),
     )
+
+
+def persons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The person-level parent table (id_student) with segment and balance."""
+    c = read_table(spark, sf_dir, "customer", ["c_custkey", "c_nationkey", "c_mktsegment"])
+    return c.select(F.col("c_custkey").alias("student_id"), F.col("c_nationkey").alias("region_code"),
+                    F.col("c_mktsegment").alias("programme"))
+
+
+def weekly_upload(spark: SparkSession, sf_dir: str, since: str) -> DataFrame:
+    """An upload batch: one row per activity event since ``since``, keyed like
+    the feature table; features the event does not carry are null."""
+    ev = read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type", "value", "props"])
+    ev = ev.where(F.col("ts") >= F.lit(since).cast("timestamp_ntz"))
+    return ev.select(
+        F.concat_ws("_", F.col("user_id").cast("string"), _module(F.col("event_id")), F.lit(PRESENTATION)).alias("student_id"),
+        (F.col("value") / 4.9).alias("attendance_rate"),
+        F.get_json_object("props", "$.k").cast("double").alias("mobile_engagement_freq"),
+        F.when(F.col("event_type") == "error", 1).when(F.col("event_type") == "purchase", 0)
+        .cast("int").alias("dropout_label"),
+        F.when(F.col("event_type") == "signup", F.concat(F.lit("+44"), F.lpad(F.col("user_id").cast("string"), 9, "0")))
+        .alias("phone_number"),
+        F.col("ts").cast("timestamp").alias("uploaded_at"), "event_id")
