@@ -35,6 +35,6 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> dict[str, Query]:
     """Import every query module (registration happens at import)."""
-    from . import q_dashboard, q_eval, q_features, q_monitor, q_state, q_timeseries  # noqa: F401
+    from . import q_dashboard, q_eval, q_explain, q_features, q_monitor, q_state, q_timeseries  # noqa: F401
 
     return REGISTRY
