@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import constants as K
 from ..session import scratch_table_path
 from ..sources import cohort
 from ..streaming import jobs as SJ
@@ -58,3 +59,17 @@ def q_stream_flag_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = spark.read.schema(SJ.ALERT_SCHEMA).parquet(os.path.join(root, "out"))
     return out.select("entity_id", F.date_format("ts", "yyyy-MM-dd").alias("ts"), "risk_score")
 
+
+
+@register("csv_ingest", B.sql(*S.FEATURE_CTES, select=f"""
+SELECT sha256('{B.SALT}:' || student_key) AS anon_id, {', '.join(K.BASE_FEATURES)},
+       NULL::VARCHAR AS phone_number, dropout_label
+FROM features"""))
+def q_csv_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S1+S6+P1+P2+P3+P6+P7+A6+F1+F5: the feature table exported as an upload CSV
+    (text), read back without inference, validated, cleaned, imputed, anonymised."""
+    from ..sources import uploads as U
+    root = _scratch(spark, "csv-upload")
+    f = B.feature_table(spark, sf_dir).withColumnRenamed("student_key", "student_id").drop("student_id_orig")
+    U.write_processed(f, root)
+    return U.ingest(U.read_upload(spark, root), B.SALT)
