@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.columns import clip, col_, fround, to_double
+from ..session import cut_lineage
 from .ranking import avg_pct_rank
 
 KEY = ["id_student", "code_module", "code_presentation"]
@@ -116,7 +117,7 @@ def dedupe_first(df: DataFrame, key: list[str], order: list[Column]) -> DataFram
 
 
 def build_feature_table(info: DataFrame, vle: DataFrame, student_assessment: DataFrame,
-                        assessments: DataFrame) -> DataFrame:
+                        assessments: DataFrame, materialize: bool = True) -> DataFrame:
     """S2 + J4: the full source-tables -> feature-table job.
 
     Output: student_key, student_id_orig, 5 features, dropout_label; one row per
@@ -132,6 +133,10 @@ def build_feature_table(info: DataFrame, vle: DataFrame, student_assessment: Dat
               .join(quiz(a), KEY, "left")
               .join(submission(info, a, assessments), KEY, "left")
               .join(engagement(vle), KEY, "left"))
+    # The entity-level table feeds two passes (median fit, output): materialise
+    # it once in the shared checkpoint folder (lineage cut, survives executor loss).
+    if materialize:
+        df = cut_lineage(df, "entity-features")
     df = impute_median(df, K.BASE_FEATURES)
     df = df.withColumn("student_key", student_key())
     # First registration wins; the profile row order is (key, label, aid).
