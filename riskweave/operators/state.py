@@ -10,15 +10,20 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 
 def last_per_key(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
-    """Keep the last row per key under ``order`` (the latest upload row wins)."""
-    w = Window.partitionBy(key).orderBy(*[o.desc() for o in order])
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    """Keep the last row per key under ``order`` (the latest upload row wins).
+
+    ``max_by`` over a struct ordering is a partial aggregate: a key holding a
+    large share of the rows is reduced map-side, never sorted in one task.
+    """
+    cols = [c for c in df.columns if c != key]
+    best = F.max_by(F.struct(*[F.col(c) for c in cols]), F.struct(*order))
+    return df.groupBy(key).agg(best.alias("_r")).select(key, *[F.col(f"_r.{c}").alias(c) for c in cols])
 
 
 def upsert(current: DataFrame, incoming: DataFrame, key: str, features: list[str],
