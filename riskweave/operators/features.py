@@ -24,7 +24,7 @@ def student_key(*cols: str) -> Column:
 
 def attendance(vle: DataFrame) -> DataFrame:
     """A1 + W1: total clicks per entity -> percentile rank x 100, round 2."""
-    clicks = vle.groupBy(*KEY).agg(F.sum("sum_click").alias("total_clicks"))
+    clicks = vle.groupBy(*KEY).agg(fround(F.sum("sum_click"), 6).alias("total_clicks"))
     ranked = avg_pct_rank(clicks, "total_clicks", "_pct")
     return ranked.select(*KEY, fround(clip(F.col("_pct") * 100, 0, 100), 2).alias("attendance_rate"))
 
@@ -116,23 +116,59 @@ def dedupe_first(df: DataFrame, key: list[str], order: list[Column]) -> DataFram
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
+def activity(vle: DataFrame) -> DataFrame:
+    """A1 + A4 in one pass over the activity log: total clicks and distinct sites per entity."""
+    # Totals are rounded to 6 decimals so that ties in the rank below do not
+    # depend on the (distributed, order-free) summation order of doubles.
+    return vle.groupBy(*KEY).agg(fround(F.sum("sum_click"), 6).alias("total_clicks"),
+                                 F.count_distinct("id_site").alias("n_distinct_sites"))
+
+
+def assessment_totals(assessed_df: DataFrame) -> DataFrame:
+    """A2 + A4 in one pass over the assessment rows: weighted score sum, weight
+    sum (unscored rows included) and distinct submitted assessments per entity."""
+    return assessed_df.groupBy(*KEY).agg(
+        F.coalesce(F.sum(F.col("score") * F.col("weight")), F.lit(0.0)).alias("total_weighted_score"),
+        F.sum("weight").alias("total_weight"),
+        F.count_distinct(F.when(F.col("score").isNotNull(), F.col("id_assessment"))).alias("submitted_assessments"))
+
+
 def build_feature_table(info: DataFrame, vle: DataFrame, student_assessment: DataFrame,
                         assessments: DataFrame, materialize: bool = True) -> DataFrame:
     """S2 + J4: the full source-tables -> feature-table job.
 
     Output: student_key, student_id_orig, 5 features, dropout_label; one row per
-    entity key. The four feature frames are keyed by the entity and joined left
-    onto the profile table.
+    entity key. Each raw table is scanned once: the activity log feeds one
+    aggregate (clicks and sites), the assessment rows one aggregate (weighted
+    scores and submissions); the entity-level results are joined left onto
+    the profile table (J2-J4).
     """
-    a = assessed(student_assessment, assessments)
+    act = activity(vle)
+    if materialize:
+        # the entity-level activity table feeds two global ranks: write it once.
+        act = cut_lineage(act, "entity-activity")
+    att = avg_pct_rank(act.select(*KEY, "total_clicks"), "total_clicks", "_pct").select(
+        *KEY, fround(clip(F.col("_pct") * 100, 0, 100), 2).alias("attendance_rate"))
+    eng = avg_pct_rank(act.select(*KEY, "n_distinct_sites"), "n_distinct_sites", "_pct").select(
+        *KEY, fround(clip(F.col("_pct") * 100, 0, 100), 2).alias("mobile_engagement_freq"))
+    totals = assessment_totals(assessed(student_assessment, assessments))
+    module_counts = assessments.groupBy("code_module", "code_presentation").agg(
+        F.count_distinct("id_assessment").alias("total_assessments"))
     base = info.select(
         *KEY,
         imd_to_aid("imd_band").alias("financial_aid_status"),
         result_to_label("final_result").alias("dropout_label"))
-    df = (base.join(attendance(vle), KEY, "left")
-              .join(quiz(a), KEY, "left")
-              .join(submission(info, a, assessments), KEY, "left")
-              .join(engagement(vle), KEY, "left"))
+    j = (base.join(att, KEY, "left")
+             .join(totals, KEY, "left")
+             .join(module_counts, ["code_module", "code_presentation"], "left")
+             .join(eng, KEY, "left"))
+    quiz_avg = F.col("total_weighted_score") / F.nullif(F.col("total_weight"), F.lit(0.0))
+    sub = F.coalesce(F.col("submitted_assessments"), F.lit(0)).cast("double")
+    tot = F.coalesce(F.nullif(F.col("total_assessments"), F.lit(0)), F.lit(1)).cast("double")
+    df = j.select(*KEY, "financial_aid_status", "dropout_label", "attendance_rate",
+                  fround(clip(quiz_avg, 0, 100), 2).alias("quiz_average"),
+                  fround(clip(sub / tot * 100, 0, 100), 2).alias("assignment_submission_rate"),
+                  "mobile_engagement_freq")
     # The entity-level table feeds two passes (median fit, output): materialise
     # it once in the shared checkpoint folder (lineage cut, survives executor loss).
     if materialize:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def value_counts_cumulative(df: DataFrame, value_col: str, n_ranges: int | None = None,
@@ -11,10 +12,13 @@ def value_counts_cumulative(df: DataFrame, value_col: str, n_ranges: int | None
     """Distinct (groups, value) with their count and the count of smaller values
     in the same group: (groups..., value, cnt, cnt_below, n_total).
 
-    Scales to any number of distinct values and to few, huge groups: rows are
-    range-partitioned on (groups, value), each range computes local running
-    totals, and per-(range, group) offsets (a table of ranges x groups rows)
-    are added back. No window ever sees a whole group.
+    Scales to any number of distinct values and to few, huge groups: the
+    distinct values are cut into ranges at fitted quantile bounds (a list of
+    ``n_ranges - 1`` numbers; approximate bounds only affect balance, never
+    the result), each range computes local running totals, and per-(range,
+    group) offsets (a ranges x groups table) are added back. The range of a
+    value is a deterministic expression, so every re-execution agrees. No
+    window ever sees a whole group.
     """
     spark = df.sparkSession
     groups = groups or []
@@ -22,12 +26,19 @@ def value_counts_cumulative(df: DataFrame, value_col: str, n_ranges: int | None
     weight = F.col(weight_col) if weight_col else F.lit(1)
     vals = (df.where(F.col(value_col).isNotNull())
               .groupBy(*groups, value_col).agg(F.sum(weight).cast("long").alias("cnt")))
-    ranged = (vals.repartitionByRange(n_ranges, *groups, value_col)
-                  .withColumn("_range", F.spark_partition_id()))
+    v = F.col(value_col)
+    if isinstance(vals.schema[value_col].dataType, T.NumericType):
+        probs = [i / n_ranges for i in range(1, n_ranges)]
+        bounds = sorted(set(vals.approxQuantile(value_col, probs, 0.001))) if probs else []
+        rng = sum((F.when(v > F.lit(b), 1).otherwise(0) for b in bounds), F.lit(0))
+    else:
+        # text keys (e.g. hex digests): range by the leading character's code point
+        rng = F.floor(F.ascii(v) * n_ranges / 128).cast("int")
+    ranged = vals.withColumn("_range", rng.cast("int"))
     in_range = (Window.partitionBy("_range", *groups).orderBy(value_col)
                 .rowsBetween(Window.unboundedPreceding, 0))
     local = ranged.withColumn("_local_cum", F.sum("cnt").over(in_range))
-    per_range = local.groupBy("_range", *groups).agg(F.sum("cnt").alias("_range_total"))
+    per_range = ranged.groupBy("_range", *groups).agg(F.sum("cnt").alias("_range_total"))
     # ranges x groups rows: windows over it are tiny.
     gw = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(1))
     offsets = per_range.select(

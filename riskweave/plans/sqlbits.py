@@ -104,7 +104,7 @@ KEYS = "id_student, code_module, code_presentation"
 FEATURES = f"""
 att_b AS (
   SELECT {KEYS}, {R(CLIP(_pct_rank('total_clicks') + ' * 100.0::DOUBLE', 0, 100), 2)} AS attendance_rate
-  FROM (SELECT {KEYS}, sum(sum_click) AS total_clicks FROM student_vle GROUP BY ALL)),
+  FROM (SELECT {KEYS}, {R('sum(sum_click)', 6)} AS total_clicks FROM student_vle GROUP BY ALL)),
 eng_b AS (
   SELECT {KEYS}, {R(CLIP(_pct_rank('n_sites') + ' * 100.0::DOUBLE', 0, 100), 2)} AS mobile_engagement_freq
   FROM (SELECT {KEYS}, count(DISTINCT id_site) AS n_sites FROM student_vle GROUP BY ALL)),
