@@ -28,13 +28,17 @@ def value_counts_cumulative(df: DataFrame, value_col: str, n_ranges: int | None
               .groupBy(*groups, value_col).agg(F.sum(weight).cast("long").alias("cnt")))
     v = F.col(value_col)
     if isinstance(vals.schema[value_col].dataType, T.NumericType):
-        probs = [i / n_ranges for i in range(1, n_ranges)]
-        bounds = sorted(set(vals.approxQuantile(value_col, probs, 0.001))) if probs else []
-        rng = sum((F.when(v > F.lit(b), 1).otherwise(0) for b in bounds), F.lit(0))
+        key = v.cast("double")
     else:
-        # text keys (e.g. hex digests): range by the leading character's code point
-        rng = F.floor(F.ascii(v) * n_ranges / 128).cast("int")
-    ranged = vals.withColumn("_range", rng.cast("int"))
+        # order-preserving numeric prefix of a text key (first 4 code points, ASCII)
+        key = sum((F.coalesce(F.ascii(F.substring(v, i, 1)), F.lit(0)).cast("double") * float(256 ** (4 - i))
+                   for i in range(1, 5)), F.lit(0.0))
+    probs = [i / n_ranges for i in range(1, n_ranges)]
+    keyed = vals.withColumn("_rkey", key)
+    bounds = sorted(set(keyed.approxQuantile("_rkey", probs, 0.001))) if probs else []
+    rng = sum((F.when(F.col("_rkey") > F.lit(b), 1).otherwise(0) for b in bounds), F.lit(0))
+    vals = keyed
+    ranged = vals.withColumn("_range", rng.cast("int")).drop("_rkey")
     in_range = (Window.partitionBy("_range", *groups).orderBy(value_col)
                 .rowsBetween(Window.unboundedPreceding, 0))
     local = ranged.withColumn("_local_cum", F.sum("cnt").over(in_range))
