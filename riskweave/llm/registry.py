@@ -2,11 +2,28 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from riskweave.sources.tables import read_table
 
-from . import simhash
+from . import fmindex, langid, licenses, mixing, quality, sharding, simhash
+
+
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 1: counts, base rules and line-first verdict of every document."""
+    out = quality.judge(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
+    return out.drop("clean_text", "loss")
+
+
+def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 3: licence sentences and licences of every document."""
+    return licenses.scan(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 4: words the mix takes of every document."""
+    return mixing.mix(read_table(spark, sf_dir, "documents", ["doc_id", "text", "source"])).drop("source", "copies")
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,8 +31,41 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 6: slot and shard of every document."""
+    docs = read_table(spark, sf_dir, "documents", ["doc_id"])
+    return sharding.place(docs).withColumnRenamed("_slot", "slot")
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 8: predicted language of every document."""
+    return langid.identify(read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang"]))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 9: benchmark windows in every document."""
+    return fmindex.decontaminate(read_table(spark, sf_dir, "documents", ["doc_id", "text"]),
+                                 read_table(spark, sf_dir, "benchmark", ["item_id", "text"]))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language ID, near-dedup, decontamination, mixing and sharding of all documents."""
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op3_license_scans": op3_license_scans,
+    "op4_mixing": op4_mixing,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op6_sharding": op6_sharding,
+    "op8_language_id": op8_language_id,
+    "op9_decontamination": op9_decontamination,
+    "pipeline": pipeline,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_quality_rules": quality.ORACLE_SQL,
+}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
