@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from riskweave.sources.tables import read_table
 
-from . import fmindex, langid, licenses, mixing, quality, sharding, simhash
+from . import fmindex, htmltext, langid, licenses, mixing, quality, sharding, simhash, suffixdedup, toxicity
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("clean_text", "loss")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 2: toxicity score of every document."""
+    return toxicity.toxicity(read_table(spark, sf_dir, "documents", ["doc_id", "text"]),
+                             read_table(spark, sf_dir, "labels", ["doc_id", "toxic"]))
+
+
 def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 3: licence sentences and licences of every document."""
     return licenses.scan(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
@@ -37,6 +43,11 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(docs).withColumnRenamed("_slot", "slot")
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 7: main text of every page."""
+    return htmltext.main_text(read_table(spark, sf_dir, "pages", ["page_id", "url", "html"]))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 8: predicted language of every document."""
     return langid.identify(read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang"]))
@@ -48,6 +59,11 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                                  read_table(spark, sf_dir, "benchmark", ["item_id", "text"]))
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 10: bytes of every document that repeat earlier ones."""
+    return suffixdedup.remove_repeats(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language ID, near-dedup, decontamination, mixing and sharding of all documents."""
     return corpus_pipeline.run(spark, sf_dir)
@@ -55,12 +71,15 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_toxicity": op2_toxicity,
     "op3_license_scans": op3_license_scans,
     "op4_mixing": op4_mixing,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_sharding": op6_sharding,
+    "op7_html_extraction": op7_html_extraction,
     "op8_language_id": op8_language_id,
     "op9_decontamination": op9_decontamination,
+    "op10_suffix_array_dedup": op10_suffix_array_dedup,
     "pipeline": pipeline,
 }
 
