@@ -64,6 +64,11 @@ _NOT_TEXT = frozenset("nav navigation menu aside sidebar footer form comment com
                       " breadcrumbs pagination widget popup modal".split())
 
 
+_FLOW = frozenset("p li ul ol dl dt dd h1 h2 h3 h4 h5 h6 hgroup blockquote pre table caption tbody thead tfoot tr td th"
+                  " figure figcaption center".split())
+KINDS = 3  # of nodes, each with its own parent-child potential
+
+
 class Page:
     """Nodes of a page in document order: tag, parent, words, and for leaves their text."""
 
@@ -183,13 +188,25 @@ def evidence(page: Page) -> list[list[str]]:
     out = []
     for k in range(n):
         kind = "t" if page.text[k] is not None else "e"
-        out.append([f"tag:{page.tag[k]}" if kind == "e" else f"under:{page.tag[page.parent[k]]}",
-                    f"{kind}chars:{_bucket(chars[k], (1, 25, 80, 200, 600))}",
-                    f"{kind}linked:{_bucket(linked[k] / max(1, chars[k]), (0.01, 0.3, 0.7))}",
-                    f"{kind}marks:{_bucket(marks[k], (1, 3, 8))}", *(f"word:{w}" for w in sorted(page.words[k]))])
+        # The tag and the share of linked text say something together: a list of links is a menu.
+        links = _bucket(linked[k] / max(1, chars[k]), (0.01, 0.3, 0.7))
+        if kind == "e" and page.tag[k] in _FLOW and not page.words[k]:
+            # Its leaves speak for it; only a list or table as a whole adds something.
+            out.append([f"tag:{page.tag[k]}:{links}"] if page.tag[k] in ("ul", "ol", "dl", "table") else [])
+            continue
+        tag = f"tag:{page.tag[k]}" if kind == "e" else f"under:{page.tag[page.parent[k]]}"
+        size, stops = _bucket(chars[k], (1, 25, 80, 200, 600)), _bucket(marks[k], (1, 3, 8))
+        # Jointly: a short text is a menu entry if it is linked, a line of prose if it ends in a stop.
+        out.append([f"{tag}:{links}", f"{kind}shape:{links}:{size}:{stops}", *(f"word:{w}" for w in sorted(page.words[k]))])
     return out
 
 
+def kinds(page: Page) -> list[int]:
+    """0: text leaf, 1: plain element of running text, 2: element that may open a region of its own."""
+    return [0 if page.text[k] is not None else 1 if page.tag[k] in _FLOW and not page.words[k] else 2
+            for k in range(len(page.tag))]
+
+
 def labels_of(page: Page) -> list[int] | None:
     """Whether each node is content, by ``label`` marks if the page has any, else by
     its article or main elements; None if the page has neither."""
@@ -221,27 +238,29 @@ def labels_of(page: Page) -> list[int] | None:
 
 
 class Model:
-    """Log potentials: of evidence given the state, and of the child's state given the parent's."""
+    """Log potentials: of evidence given the state, and of the child's state given the
+    parent's, by the kind of the child."""
 
     def __init__(self, pages: list[Page]):
         seen: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0])
         total = {"#": [0.0, 0.0], "root": [1.0, 1.0]}
-        pair = np.ones((2, 2))
+        pair = np.ones((KINDS, 2, 2))
         for page in pages:
             y = labels_of(page)
             if y is None:
                 continue
+            kind = kinds(page)
             for k, features in enumerate(evidence(page)):
                 for f in features:
                     seen[f][y[k]] += 1
                 total["#"][y[k]] += 1
                 if page.parent[k] >= 0:
-                    pair[y[page.parent[k]], y[k]] += 1
+                    pair[kind[k], y[page.parent[k]], y[k]] += 1
                 else:
                     total["root"][y[k]] += 1
         n = np.array(total["#"]) + 1
         self.feature = {f: tuple(np.log((np.array(c) + 0.2) / (n + 0.4)).tolist()) for f, c in seen.items()}
-        self.pair = np.log(pair / pair.sum(axis=1, keepdims=True))
+        self.pair = np.log(pair / pair.sum(axis=2, keepdims=True))
         root = np.array(total["root"])
         self.root = np.log(root / root.sum())
 
@@ -250,9 +269,10 @@ class Model:
         size = [len(p.tag) for p in pages]
         first = np.cumsum([0, *size])
         none = (0.0, 0.0)
-        own = np.array([[sum(x) for x in zip(*[self.feature.get(f, none) for f in fs], strict=True)]
+        own = np.array([[sum(x) for x in zip(none, *[self.feature.get(f, none) for f in fs], strict=True)]
                         for p in pages for fs in evidence(p)])
         parent = np.array([k + a if k >= 0 else -1 for p, a in zip(pages, first, strict=False) for k in p.parent])
+        pair = self.pair[np.array([x for p in pages for x in kinds(p)], np.int64)]
         depth = np.zeros(len(parent), np.int64)
         for k, up in enumerate(parent.tolist()):  # parents come before their children
             depth[k] = depth[up] + 1 if up >= 0 else 0
@@ -260,13 +280,13 @@ class Model:
         up_sum, message = own.copy(), np.zeros((len(parent), 2))
         for at in reversed(levels[1:]):
             # Upward: over the child's states, for each state of the parent.
-            message[at] = np.logaddexp(self.pair[:, 0] + up_sum[at, :1], self.pair[:, 1] + up_sum[at, 1:])
+            message[at] = np.logaddexp(pair[at, :, 0] + up_sum[at, :1], pair[at, :, 1] + up_sum[at, 1:])
             np.add.at(up_sum, parent[at], message[at])
         down = np.tile(self.root, (len(parent), 1))
         for at in levels[1:]:
             # Downward: all the parent knows but what this child told it.
             rest = down[parent[at]] + up_sum[parent[at]] - message[at]
-            down[at] = np.logaddexp(rest[:, :1] + self.pair[0], rest[:, 1:] + self.pair[1])
+            down[at] = np.logaddexp(rest[:, :1] + pair[at, 0], rest[:, 1:] + pair[at, 1])
             down[at] -= down[at].max(axis=1, keepdims=True)
         belief = down + up_sum
         p = 1 / (1 + np.exp(np.clip(belief[:, 0] - belief[:, 1], -500, 500)))
@@ -311,7 +331,7 @@ def _body(k: int) -> str:
     some = "".join(f"<p>{_LONG if i % 2 == k % 2 else _SHORT[(i + k) % 3]}</p>" for i in range(2 + k % 4))
     extra = ("", "<h2>What came after</h2><p>Things changed.</p>", "<ul><li>One point of it.</li><li>Another.</li></ul>",
              "<blockquote><p>We had no choice, said the keeper.</p></blockquote><pre>a = 1</pre>",
-             "<table><tr><td>Year</td><td>1900</td></tr></table>")[k % 5]
+             "<table><tr><td>Year</td><td>1900</td></tr></table>")[(k + k // 5) % 5]
     return f"<h1>A bridge and its keeper</h1>{some}{extra}"
 
 
@@ -321,7 +341,7 @@ def _labelled() -> list[str]:
              '<main><article label="1" class="story">{}</article></main>')
     parts = list(_PARTS)
     out = []
-    for k in range(40):
+    for k in range(60):
         pick = [parts[(k * 5 + j * 3) % len(parts)] for j in range(4)]
         before, after = "".join(_PARTS[p] for p in pick[:2]), "".join(_PARTS[p] for p in pick[2:])
         body = _body(k)

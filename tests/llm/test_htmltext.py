@@ -21,7 +21,8 @@ def test_marginals_match_enumeration():
         total, on = 0.0, np.zeros(n)
         for y in itertools.product((0, 1), repeat=n):
             score = model.root[y[0]] + sum(own[k, y[k]] for k in range(n))
-            score += sum(model.pair[y[page.parent[k]], y[k]] for k in range(1, n))
+            kind = H.kinds(page)
+            score += sum(model.pair[kind[k], y[page.parent[k]], y[k]] for k in range(1, n))
             total += np.exp(score)
             on += np.exp(score) * np.array(y)
         assert np.allclose(got, on / total)
@@ -58,7 +59,7 @@ def test_every_part_is_told_apart():
             leaves = [k for k, t in enumerate(page.text) if t is not None]
             right += sum((p[k] > 0.5) == y[k] for k in leaves)
             total += len(leaves)
-    assert right / total > 0.95
+    assert right / total > 0.97
 
 
 def test_pages_of_the_table(spark, sf_dir):
