@@ -38,6 +38,7 @@ from .common import map_texts, prepare
 
 TRAIN_PAGES = 300          # pages of the table that the potentials are fitted on, about: the bound of the fit
 TRAIN_CHARS = 200_000      # of a training page, at most
+PAGE_WEIGHT = 40           # nodes that a training page counts as, at most
 _PAGES = 200               # pages whose messages run together
 
 _TOKEN = re.compile(
@@ -250,14 +251,15 @@ class Model:
             if y is None:
                 continue
             kind = kinds(page)
+            weight = min(1.0, PAGE_WEIGHT / len(y))  # a page of thousands of nodes counts no more than a plain one
             for k, features in enumerate(evidence(page)):
                 for f in features:
-                    seen[f][y[k]] += 1
-                total["#"][y[k]] += 1
+                    seen[f][y[k]] += weight
+                total["#"][y[k]] += weight
                 if page.parent[k] >= 0:
-                    pair[kind[k], y[page.parent[k]], y[k]] += 1
+                    pair[kind[k], y[page.parent[k]], y[k]] += weight
                 else:
-                    total["root"][y[k]] += 1
+                    total["root"][y[k]] += weight
         n = np.array(total["#"]) + 1
         self.feature = {f: tuple(np.log((np.array(c) + 0.2) / (n + 0.4)).tolist()) for f, c in seen.items()}
         self.pair = np.log(pair / pair.sum(axis=2, keepdims=True))
