@@ -42,8 +42,8 @@ from .common import prepare, step, text_hash
 LENGTH = 100        # bytes of a window: the depth of the order
 GRAM = 20           # bytes of an anchor
 GROUP = 512         # distinct blocks of one anchor that a task orders
-_PIECE = 1 << 20    # bytes hashed at once
-_WINDOWS = 150_000  # windows ordered at once
+_PIECE = 1 << 18    # bytes hashed at once (some 100 bytes of memory each)
+_WINDOWS = 60_000   # windows ordered at once
 _SPAN = LENGTH - GRAM + 1  # anchors a window chooses from
 _POS = np.uint64((1 << 22) - 1)
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
@@ -116,7 +116,8 @@ def _pack(start, distance, windows):
 
 
 def _find_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, th, text) -> (h, b, doc, th, pk), a row per block."""
+    """(doc, th, text) -> (h, b, doc, th, pk, again), a row per block; ``again`` if an
+    equal block came before it in the same piece of work (a map-side combine)."""
 
     def emit(parts: list[tuple[int, int, int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         size = np.array([len(p[3]) for p in parts])
@@ -127,8 +128,12 @@ def _find_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.searchsorted(first, a, "right") - 1
             doc, th, offset = (np.array([p[i] for p in parts], np.int64) for i in range(3))
             pk = _pack(a - first[at] + offset[at], distance, windows)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, b, doc[at], th[at], pk)],
-                                             names=["h", "b", "doc", "th", "pk"])
+            # Of equal blocks here all but the first are repeats, whatever else there is.
+            order = np.lexsort((pk, th[at], doc[at], b, h))
+            again = np.zeros(len(h), bool)
+            again[order[1:]] = (h[order[1:]] == h[order[:-1]]) & (b[order[1:]] == b[order[:-1]])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, b, doc[at], th[at], pk, again)],
+                                             names=["h", "b", "doc", "th", "pk", "again"])
 
     parts, held = [], 0
     for rb in batches:
@@ -154,7 +159,7 @@ def _cut_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for x in blocks:
                 start, distance, windows = x["pk"] >> 14, x["pk"] >> 7 & 127, x["pk"] & 127
                 out.append((x["g"], x["n"], doc, th, start, distance, text[start:start + windows + LENGTH - 1]))
-                if len(out) >= 50_000:
+                if len(out) >= 10_000:
                     yield _block_batch(out)
                     out = []
         yield _block_batch(out)
@@ -268,30 +273,38 @@ def _split(blocks: DataFrame, half: int) -> DataFrame:
 
 
 def _merge_equal(rows: DataFrame, same: list[str], place: Column) -> tuple[DataFrame, DataFrame]:
-    """(the first row of each class of equal blocks with the classes of its group
-    counted as n, rows that repeat an earlier one)."""
-    first = rows.groupBy(*same).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c"))
+    """(the first row of each class of equal blocks, rows that repeat an earlier one).
+
+    The classes are written before the join, so that both of its sides are plain
+    shuffles and a frequent class is split by adaptive execution.
+    """
+    first = step(rows.groupBy(*same).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")), "first")
     repeats = rows.join(first.where("c > 1").drop("c"), same).where(place != F.col("first")).drop("first")
     return first, repeats
 
 
+def _with_count(first: DataFrame, key: str) -> DataFrame:
+    """Rows of keys that have several, with their number ``n``."""
+    many = step(first.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "many")
+    return first.join(many, key)
+
+
 def spans(docs: DataFrame) -> DataFrame:
     """Spans (doc, th, start, len) of repeated bytes; they may overlap. ``docs`` has doc, th, text."""
+    whole = [F.col("doc"), F.col("th"), F.shiftright("pk", 14).alias("start"),
+             (F.col("pk").bitwiseAND(127) + (LENGTH - 1)).alias("len")]
     blocks = step(docs.select("doc", "th", "text").mapInArrow(
-        _find_blocks, "h bigint, b bigint, doc bigint, th bigint, pk bigint"), "anchors")
+        _find_blocks, "h bigint, b bigint, doc bigint, th bigint, pk bigint, again boolean"), "anchors")
+    found = blocks.where("again").select(*whole)
+    blocks = blocks.where("not again").drop("again")
     # Pass 1: blocks whose anchor occurs again.
-    again = blocks.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    blocks = step(blocks.join(again, "h", "left_semi"), "again")
+    twice = step(blocks.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "twice")
+    blocks = step(blocks.join(twice, "h", "left_semi"), "again")
     # Pass 2: equal blocks.
-    place = F.struct("doc", "th", "pk")
-    first, repeats = _merge_equal(blocks, ["h", "b"], place)
-    first = step(first, "first")
-    windows = F.col("pk").bitwiseAND(127)
-    found = repeats.select("doc", "th", F.shiftright("pk", 14).alias("start"), (windows + (LENGTH - 1)).alias("len"))
-    found = step(found, "equal")
+    first, repeats = _merge_equal(blocks, ["h", "b"], F.struct("doc", "th", "pk"))
+    found = found.union(step(repeats.select(*whole), "equal"))
     # Pass 3: different blocks of one anchor, by their bytes.
-    many = first.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    open_ = first.join(many, "h").select(F.col("h").alias("g"), "n", "first.*")
+    open_ = _with_count(first, "h").select(F.col("h").alias("g"), "n", "first.*")
     of_doc = open_.groupBy("doc", "th").agg(F.collect_list(F.struct("g", "n", "pk")).alias("blocks"))
     # Rows that agree in id and text are one document: its bytes are cut once.
     with_text = docs.select("doc", "th", "text").join(of_doc, ["doc", "th"]).select("doc", "th", "text", "blocks")
@@ -302,8 +315,7 @@ def spans(docs: DataFrame) -> DataFrame:
         parts = step(_split(large, half), "parts")
         first, repeats = _merge_equal(parts, ["g", "distance", "bytes"], F.struct("doc", "th", "start"))
         found = found.union(step(repeats.select("doc", "th", "start", F.length("bytes").cast("long").alias("len")), "equal"))
-        many = first.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        left = step(first.join(many, "g").select("g", "n", "first.*", "distance", "bytes"), "left")
+        left = step(_with_count(first, "g").select("g", "n", "first.*", "distance", "bytes"), "left")
         found = found.union(step(_solve_groups(left.where(F.col("n") <= GROUP)), "repeats"))
         large, half = left.where(F.col("n") > GROUP).drop("n"), half // 2
     return found
