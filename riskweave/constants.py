@@ -28,7 +28,11 @@ are part of the results, not tuning knobs):
 - masked id: first 8 + "..." + last 5, unchanged when length <= 16
 - fairness aid bands (0,3] "Low (1-3)", (3,6] "Mid (4-6)", (6,10] "High (7-10)";
   groups < 5 dropped; rates in percent round 1, AUC round 4
-- pilot targets: AUC 80 (on the x100 scale), 60, 70; amber at 0.75 * target
+- pilot targets: AUC 80 (on the x100 scale), intervention conversion 60 %,
+  counsellor usability 70; amber at 0.75 * target
+- feature labels: Attendance Rate, Quiz Average, Assignment Submission Rate,
+  Mobile Engagement, Financial Aid Status, Academic Performance Index,
+  Financial-Academic Risk
 - synthetic quality thresholds: KS complement 0.80, correlation similarity 0.75
 - recommended action texts (attendance < 60, quiz < 40, aid < 4, none):
   "Schedule an attendance review meeting within 3 days."
@@ -89,6 +93,14 @@ TREND_LABELS = [
     (-0.01, "SLIGHTLY_IMPROVING"),
 ]
 
+# Training budgets of the application; every fit takes them as arguments.
+BOOSTED_ITERATIONS, BOOSTED_DEPTH, BOOSTED_STEP, BOOSTED_SUBSAMPLE = 300, 5, 0.05, 0.8
+STACK_ITERATIONS = 400
+CURVE_ITERATIONS, CURVE_DEPTH = 200, 4
+SEARCH_TRIALS = 100
+LOGISTIC_ITERATIONS = 1000
+FOREST_TREES, FOREST_DEPTH = 400, 5
+
 SPLIT_TRAIN, SPLIT_VALID, SPLIT_TEST = 0.70, 0.15, 0.15
 SEED = 42
 N_FOLDS = 5
@@ -111,7 +123,7 @@ MASK_MIN_LENGTH = 16
 
 FAIRNESS_MIN_GROUP = 5
 FAIRNESS_BANDS = [(0.0, 3.0, "Low (1-3)"), (3.0, 6.0, "Mid (4-6)"), (6.0, 10.0, "High (7-10)")]
-PILOT_TARGETS = [("auc_x100", 80.0), ("attendance_rate", 60.0), ("quiz_average", 70.0)]
+PILOT_TARGETS = [("auc_x100", 80.0), ("conversion_rate", 60.0), ("usability_score", 70.0)]
 PILOT_AMBER = 0.75
 KS_COMPLEMENT_MIN = 0.80
 CORR_SIMILARITY_MIN = 0.75

@@ -24,8 +24,9 @@ def clip(c: str | Column, lo: float | None = None, hi: float | None = None) -> C
 
 
 def to_double(c: str | Column) -> Column:
-    """numeric coercion, unparsable text -> null (e.g. '?')."""
-    return col_(c).try_cast("double")
+    """numeric coercion; text that is no finite number ('?', 'NaN', 'Infinity') -> null."""
+    x = col_(c).try_cast("double")
+    return F.when(F.abs(x) < float("inf"), x)  # false for NaN, which sorts above infinity
 
 
 def risk_band(score: str | Column, tau: float = K.TAU) -> Column:
@@ -60,8 +61,8 @@ def mask_id(anon: str | Column) -> Column:
 
 
 def short_id(anon: str | Column, n: int = 8) -> Column:
-    """id prefix followed by an ellipsis character sequence."""
-    return F.concat(F.substring(col_(anon), 1, n), F.lit("..."))
+    """id prefix followed by an ellipsis."""
+    return F.concat(F.substring(col_(anon), 1, n), F.lit("…"))
 
 
 def pct_change(new: str | Column, old: str | Column, zero: float | None = 0.0) -> Column:

@@ -32,7 +32,8 @@ def normal_two_sided_p(z: Column) -> Column:
 def kolmogorov_p(d: Column, n1: Column, n2: Column, terms: int = 100) -> Column:
     """Asymptotic two-sample KS p-value: Q_KS(lambda), lambda = (sqrt(ne) + 0.12 +
     0.11 / sqrt(ne)) * D, ne = n1 n2 / (n1 + n2); Q clipped to [0, 1]."""
-    en = F.sqrt(n1 * n2 / (n1 + n2))
+    # An empty sample makes ne null, and with it the p-value.
+    en = F.sqrt(F.nullif(F.try_divide(n1 * n2, n1 + n2), F.lit(0.0)))
     lam = (en + F.lit(0.12) + F.lit(0.11) / en) * d
     ks = F.sequence(F.lit(1), F.lit(terms))
     series = F.aggregate(
@@ -40,4 +41,4 @@ def kolmogorov_p(d: Column, n1: Column, n2: Column, terms: int = 100) -> Column:
         lambda acc, k: acc + F.when(k % 2 == 1, F.lit(1.0)).otherwise(F.lit(-1.0))
         * F.exp(F.lit(-2.0) * k * k * lam * lam))
     q = F.lit(2.0) * series
-    return F.when(lam < 1e-3, F.lit(1.0)).otherwise(F.least(F.greatest(q, F.lit(0.0)), F.lit(1.0)))
+    return F.when(lam.isNull(), F.lit(None).cast("double")).when(lam < 1e-3, F.lit(1.0)).otherwise(F.least(F.greatest(q, F.lit(0.0)), F.lit(1.0)))

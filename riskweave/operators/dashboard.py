@@ -166,14 +166,15 @@ def with_total(df: DataFrame) -> DataFrame:
 
 
 def pilot_targets(actuals: DataFrame) -> DataFrame:
-    """Status per pilot metric: green >= target, amber >= 0.75 target, else red.
+    """Status per pilot metric: green >= target, amber >= 0.75 target, else
+    red; a target that nothing was measured for has a null value and status.
 
-    ``actuals`` is (metric, value). The targets are a 3-row literal table, so
-    the broadcast is bounded by construction.
+    ``actuals`` is (metric, value). The targets are a 3-row literal table.
     """
     spark = actuals.sparkSession
     targets = spark.createDataFrame(K.PILOT_TARGETS, "metric string, target double")
-    j = actuals.join(F.broadcast(targets), "metric", "inner")
-    status = (F.when(F.col("value") >= F.col("target"), "green")
+    j = targets.join(actuals, "metric", "left")
+    status = (F.when(F.col("value").isNull(), F.lit(None).cast("string"))
+               .when(F.col("value") >= F.col("target"), "green")
                .when(F.col("value") >= F.col("target") * K.PILOT_AMBER, "amber").otherwise("red"))
     return j.select("metric", "value", "target", status.alias("status"))

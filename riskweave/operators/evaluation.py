@@ -201,11 +201,13 @@ def delong(df: DataFrame, label: str, score_a: str, score_b: str, paired: bool =
 
 def calibration(df: DataFrame, score: str, label: str, n_bins: int = 10) -> DataFrame:
     """Quantile-bin calibration curve; bin = number of inner edges strictly
-    below the score; empty bins never appear.
+    below the score; empty bins never appear. Rows without a score or label are
+    left out.
 
     The edges are fitted first (one aggregate of exact percentiles; the scores
     are rounded, so the percentile map is bounded) and applied as literals.
     """
+    df = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
     qs = [i / n_bins for i in range(1, n_bins)]
     edges = df.agg(F.percentile(score, qs).alias("e")).first()["e"] or []
     arr = F.array(*[F.lit(float(e)) for e in edges]) if edges else F.array().cast("array<double>")
@@ -233,6 +235,22 @@ def fairness(df: DataFrame, score: str, label: str, segment: Column, tau: float,
         fround(F.when((F.col("P") > 0) & (F.col("N") > 0), F.col("auc")), 4).alias("auc"))
 
 
+def roc_report(df: DataFrame, score: str, label: str, model: str, min_rows: int = 20) -> DataFrame:
+    """Thinned ROC points of each model; none for a model with under ``min_rows`` labelled rows."""
+    hist = score_histogram(df, score, label, [model])
+    enough = hist.groupBy(model).agg(F.sum(F.col("n_pos") + F.col("n_neg")).alias("_rows")).where(F.col("_rows") >= min_rows)
+    return thin_curve(roc_points(hist.join(enough.select(model), model, "left_semi"), [model]), [model])
+
+
+def merge_curves(curves: DataFrame, names: dict[str, str], model: str = "model") -> DataFrame:
+    """Curves side by side by position: (position, fpr_<name>, tpr_<name>, ...). A
+    thinned curve has some twenty points, so its window is small."""
+    w = Window.partitionBy(model).orderBy("fpr", "tpr", F.col("threshold").desc_nulls_first())
+    at = curves.withColumn("position", F.row_number().over(w))
+    cols = [F.max(F.when(F.col(model) == m, F.col(c))).alias(f"{c}_{n}") for m, n in names.items() for c in ("fpr", "tpr")]
+    return at.groupBy("position").agg(*cols)
+
+
 def thin_curve(roc: DataFrame, groups: list[str] | None = None, target_points: int = 21) -> DataFrame:
     """Keep every k-th point of each curve (about ``target_points``), always
     keeping the end point (1, 1)."""

@@ -68,6 +68,14 @@ def counsellor_message(code: Column, band: Column, factors: Column) -> Column:
     return truncate_message(msg)
 
 
+def counsellor_text(custom: Column, code: Column, band: Column, factors: Column) -> Column:
+    """The custom text if there is one, else the factor template, else (no factors
+    known) the attendance and quiz figures."""
+    figures = F.concat(F.lit("Attendance "), F.format_string("%.1f", fround("attendance_rate", 1)),
+                       F.lit("%, quiz average "), F.format_string("%.1f", fround("quiz_average", 1)), F.lit("%."))
+    return truncate_message(F.coalesce(custom, F.when(factors.isNotNull(), counsellor_message(code, band, factors)), figures))
+
+
 def flagged_message(anon: Column, score: Column, factors: Column) -> Column:
     """F13 + F10: nightly alert text 'Student <id8>… has been flagged as HIGH risk
     (score: 12.34%). Top factors: a, b'."""

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.columns import clip, col_, fround, to_double
-from ..session import cut_lineage
-from .ranking import avg_pct_rank
+from ..session import cut_lineage, join_dimension
+from .ranking import pct_ranks, value_counts_cumulative
 
 KEY = ["id_student", "code_module", "code_presentation"]
 
@@ -22,61 +22,17 @@ def student_key(*cols: str) -> Column:
     return F.concat_ws("_", *[F.col(c).cast("string") for c in (cols or KEY)])
 
 
-def attendance(vle: DataFrame) -> DataFrame:
-    """A1 + W1: total clicks per entity -> percentile rank x 100, round 2."""
-    clicks = vle.groupBy(*KEY).agg(fround(F.sum("sum_click"), 6).alias("total_clicks"))
-    ranked = avg_pct_rank(clicks, "total_clicks", "_pct")
-    return ranked.select(*KEY, fround(clip(F.col("_pct") * 100, 0, 100), 2).alias("attendance_rate"))
-
-
-def engagement(vle: DataFrame) -> DataFrame:
-    """A4 + W1: distinct sites per entity -> percentile rank x 100, round 2."""
-    sites = vle.groupBy(*KEY).agg(F.count_distinct("id_site").alias("n_distinct_sites"))
-    ranked = avg_pct_rank(sites, "n_distinct_sites", "_pct")
-    return ranked.select(*KEY, fround(clip(F.col("_pct") * 100, 0, 100), 2).alias("mobile_engagement_freq"))
-
-
 def assessed(student_assessment: DataFrame, assessments: DataFrame) -> DataFrame:
-    """Scores joined to assessment metadata; numeric score and weight.
-
-    The metadata side is a dimension table; the join is left as a plain join
-    so that AQE turns it into a broadcast only when its runtime size is under
-    the broadcast threshold (a checked size), and a shuffle join otherwise.
-    """
-    j = student_assessment.join(assessments, "id_assessment", "left")
+    """Scores joined to assessment metadata; numeric score and weight. The
+    metadata is broadcast if its rows, counted first, are few: the score rows are
+    then not shuffled on its keys."""
+    j = join_dimension(student_assessment, assessments, "id_assessment")
     return j.select(
         "id_assessment", "id_student", "code_module", "code_presentation",
         to_double("score").alias("score"),
         F.coalesce(to_double("weight"), F.lit(1.0)).alias("weight"))
 
 
-def quiz(assessed_df: DataFrame) -> DataFrame:
-    """A2 + A3: weighted mean score; unscored rows keep their weight in the
-    denominator; zero total weight -> null; clip [0,100], round 2."""
-    agg = assessed_df.groupBy(*KEY).agg(
-        F.coalesce(F.sum(F.col("score") * F.col("weight")), F.lit(0.0)).alias("total_weighted_score"),
-        F.sum("weight").alias("total_weight"),
-        F.count("score").alias("n_submitted"),
-        F.count("id_assessment").alias("n_total"))
-    avg = F.col("total_weighted_score") / F.nullif(F.col("total_weight"), F.lit(0.0))
-    return agg.select(*KEY, fround(clip(avg, 0, 100), 2).alias("quiz_average"))
-
-
-def submission(info: DataFrame, assessed_df: DataFrame, assessments: DataFrame) -> DataFrame:
-    """A4 + J2 + J3 + A5: submitted / module total x 100; missing submitted -> 0,
-    total null or 0 -> 1; clip [0,100], round 2."""
-    module_counts = assessments.groupBy("code_module", "code_presentation").agg(
-        F.count_distinct("id_assessment").alias("total_assessments"))
-    submitted = assessed_df.where(F.col("score").isNotNull()).groupBy(*KEY).agg(
-        F.count_distinct("id_assessment").alias("submitted_assessments"))
-    sm = (info.select(*KEY)
-              .join(module_counts, ["code_module", "code_presentation"], "left")
-              .join(submitted, KEY, "left"))
-    sub = F.coalesce(F.col("submitted_assessments"), F.lit(0)).cast("double")
-    tot = F.coalesce(F.nullif(F.col("total_assessments"), F.lit(0)), F.lit(1)).cast("double")
-    return sm.select(*KEY, fround(clip(sub / tot * 100, 0, 100), 2).alias("assignment_submission_rate"))
-
-
 def imd_to_aid(band: str | Column) -> Column:
     """IMD band string -> 1..10, unknown -> 5."""
     m = F.create_map(*[F.lit(x) for kv in K.IMD_MAP.items() for x in kv])
@@ -92,14 +48,27 @@ def result_to_label(result: str | Column) -> Column:
 def median_values(df: DataFrame, columns: list[str]) -> dict[str, float]:
     """A6 fit: exact median of each column in one aggregate (all null -> 0).
 
-    Exact ``median`` keeps a value -> count map per column; the features are
-    rounded to 2 decimals in bounded ranges, so the map stays bounded at any
-    row count. Only the one metric row reaches the driver (like ``Imputer.fit``).
+    Exact ``median`` keeps a value -> count map per column: for columns of few
+    distinct values, as the features of the feature job, which have 2 decimals in
+    bounded ranges (``ranked_medians`` is for any others). Only the one metric row
+    reaches the driver (like ``Imputer.fit``).
     """
     row = df.agg(*[F.median(c).alias(c) for c in columns]).first()
     return {c: (float(row[c]) if row[c] is not None else 0.0) for c in columns}
 
 
+def ranked_medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
+    """A6 fit for any number of distinct values: the one or two middle values of each
+    column from running counts over ranges of values (all null -> 0). At most two
+    rows per column reach the driver."""
+    long = df.select(*columns).unpivot([], columns, "feature", "v")
+    c = value_counts_cumulative(long, "v", groups=["feature"])
+    low, high = F.floor((F.col("n_total") - 1) / 2), F.floor(F.col("n_total") / 2)
+    inside = lambda at: (F.col("cnt_below") <= at) & (at < F.col("cnt_below") + F.col("cnt"))
+    rows = c.where(inside(low) | inside(high)).groupBy("feature").agg(((F.min("v") + F.max("v")) / 2).alias("m")).collect()
+    return {x: 0.0 for x in columns} | {r["feature"]: float(r["m"]) for r in rows}
+
+
 def impute_median(df: DataFrame, columns: list[str], medians: dict[str, float] | None = None) -> DataFrame:
     """Fill nulls with the median of each column over all rows."""
     present = [c for c in columns if c in df.columns]
@@ -133,35 +102,44 @@ def assessment_totals(assessed_df: DataFrame) -> DataFrame:
         F.count_distinct(F.when(F.col("score").isNotNull(), F.col("id_assessment"))).alias("submitted_assessments"))
 
 
+def activity_ranks(act: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """W1 of clicks and of sites in one pass: (total_clicks, attendance_rate) and
+    (n_distinct_sites, mobile_engagement_freq), a row per distinct value."""
+    long = act.select(F.explode(F.array(
+        F.struct(F.lit("clicks").alias("metric"), F.col("total_clicks").alias("v")),
+        F.struct(F.lit("sites").alias("metric"), F.col("n_distinct_sites").cast("double").alias("v")))).alias("x"))
+    ranks = cut_lineage(pct_ranks(long.select("x.*"), "v", "_pct", ["metric"]), "ranks")
+    rate = fround(clip(F.col("_pct") * 100, 0, 100), 2)
+    clicks = ranks.where("metric = 'clicks'").select(F.col("v").alias("total_clicks"), rate.alias("attendance_rate"))
+    sites = ranks.where("metric = 'sites'").select(F.col("v").cast("long").alias("n_distinct_sites"),
+                                                   rate.alias("mobile_engagement_freq"))
+    return clicks, sites
+
+
 def build_feature_table(info: DataFrame, vle: DataFrame, student_assessment: DataFrame,
-                        assessments: DataFrame, materialize: bool = True) -> DataFrame:
+                        assessments: DataFrame) -> DataFrame:
     """S2 + J4: the full source-tables -> feature-table job.
 
     Output: student_key, student_id_orig, 5 features, dropout_label; one row per
-    entity key. Each raw table is scanned once: the activity log feeds one
-    aggregate (clicks and sites), the assessment rows one aggregate (weighted
-    scores and submissions); the entity-level results are joined left onto
-    the profile table (J2-J4).
+    entity key. The activity log feeds one aggregate (clicks and sites), the
+    assessment rows one aggregate (weighted scores and submissions); the
+    entity-level results are joined left onto the profile table (J2-J4). Tables
+    that feed several passes are written to the shared checkpoint folder.
     """
-    act = activity(vle)
-    if materialize:
-        # the entity-level activity table feeds two global ranks: write it once.
-        act = cut_lineage(act, "entity-activity")
-    att = avg_pct_rank(act.select(*KEY, "total_clicks"), "total_clicks", "_pct").select(
-        *KEY, fround(clip(F.col("_pct") * 100, 0, 100), 2).alias("attendance_rate"))
-    eng = avg_pct_rank(act.select(*KEY, "n_distinct_sites"), "n_distinct_sites", "_pct").select(
-        *KEY, fround(clip(F.col("_pct") * 100, 0, 100), 2).alias("mobile_engagement_freq"))
+    act = cut_lineage(activity(vle), "entity-activity")
+    clicks, sites = activity_ranks(act)
+    act = act.join(clicks, "total_clicks", "left").join(sites, "n_distinct_sites", "left").select(
+        *KEY, "attendance_rate", "mobile_engagement_freq")
     totals = assessment_totals(assessed(student_assessment, assessments))
+    # At most a row per assessment.
     module_counts = assessments.groupBy("code_module", "code_presentation").agg(
         F.count_distinct("id_assessment").alias("total_assessments"))
     base = info.select(
         *KEY,
         imd_to_aid("imd_band").alias("financial_aid_status"),
         result_to_label("final_result").alias("dropout_label"))
-    j = (base.join(att, KEY, "left")
-             .join(totals, KEY, "left")
-             .join(module_counts, ["code_module", "code_presentation"], "left")
-             .join(eng, KEY, "left"))
+    j = join_dimension(base.join(act, KEY, "left").join(totals, KEY, "left"),
+                       module_counts, ["code_module", "code_presentation"])
     quiz_avg = F.col("total_weighted_score") / F.nullif(F.col("total_weight"), F.lit(0.0))
     sub = F.coalesce(F.col("submitted_assessments"), F.lit(0)).cast("double")
     tot = F.coalesce(F.nullif(F.col("total_assessments"), F.lit(0)), F.lit(1)).cast("double")
@@ -169,14 +147,11 @@ def build_feature_table(info: DataFrame, vle: DataFrame, student_assessment: Dat
                   fround(clip(quiz_avg, 0, 100), 2).alias("quiz_average"),
                   fround(clip(sub / tot * 100, 0, 100), 2).alias("assignment_submission_rate"),
                   "mobile_engagement_freq")
-    # The entity-level table feeds two passes (median fit, output): materialise
-    # it once in the shared checkpoint folder (lineage cut, survives executor loss).
-    if materialize:
-        df = cut_lineage(df, "entity-features")
-    df = impute_median(df, K.BASE_FEATURES)
     df = df.withColumn("student_key", student_key())
     # First registration wins; the profile row order is (key, label, aid).
     df = dedupe_first(df, ["student_key"], [F.col("dropout_label"), F.col("financial_aid_status")])
+    # Two passes follow: the median fit and the result.
+    df = impute_median(cut_lineage(df, "entity-features"), K.BASE_FEATURES)
     return df.select("student_key", F.col("id_student").alias("student_id_orig"),
                      *K.BASE_FEATURES, "dropout_label")
 

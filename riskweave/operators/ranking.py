@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ..session import cut_lineage
 
 
 def value_counts_cumulative(df: DataFrame, value_col: str, n_ranges: int | None = None,
@@ -12,33 +13,21 @@ def value_counts_cumulative(df: DataFrame, value_col: str, n_ranges: int | None
     """Distinct (groups, value) with their count and the count of smaller values
     in the same group: (groups..., value, cnt, cnt_below, n_total).
 
-    Scales to any number of distinct values and to few, huge groups: the
-    distinct values are cut into ranges at fitted quantile bounds (a list of
-    ``n_ranges - 1`` numbers; approximate bounds only affect balance, never
-    the result), each range computes local running totals, and per-(range,
-    group) offsets (a ranges x groups table) are added back. The range of a
-    value is a deterministic expression, so every re-execution agrees. No
-    window ever sees a whole group.
+    The distinct values are range-partitioned on the value itself (any orderable
+    type, Spark's own order) and written once with the number of their range, so
+    every later step sees the same ranges, also after a lost executor. Each range
+    computes running totals, and the totals of the ranges before it (a table of
+    ranges x groups rows) are added. No window sees a whole group, and no
+    expression grows with the number of ranges. Null values and null groups are
+    left out.
     """
-    spark = df.sparkSession
     groups = groups or []
-    n_ranges = n_ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_ranges = n_ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     weight = F.col(weight_col) if weight_col else F.lit(1)
     vals = (df.where(F.col(value_col).isNotNull())
               .groupBy(*groups, value_col).agg(F.sum(weight).cast("long").alias("cnt")))
-    v = F.col(value_col)
-    if isinstance(vals.schema[value_col].dataType, T.NumericType):
-        key = v.cast("double")
-    else:
-        # order-preserving numeric prefix of a text key (first 4 code points, ASCII)
-        key = sum((F.coalesce(F.ascii(F.substring(v, i, 1)), F.lit(0)).cast("double") * float(256 ** (4 - i))
-                   for i in range(1, 5)), F.lit(0.0))
-    probs = [i / n_ranges for i in range(1, n_ranges)]
-    keyed = vals.withColumn("_rkey", key)
-    bounds = sorted(set(keyed.approxQuantile("_rkey", probs, 0.001))) if probs else []
-    rng = sum((F.when(F.col("_rkey") > F.lit(b), 1).otherwise(0) for b in bounds), F.lit(0))
-    vals = keyed
-    ranged = vals.withColumn("_range", rng.cast("int")).drop("_rkey")
+    ranged = cut_lineage(vals.repartitionByRange(n_ranges, value_col)
+                             .withColumn("_range", F.spark_partition_id()), "ranges")
     in_range = (Window.partitionBy("_range", *groups).orderBy(value_col)
                 .rowsBetween(Window.unboundedPreceding, 0))
     local = ranged.withColumn("_local_cum", F.sum("cnt").over(in_range))
@@ -51,19 +40,29 @@ def value_counts_cumulative(df: DataFrame, value_col: str, n_ranges: int | None
                    F.lit(0)).alias("_offset"),
         F.sum("_range_total").over(gw).alias("n_total"),
     )
-    return (local.join(F.broadcast(offsets), ["_range", *groups])
+    # Both sides are partitioned by (range, groups) already: the join adds no shuffle of the values.
+    return (local.join(offsets, ["_range", *groups])
                  .select(*groups, value_col, "cnt",
                          (F.col("_offset") + F.col("_local_cum") - F.col("cnt")).alias("cnt_below"),
                          "n_total"))
 
 
-def avg_pct_rank(df: DataFrame, value_col: str, out_col: str) -> DataFrame:
-    """Percentile rank with ties averaged, nulls excluded (null -> null).
+def pct_ranks(df: DataFrame, value_col: str, out_col: str, groups: list[str] | None = None) -> DataFrame:
+    """W1 as a table: (groups..., value, percentile rank with ties averaged), a row
+    per distinct value. Nulls are excluded.
 
     pct = (count below + (ties + 1) / 2) / n, i.e. pandas ``rank(pct=True)``;
     not ``percent_rank`` ((rank - 1) / (n - 1)) nor ``cume_dist``.
     """
-    ranks = value_counts_cumulative(df, value_col).select(
-        value_col,
+    return value_counts_cumulative(df, value_col, groups=groups).select(
+        *(groups or []), value_col,
         ((F.col("cnt_below") + (F.col("cnt") + 1) / 2) / F.col("n_total")).alias(out_col))
-    return df.join(ranks, value_col, "left")
+
+
+def avg_pct_rank(df: DataFrame, value_col: str, out_col: str) -> DataFrame:
+    """Adds the percentile rank of a column (null -> null).
+
+    The rank table is written first, so the join back knows its size: a small one
+    is broadcast, and few, frequent values shuffle nothing.
+    """
+    return df.join(cut_lineage(pct_ranks(df, value_col, out_col), "ranks"), value_col, "left")

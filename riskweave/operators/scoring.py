@@ -57,7 +57,8 @@ def students_table(features: DataFrame, salt: str, scorer: LinearScorer = SCORER
                    tau: float = K.TAU) -> DataFrame:
     """The ``students`` state table: anonymised id, features, label, score, band, flag.
 
-    The raw identifier is not carried (only its salted hash), see F1.
+    ``student_id`` is the raw key of the state tables; ``anon_id``, its salted hash
+    (F1), is what leaves them.
     """
     s = score(features.fillna(0.0, subset=[c for c in K.BASE_FEATURES if c in features.columns]),
               scorer, tau)
@@ -112,13 +113,3 @@ def recommended_actions(df: DataFrame) -> DataFrame:
 def beeswarm_value(raw: str | Column) -> Column:
     """clip(raw / 100, 0, 1); 0.5 when missing."""
     return F.coalesce(clip(col_(raw) / 100, 0, 1), F.lit(0.5))
-
-
-def generated_range(df: DataFrame) -> DataFrame:
-    """Range enforcement on generated rows."""
-    out = df
-    for c in K.PERCENT_FEATURES:
-        out = out.withColumn(c, F.round(clip(c, 0, 100), 2))
-    out = out.withColumn("mobile_engagement_freq", F.round(clip("mobile_engagement_freq", 0, None), 2))
-    out = out.withColumn("financial_aid_status", F.round(clip("financial_aid_status", 1, 10), 0))
-    return out.withColumn("dropout_label", clip(F.col("dropout_label").cast("double"), 0, 1).cast("int"))

@@ -24,17 +24,29 @@ def stratified_positions(df: DataFrame, id_col: str, label: str, seed: int = K.S
     return keyed.join(ranks, [label, "_key"])
 
 
+def split_of(pos: Column, n: Column, fractions=(K.SPLIT_TRAIN, K.SPLIT_VALID),
+             names=("train", "valid", "test")) -> Column:
+    """Split name by position / size against cumulative fractions."""
+    frac, cut = pos / n, fractions[0]
+    out = F.when(frac < cut, names[0])
+    if len(fractions) > 1:
+        out = out.when(frac < cut + fractions[1], names[1])
+    return out.otherwise(names[-1])
+
+
 def stratified_split(df: DataFrame, id_col: str, label: str, fractions=(K.SPLIT_TRAIN, K.SPLIT_VALID),
                      seed: int = K.SEED, names=("train", "valid", "test")) -> DataFrame:
-    """M1: split per label by position / size against cumulative fractions."""
+    """M1: exact split per label in the seeded order."""
     p = stratified_positions(df, id_col, label, seed)
-    frac = F.col("_pos") / F.col("_n")
-    cut1 = fractions[0]
-    out = F.when(frac < cut1, names[0])
-    if len(fractions) > 1:
-        out = out.when(frac < cut1 + fractions[1], names[1])
-    out = out.otherwise(names[-1])
-    return p.withColumn("split", out).drop("_key", "_pos", "_n")
+    return p.withColumn("split", split_of(F.col("_pos"), F.col("_n"), fractions, names)).drop("_key", "_pos", "_n")
+
+
+def hash_split(df: DataFrame, id_col: str, fractions=(K.SPLIT_TRAIN, K.SPLIT_VALID), seed: int = K.SEED,
+               names=("train", "valid", "test")) -> DataFrame:
+    """M1, threshold mode: the split from the id's hash alone. Needs no shuffle and is
+    stable when rows are added; sizes meet the fractions in expectation only."""
+    u = F.conv(F.substring(order_key(id_col, seed), 1, 13), 16, 10).cast("double") / float(16 ** 13)
+    return df.withColumn("split", split_of(u, F.lit(1.0), fractions, names))
 
 
 def stratified_folds(df: DataFrame, id_col: str, label: str, k: int = K.N_FOLDS, seed: int = K.SEED) -> DataFrame:
@@ -43,6 +55,13 @@ def stratified_folds(df: DataFrame, id_col: str, label: str, k: int = K.N_FOLDS,
     return p.withColumn("fold", (F.col("_pos") % k).cast("int")).drop("_key", "_pos", "_n")
 
 
+def split_and_folds(df: DataFrame, id_col: str, label: str, k: int = K.N_FOLDS, seed: int = K.SEED) -> DataFrame:
+    """M1 + M2 from one ranking pass: ``split`` and ``fold``."""
+    p = stratified_positions(df, id_col, label, seed)
+    return (p.withColumn("split", split_of(F.col("_pos"), F.col("_n")))
+             .withColumn("fold", (F.col("_pos") % k).cast("int")).drop("_key", "_pos", "_n"))
+
+
 def fit_standardizer(train: DataFrame, cols: list[str]) -> dict[str, tuple[float, float]]:
     """M3 fit: mean and population std of each column on the training rows
     (one aggregate; only the metric row reaches the driver)."""

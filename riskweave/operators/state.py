@@ -58,14 +58,15 @@ def upsert(current: DataFrame, incoming: DataFrame, key: str, features: list[str
     return j.select(*out, action.alias("_action"))
 
 
-def load_summary(merged: DataFrame, scored_col: str = "risk_score") -> DataFrame:
-    """Inserted, updated, unchanged, scored and total rows of a merge."""
+def load_summary(merged: DataFrame, scored_col: str = "risk_score", warnings: int = 0) -> DataFrame:
+    """Inserted, updated, unchanged, scored and total rows of a merge, and the
+    number of warnings of its upload."""
     return merged.agg(
         F.count_if(F.col("_action") == "insert").alias("inserted"),
         F.count_if(F.col("_action") == "update").alias("updated"),
         F.count_if(F.col("_action") == "keep").alias("unchanged"),
         F.count_if(F.col("_action").isin("insert", "update") & F.col(scored_col).isNotNull()).alias("scored"),
-        F.count(F.lit(1)).alias("total_rows"))
+        F.count(F.lit(1)).alias("total_rows"), F.max(F.lit(warnings)).alias("warnings"))
 
 
 def members(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
@@ -73,17 +74,21 @@ def members(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return df.join(keys.select(key).distinct(), key, "left_semi")
 
 
-def duplicate_guard(existing: DataFrame, incoming: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """(accepted = keys not present, rejected = keys already present)."""
-    ex = existing.select(key)
-    return incoming.join(ex, key, "left_anti"), incoming.join(ex, key, "left_semi")
+def duplicate_guard(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
+    """``incoming`` with ``decision``: accepted if its key is not present yet,
+    else rejected (one left join; ``existing`` has one row per key)."""
+    ex = existing.select(key, F.lit(True).alias("_there"))
+    return (incoming.join(ex, key, "left")
+                    .withColumn("decision", F.when(F.col("_there"), "rejected").otherwise("accepted")).drop("_there"))
 
 
 def referential_check(children: DataFrame, parents: DataFrame, fk: str, pk: str,
-                      copy_cols: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(children enriched with parent columns, orphan children)."""
-    p = parents.select(F.col(pk).alias(fk), *copy_cols)
-    return children.join(p, fk, "inner"), children.join(p.select(fk), fk, "left_anti")
+                      copy_cols: list[str]) -> DataFrame:
+    """Children with the parent's columns and ``status`` ok, or orphan with nulls
+    (one left join; ``parents`` has one row per key)."""
+    p = parents.select(F.col(pk).alias(fk), *copy_cols, F.lit(True).alias("_there"))
+    return (children.join(p, fk, "left")
+                    .withColumn("status", F.when(F.col("_there"), "ok").otherwise("orphan")).drop("_there"))
 
 
 def latest_with_default(entities: DataFrame, log: DataFrame, key: str, ts: str, cols: list[str],
@@ -151,6 +156,36 @@ def delete_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return df.join(keys.select(key), key, "left_anti")
 
 
+def delete_orphans(df: DataFrame, parents: DataFrame, fk: str, pk: str) -> DataFrame:
+    """Keep the rows whose parent exists (one semi join)."""
+    return df.join(parents.select(F.col(pk).alias(fk)), fk, "left_semi")
+
+
+def truncate(df: DataFrame) -> DataFrame:
+    """The empty version of a table, schema kept."""
+    return df.limit(0)
+
+
+def explain_latest(log: DataFrame, explanations: DataFrame, key: str, ts: str, field: str,
+                   defaults: dict[str, Column]) -> DataFrame:
+    """A log with ``field`` of the newest row of each key replaced by the new
+    explanation; all other rows stay as they are, and a key without any row gets a
+    new one from ``defaults``. Equal newest times: all rows of that time are updated.
+    """
+    newest = log.groupBy(key).agg(F.max(ts).alias("_newest"))
+    new = explanations.select(key, F.col(field).alias("_new"))
+    j = log.join(newest.join(new, key, "full"), key, "full")
+    take = F.col("_new").isNotNull() & (F.col("_newest").isNull() | (F.col(ts) == F.col("_newest")))
+    inserted = F.col("_newest").isNull()
+    out = [F.col(key)]
+    for c in log.columns:
+        if c == field:
+            out.append(F.when(take, F.col("_new")).otherwise(F.col(c)).alias(c))
+        elif c != key:
+            out.append((F.when(inserted, defaults[c]).otherwise(F.col(c)) if c in defaults else F.col(c)).alias(c))
+    return j.select(*out, inserted.alias("_inserted"), (take & ~inserted).alias("_updated"))
+
+
 def mark_read(alerts: DataFrame, predicate: Column) -> DataFrame:
     """Conditional bulk update; dismissing implies read."""
     return (alerts.withColumn("is_read", F.col("is_read") | predicate | F.col("is_dismissed")))
@@ -179,7 +214,7 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 
 def scored_writeback(students: DataFrame, scored: DataFrame, key: str, run_ts: str,
                      version: str = "v1") -> tuple[DataFrame, DataFrame]:
-    """New score, band and flag written back by key; prediction log rows."""
+    """M10 + S8: new score, band and flag written back by key; prediction log rows."""
     s = scored.select(key, F.col("risk_score").alias("_s"), F.col("risk_band").alias("_b"))
     j = students.join(s, key, "left")
     new = (j.withColumn("risk_score", F.coalesce("_s", "risk_score"))

@@ -149,11 +149,13 @@ def trajectory(history: DataFrame, key: str = "entity_id", ts: str = "ts", value
 
 
 def newly_flagged(current: DataFrame, previous: DataFrame, key: str, score: str = "risk_score",
-                  flag_prev: str = "is_flagged", tau: float = K.TAU) -> DataFrame:
+                  flag_prev: str = "is_flagged", tau: float = K.TAU, band: str | None = None) -> DataFrame:
     """Entities whose band is HIGH now and that were not flagged in the
     previous snapshot (absent before counts as not flagged). A join of two
-    snapshots: no window holds an entity's whole history."""
-    cur = current.withColumn("_band", risk_band(F.col(score), tau))
+    snapshots: no window holds an entity's whole history. ``band`` names the
+    stored band, which was taken from the unrounded score; without it the band
+    is taken from ``score``."""
+    cur = current.withColumn("_band", F.col(band) if band else risk_band(F.col(score), tau))
     prev = previous.select(key, F.col(flag_prev).alias("_was"))
     j = cur.join(prev, key, "left")
     return j.where((F.col("_band") == "HIGH") & ~F.coalesce(F.col("_was"), F.lit(False))).drop("_band", "_was")

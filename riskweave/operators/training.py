@@ -1,21 +1,22 @@
 """Model jobs on Spark ML.
 
 Training data never leaves the cluster: Spark ML fits on DataFrames, fold
-loops reuse one persisted frame, and only metric rows are collected.
-Boosted trees stand in for the native boosting engines; random search over
-``ParamMap``s with ``CrossValidator(foldCol=...)`` stands in for the
-Bayesian sampler.
+loops reuse one persisted frame (released at the end), and only metric rows are
+collected. Boosted trees stand in for the native boosting engines; random search
+over ``ParamMap``s stands in for the Bayesian sampler. The numbers of iterations,
+trials and folds default to those of the application (``constants``).
 """
 
 from __future__ import annotations
 
 import random
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, RandomForestClassifier)
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions.columns import fround, risk_band
 from . import evaluation as EV
+from . import splits as SP
 
 LABEL = "label"
 
@@ -32,28 +34,60 @@ def with_label(df: DataFrame, label: str = "dropout_label") -> DataFrame:
     return df.withColumn(LABEL, F.col(label).cast("double"))
 
 
+@contextmanager
+def kept(df: DataFrame):
+    """``df`` persisted for the time of a fit that reads it several times."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield df
+    finally:
+        df.unpersist()
+
+
 def class_weight(train: DataFrame) -> float:
     """scale_pos_weight = negatives / positives of the training rows."""
     row = train.agg(F.count_if(F.col(LABEL) == 1).alias("p"), F.count_if(F.col(LABEL) == 0).alias("n")).first()
     return float(row["n"]) / max(float(row["p"]), 1.0)
 
 
-def logistic_pipeline(features: list[str]) -> Pipeline:
-    """M3 + M4: standardise (fitted on the training rows) then L2 logistic regression."""
-    return Pipeline(stages=[
-        VectorAssembler(inputCols=features, outputCol="raw", handleInvalid="keep"),
-        StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True),
-        LogisticRegression(featuresCol="features", labelCol=LABEL, maxIter=200, regParam=0.001,
-                           elasticNetParam=0.0, standardization=False),
-    ])
+class StandardizedLogistic:
+    """M3 + M4: standardise with the training rows' mean and population standard
+    deviation, then L2 logistic regression. ``regParam`` is C / n, which is the
+    penalty of a sum-of-losses objective with inverse strength 1 / C (here C = 1)."""
+
+    def __init__(self, features: list[str], max_iter: int = K.LOGISTIC_ITERATIONS, c: float = 1.0):
+        self.features, self.max_iter, self.c = features, max_iter, c
+
+    def fit(self, train: DataFrame) -> StandardizedModel:
+        params = SP.fit_standardizer(train, self.features)
+        rows = train.count()
+        scaled = SP.apply_standardizer(train, params, "_z")
+        lr = LogisticRegression(featuresCol="features", labelCol=LABEL, maxIter=self.max_iter,
+                                regParam=self.c / max(1, rows), elasticNetParam=0.0, standardization=False)
+        names = [f"{f}_z" for f in self.features]
+        model = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), lr]).fit(scaled)
+        return StandardizedModel(params, model)
+
+
+class StandardizedModel:
+    """The fitted standardiser and model; transforms like a ``PipelineModel``."""
+
+    def __init__(self, params: dict[str, tuple[float, float]], model: PipelineModel):
+        self.params, self.model = params, model
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        out = self.model.transform(SP.apply_standardizer(df, self.params, "_z"))
+        return out.drop(*[f"{f}_z" for f in self.params])
 
 
 def gbt_pipeline(features: list[str], weight_col: str | None = None, validation_col: str | None = None,
-                 max_iter: int = 50, max_depth: int = 4, step: float = 0.1, seed: int = K.SEED) -> Pipeline:
+                 max_iter: int = K.BOOSTED_ITERATIONS, max_depth: int = K.BOOSTED_DEPTH,
+                 step: float = K.BOOSTED_STEP, seed: int = K.SEED) -> Pipeline:
     """M5: boosted trees with class weights and optional early stopping on a
     validation indicator column."""
     gbt = GBTClassifier(featuresCol="features", labelCol=LABEL, maxIter=max_iter, maxDepth=max_depth,
-                        stepSize=step, seed=seed, subsamplingRate=0.8)
+                        stepSize=step, seed=seed, subsamplingRate=K.BOOSTED_SUBSAMPLE,
+                        featureSubsetStrategy=str(K.BOOSTED_SUBSAMPLE))
     if weight_col:
         gbt.setWeightCol(weight_col)
     if validation_col:
@@ -63,17 +97,17 @@ def gbt_pipeline(features: list[str], weight_col: str | None = None, validation_
 
 def forest_pipeline(features: list[str], seed: int = K.SEED) -> Pipeline:
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"),
-                            RandomForestClassifier(featuresCol="features", labelCol=LABEL, numTrees=40,
-                                                   maxDepth=6, seed=seed)])
+                            RandomForestClassifier(featuresCol="features", labelCol=LABEL, numTrees=K.FOREST_TREES,
+                                                   maxDepth=K.FOREST_DEPTH, seed=seed)])
 
 
-def positive_probability(model: PipelineModel, df: DataFrame, out: str = "score") -> DataFrame:
+def positive_probability(model: Transformer | StandardizedModel, df: DataFrame, out: str = "score") -> DataFrame:
     """M9 (trained): P(y = 1), rounded to 4 after the band is taken from the raw value."""
     p = model.transform(df)
     raw = vector_to_array(F.col("probability"))[1]
     return (p.withColumn("_p", raw).withColumn("risk_band", risk_band(F.col("_p")))
              .withColumn(out, fround(F.col("_p"), 4))
-             .drop("_p", "probability", "rawPrediction", "prediction", "features", "raw"))
+             .drop("_p", "probability", "rawPrediction", "prediction", "features"))
 
 
 def test_metrics(scored: DataFrame, tau: float, model_name: str, score: str = "score") -> DataFrame:
@@ -85,6 +119,24 @@ def test_metrics(scored: DataFrame, tau: float, model_name: str, score: str = "s
     return m.select("model", *[F.col(c).cast("double") for c in metrics]).unpivot(["model"], metrics, "metric", "value")
 
 
+test_metrics.__test__ = False  # not a pytest case
+
+
+def metric_summary(per_fold: DataFrame) -> DataFrame:
+    """(metric, fold, value) -> mean, population std, min, max, mean +- 1.96 std
+    clamped to [0, 1] (the spread over folds) and the list of folds."""
+    agg = per_fold.groupBy("metric").agg(
+        F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("min"),
+        F.max("value").alias("max"),
+        F.array_sort(F.collect_list(F.struct("fold", "value"))).alias("_folds"))
+    lo = F.greatest(F.lit(0.0), F.col("mean") - 1.96 * F.col("std"))
+    hi = F.least(F.lit(1.0), F.col("mean") + 1.96 * F.col("std"))
+    return agg.select("metric", fround(F.col("mean"), 4).alias("mean"), fround(F.col("std"), 4).alias("std"),
+                      fround("min", 4).alias("min"), fround("max", 4).alias("max"),
+                      fround(lo, 4).alias("ci_fold_spread_low"), fround(hi, 4).alias("ci_fold_spread_high"),
+                      F.array_join(F.transform("_folds", lambda x: F.format_number(x["value"], 4)), ",").alias("per_fold"))
+
+
 def youden_from_scores(scored: DataFrame, score: str = "score") -> float:
     """E7 on a validation split; only the one threshold reaches the driver."""
     hist = EV.score_histogram(scored, score, LABEL)
@@ -95,49 +147,52 @@ def youden_from_scores(scored: DataFrame, score: str = "score") -> float:
 def feature_importance(spark, model: PipelineModel, features: list[str]) -> DataFrame:
     """Tree importances named and sorted (a k-row frame)."""
     imp = model.stages[-1].featureImportances.toArray().tolist()
-    rows = sorted(zip(features, imp), key=lambda t: -t[1])
+    rows = sorted(zip(features, imp, strict=True), key=lambda t: -t[1])
     return spark.createDataFrame([(f, round(float(v), 6)) for f, v in rows], "feature string, importance double")
 
 
-def random_param_maps(est: GBTClassifier, n_trials: int, seed: int = K.SEED) -> list:
-    """M6: seeded random draws over depth, iterations, step size and subsampling."""
+def random_param_maps(est: GBTClassifier, n_trials: int = K.SEARCH_TRIALS, seed: int = K.SEED) -> list:
+    """M6: seeded random draws over the boosted-tree parameters that Spark ML has:
+    iterations, depth, step size (log scale), row and feature subsampling, least rows
+    of a leaf (child weight) and least gain of a split (gamma). The weight of the
+    positive class and the two leaf penalties of other engines have no counterpart."""
     rng = random.Random(seed)
     grid = []
     for _ in range(n_trials):
         b = ParamGridBuilder()
-        b.addGrid(est.maxDepth, [rng.choice([3, 4, 5, 6])])
-        b.addGrid(est.maxIter, [rng.choice([10, 15, 20])])
-        b.addGrid(est.stepSize, [rng.choice([0.05, 0.1, 0.2])])
-        b.addGrid(est.subsamplingRate, [rng.choice([0.7, 0.8, 1.0])])
+        b.addGrid(est.maxIter, [rng.randint(100, 500)])
+        b.addGrid(est.maxDepth, [rng.randint(3, 10)])
+        b.addGrid(est.stepSize, [round(10 ** rng.uniform(-2, -0.5229), 5)])
+        b.addGrid(est.subsamplingRate, [round(rng.uniform(0.6, 1.0), 3)])
+        b.addGrid(est.featureSubsetStrategy, [str(round(rng.uniform(0.6, 1.0), 3))])
+        b.addGrid(est.minInstancesPerNode, [rng.randint(1, 10)])
+        b.addGrid(est.minInfoGain, [round(rng.uniform(0.0, 0.05), 4)])
         grid += b.build()
     return grid
 
 
-def cv_search(df_with_folds: DataFrame, features: list[str], n_trials: int = 3, parallelism: int = 4,
-              n_folds: int = K.N_FOLDS):
-    """M6: k-fold AUC search over random ParamMaps (folds from ``fold``)."""
+def cv_search(df_with_folds: DataFrame, features: list[str], n_trials: int = K.SEARCH_TRIALS, parallelism: int = 4,
+              n_folds: int = K.N_FOLDS, param_maps: list | None = None, estimator: GBTClassifier | None = None):
+    """M6: k-fold AUC search over random ParamMaps (folds from ``fold``). ``n_trials``
+    and ``param_maps`` are the caller's budget; the default is the full search."""
     assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
-    data = assembler.transform(df_with_folds).persist(StorageLevel.MEMORY_AND_DISK)
-    gbt = GBTClassifier(featuresCol="features", labelCol=LABEL, seed=K.SEED)
-    cv = CrossValidator(estimator=gbt, estimatorParamMaps=random_param_maps(gbt, n_trials),
+    gbt = estimator or GBTClassifier(featuresCol="features", labelCol=LABEL, seed=K.SEED)
+    cv = CrossValidator(estimator=gbt, estimatorParamMaps=param_maps or random_param_maps(gbt, n_trials),
                         evaluator=BinaryClassificationEvaluator(labelCol=LABEL, metricName="areaUnderROC"),
                         foldCol="fold", numFolds=n_folds, parallelism=parallelism, seed=K.SEED)
-    model = cv.fit(data)
-    data.unpersist()
-    return model
+    with kept(assembler.transform(df_with_folds)) as data:
+        return cv.fit(data)
 
 
-def out_of_fold(df_with_folds: DataFrame, pipelines: dict[str, Pipeline], k: int) -> DataFrame:
+def out_of_fold(df_with_folds: DataFrame, learners: dict, k: int) -> DataFrame:
     """M7 level 1: out-of-fold probabilities of each base learner (one column per
     learner); every row is predicted exactly once, by models not trained on it."""
-    data = df_with_folds.persist(StorageLevel.MEMORY_AND_DISK)
     parts = []
     for f in range(k):
-        train, hold = data.where(F.col("fold") != f), data.where(F.col("fold") == f)
+        train, hold = df_with_folds.where(F.col("fold") != f), df_with_folds.where(F.col("fold") == f)
         out = hold
-        for name, pipe in pipelines.items():
-            m = pipe.fit(train)
-            out = positive_probability(m, out, f"p_{name}").drop("risk_band")
+        for name, learner in learners.items():
+            out = positive_probability(learner.fit(train), out, f"p_{name}").drop("risk_band")
         parts.append(out)
     oof = parts[0]
     for p in parts[1:]:
@@ -145,15 +200,25 @@ def out_of_fold(df_with_folds: DataFrame, pipelines: dict[str, Pipeline], k: int
     return oof
 
 
-def stacking_fit(df_with_folds: DataFrame, features: list[str], k: int = K.N_FOLDS):
-    """M7: base learners (boosted trees, forest, logistic) -> OOF columns ->
-    logistic meta-learner; bases refitted on all training rows for serving."""
-    pipes = {"gbt": gbt_pipeline(features, max_iter=20), "rf": forest_pipeline(features),
-             "lr": logistic_pipeline(features)}
-    oof = out_of_fold(df_with_folds, pipes, k)
-    meta = Pipeline(stages=[VectorAssembler(inputCols=[f"p_{n}" for n in pipes], outputCol="features"),
-                            LogisticRegression(featuresCol="features", labelCol=LABEL, maxIter=200)]).fit(oof)
-    bases = {n: p.fit(df_with_folds) for n, p in pipes.items()}
+def stack_learners(features: list[str], max_iter: int = K.STACK_ITERATIONS) -> dict:
+    """Base learners of the stack: two boosted forests (depth 5 and 4 stand for the two
+    engines), a random forest and a logistic model."""
+    return {"gbt": gbt_pipeline(features, max_iter=max_iter, max_depth=5),
+            "gbt2": gbt_pipeline(features, max_iter=max_iter, max_depth=4, seed=K.SEED + 1),
+            "rf": forest_pipeline(features), "lr": StandardizedLogistic(features)}
+
+
+def stacking_fit(df_with_folds: DataFrame, features: list[str], k: int = K.N_FOLDS, max_iter: int = K.STACK_ITERATIONS):
+    """M7: base learners -> OOF columns -> logistic meta-learner; bases refitted on
+    all training rows for serving."""
+    learners = stack_learners(features, max_iter)
+    with kept(df_with_folds) as data:
+        oof = out_of_fold(data, learners, k)
+        n = data.count()
+        meta = Pipeline(stages=[VectorAssembler(inputCols=[f"p_{x}" for x in learners], outputCol="features"),
+                                LogisticRegression(featuresCol="features", labelCol=LABEL, regParam=1.0 / max(1, n),
+                                                   standardization=False, maxIter=1000)]).fit(oof)
+        bases = {name: p.fit(data) for name, p in learners.items()}
     return bases, meta
 
 

@@ -10,18 +10,29 @@ from ..functions.columns import fround
 from ..operators import features as FE
 from ..operators import scoring as SC
 from ..sources import cohort
+from ..session import cut_lineage
+from ..sources.tables import read_table
 from . import sqlbits as S
 
 # Demo salt of the registered queries (a real deployment passes its own secret).
 SALT = "cohort-demo-salt"
-# "Now" of the registered queries: a parameter, never the wall clock.
-AS_OF = "2024-01-30 00:00:00"
+# "Now" of the registered queries is the second of the newest event, never the wall clock.
+AS_OF_SQL = "(SELECT date_trunc('second', max(ts)) FROM events)"
+
+
+def as_of(spark: SparkSession, sf_dir: str) -> str:
+    """Time of the newest event, as text (one value reaches the driver)."""
+    newest = F.date_trunc("second", F.max(F.col("ts").cast("timestamp")))
+    row = read_table(spark, sf_dir, "events", ["ts"]).agg(F.date_format(newest, "yyyy-MM-dd HH:mm:ss")).first()
+    return row[0] or "1970-01-01 00:00:00"
 
 
 def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Lines and orders are joined once, for the assessment and the profile rows.
+    lines = cut_lineage(cohort.lines_with_orders(spark, sf_dir), "lines")
     return FE.build_feature_table(
-        cohort.student_info(spark, sf_dir), cohort.student_vle(spark, sf_dir),
-        cohort.student_assessment(spark, sf_dir), cohort.assessments(spark, sf_dir))
+        cohort.student_info(spark, sf_dir, lines), cohort.student_vle(spark, sf_dir),
+        cohort.student_assessment(lines), cohort.assessments(spark, sf_dir))
 
 
 def students(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..functions.columns import percent
 from ..operators import dashboard as D
+from ..operators import evaluation as EV
 from ..sources import cohort
 from . import base as B
 from . import sqlbits as S
@@ -26,7 +28,7 @@ def pct_sql(num: str, den: str, d: int) -> str:
     return R(f"({num})::DOUBLE / nullif(({den})::DOUBLE, 0.0::DOUBLE) * 100.0::DOUBLE", d)
 
 
-ASOF = f"TIMESTAMP '{B.AS_OF}'"
+ASOF = B.AS_OF_SQL
 STUDENT_METRICS = {
     "total_students": "count(*)",
     "flagged_students": "count_if(is_flagged)",
@@ -60,7 +62,7 @@ INTERVENTION_METRICS = {
 def q_dashboard_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A7+A8+A9+A16+A17+A18+A19: operational summary as (metric, value)."""
     return D.operational_summary(B.students(spark, sf_dir), cohort.alerts(spark, sf_dir),
-                                 cohort.interventions(spark, sf_dir), B.AS_OF)
+                                 cohort.interventions(spark, sf_dir), B.as_of(spark, sf_dir))
 
 
 _FEAT_UNION = " UNION ALL ".join(f"SELECT '{f}' AS feature, {f} AS v FROM features" for f in K.BASE_FEATURES)
@@ -157,20 +159,28 @@ def q_alert_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PILOT_SQL = f"""
-WITH {S.BINDING.strip()}, {S.FEATURES.strip()},
+hist_p AS (
+  SELECT score_a AS s, count_if(label = 1)::DOUBLE AS p, count_if(label = 0)::DOUBLE AS n FROM two_scores GROUP BY 1),
+auc_p AS (
+  SELECT sum(p * (below + n / 2)) / (sum(p) * sum(n)) AS auc FROM (
+    SELECT p, n, coalesce(sum(n) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM hist_p)),
 actuals AS (
-  SELECT 'attendance_rate' AS metric, {R('avg(attendance_rate)', 2)} AS value FROM features
-  UNION ALL SELECT 'quiz_average', {R('avg(quiz_average)', 2)} FROM features),
-targets AS (SELECT * FROM (VALUES {', '.join(f"('{m}', {t}::DOUBLE)" for m, t in K.PILOT_TARGETS)}) t(metric, target))
-SELECT a.metric, a.value, t.target,
-       CASE WHEN a.value >= t.target THEN 'green' WHEN a.value >= t.target * {K.PILOT_AMBER} THEN 'amber' ELSE 'red' END AS status
-FROM actuals a JOIN targets t USING (metric)"""
+  SELECT 'auc_x100' AS metric, {R('auc', 3)} * 100.0::DOUBLE AS value FROM auc_p
+  UNION ALL SELECT 'conversion_rate', {pct_sql("count_if(status = 'COMPLETED')", "count(*)", 1)} FROM interventions_b),
+targets AS (SELECT * FROM (VALUES ('auc_x100', 80.0::DOUBLE), ('conversion_rate', 60.0::DOUBLE), ('usability_score', 70.0::DOUBLE)) t(metric, target))
+SELECT t.metric, a.value, t.target,
+       CASE WHEN a.value IS NULL THEN NULL WHEN a.value >= t.target THEN 'green'
+            WHEN a.value >= t.target * 0.75 THEN 'amber' ELSE 'red' END AS status
+FROM targets t LEFT JOIN actuals a USING (metric)"""
 
 
-@register("pilot_targets", _PILOT_SQL)
+@register("pilot_targets", B.sql(*B.SCORE_CTES, S.INTERVENTIONS, S.split_final(_PILOT_SQL)[0],
+                                 select=S.split_final(_PILOT_SQL)[1]))
 def q_pilot_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pilot metric status against fixed targets (green / amber / red)."""
-    f = B.feature_table(spark, sf_dir)
-    actuals = D.metrics_row(f, {"attendance_rate": F.avg("attendance_rate"), "quiz_average": F.avg("quiz_average")})
-    actuals = actuals.withColumn("value", D.fround(F.col("value"), 2))
-    return D.pilot_targets(actuals)
+    """P24+E3+A17: model AUC (x100), intervention conversion and counsellor usability (not
+    measured here) against the pilot targets (green / amber / red)."""
+    hist = EV.score_histogram(B.two_scores(spark, sf_dir), "score_a", "label")
+    auc = EV.auc(hist).select(F.lit("auc_x100").alias("metric"), (D.fround(F.col("auc"), 3) * 100).alias("value"))
+    done = F.count_if(F.col("status") == "COMPLETED")
+    conversion = cohort.interventions(spark, sf_dir).agg(percent(done, F.count(F.lit(1)), 1).alias("value"))
+    return D.pilot_targets(auc.unionByName(conversion.withColumn("metric", F.lit("conversion_rate"))))

@@ -105,7 +105,7 @@ def q_nightly_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
         (risk_band(SC.SCORER_B.probability()) == "HIGH").alias("is_flagged"))
     cur = e.drop("is_flagged")
     from ..operators.timeseries import newly_flagged
-    nf = newly_flagged(cur, prev, "student_id")
+    nf = newly_flagged(cur, prev, "student_id", band="risk_band")
     sent = F.transform(EX.top_factors(F.col("explanation"), 2), EX.factor_sentence)
     return nf.select("student_id", F.lit("RISK_HIGH").alias("alert_type"),
                      EX.flagged_message(F.col("anon_id"), F.col("risk_score"), sent).alias("message"))

@@ -4,19 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import features as FE
-from ..sources import cohort
+from . import base as B
 from . import sqlbits as S
 from .registry import register
 
 
-def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return FE.build_feature_table(
-        cohort.student_info(spark, sf_dir), cohort.student_vle(spark, sf_dir),
-        cohort.student_assessment(spark, sf_dir), cohort.assessments(spark, sf_dir))
-
-
 @register("feature_table", S.with_ctes(*S.FEATURE_CTES) + " SELECT * FROM features")
 def q_feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S2+J1-J5+A1-A6+W1+W2+P18+P19: source tables -> 5-feature table with label."""
-    return feature_table(spark, sf_dir)
+    return B.feature_table(spark, sf_dir)

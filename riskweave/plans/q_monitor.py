@@ -8,26 +8,28 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..operators import monitoring as MO
 from ..operators import splits as SP
+from ..session import cut_lineage
 from ..sources import cohort
 from . import base as B
 from . import sqlbits as S
 from .registry import register
 
 R = S.R
-# Baseline period = weeks before this instant; current period = the rest.
-PERIOD_SPLIT = "2024-01-15 00:00:00"
+# Baseline period = weeks before the middle week of the events; current period = the rest.
+PERIOD_SPLIT = ("(SELECT date_trunc('week', make_timestamp((epoch_us(min(ts)) + epoch_us(max(ts))) // 2)) FROM events)")
 VALID_CUT = K.SPLIT_TRAIN + K.SPLIT_VALID
 
 
 def periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = cohort.risk_history(spark, sf_dir)
-    return h.withColumn("sample", F.when(F.col("ts") < F.to_timestamp(F.lit(PERIOD_SPLIT)), "baseline")
+    middle = cohort.week_bounds(spark, sf_dir)[2]
+    return h.withColumn("sample", F.when(F.col("ts") < F.lit(middle).cast("timestamp"), "baseline")
                         .otherwise("current"))
 
 
 PERIODS_SQL = f"""
 periods AS (
-  SELECT *, CASE WHEN ts < TIMESTAMP '{PERIOD_SPLIT}' THEN 'baseline' ELSE 'current' END AS sample
+  SELECT *, CASE WHEN ts < {PERIOD_SPLIT} THEN 'baseline' ELSE 'current' END AS sample
   FROM history_b)"""
 
 
@@ -118,9 +120,7 @@ SELECT student_key, split, fold FROM split_t"""))
 def q_split_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M1+M2: per-row split and stratified fold (5 folds, seed 42)."""
     f = B.feature_table(spark, sf_dir)
-    s = SP.stratified_split(f, "student_key", "dropout_label")
-    k = SP.stratified_folds(f, "student_key", "dropout_label").select("student_key", "fold")
-    return s.join(k, "student_key").select("student_key", "split", "fold")
+    return SP.split_and_folds(f, "student_key", "dropout_label").select("student_key", "split", "fold")
 
 
 @register("standardizer", B.sql(*S.FEATURE_CTES, SPLIT_SQL, select=" UNION ALL ".join(
@@ -129,9 +129,9 @@ def q_split_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_standardizer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M3: standardiser fitted on the training split (mean, population std)."""
     train = split_frame(spark, sf_dir).where(F.col("split") == "train")
-    long = train.select(*K.BASE_FEATURES).unpivot([], K.BASE_FEATURES, "feature", "v")
-    return long.groupBy("feature").agg(MO.fround(F.avg("v"), 6).alias("mean"),
-                                       MO.fround(F.stddev_pop("v"), 6).alias("std"))
+    fitted = SP.fit_standardizer(train, K.BASE_FEATURES)
+    rows = spark.createDataFrame([(c, m, s) for c, (m, s) in fitted.items()], "feature string, mean double, std double")
+    return rows.select("feature", MO.fround("mean", 6).alias("mean"), MO.fround("std", 6).alias("std"))
 
 
 def _corr_sim_sql() -> str:
@@ -162,9 +162,9 @@ SELECT {R('ksc', 4)} AS ks_complement, {R('cs', 4)} AS correlation_similarity,
 FROM ksc, csim, sizes"""))
 def q_synthetic_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E18+E19+E20: KS complement and correlation similarity of two equal-schema
-    samples (train vs test split of the feature table)."""
-    s = split_frame(spark, sf_dir).withColumnRenamed("split", "sample")
-    return MO.synthetic_quality(s, "sample", "train", "test", K.BASE_FEATURES)
+    samples (train vs test split of the feature table, whose values have 2 decimals)."""
+    s = cut_lineage(split_frame(spark, sf_dir).withColumnRenamed("split", "sample"), "split")
+    return MO.synthetic_quality(s, "sample", "train", "test", K.BASE_FEATURES, digits=2)
 
 
 @register("learning_curve_sizes", B.sql(*S.FEATURE_CTES, SPLIT_SQL, select=f"""

@@ -15,13 +15,12 @@ from . import sqlbits as S
 from .registry import register
 
 R = S.R
-UPLOAD_SINCE = "2024-01-29 00:00:00"
 FEATS = K.BASE_FEATURES
 
 
 def _upload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Upload rows cleaned like an ingest (P3: clip percentages, non-negative)."""
-    u = cohort.weekly_upload(spark, sf_dir, UPLOAD_SINCE)
+    u = cohort.event_upload(spark, sf_dir)
     return (u.withColumn("attendance_rate", clip("attendance_rate", 0, 100))
              .withColumn("mobile_engagement_freq", clip("mobile_engagement_freq", 0, None)))
 
@@ -43,7 +42,7 @@ inc AS (
          {S.CLIP("TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE)", 0, None)} AS mobile_engagement_freq,
          (CASE WHEN event_type = 'error' THEN 1 WHEN event_type = 'purchase' THEN 0 END)::INTEGER AS dropout_label,
          CASE WHEN event_type = 'signup' THEN '+44' || lpad(CAST(user_id AS VARCHAR), 9, '0') END AS phone_number
-  FROM events WHERE ts >= TIMESTAMP '{UPLOAD_SINCE}'
+  FROM events
   QUALIFY row_number() OVER (PARTITION BY student_id ORDER BY ts DESC, event_id DESC) = 1),
 merged AS (
   SELECT coalesce(c.student_id, n.student_id) AS student_id,
@@ -72,7 +71,7 @@ FROM (SELECT *, {R(B.sql_prob(SC.SCORER_A), 4)} AS risk_score FROM merged)"""))
 def q_load_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A20+M12: merge summary; upserted rows are re-scored (inserted, updated, scored, total)."""
     m = SC.score(merged(spark, sf_dir))
-    return ST.load_summary(m)
+    return ST.load_summary(m).drop("warnings")  # those are in upload_checks
 
 
 @register("score_upserted", B.sql(*B.STUDENT_CTES, UPLOAD_SQL, select=f"""
@@ -88,10 +87,9 @@ def q_score_upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT student_id, CASE WHEN student_id IN (SELECT student_id FROM students) THEN 'rejected' ELSE 'accepted' END AS decision
 FROM (SELECT DISTINCT student_id FROM inc)"""))
 def q_duplicate_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """New-entity inserts accepted (anti join) or rejected as duplicates (semi join)."""
+    """New-entity inserts accepted, or rejected as duplicates."""
     inc = _upload(spark, sf_dir).select("student_id").distinct()
-    acc, rej = ST.duplicate_guard(B.students(spark, sf_dir), inc, "student_id")
-    return acc.withColumn("decision", F.lit("accepted")).unionByName(rej.withColumn("decision", F.lit("rejected")))
+    return ST.duplicate_guard(B.students(spark, sf_dir), inc, "student_id")
 
 
 @register("referential_check", B.sql(S.ALERTS, select=f"""
@@ -101,13 +99,11 @@ UNION ALL
 SELECT a.id, a.student_id, NULL AS anon_id, 'orphan' AS status
 FROM alerts_b a WHERE a.student_id NOT IN (SELECT c_custkey FROM customer)"""))
 def q_referential_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J9+F1: alerts enriched with the parent's anon id (inner) and orphans (anti)."""
+    """J9+F1: alerts with the parent's anon id, orphans marked."""
     persons = cohort.persons(spark, sf_dir).withColumn("anon_id", hash_id("student_id", B.SALT))
     al = cohort.alerts(spark, sf_dir).select("id", "student_id")
-    ok, orphans = ST.referential_check(al, persons, "student_id", "student_id", ["anon_id"])
-    return (ok.select("id", "student_id", "anon_id", F.lit("ok").alias("status"))
-              .unionByName(orphans.select("id", "student_id", F.lit(None).cast("string").alias("anon_id"),
-                                          F.lit("orphan").alias("status"))))
+    return ST.referential_check(al, persons, "student_id", "student_id", ["anon_id"]).select(
+        "id", "student_id", "anon_id", "status")
 
 
 @register("latest_prediction", B.sql(S.HISTORY, select=f"""
@@ -169,14 +165,14 @@ def q_entity_360(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("intervention_update", B.sql(S.INTERVENTIONS, select=f"""
 SELECT id, CASE WHEN status = 'SENT' AND outcome = 'SUCCESSFUL' THEN 'COMPLETED' ELSE status END AS status, outcome,
-       CASE WHEN status = 'SENT' AND outcome = 'SUCCESSFUL' THEN '{B.AS_OF}' END AS completed_at
+       CASE WHEN status = 'SENT' AND outcome = 'SUCCESSFUL' THEN strftime({B.AS_OF_SQL}, '%Y-%m-%d %H:%M:%S') END AS completed_at
 FROM interventions_b"""))
 def q_intervention_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sparse change rows (SENT + SUCCESSFUL -> COMPLETED) applied; completed_at stamped."""
     iv = cohort.interventions(spark, sf_dir)
     changes = iv.where((F.col("status") == "SENT") & (F.col("outcome") == "SUCCESSFUL")).select(
         "id", F.lit("COMPLETED").alias("status"), F.lit(None).cast("string").alias("outcome"))
-    out = ST.partial_update(iv, changes, "id", ["status", "outcome"], B.AS_OF)
+    out = ST.partial_update(iv, changes, "id", ["status", "outcome"], B.as_of(spark, sf_dir))
     return out.select("id", "status", "outcome", F.date_format("completed_at", "yyyy-MM-dd HH:mm:ss").alias("completed_at"))
 
 
@@ -184,10 +180,8 @@ def q_intervention_update(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT id, student_id, alert_type, (is_read OR alert_type = 'RISK_CHANGE' OR is_dismissed) AS is_read, is_dismissed
 FROM alerts_b WHERE student_id IN (SELECT c_custkey FROM customer)"""))
 def q_alert_housekeeping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J16+J17: delete orphan alerts (anti join), mark RISK_CHANGE read; dismissed implies read."""
-    al = cohort.alerts(spark, sf_dir)
-    orphans = al.join(cohort.persons(spark, sf_dir).select("student_id"), "student_id", "left_anti")
-    kept = ST.delete_keys(al, orphans.select("id"), "id")
+    """J16+J17: delete orphan alerts, mark RISK_CHANGE read; dismissed implies read."""
+    kept = ST.delete_orphans(cohort.alerts(spark, sf_dir), cohort.persons(spark, sf_dir), "student_id", "student_id")
     return ST.mark_read(kept, F.col("alert_type") == "RISK_CHANGE").select(
         "id", "student_id", "alert_type", "is_read", "is_dismissed")
 
@@ -201,6 +195,6 @@ def q_batch_writeback(spark: SparkSession, sf_dir: str) -> DataFrame:
     st = B.students(spark, sf_dir)
     rescored = SC.score(st.drop("risk_score", "risk_band"), SC.SCORER_B)
     new, _log = ST.scored_writeback(st.withColumn("was_flagged", F.col("is_flagged")), rescored, "student_id",
-                                    B.AS_OF, "fixed_b")
+                                    B.as_of(spark, sf_dir), "fixed_b")
     return new.select("student_id", "risk_score", "risk_band", "is_flagged", "was_flagged")
 

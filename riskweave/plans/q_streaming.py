@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..session import scratch_table_path
 from ..sources import cohort
+from ..sources.versioned import read_buckets
 from ..streaming import jobs as SJ
 from . import base as B
 from . import q_state as QS
@@ -26,16 +27,15 @@ def _scratch(spark: SparkSession, name: str) -> str:
 @register("stream_ingest", B.sql(*B.STUDENT_CTES, QS.UPLOAD_SQL, select="SELECT * EXCLUDE (_action) FROM merged"))
 def q_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T6+S1+P3+J6: upload CSV files ingested by a file-source stream
-    (availableNow) and merged into the versioned students table per batch."""
+    (availableNow) and merged into the bucketed students table per batch."""
     root = _scratch(spark, "stream-ingest")
-    up = cohort.weekly_upload(spark, sf_dir, QS.UPLOAD_SINCE)
+    up = cohort.event_upload(spark, sf_dir)
     strings = up.select(*[F.col(c).cast("string").alias(c) if c != "uploaded_at" else
                           F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c) for c in up.columns])
     strings.write.option("header", "true").csv(os.path.join(root, "incoming"))
     SJ.incremental_ingest(spark, os.path.join(root, "incoming"), os.path.join(root, "table"),
                           os.path.join(root, "checkpoint"), initial=QS._current(spark, sf_dir))
-    from ..sources.versioned import latest_version
-    return spark.read.parquet(latest_version(spark, os.path.join(root, "table")))
+    return read_buckets(spark, os.path.join(root, "table"))
 
 
 @register("stream_flag_alerts", B.sql(S.HISTORY, select=f"""
@@ -45,17 +45,17 @@ SELECT entity_id, strftime(ts, '%Y-%m-%d') AS ts, risk_score FROM (
   FROM history_b)
 WHERE high AND NOT coalesce(was, false)"""))
 def q_stream_flag_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weekly score files streamed in arrival order through per-entity state
-    (last flag) -> newly-flagged alerts; equals the batch twin (lag over history)."""
+    """Score files streamed through per-entity state (time and flag of the last
+    reading) -> newly-flagged alerts, in two runs of the job: the files of the weeks
+    up to the middle, then a restart that finds the later weeks. Equals the batch
+    twin (lag over history)."""
     root = _scratch(spark, "stream-flags")
-    hist = cohort.risk_history(spark, sf_dir).persist()
-    weeks = [r[0] for r in hist.select("ts").distinct().orderBy("ts").collect()]
-    for i, w in enumerate(weeks):  # files arrive one week at a time
-        hist.where(F.col("ts") == F.lit(w)).write.parquet(os.path.join(root, "in", f"week={i:04d}"))
-    hist.unpersist()
-    # one flat source directory of files, in arrival order
-    SJ.flag_alert_stream(spark, os.path.join(root, "in", "*"), os.path.join(root, "out"),
-                         os.path.join(root, "checkpoint"))
+    hist = cohort.risk_history(spark, sf_dir)
+    middle = F.lit(cohort.week_bounds(spark, sf_dir)[2]).cast("timestamp")
+    for part in (hist.where(F.col("ts") <= middle), hist.where(F.col("ts") > middle)):
+        part.write.mode("append").parquet(os.path.join(root, "in"))
+        SJ.flag_alert_stream(spark, os.path.join(root, "in"), os.path.join(root, "out"),
+                             os.path.join(root, "checkpoint"))
     out = spark.read.schema(SJ.ALERT_SCHEMA).parquet(os.path.join(root, "out"))
     return out.select("entity_id", F.date_format("ts", "yyyy-MM-dd").alias("ts"), "risk_score")
 

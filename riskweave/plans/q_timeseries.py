@@ -13,8 +13,7 @@ from . import sqlbits as S
 from .registry import register
 
 R, CLIP = S.R, S.CLIP
-CURRENT_WEEK = "2024-01-29 00:00:00"
-PREVIOUS_WEEK = "2024-01-22 00:00:00"
+CURRENT_WEEK = "(SELECT date_trunc('week', max(ts)) FROM events)"
 A, BETA = K.FORECAST_ALPHA, K.FORECAST_BETA
 H = K.FORECAST_STEPS
 
@@ -104,15 +103,15 @@ def q_latest_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("newly_flagged", B.sql(S.HISTORY, select=f"""
 SELECT c.entity_id, c.risk_score
-FROM (SELECT * FROM history_b WHERE ts = TIMESTAMP '{CURRENT_WEEK}') c
-LEFT JOIN (SELECT entity_id, {S.BAND('risk_score')} = 'HIGH' AS was FROM history_b WHERE ts = TIMESTAMP '{PREVIOUS_WEEK}') p
+FROM (SELECT * FROM history_b WHERE ts = {CURRENT_WEEK}) c
+LEFT JOIN (SELECT entity_id, {S.BAND('risk_score')} = 'HIGH' AS was FROM history_b WHERE ts = {CURRENT_WEEK} - INTERVAL 7 DAYS) p
   USING (entity_id)
 WHERE {S.BAND('c.risk_score')} = 'HIGH' AND NOT coalesce(p.was, false)"""))
 def q_newly_flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """HIGH in the current weekly snapshot and not flagged in the previous one."""
-    h = cohort.risk_history(spark, sf_dir)
-    cur = h.where(F.col("ts") == F.to_timestamp(F.lit(CURRENT_WEEK)))
-    prev = (h.where(F.col("ts") == F.to_timestamp(F.lit(PREVIOUS_WEEK)))
+    """HIGH in the newest weekly snapshot and not flagged in the week before it."""
+    this, before, _ = cohort.week_bounds(spark, sf_dir)
+    cur = cohort.risk_history(spark, sf_dir, since=this)  # no later week exists
+    prev = (cohort.risk_history(spark, sf_dir, since=before).where(F.col("ts") == F.lit(before).cast("timestamp"))
               .withColumn("is_flagged", TS.risk_band(F.col("risk_score")) == "HIGH"))
     return TS.newly_flagged(cur, prev, "entity_id").select("entity_id", "risk_score")
 

@@ -35,7 +35,7 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> dict[str, Query]:
     """Import every query module (registration happens at import)."""
-    from . import (q_dashboard, q_eval, q_explain, q_features, q_monitor, q_state,  # noqa: F401
+    from . import (q_dashboard, q_eval, q_explain, q_features, q_monitor, q_records, q_state,  # noqa: F401
                    q_streaming, q_timeseries, q_training)
 
     return REGISTRY

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+_SCRATCH: list[str] = []  # tables written by cut_lineage in this process
 
 # Defaults a job wants on any cluster. Settings already present on the session
 # (from spark-submit or the cluster config) always win.
@@ -50,13 +54,15 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, app: str = "riskw
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the folder is set by the cluster (a shared file system), and it
-    is only read here. When the setting is absent (tests, local runs) a fresh
-    scratch folder is created for this session.
+    A cluster sets the folder (on a file system that all executors share) and it
+    is only read here; without it a cluster job fails. A local master, as in
+    tests, gets a fresh scratch folder for the session.
     """
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local($|\[)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="riskweave-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     if sc.getCheckpointDir() is None:
@@ -66,14 +72,37 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Materialise ``df`` as a parquet table in the shared checkpoint folder and
-    read it back: computed once, lineage cut, and it survives executor loss.
-    (``Dataset.checkpoint`` would compute the plan twice unless also cached.)"""
+    read it back: computed once, lineage cut, its size known to the planner, and
+    it survives executor loss. (``Dataset.checkpoint`` would compute the plan
+    twice unless also cached.) ``drop_scratch`` deletes the tables."""
     path = scratch_table_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
+    _SCRATCH.append(path)
     return df.sparkSession.read.parquet(path)
 
 
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete the tables that ``cut_lineage`` has written in this session so far;
+    returns their number. Call it when the results built on them are written."""
+    jvm, n = spark.sparkContext._jvm, len(_SCRATCH)
+    while _SCRATCH:
+        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def scratch_table_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for intermediate tables."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, "tables", name)
+
+
+def join_dimension(fact: DataFrame, dim: DataFrame, on: str | list[str], how: str = "left",
+                   max_rows: int = 200_000) -> DataFrame:
+    """Join a dimension table. Its rows are counted first (at most ``max_rows`` + 1):
+    up to the bound it is broadcast, so a few frequent keys of the fact table
+    shuffle nothing; beyond it the join is planned by size, and adaptive
+    execution splits skewed keys."""
+    if dim.limit(max_rows + 1).count() <= max_rows:
+        dim = F.broadcast(dim)
+    return fact.join(dim, on, how)

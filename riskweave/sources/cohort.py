@@ -43,16 +43,16 @@ def assessments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _lines_with_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lines_with_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order lines with their customer, columns of the two tables below."""
     li = read_table(spark, sf_dir, "lineitem",
                     ["l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_returnflag"])
     od = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey"])
-    return li.join(od, li.l_orderkey == od.o_orderkey, "inner")
+    return li.join(od, li.l_orderkey == od.o_orderkey, "inner").drop("l_orderkey", "o_orderkey")
 
 
-def student_assessment(spark: SparkSession, sf_dir: str) -> DataFrame:
+def student_assessment(lo: DataFrame) -> DataFrame:
     """studentAssessment(id_assessment, id_student, score text, '?' = not submitted)."""
-    lo = _lines_with_orders(spark, sf_dir)
     unsubmitted = (F.col("l_returnflag") == "R") & (F.col("l_linenumber") % 2 == 0)
     return lo.select(
         (F.col("l_partkey") % N_ASSESSMENTS).alias("id_assessment"),
@@ -74,9 +74,8 @@ def student_vle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def student_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+def student_info(spark: SparkSession, sf_dir: str, lo: DataFrame) -> DataFrame:
     """studentInfo(id_student, code_module, code_presentation, imd_band, final_result)."""
-    lo = _lines_with_orders(spark, sf_dir)
     per_key = lo.groupBy(
         F.col("o_custkey").alias("id_student"),
         _module(F.col("l_partkey") % N_ASSESSMENTS).alias("code_module"),
@@ -92,9 +91,23 @@ def student_info(spark: SparkSession, sf_dir: str) -> DataFrame:
         imd.alias("imd_band"), result.alias("final_result"))
 
 
-def risk_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per-entity weekly score history: (entity_id, ts, risk_score)."""
+def week_bounds(spark: SparkSession, sf_dir: str) -> tuple:
+    """(current week, the week before, middle week) of the events as text, from the first
+    and the last event time: three values reach the driver, the scan reads one column."""
+    ts = F.col("ts").cast("timestamp")
+    cur = F.date_trunc("week", F.max(ts))
+    mid = F.timestamp_micros(F.floor((F.unix_micros(F.min(ts)) + F.unix_micros(F.max(ts))) / 2).cast("long"))
+    row = read_table(spark, sf_dir, "events", ["ts"]).agg(
+        *[F.date_format(x, "yyyy-MM-dd HH:mm:ss") for x in (cur, cur - F.expr("INTERVAL 7 DAYS"), F.date_trunc("week", mid))]).first()
+    return tuple(row)
+
+
+def risk_history(spark: SparkSession, sf_dir: str, since=None) -> DataFrame:
+    """Per-entity weekly score history: (entity_id, ts, risk_score). ``since``, a
+    week's start, leaves out earlier weeks in the scan."""
     ev = read_table(spark, sf_dir, "events", ["user_id", "ts", "value"])
+    if since is not None:
+        ev = ev.where(F.col("ts") >= F.lit(since).cast(ev.schema["ts"].dataType))
     week = F.date_trunc("week", F.col("ts").cast("timestamp"))
     return ev.groupBy(F.col("user_id").alias("entity_id"), week.alias("ts")).agg(
         fround(F.least(F.avg("value") / 250, F.lit(1.0)), 4).alias("risk_score"))
@@ -137,11 +150,10 @@ def persons(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("c_mktsegment").alias("programme"))
 
 
-def weekly_upload(spark: SparkSession, sf_dir: str, since: str) -> DataFrame:
-    """An upload batch: one row per activity event since ``since``, keyed like
-    the feature table; features the event does not carry are null."""
+def event_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An upload batch: one row per activity event, keyed like the feature
+    table; features the event does not carry are null."""
     ev = read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type", "value", "props"])
-    ev = ev.where(F.col("ts") >= F.lit(since).cast("timestamp_ntz"))
     return ev.select(
         F.concat_ws("_", F.col("user_id").cast("string"), _module(F.col("event_id")), F.lit(PRESENTATION)).alias("student_id"),
         (F.col("value") / 4.9).alias("attendance_rate"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.columns import clip, hash_id, surrogate_id, to_double
-from ..operators.features import impute_median
+from ..operators.features import impute_median, ranked_medians
 
 
 def read_upload(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
@@ -60,13 +60,24 @@ def ingest(df: DataFrame, salt: str) -> DataFrame:
         raise ValueError("; ".join(errors))
     idc = resolve_id_column(df)
     cleaned = clean_features(df)
-    imputed = impute_median(cleaned, K.BASE_FEATURES)
+    imputed = impute_median(cleaned, K.BASE_FEATURES, ranked_medians(cleaned, K.BASE_FEATURES))
     raw_id = F.coalesce(F.col(idc).cast("string"), surrogate_id(*[F.col(c) for c in df.columns]))
     label = to_double("dropout_label").cast("int") if "dropout_label" in df.columns else F.lit(None).cast("int")
     return imputed.select(hash_id(raw_id, salt).alias("anon_id"), *K.BASE_FEATURES,
                           contact(df).alias("phone_number"), label.alias("dropout_label"))
 
 
+def append_processed(df: DataFrame, path: str) -> None:
+    """Rows appended to the processed CSV folder."""
+    df.write.mode("append").option("header", "true").csv(path)
+
+
+def read_processed(spark: SparkSession, path: str, schema: str, label: str = "dropout_label") -> DataFrame:
+    """Processed CSV with its schema; rows without a label dropped, the label as integer."""
+    df = spark.read.schema(schema).option("header", "true").csv(path)
+    return df.dropna(subset=[label]).withColumn(label, F.col(label).cast("int"))
+
+
 def write_processed(df: DataFrame, path: str) -> None:
     """Processed output (CSV with header)."""
     df.write.mode("overwrite").option("header", "true").csv(path)

@@ -1,6 +1,7 @@
 """Versioned parquet tables: each change writes a new version directory.
 
-A version is visible once its ``_SUCCESS`` marker exists, so readers never
+Versions are numbered after all folders, so one left behind by a failed write is
+passed over, and a retry writes to a folder of its own. A version is visible once its ``_SUCCESS`` marker exists, so readers never
 see a half-written table and a table being read is never overwritten.
 Works on any Hadoop-compatible file system (the listing goes through the
 session's Hadoop configuration).
@@ -8,7 +9,10 @@ session's Hadoop configuration).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 PREFIX = "v="
 
@@ -36,9 +40,61 @@ def latest_version(spark: SparkSession, root: str) -> str | None:
     return f"{root}/{PREFIX}{vs[-1]:06d}" if vs else None
 
 
+def next_version(spark: SparkSession, root: str) -> str:
+    """Path of a version that no folder, finished or not, has yet."""
+    fs, p, _ = _fs(spark, root)
+    names = [st.getPath().getName() for st in fs.listStatus(p)] if fs.exists(p) else []
+    taken = [int(n[len(PREFIX):]) for n in names if n.startswith(PREFIX)]
+    return f"{root}/{PREFIX}{max(taken, default=0) + 1:06d}"
+
+
 def write_version(df: DataFrame, root: str) -> str:
     """Write ``df`` as the next version and return its path."""
-    vs = list_versions(df.sparkSession, root)
-    path = f"{root}/{PREFIX}{(vs[-1] + 1 if vs else 1):06d}"
+    path = next_version(df.sparkSession, root)
     df.write.mode("error").parquet(path)
     return path
+
+
+# --- tables in buckets of a key, changed batch by batch ------------------------------------
+# Folders <root>/batch=<id>-<attempt>/bucket=<k>/: a batch writes the buckets it touches; the
+# newest finished batch that has a bucket holds its rows.
+BUCKETS = 64
+
+
+def _batches(spark: SparkSession, root: str) -> list[tuple[int, str]]:
+    """(batch id, path) of the finished batches, oldest first."""
+    fs, p, jvm = _fs(spark, root)
+    out = []
+    for st in fs.listStatus(p) if fs.exists(p) else []:
+        name = st.getPath().getName()
+        if name.startswith("batch=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+            out.append((int(name[len("batch="):].rpartition("-")[0]), f"{root}/{name}"))
+    return sorted(out)
+
+
+def is_applied(spark: SparkSession, root: str, batch: int) -> bool:
+    return any(b == batch for b, _ in _batches(spark, root))
+
+
+def bucket_of(key: str, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int")
+
+
+def read_buckets(spark: SparkSession, root: str, only: list[int] | None = None) -> DataFrame | None:
+    """The current rows (of the ``only`` buckets); None if no finished batch holds any."""
+    newest: dict[int, str] = {}
+    for _, path in _batches(spark, root):
+        fs, p, _jvm = _fs(spark, path)
+        for st in fs.listStatus(p):
+            name = st.getPath().getName()
+            if name.startswith("bucket="):
+                newest[int(name[len("bucket="):])] = f"{path}/{name}"
+    paths = [f for k, f in sorted(newest.items()) if only is None or k in only]
+    return spark.read.parquet(*paths) if paths else None
+
+
+def write_buckets(df: DataFrame, root: str, key: str, batch: int, buckets: int = BUCKETS) -> None:
+    """Write the rows of the touched buckets, whole, as batch ``batch``."""
+    path = f"{root}/batch={batch}-{uuid.uuid4().hex[:12]}"
+    (df.withColumn("bucket", bucket_of(key, buckets)).repartition("bucket")
+       .write.mode("error").partitionBy("bucket").parquet(path))

@@ -1,9 +1,9 @@
 """Structured Streaming jobs (T6 incremental ingest, T7 flag transitions).
 
 Both run with ``trigger(availableNow=True)``: every file present is processed
-exactly once (the checkpoint records progress), then the query stops. A
-restarted job resumes from its checkpoint, so lost executors or a killed
-driver never double-apply a batch. Checkpoints and output tables live under
+(the checkpoint records progress), then the query stops. A restarted job resumes
+from its checkpoint; a batch that was being written when the driver died is
+replayed, to a folder of its own, and one that was finished is skipped by its id. Checkpoints and output tables live under
 the shared folder named by ``spark.checkpoint.dir``.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from .. import constants as K
 from ..functions.columns import clip, to_double
 from ..operators import state as ST
-from ..sources.versioned import latest_version, write_version
+from ..sources.versioned import bucket_of, is_applied, read_buckets, write_buckets
 
 UPLOAD_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in
                               ["student_id", "attendance_rate", "mobile_engagement_freq", "dropout_label",
@@ -40,52 +41,82 @@ def clean_upload(batch: DataFrame) -> DataFrame:
 
 
 def incremental_ingest(spark: SparkSession, source_dir: str, table_root: str, checkpoint: str,
-                       initial: DataFrame | None = None) -> None:
-    """CSV files arriving in ``source_dir`` are cleaned and upserted
-    into a versioned table at ``table_root``, one new version per micro-batch."""
-    if initial is not None and latest_version(spark, table_root) is None:
-        write_version(initial, table_root)
+                       initial: DataFrame | None = None, max_files: int | None = None) -> None:
+    """CSV files arriving in ``source_dir`` are cleaned and upserted (J6) into
+    the table at ``table_root``, which is kept in buckets of the key: a batch reads
+    and rewrites only the buckets its keys fall in. A batch is recorded by its id,
+    so one that is replayed after a restart is applied once."""
+    if initial is not None and read_buckets(spark, table_root) is None:
+        write_buckets(initial, table_root, "student_id", -1)
 
     def merge_batch(batch: DataFrame, batch_id: int) -> None:
-        current = spark.read.parquet(latest_version(spark, table_root))
-        merged = ST.upsert(current, clean_upload(batch), "student_id", K.BASE_FEATURES,
+        session = batch.sparkSession
+        if is_applied(session, table_root, batch_id):
+            return
+        rows = clean_upload(batch).where(F.col("student_id").isNotNull())
+        # At most BUCKETS numbers reach the driver.
+        touched = [r[0] for r in rows.select(bucket_of("student_id").alias("b")).distinct().collect()]
+        if not touched:
+            return
+        current = read_buckets(session, table_root, touched)
+        if current is None:
+            current = session.createDataFrame([], _schema_of(session, table_root, rows))
+        merged = ST.upsert(current, rows, "student_id", K.BASE_FEATURES,
                            ["dropout_label", "phone_number"], [F.col("uploaded_at"), F.col("event_id")])
-        write_version(merged.drop("_action"), table_root)
+        write_buckets(merged.drop("_action"), table_root, "student_id", batch_id)
 
-    q = (spark.readStream.schema(UPLOAD_SCHEMA).option("header", "true").csv(source_dir)
-              .writeStream.foreachBatch(merge_batch).option("checkpointLocation", checkpoint)
-              .trigger(availableNow=True).start())
+    read = spark.readStream.schema(UPLOAD_SCHEMA).option("header", "true")
+    if max_files:
+        read = read.option("maxFilesPerTrigger", max_files)
+    q = (read.csv(source_dir).writeStream.foreachBatch(merge_batch).option("checkpointLocation", checkpoint)
+             .trigger(availableNow=True).start())
     q.awaitTermination()
 
 
+def _schema_of(spark: SparkSession, table_root: str, rows: DataFrame) -> T.StructType:
+    """Schema of the table; of the upload where the table has no rows yet."""
+    table = read_buckets(spark, table_root)
+    if table is not None:
+        return table.schema
+    names = ["student_id", *K.BASE_FEATURES, "dropout_label", "phone_number"]
+    have = {f.name: f.dataType for f in rows.schema}
+    return T.StructType([T.StructField(n, have.get(n, T.DoubleType())) for n in names])
+
+
 ALERT_SCHEMA = "entity_id long, ts timestamp, risk_score double"
-STATE_SCHEMA = "was_flagged boolean"
+STATE_SCHEMA = "last_ts timestamp, was_flagged boolean"
 
 
 def _flag_transitions(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Per entity: emit readings that are HIGH when the previous reading was not."""
-    was = state.get[0] if state.exists else False
-    out = []
-    for pdf in pdfs:
-        for ts, score in sorted(zip(pdf["ts"], pdf["risk_score"]), key=lambda t: t[0]):
-            high = score is not None and score >= K.TAU
-            if high and not was:
-                out.append((key[0], ts, float(score)))
-            was = bool(high)
-    state.update((was,))
-    yield pd.DataFrame(out, columns=["entity_id", "ts", "risk_score"])
-
-
-def flag_alert_stream(spark: SparkSession, source_dir: str, out_dir: str, checkpoint: str) -> None:
+    """Per entity: the readings that are HIGH when the reading before was not.
+
+    Readings up to the last time seen are late: they raise nothing and leave the
+    state as it is. A reading without a score is not flagged; one without a time
+    is left out."""
+    last, was = state.get if state.exists else (None, False)
+    rows = pd.concat(pdfs).dropna(subset=["ts"]).sort_values(["ts", "risk_score"], kind="stable")
+    if last is not None:
+        rows = rows[rows["ts"] > pd.Timestamp(last)]
+    if not len(rows):
+        return
+    high = (rows["risk_score"] >= K.TAU).to_numpy()
+    before = np.r_[bool(was), high[:-1]]
+    state.update((rows["ts"].iloc[-1].to_pydatetime(), bool(high[-1])))
+    yield rows.loc[high & ~before, ["ts", "risk_score"]].assign(entity_id=key[0])[["entity_id", "ts", "risk_score"]]
+
+
+def flag_alert_stream(spark: SparkSession, source_dir: str, out_dir: str, checkpoint: str,
+                      max_files: int | None = None) -> None:
     """Score readings arriving as parquet files -> newly-flagged alerts.
 
-    Keyed state per entity holds only the last flag (one boolean), so state
-    size is bounded by the number of entities, not by history length. Files
-    are read one per micro-batch in arrival order.
+    Keyed state per entity holds the time and flag of its last reading, so state
+    size is bounded by the number of entities, not by history length. Readings of
+    a batch are put in order of time; ``max_files`` bounds the files of a batch.
     """
-    src = (spark.readStream.schema("entity_id long, ts timestamp, risk_score double")
-                .option("maxFilesPerTrigger", 1).parquet(source_dir))
-    alerts = src.groupBy("entity_id").applyInPandasWithState(
+    read = spark.readStream.schema("entity_id long, ts timestamp, risk_score double")
+    if max_files:
+        read = read.option("maxFilesPerTrigger", max_files)
+    alerts = read.parquet(source_dir).groupBy("entity_id").applyInPandasWithState(
         _flag_transitions, outputStructType=ALERT_SCHEMA, stateStructType=STATE_SCHEMA,
         outputMode="append", timeoutConf=GroupStateTimeout.NoTimeout)
     q = (alerts.writeStream.format("parquet").option("path", out_dir)
