@@ -10,16 +10,18 @@ trials and folds default to those of the application (``constants``).
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 from contextlib import contextmanager
+from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, RandomForestClassifier)
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -44,6 +46,12 @@ def kept(df: DataFrame):
         df.unpersist()
 
 
+def in_parallel(fn: Callable, items: list, parallelism: int = K.N_FOLDS) -> list:
+    """``fn`` of each item, several Spark fits at a time (as ``CrossValidator`` does)."""
+    with ThreadPool(min(parallelism, len(items))) as pool:
+        return pool.map(inheritable_thread_target(SparkSession.getActiveSession())(fn), items)
+
+
 def class_weight(train: DataFrame) -> float:
     """scale_pos_weight = negatives / positives of the training rows."""
     row = train.agg(F.count_if(F.col(LABEL) == 1).alias("p"), F.count_if(F.col(LABEL) == 0).alias("n")).first()
@@ -84,14 +92,14 @@ def gbt_pipeline(features: list[str], weight_col: str | None = None, validation_
                  max_iter: int = K.BOOSTED_ITERATIONS, max_depth: int = K.BOOSTED_DEPTH,
                  step: float = K.BOOSTED_STEP, seed: int = K.SEED) -> Pipeline:
     """M5: boosted trees with class weights and optional early stopping on a
-    validation indicator column."""
+    validation indicator column (at the first tree that doesn't lower its error)."""
     gbt = GBTClassifier(featuresCol="features", labelCol=LABEL, maxIter=max_iter, maxDepth=max_depth,
                         stepSize=step, seed=seed, subsamplingRate=K.BOOSTED_SUBSAMPLE,
                         featureSubsetStrategy=str(K.BOOSTED_SUBSAMPLE))
     if weight_col:
         gbt.setWeightCol(weight_col)
     if validation_col:
-        gbt.setValidationIndicatorCol(validation_col)
+        gbt.setValidationIndicatorCol(validation_col).setParams(validationTol=0.0)
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"), gbt])
 
 
@@ -187,13 +195,13 @@ def cv_search(df_with_folds: DataFrame, features: list[str], n_trials: int = K.S
 def out_of_fold(df_with_folds: DataFrame, learners: dict, k: int) -> DataFrame:
     """M7 level 1: out-of-fold probabilities of each base learner (one column per
     learner); every row is predicted exactly once, by models not trained on it."""
-    parts = []
-    for f in range(k):
-        train, hold = df_with_folds.where(F.col("fold") != f), df_with_folds.where(F.col("fold") == f)
-        out = hold
+    def one(f: int) -> DataFrame:
+        train, out = df_with_folds.where(F.col("fold") != f), df_with_folds.where(F.col("fold") == f)
         for name, learner in learners.items():
             out = positive_probability(learner.fit(train), out, f"p_{name}").drop("risk_band")
-        parts.append(out)
+        return out
+
+    parts = in_parallel(one, list(range(k)))
     oof = parts[0]
     for p in parts[1:]:
         oof = oof.unionByName(p)
