@@ -1,8 +1,8 @@
 """Operator 2, toxicity: a bidirectional gated recurrent network with attention
 pooling over word and character inputs, trained in numpy.
 
-A word's input is its embedding, the mean embedding of its character 3- and
-4-grams (so that forms never seen still have one), and two fixed features: the
+A word's input is its embedding, the mean embedding of its character 3- to
+5-grams (so that forms never seen still have one), and two fixed features: the
 log-odds of the word, and the largest log-odds of its character grams, both from
 the training documents. Two GRUs read a window of ``WINDOW`` words from either
 end; attention weighs the states of its words into one vector and a logit.
@@ -24,7 +24,8 @@ are each scored; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,13 +42,26 @@ MAX_WORDS, MAX_GRAMS = 30_000, 20_000  # embeddings, most frequent first
 MIN_DOCS = 3                  # training documents that must hold a word or gram
 DIM, HIDDEN, ATTEND = 8, 8, 8
 EPOCHS, BATCH, RATE = 6, 32, 0.01
-_CHUNK = 4096                 # windows run through the network at once
+_CHUNK = 2048                 # windows run through the network at once
 _CACHE = 120_000              # words a task keeps the inputs of
 
 
-def grams_of(word: bytes) -> list[str]:
-    w = "<" + word.decode("utf-8", "replace") + ">"
-    return [w[i:i + n] for n in (3, 4) for i in range(len(w) - n + 1)]
+def grams_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Character 3- to 5-grams of all words at once, each word between < and >: the
+    grams as numbers, and the position of their word. (A word has no < or >.)"""
+    text = "".join(f"<{w.decode('utf-8', 'replace')}>" for w in words)
+    cp = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    owner = np.cumsum(cp == ord("<")) - 1
+    keys, owners = [], []
+    three = cp[:-2] | cp[1:-1] << np.uint64(21) | cp[2:] << np.uint64(42)
+    odd, one = np.uint64(0x9E3779B97F4A7C15), np.uint64(1)
+    four = three[:-1] * odd + cp[3:] + one
+    five = four[:-1] * odd + cp[4:] + one
+    for k, n in ((three, 3), (four, 4), (five, 5)):
+        inside = owner[:len(k)] == owner[n - 1:n - 1 + len(k)]
+        keys.append(k[inside])
+        owners.append(owner[:len(k)][inside])
+    return np.concatenate(keys), np.concatenate(owners)
 
 
 def window_starts(n: int) -> range:
@@ -58,10 +72,12 @@ def window_starts(n: int) -> range:
 class Network:
     """Parameters, forward and backward pass. ``word`` and ``gram`` number the embeddings; 0 is none."""
 
-    def __init__(self, word: dict[bytes, int], gram: dict[str, int], word_odds: np.ndarray, gram_odds: np.ndarray,
+    def __init__(self, word: dict[bytes, int], gram: dict[int, int], word_odds: np.ndarray, gram_odds: np.ndarray,
                  seed: int = 7):
         rng = np.random.default_rng(seed)
-        self.word, self.gram, self.word_odds, self.gram_odds = word, gram, word_odds, gram_odds
+        self.word, self.word_odds, self.gram_odds = word, word_odds, gram_odds
+        self.gram_key = np.array(sorted(gram), np.uint64)
+        self.gram_id = np.array([gram[k] for k in sorted(gram)], np.int64)
         d = 2 * DIM + 2
 
         def random(*shape):
@@ -75,19 +91,28 @@ class Network:
 
     def inputs(self, words: list[bytes]) -> dict:
         """What the network reads of each distinct word: row 0 is padding, word i is row i + 1."""
-        w = np.array([0] + [self.word.get(x, 0) for x in words])
-        grams = [[]] + [[k for k in (self.gram.get(g, 0) for g in grams_of(x)) if k] for x in words]
-        count = np.array([len(g) for g in grams])
-        flat = np.array([k for g in grams for k in g], np.int64)
-        owner = np.repeat(np.arange(len(grams)), count)
-        odds = np.zeros(len(grams), np.float32)
-        np.maximum.at(odds, owner, self.gram_odds[flat])
-        return {"w": w, "flat": flat, "owner": owner, "share": 1 / np.maximum(count, 1).astype(np.float32),
+        w = np.array([0, *map(self.word.get, words, repeat(0))])
+        flat, owner = np.empty(0, np.int64), np.empty(0, np.int64)
+        if words and len(self.gram_key):
+            keys, of = grams_of(words)
+            at = np.minimum(np.searchsorted(self.gram_key, keys), len(self.gram_key) - 1)
+            known = self.gram_key[at] == keys
+            flat, owner = self.gram_id[at[known]], of[known] + 1
+            order = np.argsort(owner, kind="stable")  # three sorted runs
+            flat, owner = flat[order], owner[order]
+        count = np.bincount(owner, minlength=len(w))
+        has = np.flatnonzero(count)
+        start = (np.cumsum(count) - count)[has]
+        odds = np.zeros(len(w), np.float32)
+        if len(has):
+            odds[has] = np.maximum(np.maximum.reduceat(self.gram_odds[flat], start), 0)
+        return {"w": w, "flat": flat, "owner": owner, "has": has, "start": start, "share": 1 / np.maximum(count, 1).astype(np.float32),
                 "fixed": np.stack([self.word_odds[w], odds], axis=1)}
 
     def embed(self, i: dict) -> np.ndarray:
         chars = np.zeros((len(i["w"]), DIM), np.float32)
-        np.add.at(chars, i["owner"], self.p["ec"][i["flat"]])
+        if len(i["has"]):
+            chars[i["has"]] = np.add.reduceat(self.p["ec"][i["flat"]], i["start"], axis=0)
         words = self.p["ew"][i["w"]] * (i["w"] > 0)[:, None]
         return np.concatenate([words, chars * i["share"][:, None], i["fixed"]], axis=1)
 
@@ -154,7 +179,9 @@ class Network:
         g["wx"] = np.einsum("nd,knh->kdh", x, dproj)
         dx = np.einsum("knh,kdh->nd", dproj, p["wx"])
         np.add.at(g["ew"], i["w"], dx[:, :DIM] * (i["w"] > 0)[:, None])
-        np.add.at(g["ec"], i["flat"], (dx[:, DIM:2 * DIM] * i["share"][:, None])[i["owner"]])
+        each = (dx[:, DIM:2 * DIM] * i["share"][:, None])[i["owner"]]
+        for d in range(DIM):
+            g["ec"][:, d] += np.bincount(i["flat"], each[:, d], len(g["ec"]))
         return g
 
     def state(self) -> dict:
@@ -176,7 +203,7 @@ def _windows(ids: list[int]) -> np.ndarray:
     return out
 
 
-def _log_odds(docs: list[set], label: np.ndarray, most: int) -> tuple[dict, np.ndarray]:
+def _log_odds(docs: Iterable[Iterable], label: np.ndarray, most: int) -> tuple[dict, np.ndarray]:
     """Numbers (from 1) and scaled log-odds of the most frequent features, by documents that hold them."""
     seen = [Counter(), Counter()]
     for features, y in zip(docs, label.tolist(), strict=True):
@@ -193,8 +220,8 @@ def train(texts: list[bytes], label: np.ndarray, epochs: int = EPOCHS, seed: int
     if len(set(label.tolist())) < 2:
         return None
     docs = [words_of(t) for t in texts]
-    word, word_odds = _log_odds([set(d) for d in docs], label, MAX_WORDS)
-    gram, gram_odds = _log_odds([{g for w in set(d) for g in grams_of(w)} for d in docs], label, MAX_GRAMS)
+    word, word_odds = _log_odds((set(d) for d in docs), label, MAX_WORDS)
+    gram, gram_odds = _log_odds((np.unique(grams_of(list(set(d)))[0]).tolist() if d else [] for d in docs), label, MAX_GRAMS)
     net, rng = Network(word, gram, word_odds, gram_odds, seed), np.random.default_rng(seed)
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v = {k: np.zeros_like(x) for k, x in net.p.items()}
@@ -211,7 +238,7 @@ def train(texts: list[bytes], label: np.ndarray, epochs: int = EPOCHS, seed: int
             x = net.embed(i)
             proj, ids = net.project(x), np.concatenate(wins)
             first = np.cumsum([0] + [len(w) for w in wins])
-            logit = np.concatenate([net.forward(proj, ids[b:b + _CHUNK])[0] for b in range(0, len(ids), _CHUNK)])
+            logit = window_logits(net, proj, ids)
             best = np.array([s + int(logit[s:e].argmax()) for s, e in zip(first[:-1], first[1:], strict=True)])
             top, kept = net.forward(proj, ids[best], keep=True)
             # Away from 0 and 1 by a little: labels are of documents, and a window may show less.
@@ -226,6 +253,56 @@ def train(texts: list[bytes], label: np.ndarray, epochs: int = EPOCHS, seed: int
     return net
 
 
+def window_logits(net: Network, proj: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Logits of many windows: those without padding by the quick form of ``forward``."""
+    out, full = np.empty(len(ids)), ids[:, -1] > 0
+    for part, logits in ((full, _full_logits), (~full, lambda n, x, i: n.forward(x, i)[0])):
+        at = np.flatnonzero(part)
+        for a in range(0, len(at), _CHUNK):
+            out[at[a:a + _CHUNK]] = logits(net, proj, ids[at[a:a + _CHUNK]])
+    return out
+
+
+def _full_logits(net: Network, proj: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """``Network.forward`` for windows without padding: both directions at once, no masks,
+    no state kept for a backward pass."""
+    p, (n, length), h2 = net.p, ids.shape, 2 * HIDDEN
+    half = np.ones(3 * HIDDEN, np.float32)
+    half[:h2] = 0.5  # gates z and r are 0.5 + 0.5 tanh(x / 2)
+    u = np.ascontiguousarray(p["u"] * half)
+    turned = np.ascontiguousarray(ids.T)
+    x, hu = np.empty((2, n, 3 * HIDDEN), np.float32), np.empty((2, n, 3 * HIDDEN), np.float32)
+    zr, c, h = np.empty((2, n, h2), np.float32), np.empty((2, n, HIDDEN), np.float32), np.zeros((2, n, HIDDEN), np.float32)
+    states = np.empty((length, n, h2), np.float32)
+    for t in range(length):
+        np.take(proj[0], turned[t], axis=0, out=x[0], mode="clip")
+        np.take(proj[1], turned[length - 1 - t], axis=0, out=x[1], mode="clip")
+        np.matmul(h, u, out=hu)
+        np.multiply(x[:, :, :h2], 0.5, out=zr)
+        zr += hu[:, :, :h2]
+        np.tanh(zr, out=zr)
+        zr *= 0.5
+        zr += 0.5
+        np.multiply(zr[:, :, HIDDEN:], hu[:, :, h2:], out=c)
+        c += x[:, :, h2:]
+        np.tanh(c, out=c)
+        h -= c
+        h *= zr[:, :, :HIDDEN]
+        h += c
+        states[t, :, :HIDDEN] = h[0]
+        states[length - 1 - t, :, HIDDEN:] = h[1]
+    flat = states.reshape(length * n, h2)
+    s = flat @ p["wa"]
+    s += p["ba"]
+    np.tanh(s, out=s)
+    e = (s @ p["va"]).reshape(length, n)
+    e -= e.max(axis=0)
+    np.exp(e, out=e)
+    # The output is linear in the pooled state: the states' own outputs are pooled.
+    out = (flat @ p["wo"]).reshape(length, n)
+    return (e * out).sum(axis=0) / e.sum(axis=0) + p["bo"][0]
+
+
 class Scorer:
     """Scores whole texts; keeps the projected inputs of words it has met."""
 
@@ -235,19 +312,30 @@ class Scorer:
 
     def _reset(self) -> None:
         self.row: dict[bytes, int] = {}
-        self.proj = self.net.project(self.net.embed(self.net.inputs([])))
+        self.proj = np.ascontiguousarray(self.net.project(self.net.embed(self.net.inputs([]))))
+        self.used = 1
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Rows of the input table for words not met before; the table grows by doubling."""
+        made = self.net.project(self.net.embed(self.net.inputs(new)))[:, 1:]
+        need = self.used + len(new)
+        if need > self.proj.shape[1]:
+            grown = np.empty((2, max(need, 2 * self.proj.shape[1]), 3 * HIDDEN), np.float32)
+            grown[:, :self.used] = self.proj[:, :self.used]
+            self.proj = grown
+        self.proj[:, self.used:need] = made
+        for w in new:
+            self.row[w] = len(self.row) + 1
+        self.used = need
 
     def scores(self, texts: list[bytes]) -> list[float]:
         docs = [words_of(t) for t in texts]
-        new = list(dict.fromkeys(w for d in docs for w in d if w not in self.row))
+        new = list({w for d in docs for w in d if w not in self.row})
         if len(self.row) + len(new) > _CACHE and self.row:
             self._reset()
-            new = list(dict.fromkeys(w for d in docs for w in d))
+            new = list({w for d in docs for w in d})
         if new:
-            made = self.net.project(self.net.embed(self.net.inputs(new)))[:, 1:]
-            for w in new:
-                self.row[w] = len(self.row) + 1
-            self.proj = np.concatenate([self.proj, made], axis=1)
+            self._learn(new)
         best = np.full(len(docs), -np.inf)
         rows, owner, held = [], [], 0
         for k, d in enumerate(docs):
@@ -257,18 +345,18 @@ class Scorer:
             rows.append(np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[starts])
             owner.append(np.full(len(starts), k))
             held += len(starts)
-            if held >= _CHUNK:
+            if held >= 4 * _CHUNK:
                 self._run(rows, owner, best)
                 held = 0
         self._run(rows, owner, best)
         return (1 / (1 + np.exp(-best))).tolist()
 
     def _run(self, rows: list[np.ndarray], owner: list[np.ndarray], best: np.ndarray) -> None:
-        if rows:
-            ids, own = np.concatenate(rows), np.concatenate(owner)
-            for a in range(0, len(ids), _CHUNK):
-                np.maximum.at(best, own[a:a + _CHUNK], self.net.forward(self.proj, ids[a:a + _CHUNK])[0])
-            rows.clear(), owner.clear()
+        if not rows:
+            return
+        ids, own = np.concatenate(rows), np.concatenate(owner)
+        rows.clear(), owner.clear()
+        np.maximum.at(best, own, window_logits(self.net, self.proj, ids))
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Network | None:

@@ -26,7 +26,7 @@ def small():
 def test_gradients_match_differences():
     rng = np.random.default_rng(0)
     words = [b"river", b"stone", b"zorgle"]
-    gram = {g: i + 1 for i, g in enumerate(sorted({g for w in words for g in T.grams_of(w)}))}
+    gram = {g: i + 1 for i, g in enumerate(sorted(set(T.grams_of(words)[0].tolist())))}
     net = T.Network({w: i + 1 for i, w in enumerate(words[:2])}, gram, np.array([0, .1, .2], np.float32),
                     rng.normal(size=len(gram) + 1).astype(np.float32))
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
@@ -52,6 +52,26 @@ def test_gradients_match_differences():
             assert abs((up - down) / 2e-3 - g[k].flat[at]) < 2e-2 * max(0.05, abs(g[k].flat[at])), (k, at)
 
 
+def test_grams_are_those_of_each_word():
+    words = ["abc", "é", "a", "wörter", "日本語"]
+    keys, owner = T.grams_of([w.encode() for w in words])
+    for k, w in enumerate(words):
+        mine = {int(x) for x in keys[owner == k]}
+        b = f"<{w}>"
+        assert len(mine) == len({b[i:i + n] for n in (3, 4, 5) for i in range(len(b) - n + 1)})
+        assert mine == {int(x) for x in T.grams_of([w.encode()])[0]}
+
+
+def test_quick_form_equals_forward():
+    texts, y = small()
+    net = T.train(texts, y, epochs=1)
+    words = sorted({w for t in texts for w in t.split()})
+    proj = net.project(net.embed(net.inputs(words)))
+    ids = np.random.default_rng(0).integers(1, len(words) + 1, (300, T.WINDOW))
+    ids[::3, 20:] = 0
+    assert np.allclose(T.window_logits(net, proj, ids), net.forward(proj, ids)[0], atol=1e-4)
+
+
 def test_windows_cover_every_word():
     for n in [0, 1, 31, 32, 33, 48, 49, 500]:
         starts = T.window_starts(n)
