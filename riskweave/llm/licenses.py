@@ -128,7 +128,12 @@ def _normal(sentence: Column) -> Column:
 
 def _pattern(rule: tuple[str, ...]) -> str:
     """The identifiers of a rule in order, others allowed between, in a text like ``;a;b;c;``."""
-    return "(?:" + "(?:[^;]+;)*?".join(f"{i};" for i in rule) + ")"
+    return "((?:[^;]+;)*?)".join(f"{i};" for i in rule)
+
+
+def _rest(rule: tuple[str, ...]) -> str:
+    """What a match leaves: a mark, and the identifiers between."""
+    return "_;" + "".join(f"${k}" for k in range(1, len(rule)))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
@@ -143,15 +148,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                                lambda s: s.rlike(r"[^\x20\x09-\x0D]")).alias("parts"))
     ids = F.filter(F.transform("parts", lambda s: F.try_element_at(known, _normal(s))), lambda i: i.isNotNull())
     rows = src.select("doc_id", F.size("parts").cast("long").alias("n_sentences"), ids.alias("ids"))
-    table = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(_pattern(rule)).alias("pattern")) for name, rule in rules])
+    table = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(_pattern(rule)).alias("pattern"),
+                               F.lit(_rest(rule)).alias("rest")) for name, rule in rules])
     zero = F.struct(F.concat(F.lit(";"), F.array_join("ids", ";"), F.lit(";")).alias("left"),
                     F.array().cast("array<string>").alias("got"))
 
     def use(acc: Column, rule: Column) -> Column:
-        # A match starts after a ';', which stays; the identifiers used are replaced by a mark.
+        # A match starts after a ';', which stays; the identifiers it uses are replaced by a mark.
         pattern = F.concat(F.lit("(?<=;)"), rule["pattern"])
         return F.struct(
-            F.regexp_replace(acc["left"], pattern, F.lit("_;")).alias("left"),
+            F.regexp_replace(acc["left"], pattern, rule["rest"]).alias("left"),
             F.when(F.regexp_like(acc["left"], pattern), F.array_union(acc["got"], F.array(rule["name"])))
              .otherwise(acc["got"]).alias("got"))
 

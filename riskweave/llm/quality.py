@@ -124,8 +124,8 @@ def _ore(pattern: str) -> str:
 
 ORACLE_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
-w AS (SELECT r, doc_id, t, list_filter(string_split_regex(t, '{WHITE}'), x -> x <> '') AS w,
-             list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
+w AS (SELECT r, doc_id, t, list_filter(string_split_regex(t, '{WHITE}'), lambda x: x <> '') AS w,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
 g AS (SELECT r, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c
       FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
 h AS (SELECT r, i FROM g JOIN (SELECT r, a, b, c FROM g GROUP BY ALL HAVING count(*) > 1) USING (r, a, b, c)),
@@ -134,7 +134,7 @@ m AS (
   SELECT r, doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
     length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
     (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
-    array_to_string(list_filter(lines, x -> NOT (
+    array_to_string(list_filter(lines, lambda x: NOT (
       NOT (regexp_matches(x, '{_ore(ENDS)}') OR regexp_matches(x, '{_ore(INSIDE)}'))
       OR length(regexp_replace(x, '[^#*$%&|<>]', '', 'g')) > {MAX_SYMBOLS} * length(x)
       OR length(x) - length(replace(replace(x, '!!', ''), '??', '')) >= {2 * SHOUTS} OR regexp_matches(x, '{_ore(LISTED)}')

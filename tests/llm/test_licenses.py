@@ -22,16 +22,18 @@ def brute(text):
             for a, x in enumerate(left):
                 if x != rule[0]:
                     continue
-                b, k = a, 1
-                while k < len(rule) and b + 1 < len(left):
+                used, b = [a], a
+                while len(used) < len(rule) and b + 1 < len(left):
                     b += 1
-                    k += left[b] == rule[k]
-                if k == len(rule):
-                    hit = (a, b)
+                    if left[b] == rule[len(used)]:
+                        used.append(b)
+                if len(used) == len(rule):
+                    hit = used
                     break
             if hit is None:
                 break
-            left[hit[0]:hit[1] + 1] = ["_"]
+            left = [x for i, x in enumerate(left) if i not in hit[1:]]
+            left[hit[0]] = "_"
             if name not in found:
                 found.append(name)
     return len(parts), len(ids), ",".join(ids), ",".join(found), len(found)
@@ -66,7 +68,7 @@ def test_matches_brute_force(spark):
 def test_finds_licences(spark):
     got = {r.doc_id: r.licenses for r in L.scan(spark.createDataFrame(list(enumerate(made())), "doc_id long, text string")).collect()}
     assert got[4] == got[5] == "MIT" and got[6] == got[7] == "Apache-2.0" and got[8] == "MIT,proprietary"
-    assert got[10] == "BSD-2-Clause" and got[11] == "BSD-3-Clause" and got[12] == "Apache-2.0,CC0-1.0"
+    assert got[10] == "BSD-2-Clause" and got[11] == "BSD-3-Clause,proprietary" and got[12] == "Apache-2.0,CC0-1.0"
     assert got[13] == "GPL-3.0" and got[14] == "CC-BY-NC-4.0" and got[3] == ""
 
 

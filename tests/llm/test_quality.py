@@ -59,10 +59,10 @@ def test_hash_meetings_are_told_apart_by_words(spark, monkeypatch):
 
 
 def test_lines_and_verdict(spark):
-    clean = "\n".join(f"{GOOD} {i}." for i in range(5))
+    clean = "\n".join(" ".join(f"word{i}x{j}" for j in range(20)) + ", and so it went." for i in range(5))
     menu = "\n".join(f"Home | About | Contact | Page {i} | More" for i in range(20))
     notice = "All rights reserved."
-    rows = [(1, clean), (2, clean + "\n" + notice), (3, menu + "\n" + clean[:100]), (4, "$$$ &&& *** ||| " * 40),
+    rows = [(1, clean), (2, clean + "\n" + notice), (3, menu + "\n" + clean[:150]), (4, "$$$ &&& *** ||| " * 40),
             (5, "WIN!! NOW!! BIG!! " * 30), (6, "no marks at all " * 30)]
     got = {r.doc_id: r for r in Q.judge(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1].kept and got[1].loss == 0 and got[1].clean_text == clean
