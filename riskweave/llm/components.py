@@ -38,16 +38,22 @@ def local_stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[far], nodes[lab[far]]
 
 
+def _lowest(e: DataFrame) -> DataFrame:
+    """(u, m): the smallest of each node's smaller neighbours. Written, so that the joins
+    with it are between plain shuffles and adaptive execution splits a frequent node."""
+    return step(e.groupBy("u").agg(F.min("v").alias("m")), "lowest")
+
+
 def _large_star(e: DataFrame) -> DataFrame:
-    """Hang every larger neighbour of a node on the node's smallest neighbour (or itself)."""
-    both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    """Hang every larger neighbour of a node on the node's smallest neighbour (or on the
+    node itself, if all its neighbours are larger). Edges have u > v."""
+    low = _lowest(e).select(F.col("u").alias("v"), "m")
+    return e.join(low, "v", "left").select("u", F.coalesce("m", "v").alias("v"))
 
 
 def _small_star(e: DataFrame) -> DataFrame:
-    """Hang a node and its smaller neighbours on the smallest of them (edges have u > v)."""
-    low = e.groupBy("u").agg(F.min("v").alias("m"))
+    """Hang a node and its smaller neighbours on the smallest of them."""
+    low = _lowest(e)
     moved = e.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(low.select("u", F.col("m").alias("v")))
 
@@ -65,7 +71,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     e = step(e, "edges")
     before = None
     for _ in range(MAX_ROUNDS):
-        e = step(_small_star(_large_star(e)).distinct(), "edges")
+        e = step(_small_star(step(_large_star(e).distinct(), "large")).distinct(), "edges")
         now = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")),
                     F.sum(F.xxhash64("u", "v").bitwiseAND(0xFFFFFFFF))).first()
         if now == before or not now[0]:
