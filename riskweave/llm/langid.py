@@ -56,7 +56,7 @@ class Vectors:
         self.is_letter = _letters()
         self.letters: dict[int, np.ndarray] = {}
         self.row: dict[int, int] = {}
-        self.matrix = np.empty((0, dim), np.float32)
+        self.matrix = np.empty((0, dim), np.int8)
 
     def letter(self, cp: int) -> np.ndarray:
         if cp not in self.letters:
@@ -67,7 +67,7 @@ class Vectors:
     def rows(self, grams: np.ndarray) -> np.ndarray:
         """Vectors of the n-grams (21 bits a letter), as rows."""
         if len(self.row) + len(grams) > _CACHE:
-            self.row, self.matrix = {}, np.empty((0, self.dim), np.float32)
+            self.row, self.matrix = {}, np.empty((0, self.dim), np.int8)
         new = [g for g in grams.tolist() if g not in self.row]
         if new:
             made = np.ones((len(new), self.dim), np.int8)
@@ -75,8 +75,8 @@ class Vectors:
                 for place in range(self.ngram):
                     made[i] *= np.roll(self.letter(g >> 21 * place & 0x1FFFFF), place)
                 self.row[g] = len(self.row)
-            self.matrix = np.concatenate([self.matrix, made.astype(np.float32)])
-        return self.matrix[[self.row[g] for g in grams.tolist()]]
+            self.matrix = np.concatenate([self.matrix, made])
+        return self.matrix[[self.row[g] for g in grams.tolist()]].astype(np.float32)
 
     def grams(self, text: str) -> Iterator[np.ndarray]:
         """The letter n-grams of a text, each as one integer, in parts; none without a letter."""
