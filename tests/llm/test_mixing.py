@@ -61,7 +61,7 @@ def test_expectation_is_kept(spark, monkeypatch):
     """Over many seeds each document is taken its expected number of times."""
     df = spark.createDataFrame([(i, "w " * (i + 1), "a" if i < 6 else "b") for i in range(12)],
                                "doc_id long, text string, source string")
-    total, n = defaultdict(int), 60
+    total, n = defaultdict(int), 24
     for seed in range(n):
         monkeypatch.setattr(M, "SEED", seed)
         for r in M.mix(df).collect():
