@@ -1,10 +1,13 @@
 """Operator 3, licence scans by sentence rules.
 
-A text is cut into sentences, each normalised to its lower-case words, and every
-sentence that is a known licence sentence becomes its identifier. A licence rule
-is an ordered sequence of identifiers; rules are tried in order, the fuller text
-before the short notice, and a match uses its sentences up, so that one grant is
-reported once. Sentences of other kinds may stand between those of a rule.
+A text is cut into pieces at sentence marks and line breaks, each normalised to
+its lower-case words without comment marks. A known licence sentence may be one
+piece or several in a row (a hard-wrapped text, a colon or "v. 2.0" inside, blank
+lines), and becomes its identifier; where two start at one piece, the longer is
+taken. A licence rule is an ordered sequence of identifiers; rules are tried in
+order, the fuller text before the short notice, and a match uses its sentences up,
+so that one grant is reported once. Sentences of other kinds may stand between
+those of a rule.
 
 The known sentences and rules are small fixed tables and travel as literals in
 the plan: one row in, one row out, no shuffle.
@@ -18,6 +21,8 @@ columns besides doc_id and text are not read.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,6 +76,7 @@ SENTENCES = {
     "lgpl-notice": "licensed under the gnu lesser general public license version 3",
     "mpl-form": "this source code form is subject to the terms of the mozilla public license v 2.0",
     "mpl-copy": "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla.org mpl 2.0",
+    "mpl-copy-https": "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla.org mpl 2.0",
     "cc-by-nc": "licensed under cc by nc 4.0",
     "cc-by": "licensed under cc by 4.0",
     "cc-by-sa": "licensed under cc by sa 4.0",
@@ -97,6 +103,7 @@ RULES = (
     ("GPL-3.0-or-later", ("gpl-free",)),
     ("GPL-2.0-or-later", ("gpl2-free",)),
     ("MPL-2.0", ("mpl-form", "mpl-copy")),
+    ("MPL-2.0", ("mpl-form", "mpl-copy-https")),
     ("ISC", ("isc-grant",)),
     ("Apache-2.0", ("apache-notice",)),
     ("MIT", ("mit-title",)),
@@ -116,14 +123,22 @@ RULES = (
     ("Unlicense", ("unlicense",)),
     ("proprietary", ("rights",)),
 )
-# A sentence ends at its marks before white space or the end, or at a line break.
+# A piece ends at sentence marks before white space or the end, or at a line break.
 CUT = r"[.!?;:]+(?:[\x20\x09-\x0D]+|$)|[\x0A\x0D]+"
 # Between words: anything but ASCII letters, digits, inner dots and other letters.
 JOIN = r"[^a-z0-9.\x{0080}-\x{10FFFF}]+"
+# Comment marks that are left by JOIN, at the start of a piece: m4, Basic, roff.
+COMMENT = r"^(?:dnl|rem|\.+)(?: |$)"
+
+
+def _normal(piece: Column) -> Column:
+    return F.regexp_replace(F.trim(F.regexp_replace(F.lower(piece), JOIN, " ")), COMMENT, "")
 
 
-def _normal(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), JOIN, " "))
+def _known(sentences: dict[str, str]) -> str:
+    """Any of the sentences as whole pieces, in a text like ``\\npiece\\npiece\\n``; the longer first."""
+    longest = sorted(sentences.values(), key=len, reverse=True)
+    return r"\n(" + "|".join(r"[ \n]".join(map(re.escape, s.split())) for s in longest) + r")(?=\n)"
 
 
 def _pattern(rule: tuple[str, ...]) -> str:
@@ -138,7 +153,7 @@ def _rest(rule: tuple[str, ...]) -> str:
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
          sentences: dict[str, str] = SENTENCES, rules: tuple = RULES) -> DataFrame:
-    """One row per document: doc_id, n_sentences, n_known (known licence
+    """One row per document: doc_id, n_sentences (pieces), n_known (known licence
     sentences), sentence_ids (in order) and licenses (in rule order), both
     comma-joined, and n_licenses."""
     prepare(docs.sparkSession)
@@ -146,7 +161,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     src = docs.select(F.col(f"`{id_col}`").alias("doc_id"),
                       F.filter(F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), CUT),
                                lambda s: s.rlike(r"[^\x20\x09-\x0D]")).alias("parts"))
-    ids = F.filter(F.transform("parts", lambda s: F.try_element_at(known, _normal(s))), lambda i: i.isNotNull())
+    pieces = F.filter(F.transform("parts", _normal), lambda s: s != "")
+    whole = F.concat(F.lit("\n"), F.array_join(pieces, "\n"), F.lit("\n"))
+    ids = F.transform(F.regexp_extract_all(whole, F.lit(_known(sentences)), F.lit(1)),
+                      lambda s: F.element_at(known, F.translate(s, "\n", " ")))
     rows = src.select("doc_id", F.size("parts").cast("long").alias("n_sentences"), ids.alias("ids"))
     table = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(_pattern(rule)).alias("pattern"),
                                F.lit(_rest(rule)).alias("rest")) for name, rule in rules])

@@ -82,3 +82,111 @@ def test_tables_are_sound():
 def test_native_plan(spark, sf_dir):
     plan = QUERIES["op3_license_scans"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Exchange", plan)
+
+
+MIT = """MIT License
+
+Copyright (c) 2020 A. Nother
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+BSD3 = BSD + """
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+GPL3 = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>."""
+GPL2 = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0/."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+GENUINE = [
+    (MIT, "mit-grant,mit-include,as-is,mit-liable", "MIT"),
+    (BSD, "bsd-grant,bsd-source,bsd-binary", "BSD-2-Clause"),
+    (BSD3, "bsd-grant,bsd-source,bsd-binary,bsd-name", "BSD-3-Clause"),
+    (APACHE, "apache-the,apache-comply,apache-copy,apache-basis,apache-see", "Apache-2.0"),
+    (GPL3, "gpl-free,gpl-hope,gpl-see,gpl-received", "GPL-3.0-or-later"),
+    (GPL2, "gpl2-free", "GPL-2.0-or-later"),
+    (MPL, "mpl-form,mpl-copy", "MPL-2.0"),
+    (MPL.replace("http:", "https:"), "mpl-form,mpl-copy-https", "MPL-2.0"),
+    (ISC, "isc-grant", "ISC"),
+]
+
+
+def test_genuine_wrapped_texts(spark):
+    """As files, on one line, rewrapped, with Windows line ends, and under the comment marks of many languages."""
+    rows = []
+    for text, ids, name in GENUINE:
+        lines = text.split("\n")
+        forms = [text, " ".join(text.split()), "\n".join(text.split()), "\r\n".join(lines), f"/*\n{text}\n*/\nint x;"]
+        forms += ["\n".join(mark + x for x in lines)
+                  for mark in (" * ", "# ", "// ", "-- ", ";; ", "% ", "! ", "dnl ", "REM ", '.\\" ', "> ")]
+        if text in (MIT, APACHE):  # on one line, title and owner run into the grant, and the address into the next sentence
+            del forms[1]
+        rows += [(f, ids, name) for f in forms]
+    df = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r for r in L.scan(df).collect()}
+    for i, (text, ids, name) in enumerate(rows):
+        assert (got[i].sentence_ids, got[i].licenses) == (ids, name), text
+        assert got[i].n_known <= got[i].n_sentences
+
+
+def test_sentences_in_pieces_need_their_words(spark):
+    """No match over missing or added words, and long runs of comment lines are no burden."""
+    rows = [GPL2.replace("either", ""), MPL.replace("v. 2.0", "v. 1.1"), MIT.replace("\nfurnished", "\nnot furnished"),
+            "# \n" * 100000 + "# Released under\n" + "# \n" * 100000 + "# the MIT License."]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: (r.sentence_ids, r.licenses) for r in L.scan(df).collect()}
+    assert got == {0: ("", ""), 1: ("mpl-copy", ""), 2: ("mit-include,as-is,mit-liable", ""), 3: ("mit-notice", "MIT")}
