@@ -45,7 +45,8 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))*+)(?:>|\Z)"
     r"|(?P<text>[^<]++|<)", re.S)
-_ATTR = re.compile(r"""(class|id|role|label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+# A whole attribute: name, and value in quotes or without. A quote stands for itself but right after '='.
+_ATTR = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"?|'([^']*+)'?|([^\s>"'][^\s>]*+))?+)?+""")
 _WORD = re.compile(r"[a-z]+")
 _MARK = re.compile(r"[.!?…。](?:\s|$)")
 BLOCK = frozenset("html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption"
@@ -84,7 +85,9 @@ class Page:
         return len(self.tag) - 1
 
 
-def parse(html: str) -> Page:
+def parse(html: str, marks: bool = True) -> Page:
+    """The nodes of a page. ``marks``: whether a ``label`` attribute is the training mark of
+    ``LABELLED``; in pages of a table it is the page's own and says nothing."""
     page = Page()
     stack = [page.add("html", -1)]
     parts: list[str] = []
@@ -152,7 +155,7 @@ def parse(html: str) -> Page:
                 stack.pop()
             found = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(m["attrs"])}
             words = frozenset(_WORD.findall(" ".join(found.get(k, "") for k in ("class", "id", "role")).lower()))
-            node = page.add(tag, stack[-1], words, label=found.get("label"))
+            node = page.add(tag, stack[-1], words, label=found.get("label") if marks else None)
             if tag not in VOID:
                 stack.append(node)
     flush()
@@ -363,7 +366,7 @@ def fit(pages: DataFrame, html: str = "html", train_pages: int = TRAIN_PAGES) ->
     some = pages.where(F.length(col) <= TRAIN_CHARS) \
                 .where(F.pmod(F.xxhash64(F.lit(7), col), F.lit(1 << 30)) < F.lit(train_pages / max(1, n) * (1 << 30))) \
                 .select(col.alias("html")).distinct()
-    return Model([parse(x) for x in LABELLED + sorted(r["html"] for r in some.collect())])
+    return Model([parse(x) for x in LABELLED] + [parse(x, marks=False) for x in sorted(r["html"] for r in some.collect())])
 
 
 def extract(pages: DataFrame, keep: list[str], html: str = "html", model: Model | None = None) -> DataFrame:
@@ -378,7 +381,7 @@ def extract(pages: DataFrame, keep: list[str], html: str = "html", model: Model
             raw = rb.column(1).to_pylist()
             out: list[str] = []
             for a in range(0, len(raw), _PAGES):
-                out += m.main_text([parse((x or b"").decode("utf-8", "replace")) for x in raw[a:a + _PAGES]])
+                out += m.main_text([parse((x or b"").decode("utf-8", "replace"), marks=False) for x in raw[a:a + _PAGES]])
             yield rb, pa.StructArray.from_arrays([pa.array(out, pa.string())], names=["text"])
 
     return map_texts(pages, run, "struct<text:string>", keep, html)

@@ -83,3 +83,21 @@ def test_other_layouts(spark):
     body = f"Bridge\n\n{text}\n\n{text}"
     assert got == [(0, "", 0), (1, body, len(body)), (1, body, len(body)), (2, "", 0), (3, "", 0), (5, text, len(text))]
     assert H.main_text(df.limit(0)).count() == 0
+
+
+def test_attribute_names_are_whole():
+    page = H.parse("""<nav aria-label="Main menu" data-id="ad" data-class='promo' title="class=cookie role='menu'" CLASS=side Id = 'x'>a</nav>""")
+    assert page.words[1] == {"side", "x"} and page.label[1] is None
+    assert H.parse('<div data-label="1" label="0">a</div>').label[1] == "0"
+    assert H.parse('<div label="1">a</div>', marks=False).label[1] is None
+
+
+def test_labels_of_pages_are_not_marks(spark):
+    """Pages of the table with label attributes of their own, all in the fit."""
+    text = "The council met on Monday. It spoke of the bridge, and of little else, for three hours."
+    html = (f'<body><nav aria-label="Main menu" label="Menu"><ul><li><a href="/">Home</a></li></ul></nav>'
+            f'<article><h1>Bridge</h1><p>{text}</p></article><section class="promo" aria-label="1" label="1"><p>Buy it.</p></section></body>')
+    plain = re.sub(r' (?:aria-)?label="[^"]*"', "", html)
+    rows = [(i, "u", html + " " * i) for i in range(20)] + [(i, "u", plain + " " * i) for i in range(20, 25)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.text for r in H.main_text(df).collect()} == {f"Bridge\n\n{text}"}
