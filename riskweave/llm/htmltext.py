@@ -16,7 +16,9 @@ Messages of a whole batch of pages run together, a depth of the trees at a time.
 
 Edge cases: null, empty and tagless pages: no tags means one text leaf, judged
 like any other; broken markup is read as browsers do (implied end tags, stray
-end tags ignored, open tags closed at the end); character references are decoded
+end tags ignored, open tags closed at the end, a head ended by the first tag or
+text that can't stand in it, quotes in a tag only right after '='); the text of
+formulas (math) stays, that of drawings (svg) doesn't; character references are decoded
 once; white space inside a block (no-break spaces too) is one space, a line
 break element is white space; a page without content nodes gives the empty text;
 repeated pages are each extracted; an empty table gives an empty result.
@@ -43,7 +45,8 @@ _PAGES = 200               # pages whose messages run together
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))*+)(?:>|\Z)"
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[\s/]++|[^\s/>][^\s/>=]*+"
+    r"(?:\s*+=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+)?+)?+)*+)(?:>|\Z)"
     r"|(?P<text>[^<]++|<)", re.S)
 # A whole attribute: name, and value in quotes or without. A quote stands for itself but right after '='.
 _ATTR = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"?|'([^']*+)'?|([^\s>"'][^\s>]*+))?+)?+""")
@@ -53,8 +56,14 @@ BLOCK = frozenset("html body address article aside blockquote center dd details
                   " figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table"
                   " caption tbody td tfoot th thead tr ul noscript object label legend".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())  # no markup inside
-HIDDEN = frozenset("script style textarea title xmp iframe noembed noframes head template svg math select option"
+HIDDEN = frozenset("script style textarea title xmp iframe noembed noframes head template svg select option"
                    " datalist button canvas audio video map".split())               # no text for readers
+# What may stand in the head; any other tag, and text, ends it.
+_IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+# Elements of an svg that hold HTML, and tags that end an svg left open.
+_SVG_HTML = frozenset("foreignobject desc title".split())
+_NOT_SVG = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing"
+                     " menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _CLOSES = {"li": ("li", "ul ol menu dir"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"),
            "td": ("td th", "tr table"), "th": ("td th", "tr table"), "tbody": ("tbody thead tfoot tr td th", "table"),
@@ -107,6 +116,8 @@ def parse(html: str, marks: bool = True) -> Page:
         m = _TOKEN.match(html, at)
         at = m.end()
         if m["text"] is not None:
+            if hidden == ["head"] and not m["text"].isspace():
+                hidden.clear()
             if not hidden:
                 t = _html.unescape(m["text"])
                 parts.append(t)
@@ -128,6 +139,19 @@ def parse(html: str, marks: bool = True) -> Page:
                 while page.tag[stack.pop()] != tag:
                     pass
             continue
+        if hidden == ["head"] and tag not in _IN_HEAD:
+            hidden.clear()
+        while hidden and hidden[-1] == "svg" and tag in _NOT_SVG:
+            hidden.pop()
+        in_svg = bool(hidden) and hidden[-1] == "svg"
+        if (in_svg or tag == "svg") and _ATTR.sub("", m["attrs"]).endswith("/"):
+            continue  # an element without content; elsewhere '/>' is '>'
+        if in_svg:
+            if tag == "svg" or tag in _SVG_HTML:
+                hidden.append(tag)
+            continue
+        if tag == "head" and tag in hidden:
+            continue
         if tag in RAW:
             end = re.compile(rf"</{tag}[\s/>]", re.I).search(html, at)
             at = end.start() if end else n
@@ -136,9 +160,7 @@ def parse(html: str, marks: bool = True) -> Page:
         if hidden or tag in HIDDEN:
             if tag in HIDDEN or tag in hidden:
                 hidden.append(tag)
-            if tag != "body" or hidden != ["head"]:
-                continue
-            hidden.clear()  # a body that starts in an unclosed head
+            continue
         if tag == "a":
             links += 1
         elif tag == "br":

@@ -101,3 +101,42 @@ def test_labels_of_pages_are_not_marks(spark):
     rows = [(i, "u", html + " " * i) for i in range(20)] + [(i, "u", plain + " " * i) for i in range(20, 25)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     assert {r.text for r in H.main_text(df).collect()} == {f"Bridge\n\n{text}"}
+
+
+RECOVERED = [
+    # An element of an svg, or an svg, that ends itself.
+    ("<p>a <svg class='i'/> b</p><p>c", ["a b", "c"]),
+    ("<p>a<svg/>b<math/>c</p>d", ["abc", "d"]),
+    ("<p>a<svg><title/><style/><path d='x'/><svg/><g><text>no</text></g></svg>b", ["ab"]),
+    ("<svg width=5/>no</svg>a", ["a"]),
+    ("<svg><title>no</title><desc>no<p>no</p></desc>no</svg>a", ["a"]),
+    ("<svg><path><p>a<p>b", ["a", "b"]),
+    ("<div/>a</div>b<script/><p>no</p></script>c", ["a", "bc"]),
+    # A head without its end tag and a body without its start tag.
+    ("<html><head><title>no</title><meta charset=x><link href=y><p>a<p>b", ["a", "b"]),
+    ("<head><title>no</title>\n a <b>b</b><p>c", ["a b", "c"]),
+    ("<head><head><style>no</style><script>no</script><a href=x>a</a>", ["a"]),
+    ("<head><title>no</title><textarea>no</textarea><svg/>a", ["a"]),
+    ("<head><template>no<p>no</p></template></head><body>a", ["a"]),
+    ("<head><noscript><style>no</style></noscript></head>a<head>b", ["ab"]),
+    # Quotes that open nothing.
+    ("<p title=it's>a</p><p>b's</p>", ["a", "b's"]),
+    ("<div title=\"5\" tall\">a</div><p>b\"</p>", ["a", "b\""]),
+    ("<p 'x>a</p 'y><p>b' c", ["a", "b' c"]),
+    ("<p title=a\"b=\"c>a</p>b\"", ["a", "b\""]),
+    ("<p =\"x>a</p>b\"", ["a", "b\""]),
+    ("<p title = \"a > b\"id='c > d'>e", ["e"]),
+    # Formulas.
+    ("<article><p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds.</article>", ["So x=1 holds."]),
+    ("<p>a<math><semantics><mi>x</mi><annotation>y</annotation></semantics>b", ["axyb"]),
+]
+
+
+@pytest.mark.parametrize("html,want", RECOVERED)
+def test_nothing_else_is_dropped(html, want):
+    assert [t for t in H.parse(html).text if t is not None] == want
+
+
+def test_hostile_tags_take_linear_time():
+    for html in ("<p " + "a=" * 200000, "<p " + "a = 'b' " * 100000 + ">x", "<p " + "' " * 200000, "<svg>" * 50000 + "<p>x"):
+        H.parse(html)
