@@ -13,9 +13,10 @@ Two exact reductions keep the index small: a word that is in no benchmark item
 ends a run (no window crosses it), and a run shorter than the shortest window is
 left out (no window fits in it). No occurrence is lost by either.
 
-Each benchmark block of at most ``BLOCK_BYTES`` of text is sent to the tasks; a
-larger benchmark is worked off block by block in the same pass over the
-documents, and the spans of the blocks are merged row by row (no shuffle).
+The benchmark's distinct rows are cut into blocks by hash, of about ``BLOCK_BYTES``
+of text each (more where a single item is longer). A block is sent to the tasks; a
+larger benchmark is worked off block by block in the same pass over the documents,
+and the spans of the blocks are merged row by row (no shuffle of documents).
 
 Edge cases: null or wordless texts and items have no words and no windows;
 equal windows of several items count for each of them; a null item_id is the
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import prepare, step
 
 WINDOW = 10              # words
 SAMPLE = 16              # distance of sampled suffix positions, in words
@@ -317,6 +318,8 @@ def find(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "te
     spark = prepare(docs.sparkSession)
     bench = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"),
                              F.col("text").cast("binary").alias("text")).where("text is not null")
+    # Repeats add no window, and would all fall into one block.
+    bench = step(bench.distinct(), "benchmark")
     size = bench.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
     src = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"),

@@ -88,3 +88,24 @@ def test_index_counts_and_locates(seed):
     for p, a, b in zip(pats, lo, hi):
         want = [i for i in range(len(seq) - len(p) + 1) if tuple(seq[i:i + len(p)]) == p]
         assert sorted(index.locate(np.arange(a, b)).tolist()) == want
+
+
+def test_repeated_benchmark_rows_share_no_block(spark, monkeypatch):
+    """A benchmark of which a third is one row has blocks as small as without the repeats."""
+    items = [(f"i{k}", f"item {k} has words of its own, such as w{k} x{k} y{k} z{k}") for k in range(60)]
+    bench = items + items[:1] * 30
+    docs = [(k, f"before it {t} and after") for k, (_, t) in enumerate(items[:9])] + [(99, "nothing of that")]
+    monkeypatch.setattr(FM, "BLOCK_BYTES", 500)
+    sizes, build = [], FM.Windows
+
+    def windows(rows, *rest):
+        sizes.append(sum(len(t) for _, t in rows))
+        return build(rows, *rest)
+
+    monkeypatch.setattr(FM, "Windows", windows)
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    out = FM.decontaminate(docs, spark.createDataFrame(bench, "item_id string, text string"))
+    assert sum(sizes) == sum(len(t) for _, t in items) and max(sizes) < 3 * 500
+    monkeypatch.setattr(FM, "Windows", build)
+    plain = FM.decontaminate(docs, spark.createDataFrame(items, "item_id string, text string"))
+    assert sorted(out.collect()) == sorted(plain.collect())
