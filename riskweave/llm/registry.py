@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from riskweave.sources.tables import read_table
 
-from . import fmindex, htmltext, langid, licenses, mixing, quality, sharding, simhash, suffixdedup, tokencount, toxicity
+from . import alignment, fmindex, htmltext, langid, licenses, mixing, quality, sharding, simhash, suffixdedup, tokencount, toxicity
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +64,11 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixdedup.remove_repeats(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 11: tokens, groups and links of every document by two tokenizers."""
+    return alignment.align(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 13: tokens of every document."""
     return tokencount.count_tokens(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
@@ -85,6 +90,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_decontamination": op9_decontamination,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
+    "op11_alignment": op11_alignment,
     "op13_token_counts": op13_token_counts,
     "pipeline": pipeline,
 }
