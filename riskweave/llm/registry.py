@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from riskweave.sources.tables import read_table
 
-from . import alignment, fmindex, htmltext, langid, licenses, mixing, quality, sharding, simhash, suffixdedup, tokencount, toxicity
+from . import alignment, fmindex, htmltext, langid, licenses, mixing, negatives, quality, sharding, simhash, suffixdedup, tokencount, toxicity
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +69,11 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 12: hard negatives of every anchor and positive."""
+    return negatives.mine(read_table(spark, sf_dir, "embeddings", ["vec_id", "label", "embedding"]))
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 13: tokens of every document."""
     return tokencount.count_tokens(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
@@ -91,12 +96,14 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
     "op11_alignment": op11_alignment,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_token_counts": op13_token_counts,
     "pipeline": pipeline,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": quality.ORACLE_SQL,
+    "op12_hard_negatives": negatives.ORACLE_SQL,
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
