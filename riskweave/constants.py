@@ -34,6 +34,14 @@ are part of the results, not tuning knobs):
   Mobile Engagement, Financial Aid Status, Academic Performance Index,
   Financial-Academic Risk
 - synthetic quality thresholds: KS complement 0.80, correlation similarity 0.75
+- training budgets: 300 boosted iterations (depth 5 here, step 0.05, row and
+  feature share 0.8), patience 20, 100 search trials, 400 iterations of the
+  stack's learners and 400 forest trees, 200 of the learning curve (depth 4),
+  1000 logistic iterations
+- intervention statuses: PENDING, SENT, COMPLETED, FAILED
+- alert texts (operators/explain.py): "EWS ALERT: Student ... flagged ... Key
+  factors: ... Please contact within 5 days.", "Student ... has been flagged as
+  HIGH risk (score: ...). Top factors: ..."
 - recommended action texts (attendance < 60, quiz < 40, aid < 4, none):
   "Schedule an attendance review meeting within 3 days."
   "Refer to academic support / peer tutoring programme."
@@ -95,6 +103,7 @@ TREND_LABELS = [
 
 # Training budgets of the application; every fit takes them as arguments.
 BOOSTED_ITERATIONS, BOOSTED_DEPTH, BOOSTED_STEP, BOOSTED_SUBSAMPLE = 300, 5, 0.05, 0.8
+BOOSTED_PATIENCE = 20
 STACK_ITERATIONS = 400
 CURVE_ITERATIONS, CURVE_DEPTH = 200, 4
 SEARCH_TRIALS = 100

@@ -16,7 +16,7 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import (GBTClassifier, LogisticRegression, RandomForestClassifier)
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -88,21 +88,65 @@ class StandardizedModel:
         return out.drop(*[f"{f}_z" for f in self.params])
 
 
-def gbt_pipeline(features: list[str], weight_col: str | None = None, validation_col: str | None = None,
-                 max_iter: int = K.BOOSTED_ITERATIONS, max_depth: int = K.BOOSTED_DEPTH,
-                 step: float = K.BOOSTED_STEP, seed: int = K.SEED) -> Pipeline:
-    """M5: boosted trees with class weights and optional early stopping on a
-    validation indicator column (at the first tree that doesn't lower its error)."""
+def gbt_pipeline(features: list[str], weight_col: str | None = None, max_iter: int = K.BOOSTED_ITERATIONS,
+                 max_depth: int = K.BOOSTED_DEPTH, step: float = K.BOOSTED_STEP, seed: int = K.SEED) -> Pipeline:
+    """M5: boosted trees with class weights."""
     gbt = GBTClassifier(featuresCol="features", labelCol=LABEL, maxIter=max_iter, maxDepth=max_depth,
                         stepSize=step, seed=seed, subsamplingRate=K.BOOSTED_SUBSAMPLE,
                         featureSubsetStrategy=str(K.BOOSTED_SUBSAMPLE))
     if weight_col:
         gbt.setWeightCol(weight_col)
-    if validation_col:
-        gbt.setValidationIndicatorCol(validation_col).setParams(validationTol=0.0)
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"), gbt])
 
 
+def first_trees(model: GBTClassificationModel, n: int) -> GBTClassificationModel:
+    """The boosted model of the first ``n`` trees: what a fit of ``n`` iterations gives."""
+    if not 1 <= n <= model.getNumTrees:
+        raise ValueError(f"the model has 1..{model.getNumTrees} trees")
+    sc = SparkSession.getActiveSession().sparkContext
+    java, jvm = model._java_obj, sc._jvm
+    trees = sc._gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
+    weights = sc._gateway.new_array(jvm.double, n)
+    for i in range(n):
+        trees[i], weights[i] = java.trees()[i], java.treeWeights()[i]
+    cut = GBTClassificationModel(jvm.org.apache.spark.ml.classification.GBTClassificationModel(
+        java.uid(), trees, weights, model.numFeatures, model.numClasses))
+    return model._copyValues(cut)
+
+
+def best_prefix(losses: list[float], patience: int = K.BOOSTED_PATIENCE) -> tuple[int, bool]:
+    """Number of trees of the lowest loss, looking on for ``patience`` trees after
+    each new lowest; and whether that search ended before the losses did."""
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+        elif i - best >= patience:
+            return best + 1, True
+    return best + 1, False
+
+
+def fit_with_patience(pipeline: Pipeline, train: DataFrame, valid: DataFrame, patience: int = K.BOOSTED_PATIENCE
+                      ) -> tuple[PipelineModel, list[float]]:
+    """M5: the boosted pipeline cut after the tree with the lowest validation loss, once
+    ``patience`` more trees did not lower it; and the loss after each tree.
+
+    A fit of k trees is the beginning of any longer fit with the same seed, so the
+    number of trees grows in steps (4 and 8 times the patience, then all) until the
+    search ends. The losses of all prefixes come from one pass over the validation
+    rows (``evaluateEachIteration``).
+    """
+    gbt = pipeline.getStages()[-1]
+    full = gbt.getMaxIter()
+    for n in sorted({min(full, 4 * patience), min(full, 8 * patience), full}):
+        model = pipeline.copy({gbt.maxIter: n}).fit(train)
+        losses = model.stages[-1].evaluateEachIteration(PipelineModel(model.stages[:-1]).transform(valid))
+        kept_trees, ended = best_prefix(losses, patience)
+        if ended or n == full:
+            break
+    return PipelineModel([*model.stages[:-1], first_trees(model.stages[-1], kept_trees)]), losses
+
+
 def forest_pipeline(features: list[str], seed: int = K.SEED) -> Pipeline:
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"),
                             RandomForestClassifier(featuresCol="features", labelCol=LABEL, numTrees=K.FOREST_TREES,
