@@ -11,12 +11,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from .. import constants as K
 from ..functions.columns import clip, to_double
@@ -84,42 +82,76 @@ def _schema_of(spark: SparkSession, table_root: str, rows: DataFrame) -> T.Struc
 
 
 ALERT_SCHEMA = "entity_id long, ts timestamp, risk_score double"
-STATE_SCHEMA = "last_ts timestamp, was_flagged boolean"
+STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _flag_transitions(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+class FlagTransitions(StatefulProcessor):
     """Per entity: the readings that are HIGH when the reading before was not.
 
+    State is one value, the time (microseconds) and flag of the last reading.
     Readings up to the last time seen are late: they raise nothing and leave the
     state as it is. A reading without a score is not flagged; one without a time
-    is left out."""
-    last, was = state.get if state.exists else (None, False)
-    rows = pd.concat(pdfs).dropna(subset=["ts"]).sort_values(["ts", "risk_score"], kind="stable")
-    if last is not None:
-        rows = rows[rows["ts"] > pd.Timestamp(last)]
-    if not len(rows):
-        return
-    high = (rows["risk_score"] >= K.TAU).to_numpy()
-    before = np.r_[bool(was), high[:-1]]
-    state.update((rows["ts"].iloc[-1].to_pydatetime(), bool(high[-1])))
-    yield rows.loc[high & ~before, ["ts", "risk_score"]].assign(entity_id=key[0])[["entity_id", "ts", "risk_score"]]
-
-
-def flag_alert_stream(spark: SparkSession, source_dir: str, out_dir: str, checkpoint: str,
-                      max_files: int | None = None) -> None:
+    is left out. A timer ``forget_ms`` after the last reading, in event time, drops
+    the state of an entity that sends no more: its next HIGH reading is new.
+    """
+
+    def __init__(self, forget_ms: int):
+        self.forget_ms = forget_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "at_us long, flagged boolean")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        before = self.last.get() if self.last.exists() else None
+        at, flagged = (before[0], before[1]) if before is not None else (None, False)
+        timed = [(r["at_us"], r["risk_score"] is not None and r["risk_score"] >= K.TAU, r["risk_score"])
+                 for r in rows if r["at_us"] is not None]
+        for t, high, score in sorted(timed, key=lambda r: (r[0], r[2] is None, r[2])):
+            if at is not None and before is not None and t <= before[0]:
+                continue
+            if high and not flagged:
+                yield Row(entity_id=key[0], at_us=t, risk_score=score)
+            at, flagged = t, high
+        if at is not None and (before is None or at > before[0]):
+            if before is not None:
+                self.handle.deleteTimer(before[0] // 1000 + self.forget_ms)
+            self.last.update((at, flagged))
+            self.handle.registerTimer(at // 1000 + self.forget_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.last.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def flag_alert_stream(spark: SparkSession, source_dir: str, out_dir: str, checkpoint: str, max_files: int | None = None,
+                      lateness: str = "3650 days", forget_days: int = 3650,
+                      processor: type[StatefulProcessor] = FlagTransitions) -> None:
     """Score readings arriving as parquet files -> newly-flagged alerts.
 
-    Keyed state per entity holds the time and flag of its last reading, so state
-    size is bounded by the number of entities, not by history length. Readings of
-    a batch are put in order of time; ``max_files`` bounds the files of a batch.
+    ``transformWithState`` on the RocksDB state store keeps, per entity, the time and
+    flag of its last reading: state is bounded by the number of entities that sent
+    something in the last ``forget_days``, not by history, and lies on the
+    executors' disks with its changes in the checkpoint. Readings older than the
+    newest by more than ``lateness`` are dropped by the watermark. Readings of a batch
+    are put in order of time; ``max_files`` bounds the files of a batch.
     """
-    read = spark.readStream.schema("entity_id long, ts timestamp, risk_score double")
+    read = spark.readStream.schema(ALERT_SCHEMA)
     if max_files:
         read = read.option("maxFilesPerTrigger", max_files)
-    alerts = read.parquet(source_dir).groupBy("entity_id").applyInPandasWithState(
-        _flag_transitions, outputStructType=ALERT_SCHEMA, stateStructType=STATE_SCHEMA,
-        outputMode="append", timeoutConf=GroupStateTimeout.NoTimeout)
-    q = (alerts.writeStream.format("parquet").option("path", out_dir)
-               .option("checkpointLocation", checkpoint).outputMode("append")
-               .trigger(availableNow=True).start())
-    q.awaitTermination()
+    rows = read.parquet(source_dir).withWatermark("ts", lateness).withColumn("at_us", F.unix_micros("ts"))
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, STATE_PROVIDER)
+    try:
+        alerts = rows.groupBy("entity_id").transformWithState(
+            processor(forget_days * 86_400_000), "entity_id long, at_us long, risk_score double", "append", "EventTime")
+        alerts = alerts.select("entity_id", F.timestamp_micros("at_us").alias("ts"), "risk_score")
+        q = (alerts.writeStream.format("parquet").option("path", out_dir).option("checkpointLocation", checkpoint)
+                   .outputMode("append").trigger(availableNow=True).start())
+        q.awaitTermination()
+    finally:
+        spark.conf.set(provider, before)

@@ -103,8 +103,8 @@ def scores(spark, folder, rows):
                           "entity_id long, ts timestamp, risk_score double").coalesce(1).write.mode("append").parquet(str(folder))
 
 
-def flags(spark, tmp):
-    SJ.flag_alert_stream(spark, str(tmp / "in"), str(tmp / "out"), str(tmp / "cp"))
+def flags(spark, tmp, **kw):
+    SJ.flag_alert_stream(spark, str(tmp / "in"), str(tmp / "out"), str(tmp / "cp"), **kw)
     out = spark.read.schema(SJ.ALERT_SCHEMA).parquet(str(tmp / "out"))
     return sorted((r.entity_id, r.ts.day) for r in out.collect())
 
@@ -120,6 +120,32 @@ def test_flags_across_batches_with_late_rows(spark, tmp_path):
     assert flags(spark, tmp_path) == [(1, 1), (1, 4), (2, 2), (3, 3)]
 
 
+def test_state_of_a_silent_entity_expires(spark, tmp_path):
+    kw = {"lateness": "1 day", "forget_days": 5}
+    scores(spark, tmp_path / "in", [(1, 1, 0.9), (2, 1, 0.9)])
+    assert flags(spark, tmp_path, **kw) == [(1, 1), (2, 1)]
+    # Entity 2 goes on, entity 1 is silent: its timer fires once the watermark passes day 6.
+    scores(spark, tmp_path / "in", [(2, 5, 0.9), (2, 10, 0.9)])
+    assert flags(spark, tmp_path, **kw) == [(1, 1), (2, 1)]
+    scores(spark, tmp_path / "in", [(1, 12, 0.9), (2, 12, 0.9)])
+    assert flags(spark, tmp_path, **kw) == [(1, 1), (1, 12), (2, 1)]
+
+
+def test_flags_survive_a_failed_run(spark, tmp_path):
+    class Dies(SJ.FlagTransitions):
+        def handleInputRows(self, key, rows, timers):
+            if key[0] == 3:
+                raise RuntimeError("worker lost")
+            return super().handleInputRows(key, rows, timers)
+
+    scores(spark, tmp_path / "in", [(1, 1, 0.9), (2, 1, 0.1)])
+    assert flags(spark, tmp_path) == [(1, 1)]
+    scores(spark, tmp_path / "in", [(1, 2, 0.9), (2, 2, 0.9), (3, 2, 0.9)])
+    with pytest.raises(Exception, match="worker lost"):
+        flags(spark, tmp_path, processor=Dies)
+    assert flags(spark, tmp_path) == [(1, 1), (2, 2), (3, 2)]
+
+
 def test_bucket_of_is_stable(spark):
     a = spark.range(100).select(F.col("id").cast("string").alias("k")).withColumn("b", V.bucket_of("k"))
     assert all(0 <= r.b < V.BUCKETS for r in a.collect())
