@@ -18,20 +18,25 @@ frequent pair has one row per block, in a join that adaptive execution splits.
 
 A is a byte-level BPE file (``tokenizers`` JSON), cut and merged as in operator
 13 with special strings as plain text; B is a ``sentencepiece`` model, which adds
-the space itself. Both files have a fixed size and go to the executors by
-broadcast.
+the space itself and encodes run by run of spaces and what follows, as no piece of
+it crosses into a space (a model that has such pieces gets whole texts). A task
+keeps the ids of units it has met. Both files have a fixed size and go to the
+executors by broadcast.
 
 Edge cases: null or empty texts, texts whose joined tokens don't give back
 space + text (by either tokenizer), and bytes that are no UTF-8 have no tokens:
 zeros and an empty digest; they count in no pair. Repeated rows are each encoded
-and counted. Very long texts are cut before spaces where no piece crosses one;
-products run over windows of bytes. An empty table gives an empty result.
+and counted. Products run over windows of bytes, so a very long text costs
+memory in proportion to its tokens. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import re
+import zlib
+from collections.abc import Callable, Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -44,11 +49,11 @@ from .common import map_texts, prepare, step, texts_of
 from .tokencount import Vocabulary, ragged, tokenizer_path
 
 FILE_A, FILE_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
-BLOCK_BYTES = 2 << 20    # text of a block, unless one text is longer
-_WINDOW = 1 << 20        # bytes multiplied at once
-_CACHED = 200_000        # distinct pre-tokens a task remembers
-_B_CHARS = 1 << 20       # characters given to tokenizer B at once, where texts can be cut
+BLOCK_BYTES = 1 << 20    # text of a block, unless one text is longer
+_WINDOW = 1 << 19        # bytes multiplied at once
+_CACHED = 100_000        # distinct units of each tokenizer a task remembers
 _JOIN = 1 << 18          # tokens written to a digest at once
+_WORDS = re.compile(r" +[^ ]*|[^ ]+")
 SPACE = "▁"         # how pieces write a space
 
 
@@ -73,7 +78,9 @@ class Csr(NamedTuple):
     def transpose(self) -> Csr:
         rows = np.repeat(np.arange(len(self.start) - 1), np.diff(self.start))
         count = np.bincount(self.cols, minlength=self.width)
-        return Csr(np.append(0, np.cumsum(count)), rows[np.argsort(self.cols, kind="stable")], len(self.start) - 1)
+        if (self.cols[1:] < self.cols[:-1]).any():
+            rows = rows[np.argsort(self.cols, kind="stable")]
+        return Csr(np.append(0, np.cumsum(count)), rows, len(self.start) - 1)
 
 
 def product_sizes(a: Csr, b: Csr) -> np.ndarray:
@@ -98,8 +105,58 @@ def product(a: Csr, b: Csr) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return key[new] // b.width, key[new] % b.width, value
 
 
+class Known(dict):
+    """Numbers of the units met so far; units asked for the first time are listed in ``new``."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, unit: str) -> int:
+        self[unit] = at = len(self)
+        self.new.append(unit)
+        return at
+
+
+class Units:
+    """Ids of whole texts from those of their units, which are kept between texts.
+
+    A unit is a stretch of text whose ids don't depend on what stands around it.
+    ``encode`` gives ids of new units (end to end, and the number of each).
+    """
+
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], bytes_of: list[bytes]):
+        self.encode, self.bytes_of = encode, bytes_of
+        self.forget()
+
+    def forget(self) -> None:
+        self.known = Known()
+        self.ids, self.count, self.whole = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, bool)
+
+    def texts(self, units: list[str], each: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of texts of ``each`` units, end to end; the number of each text, and
+        whether its ids give back its bytes."""
+        if len(self.known) > _CACHED:
+            self.forget()
+        at = np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
+        if self.known.new:
+            ids, count = self.encode(self.known.new)
+            pieces = list(map(self.bytes_of.__getitem__, ids.tolist()))
+            edge = np.append(0, np.cumsum(count)).tolist()
+            same = [b"".join(pieces[x:y]) == u.encode("utf-8", "surrogatepass") for x, y, u in zip(edge, edge[1:], self.known.new)]
+            self.ids, self.count = np.append(self.ids, ids), np.append(self.count, count.astype(np.int32))
+            self.whole = np.append(self.whole, same)
+            self.known.new = []
+        first = np.cumsum(self.count, dtype=np.int64) - self.count
+        edge = np.append(0, np.cumsum(each))
+        size = self.count[at]
+        total = np.append(0, np.cumsum(size, dtype=np.int64))[edge]
+        bad = np.append(0, np.cumsum(~self.whole[at]))[edge]
+        return self.ids[ragged(first[at], size)], np.diff(total), np.diff(bad) == 0
+
+
 class Pieces:
-    """Tokenizer B: ids of whole texts, and the bytes of its pieces."""
+    """Tokenizer B: ids of units, and the bytes of its pieces."""
 
     def __init__(self, model: bytes):
         import sentencepiece
@@ -108,111 +165,69 @@ class Pieces:
         names = [self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size())]
         self.bytes_of = [bytes([int(p[3:5], 16)]) if self.sp.is_byte(i) else p.replace(SPACE, " ").encode()
                          for i, p in enumerate(names)]
-        # Pieces have spaces only at their start, so a text may be cut before one.
-        self.cuts = not any(SPACE in p.lstrip(SPACE) for i, p in enumerate(names) if not self.sp.is_control(i))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of space + text, for each text."""
-        parts, whose = [], []
-        for i, t in enumerate(texts):
-            for part in self.parts(t):
-                parts.append(part)
-                whose.append(i)
-        ids = [np.array(x, np.int32) for x in self.sp.encode(parts, num_threads=1)]
-        if len(ids) == len(texts):
-            return ids
-        out = [[] for _ in texts]
-        for i, x in zip(whose, ids):
-            out[i].append(x)
-        return [np.concatenate(x) for x in out]
-
-    def parts(self, text: str) -> Iterator[str]:
-        """The text cut at single spaces, which the parts lose (their encoding adds one)."""
-        a = 0
-        while self.cuts and len(text) - a > _B_CHARS:
-            at = text.rfind(" ", a + 1, a + _B_CHARS)
-            while at > a and text[at - 1] in (" ", SPACE):
-                at = text.rfind(" ", a + 1, at)
-            if at <= a:
-                at = text.find(" ", a + _B_CHARS)
-                while at > 0 and text[at - 1] in (" ", SPACE):
-                    at = text.find(" ", at + 1)
-                if at < 0:
-                    break
-            yield text[a:at]
-            a = at + 1
-        yield text[a:]
+        # Where pieces have spaces only at their start, no merge joins a space to
+        # what stands before it: a text can be cut there.
+        self.space = self.sp.piece_to_id(SPACE)
+        self.cuts = self.space != self.sp.unk_id() and not any(
+            SPACE in p.lstrip(SPACE) for i, p in enumerate(names) if not self.sp.is_control(i))
+
+    def units(self, text: str) -> list[str]:
+        """The text (from its first space on) in units, each a run of spaces and what follows."""
+        return _WORDS.findall(text) if self.cuts else [text]
+
+    def encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the units, end to end, and the number of each."""
+        # It adds the first space, but gives nothing for the empty text.
+        ids = [x or [self.space] for x in self.sp.encode([u[1:] for u in units], num_threads=1)]
+        return np.fromiter(chain.from_iterable(ids), np.int32), np.fromiter(map(len, ids), np.int64, len(ids))
 
 
 class Encoder:
-    """Both tokenizers, with the ids of A's frequent pre-tokens kept."""
+    """Both tokenizers, with the ids of units kept."""
 
     def __init__(self, a: Vocabulary, b_model: bytes):
         self.a, self.b = a, Pieces(b_model)
-        self.len_a = np.fromiter(map(len, self.a.bytes_of), np.int64, len(self.a.bytes_of))
+        self.len_a = np.fromiter(map(len, a.bytes_of), np.int64, len(a.bytes_of))
         self.len_b = np.fromiter(map(len, self.b.bytes_of), np.int64, len(self.b.bytes_of))
-        self.forget()
-        ends = (b",", b"|", b",", b";")
-        sizes = (len(self.len_a), len(self.len_b))
-        self.words = [b"%d" % i + ends[2 * k + last] for k in (0, 1) for i in range(sizes[k]) for last in (0, 1)]
-
-    def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids, self.first, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def encode_a(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """A's ids of the texts, end to end, and the number of each text."""
-        parts = [list(self.a.windows(t)) for t in texts]
-        tokens, each = self.a.cut([p for ps in parts for p in ps])
-        if len(self.known) > _CACHED:
-            self.forget()
-        got = list(map(self.known.get, tokens))
-        if None in got:
-            new = list({t for t, k in zip(tokens, got) if k is None})
-            ids, count = self.a.merge([t.encode("utf-8", "surrogatepass") for t in new])
-            self.known |= {t: len(self.count) + i for i, t in enumerate(new)}
-            self.first = np.append(self.first, len(self.ids) + np.cumsum(count) - count)
-            self.count = np.append(self.count, count)
-            self.ids = np.append(self.ids, ids)
-            got = list(map(self.known.get, tokens))
-        at = np.array(got, np.int64)
-        size = self.count[at]
-        total = np.append(0, np.cumsum(size))[np.append(0, np.cumsum(each))]
-        per_part = np.diff(total)
-        per_text = np.add.reduceat(np.append(per_part, 0), np.cumsum([0, *map(len, parts)])[:-1]) if texts else per_part
-        return self.ids[ragged(self.first[at], size)], per_text
+        self.units_a = Units(lambda new: a.merge([u.encode("utf-8", "surrogatepass") for u in new]), a.bytes_of)
+        self.units_b = Units(self.b.encode, self.b.bytes_of)
+        # What digests write for an id that goes on with its side, and for the last of it.
+        words = [b"%d" % i + end for n, ends in ((len(self.len_a), b",|"), (len(self.len_b), b",;"))
+                 for i in range(n) for end in (ends[:1], ends[1:])]
+        self.word_size = np.fromiter(map(len, words), np.int64, len(words))
+        self.word_first = np.cumsum(self.word_size) - self.word_size
+        self.word_bytes = np.frombuffer(b"".join(words), np.uint8)
 
     def align(self, texts: list[bytes]) -> Aligned:
         """Encode the texts of a block."""
-        strings = [(b" " + t).decode("utf-8", "replace") for t in texts]
-        live = [i for i, t in enumerate(texts) if t]
-        a, n_a = self.encode_a([strings[i] for i in live])
-        b = self.b.encode([strings[i][1:] for i in live])
-        a = np.split(a, np.cumsum(n_a)[:-1])
-        good = []
-        for k, i in enumerate(live):
-            want = b" " + texts[i]
-            if (int(self.len_a[a[k]].sum()) == len(want) == int(self.len_b[b[k]].sum())
-                    and b"".join(map(self.a.bytes_of.__getitem__, a[k].tolist())) == want
-                    and b"".join(map(self.b.bytes_of.__getitem__, b[k].tolist())) == want):
-                good.append(k)
-        n = len(texts)
-        size_a, size_b = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        rows = np.array([live[k] for k in good], np.int64)
-        size_a[rows] = [len(a[k]) for k in good]
-        size_b[rows] = [len(b[k]) for k in good]
-        none = [np.zeros(0, np.int32)]
-        return Aligned(np.concatenate(none + [a[k] for k in good]), np.concatenate(none + [b[k] for k in good]),
-                       size_a, size_b, self.len_a, self.len_b)
+        strings = [(b" " + t).decode("utf-8", "replace") if t else "" for t in texts]
+        parts = [list(self.a.windows(t)) for t in strings]
+        tokens, each = self.a.cut([p for ps in parts for p in ps])
+        edge = np.append(0, np.cumsum(each))[np.append(0, np.cumsum([len(ps) for ps in parts]))]
+        a, size_a, good_a = self.units_a.texts(tokens, np.diff(edge))
+        units = [self.b.units(t) for t in strings]
+        b, size_b, good_b = self.units_b.texts(list(chain.from_iterable(units)), np.fromiter(map(len, units), np.int64, len(units)))
+        good = good_a & good_b & np.fromiter((s.encode("utf-8", "surrogatepass")[1:] == t for s, t in zip(strings, texts)), bool, len(texts))
+        if not good.all():
+            a, b = a[np.repeat(good, size_a)], b[np.repeat(good, size_b)]
+            size_a, size_b = size_a * good, size_b * good
+        return Aligned(a, b, size_a, size_b, self)
 
 
 class Aligned:
     """Tokens of a block of texts on one line of bytes, with their products."""
 
-    def __init__(self, a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, len_a: np.ndarray, len_b: np.ndarray):
-        self.a, self.b = a, b
+    def __init__(self, a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, encoder: Encoder):
+        self.a, self.b, self.encoder = a, b, encoder
         self.off_a, self.off_b = np.append(0, np.cumsum(size_a)), np.append(0, np.cumsum(size_b))
-        self.end_a, self.end_b = np.cumsum(len_a[a]), np.cumsum(len_b[b])
+        self.end_a, self.end_b = np.cumsum(encoder.len_a[a]), np.cumsum(encoder.len_b[b])
+        # Groups end where a token of each ends, and are numbered in order.
+        line = np.zeros(int(self.end_a[-1]) + 1 if len(a) else 1, np.uint8)
+        line[self.end_a] = 1
+        line[self.end_b] += 1
+        self.last_a, self.last_b = line[self.end_a] == 2, line[self.end_b] == 2
+        self.group_a = np.cumsum(self.last_a) - self.last_a
+        self.group_b = np.cumsum(self.last_b) - self.last_b
 
     def overlaps(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Overlap links (token of A, token of B, bytes), in windows of bytes."""
@@ -230,23 +245,20 @@ class Aligned:
             yield r + i, c + j, v
             i = stop
 
-    def groups(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Byte offsets where groups end, and the group of each token of A and of B."""
-        ends = np.intersect1d(self.end_a, self.end_b, assume_unique=True)
-        return ends, np.searchsorted(ends, self.end_a, "left"), np.searchsorted(ends, self.end_b, "left")
-
-    def digests(self, words: list[bytes], n_a: int) -> list[str]:
+    def digests(self) -> list[str]:
         """For each text the SHA-256 of its groups (ids of A ``|`` ids of B, groups cut by ``;``)."""
-        ends, ga, gb = self.groups()
-        last_a, last_b = np.append(ga[1:] != ga[:-1], True)[:len(ga)], np.append(gb[1:] != gb[:-1], True)[:len(gb)]
-        line = np.empty(len(ga) + len(gb), np.int64)
-        line[np.arange(len(ga)) + np.searchsorted(gb, ga, "left")] = self.a.astype(np.int64) * 2 + last_a
-        line[np.arange(len(gb)) + np.searchsorted(ga, gb, "right")] = 2 * n_a + self.b.astype(np.int64) * 2 + last_b
+        e, n = self.encoder, int(self.last_a.sum())
+        before_b = np.append(0, np.cumsum(np.bincount(self.group_b, minlength=n)))
+        upto_a = np.cumsum(np.bincount(self.group_a, minlength=n))
+        line = np.empty(len(self.a) + len(self.b), np.int32)
+        line[np.arange(len(self.a)) + before_b[self.group_a]] = self.a * 2 + self.last_a
+        line[np.arange(len(self.b)) + upto_a[self.group_b]] = 2 * len(e.len_a) + self.b * 2 + self.last_b
         out, at = [], (self.off_a + self.off_b).tolist()
         for x, y in zip(at, at[1:]):
             h = hashlib.sha256()
             for p in range(x, y, _JOIN):
-                part = b"".join(map(words.__getitem__, line[p:min(p + _JOIN, y)].tolist()))
+                word = line[p:min(p + _JOIN, y)]
+                part = e.word_bytes[ragged(e.word_first[word], e.word_size[word])]
                 h.update(part if p + _JOIN < y else part[:-1])
             out.append(h.hexdigest() if y > x else "")
         return out
@@ -276,7 +288,8 @@ _DOC = "n_a:bigint,n_b:bigint,n_groups:bigint,n_links:bigint,n_overlaps:bigint,n
 def _encode(docs: DataFrame, shared, keep: list[str], text: str) -> DataFrame:
     """A row per block: its rows with their figures (``docs``), its distinct id
     pairs of links (``pairs``, with the number ``n`` of links) and the place in
-    ``pairs`` of every link, in the order of the rows (``links``, 32-bit)."""
+    ``pairs`` of every link, in the order of the rows (``links``: the lower, then the
+    upper 16 bits of all, packed)."""
     src = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"), F.col(f"`{text}`").cast("binary").alias("_text"))
     row_type = src.schema["_row"].dataType.simpleString()
     schema = f"block bigint, docs array<struct<_row:{row_type},{_DOC}>>, pairs array<bigint>, n array<bigint>, links binary"
@@ -295,21 +308,20 @@ def _encode(docs: DataFrame, shared, keep: list[str], text: str) -> DataFrame:
                     per_doc[0] += np.bincount(doc[both], minlength=y - x)
                     per_doc[1] += np.bincount(doc, minlength=y - x)
                     keys.append(al.a[r[both]].astype(np.int64) << 32 | al.b[c[both]])
-                _, ga, gb = al.groups()
-                group_b = Csr.of_owners(gb, int(gb[-1]) + 1 if len(gb) else 0)
+                n_groups = int(al.last_a.sum())
                 shared_links = np.append(0, np.cumsum(product_sizes(
-                    Csr.of_owners(ga, group_b.width), group_b.transpose())))
-                first = np.append(ga, ga[-1] + 1 if len(ga) else 0)
+                    Csr.of_owners(al.group_a, n_groups), Csr.of_owners(al.group_b, n_groups).transpose())))
+                first = np.append(al.group_a, n_groups)
                 pairs, at, n = np.unique(np.concatenate([np.zeros(0, np.int64), *keys]), return_inverse=True, return_counts=True)
                 figures = [np.diff(al.off_a), np.diff(al.off_b), np.diff(first[al.off_a]), *per_doc, np.diff(shared_links[al.off_a])]
                 names = [f.split(":")[0] for f in _DOC.split(",")]
                 out = pa.StructArray.from_arrays(
                     [rb.column(0).slice(x, y - x), *[pa.array(f, pa.int64()) for f in figures],
-                     pa.array(al.digests(encoder.words, len(encoder.len_a)), pa.string())], names=["_row", *names])
+                     pa.array(al.digests(), pa.string())], names=["_row", *names])
                 one = lambda v: pa.ListArray.from_arrays([0, len(v)], v)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([block], pa.int64()), one(out), one(pa.array(pairs, pa.int64())), one(pa.array(n, pa.int64())),
-                     pa.array([at.astype("<u4").tobytes()], pa.binary())], names=["block", "docs", "pairs", "n", "links"])
+                     pa.array([zlib.compress(at.astype("<u4").view("<u2").reshape(-1, 2).T.tobytes(), 1)], pa.binary())], names=["block", "docs", "pairs", "n", "links"])
                 block += 1
 
     return src.mapInArrow(run, schema)
@@ -340,7 +352,8 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None,
         for rb in batches:
             for i in range(rb.num_rows):
                 found = rb.column(0).slice(i, 1).flatten()
-                link = np.frombuffer(rb.column(1)[i].as_py(), "<u4")
+                halves = np.frombuffer(zlib.decompress(rb.column(1)[i].as_py()), "<u2").reshape(2, -1)
+                link = halves[0] | halves[1].astype(np.uint32) << 16
                 fig = rb.column(2).slice(i, 1).flatten()
                 at, n, best = (np.asarray(fig.field(k).to_numpy(zero_copy_only=False)) for k in range(3))
                 count, top = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
@@ -389,15 +402,13 @@ def shared_group_links(docs: DataFrame, path_a: str | None = None, path_b: str |
     prepare(docs.sparkSession)
 
     def parts(al: Aligned):
-        _, ga, gb = al.groups()
-        if not len(ga):
-            return
-        right = Csr.of_owners(gb, int(gb[-1]) + 1).transpose()
-        done = np.append(0, np.cumsum(product_sizes(Csr.of_owners(ga, int(gb[-1]) + 1), right)))
+        n, ga = int(al.last_a.sum()), al.group_a
+        right = Csr.of_owners(al.group_b, n).transpose()
+        done = np.append(0, np.cumsum(product_sizes(Csr.of_owners(ga, n), right)))
         i = 0
         while i < len(ga):  # rows whose products together are bounded (a row is bounded by its group)
             stop = max(i + 1, int(np.searchsorted(done, done[i] + _WINDOW, "right")) - 1)
-            r, c, _ = product(Csr.of_owners(ga[i:stop], int(gb[-1]) + 1), right)
+            r, c, _ = product(Csr.of_owners(ga[i:stop], n), right)
             yield r + i, c, al.a[r + i], al.b[c], ga[r + i]
             i = stop
 

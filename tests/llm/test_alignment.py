@@ -110,14 +110,23 @@ def test_table_equals_loops(spark, libs):
     check(spark, libs, [(r.doc_id, r.text) for r in docs.collect()], docs)
 
 
-def test_long_texts_are_cut_without_effect(libs, encoder, monkeypatch):
-    text = "Once upon  a time,\nin a land ▁ far away… " * 400 + "z" * 500
-    want = libs[1].encode([text, "short"])
-    for chars in (5, 64, 1 << 20):
-        monkeypatch.setattr(A, "_B_CHARS", chars)
-        assert [x.tolist() for x in encoder.b.encode([text, "short"])] == want
-    al = encoder.align([("word " * 50_000).encode(), b"", ("日本" * 30_000).encode()])
-    assert np.diff(al.off_a).tolist()[1] == 0 and al.end_a[-1] == al.end_b[-1] == 250_001 + 180_001
+def test_units_give_the_ids_of_whole_texts(spark, libs, encoder, monkeypatch):
+    monkeypatch.setattr(A, "_CACHED", 50)
+    texts = [r.text for r in read_table(spark, "/root/testdata/sf0.001", "documents", ["text"]).collect() if r.text]
+    texts += ["Once upon  a time,\nin a land   far away… " * 40 + "z" * 500, "  lead", "trail   ", "\t tab \u3000 wide\u00a0x"]
+    assert encoder.b.cuts
+    for block in (texts[:50], texts[50:]):
+        al = encoder.align([t.encode() for t in block])
+        for i, t in enumerate(block):
+            a, b = brute_tokens(libs, t)
+            assert al.a[al.off_a[i]:al.off_a[i + 1]].tolist() == [x for x, _ in a]
+            assert al.b[al.off_b[i]:al.off_b[i + 1]].tolist() == [x for x, _ in b]
+
+
+def test_very_long_texts(encoder):
+    al = encoder.align([("word " * 50_000).encode(), b"", ("日本" * 30_000).encode(), b"\xff bad", b"ok"])
+    assert np.diff(al.off_a).tolist()[1] == np.diff(al.off_b).tolist()[3] == 0
+    assert al.end_a[-1] == al.end_b[-1] == 250_001 + 180_001 + 3
 
 
 def test_links(spark, libs, monkeypatch):
