@@ -10,11 +10,12 @@ trials and folds default to those of the application (``constants``).
 from __future__ import annotations
 
 import random
+import uuid
 from collections.abc import Callable
 from contextlib import contextmanager
 from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel, inheritable_thread_target
+from pyspark import SparkContext, StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.columns import fround, risk_band
+from ..session import is_finished, scratch_table_path
 from . import evaluation as EV
 from . import splits as SP
 
@@ -103,7 +105,7 @@ def first_trees(model: GBTClassificationModel, n: int) -> GBTClassificationModel
     """The boosted model of the first ``n`` trees: what a fit of ``n`` iterations gives."""
     if not 1 <= n <= model.getNumTrees:
         raise ValueError(f"the model has 1..{model.getNumTrees} trees")
-    sc = SparkSession.getActiveSession().sparkContext
+    sc = SparkContext.getOrCreate()
     java, jvm = model._java_obj, sc._jvm
     trees = sc._gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
     weights = sc._gateway.new_array(jvm.double, n)
@@ -147,9 +149,9 @@ def fit_with_patience(pipeline: Pipeline, train: DataFrame, valid: DataFrame, pa
     return PipelineModel([*model.stages[:-1], first_trees(model.stages[-1], kept_trees)]), losses
 
 
-def forest_pipeline(features: list[str], seed: int = K.SEED) -> Pipeline:
+def forest_pipeline(features: list[str], seed: int = K.SEED, trees: int = K.FOREST_TREES) -> Pipeline:
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"),
-                            RandomForestClassifier(featuresCol="features", labelCol=LABEL, numTrees=K.FOREST_TREES,
+                            RandomForestClassifier(featuresCol="features", labelCol=LABEL, numTrees=trees,
                                                    maxDepth=K.FOREST_DEPTH, seed=seed)])
 
 
@@ -236,41 +238,49 @@ def cv_search(df_with_folds: DataFrame, features: list[str], n_trials: int = K.S
         return cv.fit(data)
 
 
-def out_of_fold(df_with_folds: DataFrame, learners: dict, k: int) -> DataFrame:
+def out_of_fold(df_with_folds: DataFrame, learners: dict, k: int, root: str | None = None) -> DataFrame:
     """M7 level 1: out-of-fold probabilities of each base learner (one column per
-    learner); every row is predicted exactly once, by models not trained on it."""
-    def one(f: int) -> DataFrame:
+    learner); every row is predicted exactly once, by models not trained on it.
+
+    Each fold is written to its own folder of ``root`` as soon as it is fitted. A job
+    that starts again on the same ``root`` fits the folds that are not finished only.
+    """
+    spark = df_with_folds.sparkSession
+    root = root or scratch_table_path(spark, f"out-of-fold-{uuid.uuid4().hex}")
+
+    def one(f: int) -> None:
+        path = f"{root}/fold={f}"
+        if is_finished(spark, path):
+            return
         train, out = df_with_folds.where(F.col("fold") != f), df_with_folds.where(F.col("fold") == f)
         for name, learner in learners.items():
             out = positive_probability(learner.fit(train), out, f"p_{name}").drop("risk_band")
-        return out
+        out.drop("fold").write.mode("overwrite").parquet(path)
 
-    parts = in_parallel(one, list(range(k)))
-    oof = parts[0]
-    for p in parts[1:]:
-        oof = oof.unionByName(p)
-    return oof
+    in_parallel(one, list(range(k)))
+    return spark.read.option("basePath", root).parquet(*[f"{root}/fold={f}" for f in range(k)])
 
 
-def stack_learners(features: list[str], max_iter: int = K.STACK_ITERATIONS) -> dict:
+def stack_learners(features: list[str], max_iter: int = K.STACK_ITERATIONS, forest_trees: int = K.FOREST_TREES) -> dict:
     """Base learners of the stack: two boosted forests (depth 5 and 4 stand for the two
     engines), a random forest and a logistic model."""
     return {"gbt": gbt_pipeline(features, max_iter=max_iter, max_depth=5),
             "gbt2": gbt_pipeline(features, max_iter=max_iter, max_depth=4, seed=K.SEED + 1),
-            "rf": forest_pipeline(features), "lr": StandardizedLogistic(features)}
+            "rf": forest_pipeline(features, trees=forest_trees), "lr": StandardizedLogistic(features)}
 
 
-def stacking_fit(df_with_folds: DataFrame, features: list[str], k: int = K.N_FOLDS, max_iter: int = K.STACK_ITERATIONS):
+def stacking_fit(df_with_folds: DataFrame, features: list[str], k: int = K.N_FOLDS, max_iter: int = K.STACK_ITERATIONS,
+                 forest_trees: int = K.FOREST_TREES, root: str | None = None) -> tuple[dict, PipelineModel]:
     """M7: base learners -> OOF columns -> logistic meta-learner; bases refitted on
-    all training rows for serving."""
-    learners = stack_learners(features, max_iter)
+    all training rows for serving. ``root`` keeps the out-of-fold table for a restart."""
+    learners = stack_learners(features, max_iter, forest_trees)
     with kept(df_with_folds) as data:
-        oof = out_of_fold(data, learners, k)
+        oof = out_of_fold(data, learners, k, root)
         n = data.count()
         meta = Pipeline(stages=[VectorAssembler(inputCols=[f"p_{x}" for x in learners], outputCol="features"),
                                 LogisticRegression(featuresCol="features", labelCol=LABEL, regParam=1.0 / max(1, n),
                                                    standardization=False, maxIter=1000)]).fit(oof)
-        bases = {name: p.fit(data) for name, p in learners.items()}
+        bases = dict(zip(learners, in_parallel(lambda p: p.fit(data), list(learners.values()))))
     return bases, meta
 
 

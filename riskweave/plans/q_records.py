@@ -241,7 +241,7 @@ def q_counsellor_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     factors = F.when(F.col("financial_aid_status") != 2, F.transform(EX.top_factors(F.col("explanation"), 2), EX.factor_sentence))
     text = EX.counsellor_text(custom, F.col("anon_id"), F.col("risk_band"), factors)
     root = _root(spark, "alerts")
-    LG.append(e.select("student_id", text.alias("message"), F.lit("SMS_COUNSELLOR").alias("alert_type")), root, "alert_type")
+    LG.append(e.select("student_id", text.alias("message"), F.lit("SMS_COUNSELLOR").alias("alert_type")), root, "counsellor-1", "alert_type")
     return spark.read.parquet(root).select("student_id", "message", "alert_type")
 
 
@@ -251,10 +251,11 @@ def _two_runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, s
     st = cut_lineage(B.students(spark, sf_dir), "students")
     now = F.to_timestamp(F.lit(B.as_of(spark, sf_dir)))
     root = _root(spark, "predictions")
-    LG.append(LG.prediction_rows(st, "student_id", now - F.expr("INTERVAL 1 DAY"), F.lit("fixed_a")), root, "model_version")
+    LG.append(LG.prediction_rows(st, "student_id", now - F.expr("INTERVAL 1 DAY"), F.lit("fixed_a")), root, "batch-1", "model_version")
     rescored = SC.score(st.drop("risk_score", "risk_band"), SC.SCORER_B)
     new, log = ST.scored_writeback(st, rescored, "student_id", B.as_of(spark, sf_dir), "fixed_b")
-    LG.append(log.drop("anon_id"), root, "model_version")
+    for _ in range(2):  # the second run is started twice, as after a failure: its rows are logged once
+        LG.append(log.drop("anon_id"), root, "batch-2", "model_version")
     return new, spark.read.parquet(root), root
 
 
@@ -280,9 +281,9 @@ def q_prediction_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = EX.explanation_to_json(QX.explained(spark, sf_dir))
     root = _root(spark, "predictions")
     rows = LG.prediction_rows(e, "student_id", now - F.expr("INTERVAL 1 DAY"), F.lit("fixed_a"), ["explanation_json"])
-    LG.append(rows, root, "model_version")
+    LG.append(rows, root, "batch-1", "model_version")
     again = SC.score(e.drop("risk_score", "risk_band"), SC.SCORER_B).withColumn("explanation_json", F.lit("not json"))
-    LG.append(LG.prediction_rows(again, "student_id", now, F.lit("fixed_b"), ["explanation_json"]), root, "model_version")
+    LG.append(LG.prediction_rows(again, "student_id", now, F.lit("fixed_b"), ["explanation_json"]), root, "batch-2", "model_version")
     h = EX.explanation_from_json(LG.history(spark.read.parquet(root), "student_id"), "explanation_json")
     top = EX.top_factors(F.col("explanation"), 1)[0]
     return h.select("student_id", "position", "model_version", top["feature"].alias("top_feature"),
@@ -302,7 +303,7 @@ def q_nightly_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = log.where("model_version = 'fixed_a'").select("student_id", (F.col("risk_band") == "HIGH").alias("is_flagged"))
     flagged = TS.newly_flagged(new.drop("is_flagged"), before, "student_id", band="risk_band")
     root = _root(spark, "alerts")
-    LG.append(flagged.select("student_id", F.lit("RISK_HIGH").alias("alert_type")), root, "alert_type")
+    LG.append(flagged.select("student_id", F.lit("RISK_HIGH").alias("alert_type")), root, "nightly-1", "alert_type")
     alerts = spark.read.parquet(root)
     return log.select(F.lit("log").alias("kind"), "student_id", F.col("model_version").cast("string").alias("detail")).unionByName(
         alerts.select(F.lit("alert").alias("kind"), "student_id", F.col("alert_type").cast("string").alias("detail")))
@@ -337,7 +338,7 @@ def q_retrain_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
             rows, _ = ST.feedback_labels(base, cohort.interventions(spark, sf_dir), "student_id_orig", "student_id")
         scored = rows.select(F.col("dropout_label").alias("label"), fround(scorer.probability(), 4).alias("score"))
         m = EV.classification_metrics(EV.score_histogram(scored, "score", "label"), K.TAU)
-        LG.append(m.select(F.lit(name).alias("model"), "f1", "kappa", (now + F.expr(f"INTERVAL {i} HOURS")).alias("run_at")), root)
+        LG.append(m.select(F.lit(name).alias("model"), "f1", "kappa", (now + F.expr(f"INTERVAL {i} HOURS")).alias("run_at")), root, f"run-{i}")
     t = LG.run_trend(spark.read.parquet(root), "run_at", ["f1", "kappa"])
     return t.select("run", "f1", "kappa", fround("f1_change", 4).alias("f1_change"), fround("kappa_change", 4).alias("kappa_change"))
 
@@ -356,7 +357,7 @@ def q_drift_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = _root(spark, "drift")
     for name, rows in (("no_baseline", p.where("sample = 'current'")), ("periods", p)):
         LG.append(MO.drift_check(rows, "risk_score", "sample").select(
-            F.lit(name).alias("check_name"), "psi", "ks_statistic", "drift_level", now.alias("checked_at")), root)
+            F.lit(name).alias("check_name"), "psi", "ks_statistic", "drift_level", now.alias("checked_at")), root, f"check-{name}")
     return (spark.read.parquet(root).orderBy(F.col("checked_at").desc(), "check_name").limit(30)
             .select("check_name", "psi", "ks_statistic", "drift_level"))
 

@@ -97,6 +97,12 @@ def scratch_table_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, "tables", name)
 
 
+def is_finished(spark: SparkSession, path: str) -> bool:
+    """Whether a job has committed its output to the folder."""
+    marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
+
+
 def join_dimension(fact: DataFrame, dim: DataFrame, on: str | list[str], how: str = "left",
                    max_rows: int = 200_000) -> DataFrame:
     """Join a dimension table. Its rows are counted first (at most ``max_rows`` + 1):

@@ -124,7 +124,7 @@ def test_logs_history_and_trend(spark, tmp_path):
     root = str(tmp_path / "log")
     for i, v in enumerate(["v1", "v2", "v3"]):
         rows = spark.createDataFrame([(k, 0.1 * i, "LOW", dt.datetime(2024, 1, 1 + i)) for k in (1, 2)], "id int, risk_score double, risk_band string, t timestamp")
-        LG.append(LG.prediction_rows(rows, "id", F.col("t"), F.lit(v)), root, "model_version")
+        LG.append(LG.prediction_rows(rows, "id", F.col("t"), F.lit(v)), root, f"run-{i}", "model_version")
     got = sorted((r.id, r.position, r.model_version) for r in LG.history(spark.read.parquet(root), "id", n=2).collect())
     assert got == [(1, 1, "v3"), (1, 2, "v2"), (2, 1, "v3"), (2, 2, "v2")]
     runs = spark.createDataFrame([(dt.datetime(2024, 1, d), d / 10) for d in range(1, 15)], "at timestamp, f1 double")
@@ -132,6 +132,20 @@ def test_logs_history_and_trend(spark, tmp_path):
     assert len(t) == 10 and t[0][1:] == (0.5, None) and t[-1][1] == 1.4 and abs(t[-1][2] - 0.1) < 1e-12
 
 
+def test_a_repeated_run_is_logged_once(spark, tmp_path):
+    root = str(tmp_path / "log")
+    rows = spark.range(200).select(F.col("id"), F.lit("v1").alias("model_version"))
+    LG.append(rows, root, "monday", "model_version")
+    dying = rows.repartition(4).withColumn("id", F.when(F.col("id") == 150, F.raise_error(F.lit("lost")).cast("long")).otherwise(F.col("id")))
+    with pytest.raises(Exception, match="lost"):
+        LG.append(dying, root, "tuesday", "model_version")     # dies half way: nothing of it is seen
+    assert {r.run_id for r in spark.read.parquet(root).select("run_id").distinct().collect()} == {"monday"}
+    for _ in range(2):
+        LG.append(rows, root, "tuesday", "model_version")
+    got = spark.read.parquet(root).groupBy("run_id", "id").count()
+    assert got.count() == 400 and got.where("count > 1").count() == 0
+
+
 def test_reports(spark, tmp_path):
     rows = spark.createDataFrame([("a", 1.5), ("b", None)], "metric string, value double")
     LG.write_report(rows, str(tmp_path), "one")

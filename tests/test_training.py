@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from riskweave import constants as K
 from riskweave.operators import features as FE
 from riskweave.operators import splits as SP
+from riskweave.operators import retraining as RT
 from riskweave.operators import training as TR
 from riskweave.sources import models as MS
 
@@ -83,12 +84,65 @@ def test_out_of_fold_covers_every_row_once(rows):
     assert all(0 <= r.p_lr <= 1 and 0 <= r.p_gbt <= 1 for r in oof)
 
 
-def test_stack(rows):
-    bases, meta = TR.stacking_fit(rows.where("split = 'train'").drop("split"), FEATS, max_iter=3)
+def test_stack_is_saved_as_one_bundle(spark, rows, tmp_path):
+    bases, meta = TR.stacking_fit(rows.where("split = 'train'").drop("split"), FEATS, max_iter=3, forest_trees=5)
     assert set(bases) == {"gbt", "gbt2", "rf", "lr"}
-    scored = TR.stacking_predict(bases, meta, rows.where("split = 'test'"))
+    test = rows.where("split = 'test'")
+    scored = TR.stacking_predict(bases, meta, test)
     check_ranges(metrics(scored))
     assert {r.risk_band for r in scored.collect()} <= {"LOW", "MEDIUM", "HIGH"}
+    MS.save_bundle(bases | {"meta": meta}, str(tmp_path), "v20240101_000000", FEATS, {"auc": 0.9, "f1": 0.8})
+    models, row = MS.load_bundle(spark, str(tmp_path))
+    again = TR.stacking_predict({n: m for n, m in models.items() if n != "meta"}, models["meta"], test)
+    cols = ["student_key", "score", "p_gbt", "p_gbt2", "p_rf", "p_lr"]
+    assert sorted(again.select(*cols).collect()) == sorted(scored.select(*cols).collect())
+    assert row.count() == 1 and [m["name"] for m in row.first()["models"]] == ["gbt", "gbt2", "rf", "lr", "meta"]
+    MS.save_bundle({}, str(tmp_path), "v20240102_000000", FEATS, {"auc": 0.95})
+    got = {(r.version, r.metric): (r.value, r.is_newest) for r in MS.model_metrics(spark, str(tmp_path)).collect()}
+    assert got == {("v20240101_000000", "auc"): (0.9, False), ("v20240101_000000", "f1"): (0.8, False), ("v20240102_000000", "auc"): (0.95, True)}
+    assert MS.model_metrics(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_a_finished_fold_is_not_fitted_again(rows, tmp_path):
+    class Counting:
+        fits = []
+
+        def __init__(self, dies_at=None):
+            self.inner, self.dies_at = TR.gbt_pipeline(FEATS, max_iter=1), dies_at
+
+        def fit(self, train):
+            folds = {r.fold for r in train.select("fold").distinct().collect()}
+            left_out = (set(range(K.N_FOLDS)) - folds).pop()
+            if left_out == self.dies_at:
+                raise RuntimeError("executor lost")
+            self.fits.append(left_out)
+            return self.inner.fit(train)
+
+    train = rows.where("split = 'train'")
+    with pytest.raises(RuntimeError):
+        TR.out_of_fold(train, {"gbt": Counting(dies_at=3)}, K.N_FOLDS, str(tmp_path))
+    assert sorted(Counting.fits) == [0, 1, 2, 4]
+    oof = TR.out_of_fold(train, {"gbt": Counting()}, K.N_FOLDS, str(tmp_path))
+    assert sorted(Counting.fits) == [0, 1, 2, 3, 4]
+    assert sorted(r.student_key for r in oof.collect()) == sorted(r.student_key for r in train.collect())
+    folds = {r.student_key: r.fold for r in train.collect()}
+    assert all(folds[r.student_key] == r.fold for r in oof.collect())
+
+
+def test_feedback_retraining_logs_one_run(spark, rows, tmp_path):
+    base = rows.drop("split", "fold").withColumn("person", F.expr("cast(substring(student_key, 2) AS int)")).withColumn(
+        "dropout_label", F.col("label").cast("int"))
+    outcomes = spark.createDataFrame([(i, "SUCCESSFUL" if i % 3 == 0 else "UNSUCCESSFUL") for i in range(1, 60)], "student_id int, outcome string")
+    args = ("student_key", "person", FEATS, str(tmp_path / "models"), "v20240101_000000", str(tmp_path / "runs"), "2024-01-01 00:00:00")
+    for _ in range(2):  # a repeated run replaces its rows
+        report, stats = RT.retrain_on_feedback(base, outcomes, *args, str(tmp_path / "work"), max_iter=2, forest_trees=3)
+    got = {(r.model, r.metric): r.value for r in report.collect()}
+    log = spark.read.parquet(str(tmp_path / "runs")).collect()
+    assert len(log) == 1 and log[0].auc == got["stack", "auc"] and {m for m, _ in got} == {"stack", "gbt", "gbt2", "rf", "lr"}
+    assert {r.metric: r.value for r in stats.collect()}["labels_overridden"] > 0
+    assert MS.load_bundle(spark, str(tmp_path / "models"))[1].first()["version"] == "v20240101_000000"
+    none, _ = RT.retrain_on_feedback(base, outcomes.withColumn("outcome", F.lit("PENDING")), *args)
+    assert none.count() == 0 and len(spark.read.parquet(str(tmp_path / "runs")).collect()) == 1
 
 
 def test_search_takes_the_best_trial(rows):
