@@ -153,9 +153,55 @@ def page(df: DataFrame, order: list[Column], page_no: int = 1, size: int = 50, m
     return df.orderBy(*order).offset((page_no - 1) * size).limit(size)
 
 
-def user_sort(col: str, descending: bool) -> Column:
-    """L3: user-chosen sort column, null sorted as 0."""
-    c = F.coalesce(F.col(col), F.lit(0)) if col else F.lit(0)
+def seek(order: list[tuple[str, bool]], after: dict) -> Column:
+    """Rows that come after the row ``after`` in an order of (column, descending), nulls
+    last in every column. Its last column must be unique."""
+    out, same = F.lit(False), F.lit(True)
+    for col, descending in order:
+        c, v = F.col(col), after[col]
+        if v is None:
+            later, equal = F.lit(False), c.isNull()  # nothing comes after a null but other nulls
+        else:
+            later = ((c < F.lit(v)) if descending else (c > F.lit(v))) | c.isNull()
+            equal = c == F.lit(v)
+        out = out | (same & later)
+        same = same & equal
+    return F.coalesce(out, F.lit(False))
+
+
+def keyset_page(df: DataFrame, order: list[tuple[str, bool]], size: int = 50, after: dict | None = None,
+                max_size: int = 500) -> DataFrame:
+    """L2, keyset form: the first ``size`` rows after a cursor. A page at any depth is
+    one filter and one top-k, where an offset sorts all the rows before it."""
+    if not 1 <= size <= max_size:
+        raise ValueError(f"page size must be in 1..{max_size}")
+    rows = df if after is None else df.where(seek(order, after))
+    return rows.orderBy(*[F.col(c).desc_nulls_last() if d else F.col(c).asc_nulls_last() for c, d in order]).limit(size)
+
+
+def cursor(page_rows: DataFrame, order: list[tuple[str, bool]]) -> dict | None:
+    """The cursor of the next page: the order's values of a page's last row (a page has
+    at most 500 rows); None after an empty page."""
+    rows = page_rows.select(*[c for c, _ in order]).collect()
+    return rows[-1].asDict() if rows else None
+
+
+COLLATION = "UNICODE_CI_AI"
+
+
+def user_sort(df: DataFrame, col: str | None, descending: bool, collation: str = COLLATION) -> Column:
+    """L3: user-chosen sort column of ``df``. Text is compared by locale rules, without
+    regard to case and accents, an absent text as the empty one; numbers, dates and
+    flags sort an absent value as 0, the first day, false."""
+    kind = dict(df.dtypes).get(col or "")
+    if kind is None:
+        c = F.lit("")  # (a number would be taken for a position)
+    elif kind == "string" or kind.startswith(("string", "varchar", "char")):
+        c = F.collate(F.coalesce(F.col(col), F.lit("")), collation)
+    elif kind.startswith(("timestamp", "date")):
+        c = F.coalesce(F.col(col), F.lit("1970-01-01").cast(kind))
+    else:
+        c = F.coalesce(F.col(col), F.lit(0).cast(kind))
     return c.desc() if descending else c.asc()
 
 

@@ -85,12 +85,35 @@ def dedupe_first(df: DataFrame, key: list[str], order: list[Column]) -> DataFram
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
-def activity(vle: DataFrame) -> DataFrame:
-    """A1 + A4 in one pass over the activity log: total clicks and distinct sites per entity."""
+def activity(vle: DataFrame, rsd: float | None = None) -> DataFrame:
+    """A1 + A4 in one pass over the activity log: total clicks and distinct sites per
+    entity, exact or (``rsd``, a relative standard error) estimated without keeping the sites."""
+    sites = F.count_distinct("id_site") if rsd is None else F.approx_count_distinct("id_site", rsd)
     # Totals are rounded to 6 decimals so that ties in the rank below do not
     # depend on the (distributed, order-free) summation order of doubles.
     return vle.groupBy(*KEY).agg(fround(F.sum("sum_click"), 6).alias("total_clicks"),
-                                 F.count_distinct("id_site").alias("n_distinct_sites"))
+                                 sites.alias("n_distinct_sites"))
+
+
+def distinct_sketches(df: DataFrame, keys: list[str], columns: list[str], lg_k: int = 12) -> DataFrame:
+    """A4, opt-in approximate form: a HyperLogLog sketch per group and column. Sketches
+    have a fixed size (some 2**lg_k bytes), can be stored, and merge without the rows."""
+    return df.groupBy(*keys).agg(*[F.hll_sketch_agg(F.col(c).cast("string"), lg_k).alias(c) for c in columns])
+
+
+def merge_sketches(sketches: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """One sketch per group of those of several uploads."""
+    return sketches.groupBy(*keys).agg(*[F.hll_union_agg(c).alias(c) for c in columns])
+
+
+def sketch_counts(sketches: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Estimated distinct values; the standard error is ``sketch_error`` of them."""
+    return sketches.select(*keys, *[F.hll_sketch_estimate(c).alias(c) for c in columns])
+
+
+def sketch_error(lg_k: int = 12) -> float:
+    """Relative standard error of a HyperLogLog estimate (1.04 / sqrt(2**lg_k))."""
+    return 1.04 / 2 ** (lg_k / 2)
 
 
 def assessment_totals(assessed_df: DataFrame) -> DataFrame:

@@ -1,5 +1,5 @@
-"""Score-distribution monitoring: baseline profile, PSI, KS, mean shift, drift
-verdict, synthetic-data quality (A23, E14-E20)."""
+"""Score-distribution monitoring: PSI, KS, mean shift, drift verdict, synthetic-data
+quality (E14-E20)."""
 
 from __future__ import annotations
 
@@ -15,15 +15,6 @@ from ..session import cut_lineage
 from .ranking import value_counts_cumulative
 
 
-def baseline_profile(scores: DataFrame, score: str) -> DataFrame:
-    """N, mean, population std, p10/25/50/75/90 (round 4) in one aggregate."""
-    qs = [0.10, 0.25, 0.50, 0.75, 0.90]
-    agg = scores.agg(F.count(score).alias("n"), F.avg(score).alias("mean"), F.stddev_pop(score).alias("std"),
-                     F.percentile(score, qs).alias("_p"))
-    return agg.select("n", fround(F.col("mean"), 4).alias("mean"), fround(F.col("std"), 4).alias("std"),
-                      *[fround(F.col("_p")[i], 4).alias(f"p{int(q * 100)}") for i, q in enumerate(qs)])
-
-
 def sample_histogram(df: DataFrame, score: str, sample: str, digits: int | None = 4) -> DataFrame:
     """(sample, v, n, total) of the scores rounded to ``digits`` (None: as they are): all
     that PSI, KS and the means need, in at most samples x 10**digits rows for scores in [0, 1]."""
@@ -98,9 +89,13 @@ def drift_check(df: DataFrame, score: str, sample: str, baseline: str = "baselin
     """E14 + E15 + E16 + E17: one verdict row (PSI, KS, mean shift %, level).
 
     The input is read once, into a histogram of the scores rounded to ``digits``.
-    Without any baseline score the level is NO_BASELINE and nothing is detected.
     """
-    hist = cut_lineage(sample_histogram(df, score, sample, digits), "score-histogram")
+    return drift_of(cut_lineage(sample_histogram(df, score, sample, digits), "score-histogram"), baseline, current, digits)
+
+
+def drift_of(hist: DataFrame, baseline: str = "baseline", current: str = "current", digits: int = 4) -> DataFrame:
+    """The verdict row from a histogram (sample, v, n, total), which three passes read.
+    Without any baseline score the level is NO_BASELINE and nothing is detected."""
     p = psi_of(hist, baseline, current)
     k = ks_statistic(hist, "v", "sample", baseline, current, digits=digits, weight="n")
     mean = lambda s: F.sum(F.when(F.col("sample") == s, F.col("total"))) / F.sum(

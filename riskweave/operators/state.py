@@ -10,9 +10,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .explain import EXPLANATION_TYPE
 
 
 def last_per_key(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
@@ -191,21 +192,42 @@ def mark_read(alerts: DataFrame, predicate: Column) -> DataFrame:
     return (alerts.withColumn("is_read", F.col("is_read") | predicate | F.col("is_dismissed")))
 
 
-def entity_360(persons: DataFrame, predictions: DataFrame, interventions: DataFrame, key: str) -> DataFrame:
-    """One row per entity: latest score, counts and latest intervention.
+def newest_rows(df: DataFrame, key: str, order: list[Column], n: int, fields: list[str], out: str) -> DataFrame:
+    """(key, out): the first ``n`` rows of each key as a list of structs, in order.
 
-    Child tables are reduced per entity with aggregates (``max_by``, counts)
-    before the joins: no per-entity list is collected, so a hot entity costs
-    one partial aggregate, not one task holding its rows.
+    The rank limit is applied in every task before the rows are shuffled, so a hot
+    key costs ``n`` rows per task; lists never hold more than ``n`` rows.
     """
-    p = predictions.groupBy(key).agg(F.count(F.lit(1)).alias("n_predictions"),
-                                      F.max_by("risk_score", "ts").alias("latest_score"),
-                                      F.max("ts").alias("latest_ts"))
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    top = df.select(key, rank.alias("_rank"), *fields).where(F.col("_rank") <= n)
+    listed = top.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_rank", *fields))).alias("_l"))
+    return listed.select(key, F.transform("_l", lambda x: F.struct(*[x[f].alias(f) for f in fields])).alias(out))
+
+
+def entity_360(persons: DataFrame, predictions: DataFrame, interventions: DataFrame, key: str, n: int = 10) -> DataFrame:
+    """One row per entity: counts, the newest ``n`` predictions and interventions as
+    lists (newest first), and the explanation of the newest prediction that has one.
+
+    ``predictions``: key, ts, risk_score, explanation (JSON text or null). Child tables
+    are reduced per entity before the joins, by aggregates with partial results and by
+    ``newest_rows``, so that no task holds a hot entity's rows.
+    """
+    p = predictions.groupBy(key).agg(
+        F.count(F.lit(1)).alias("n_predictions"), F.max_by("risk_score", "ts").alias("latest_score"), F.max("ts").alias("latest_ts"),
+        F.max_by(F.when(F.col("explanation").isNotNull(), F.col("explanation")),
+                 F.when(F.col("explanation").isNotNull(), F.col("ts"))).alias("_explanation"))
     i = interventions.groupBy(key).agg(
         F.count(F.lit(1)).alias("n_interventions"),
         F.count_if(F.col("outcome") == "SUCCESSFUL").alias("n_successful"),
         F.max_by("intervention_type", F.struct("created_at", "id")).alias("latest_intervention_type"))
-    return persons.join(p, key, "left").join(i, key, "left")
+    scores = newest_rows(predictions, key, [F.col("ts").desc()], n, ["ts", "risk_score"], "predictions")
+    steps = newest_rows(interventions, key, [F.col("created_at").desc(), F.col("id").desc()], n,
+                        ["id", "intervention_type", "status", "outcome", "created_at"], "interventions")
+    out = persons
+    for child in (p, i, scores, steps):
+        out = out.join(child, key, "left")
+    decoded = F.from_json("_explanation", EXPLANATION_TYPE, {"mode": "PERMISSIVE"})
+    return out.withColumn("explanation", decoded).drop("_explanation")
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.columns import percent
 from ..operators import dashboard as D
 from ..operators import evaluation as EV
+from ..session import cut_lineage
 from ..sources import cohort
 from . import base as B
 from . import sqlbits as S
@@ -131,10 +132,42 @@ def q_student_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     st = B.students(spark, sf_dir)
     st = D.conjunctive_filter(st, risk_band="HIGH", is_flagged=True, intervention_type=None)
     st = D.search(st, "_M1", ["student_id"])
-    pg = D.page(st, [D.user_sort("risk_score", True), F.col("student_id").asc()], page_no=2, size=50)
+    pg = D.page(st, [D.user_sort(st, "risk_score", True), F.col("student_id").asc()], page_no=2, size=50)
     return pg.select("student_id", "anon_id", "risk_score", "risk_band")
 
 
+@register("student_page_keyset", B.sql(*B.STUDENT_CTES, select=_PAGE_SQL))
+def q_student_page_keyset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L2 (keyset): page 2 of the list by the cursor of page 1; equals the offset page."""
+    st = D.search(D.conjunctive_filter(B.students(spark, sf_dir), risk_band="HIGH", is_flagged=True), "_M1", ["student_id"])
+    st = cut_lineage(st.select("student_id", "anon_id", "risk_score", "risk_band"), "student-list")
+    order = [("risk_score", True), ("student_id", False)]
+    first = D.cursor(D.keyset_page(st, order), order)
+    return D.keyset_page(st, order, after=first) if first else st.limit(0)
+
+
+_PERSONS_SORTED_SQL = """
+SELECT 'programme' AS sorted_by, position, student_id FROM (
+  SELECT c_custkey AS student_id, row_number() OVER (ORDER BY lower(strip_accents(c_mktsegment)) DESC, c_custkey) AS position FROM customer)
+WHERE position <= 500
+UNION ALL SELECT 'region_code', position, student_id FROM (
+  SELECT c_custkey AS student_id, row_number() OVER (ORDER BY c_nationkey, c_custkey) AS position FROM customer)
+WHERE position <= 500"""
+
+
+@register("sorted_lists", B.sql("persons_b AS (SELECT 1)", select=_PERSONS_SORTED_SQL))
+def q_sorted_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L3: the person list by a user-chosen text column (locale order, descending) and by a
+    number column, first page of 500 each, with positions."""
+    people = cohort.persons(spark, sf_dir)
+    parts = []
+    for col, descending in (("programme", True), ("region_code", False)):
+        pg = D.page(people, [D.user_sort(people, col, descending), F.col("student_id").asc()], 1, 500)
+        own = Window.partitionBy(F.lit(1)).orderBy(D.user_sort(people, col, descending), F.col("student_id").asc())  # a page's rows
+        parts.append(pg.select(F.lit(col).alias("sorted_by"), F.row_number().over(own).alias("position"), "student_id"))
+    return D.union_all(parts)
+
+
 @register("filtered_count", B.sql(*B.STUDENT_CTES, select="""
 SELECT count(*) AS total FROM students WHERE risk_band = 'MEDIUM' AND dropout_label IS NOT NULL"""))
 def q_filtered_count(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..operators import baseline as BL
 from ..operators import monitoring as MO
 from ..operators import splits as SP
-from ..session import cut_lineage
+from ..session import cut_lineage, scratch_table_path
 from ..sources import cohort
 from . import base as B
 from . import sqlbits as S
@@ -39,7 +42,7 @@ SELECT count(risk_score) AS n, {R('avg(risk_score)', 4)} AS mean, {R('stddev_pop
 FROM periods WHERE sample = 'baseline'"""))
 def q_baseline_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Baseline score profile (n, mean, std, percentiles) of the first period."""
-    return MO.baseline_profile(periods(spark, sf_dir).where(F.col("sample") == "baseline"), "risk_score")
+    return BL.profile(BL.histogram(periods(spark, sf_dir).where(F.col("sample") == "baseline"), "risk_score"))
 
 
 def kolmogorov_sql(d: str, n1: str, n2: str) -> str:
@@ -95,6 +98,28 @@ def q_drift_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return MO.drift_check(periods(spark, sf_dir), "risk_score", "sample")
 
 
+@register("drift_against_baseline", B.sql(S.HISTORY, PERIODS_SQL, S.split_final(_DRIFT)[0], select=f"""
+SELECT *, 'check' AS kind, NULL::BIGINT AS n, NULL::DOUBLE AS mean, NULL::DOUBLE AS p50 FROM ({S.split_final(_DRIFT)[1]})
+UNION ALL SELECT NULL, NULL, NULL, NULL, 'NO_BASELINE', false, 'before', NULL, NULL, NULL
+UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, 'profile', count(risk_score), {R('avg(risk_score)', 4)}, {R('quantile_cont(risk_score, 0.5)', 4)}
+FROM periods WHERE sample = 'baseline'"""))
+def q_drift_against_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E17+A23+L8: a baseline stored batch by batch (one per parity of the week, one of them sent
+    twice), then a check of the later period against it, which reads no raw baseline row; a
+    check before there is a baseline; and the profile of the stored baseline."""
+    root = scratch_table_path(spark, f"baseline-{uuid.uuid4().hex[:12]}")
+    p = cut_lineage(periods(spark, sf_dir), "periods")
+    current = p.where("sample = 'current'")
+    before = BL.check(spark, root, current, "risk_score").withColumn("kind", F.lit("before"))
+    baseline = BL.start(spark, root)
+    old = p.where("sample = 'baseline'").withColumn("batch", F.weekofyear("ts") % 2)
+    for batch in (0, 1, 1):
+        BL.add_batch(old.where(F.col("batch") == batch), "risk_score", baseline, f"batch-{batch}")
+    check = BL.check(spark, root, current, "risk_score").withColumn("kind", F.lit("check"))
+    profile = BL.profile(BL.read(spark, root)).select(F.lit("profile").alias("kind"), "n", "mean", "p50")
+    return before.unionByName(check).unionByName(profile, allowMissingColumns=True)
+
+
 def split_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SP.stratified_split(B.feature_table(spark, sf_dir), "student_key", "dropout_label")
 

@@ -24,6 +24,7 @@ from ..operators import training as TR
 from ..operators import validation as VA
 from ..session import cut_lineage, scratch_table_path
 from ..sources import cohort
+from ..sources import models as MS
 from ..sources import uploads as U
 from ..sources.tables import read_table
 from . import base as B
@@ -426,6 +427,29 @@ def q_report_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
         "report", "metric", "value")
 
 
+def _version_sql(version: str, scorer: SC.LinearScorer, newest: bool) -> str:
+    return f"""SELECT '{version}' AS version, metric, value, {str(newest).lower()} AS is_newest FROM (
+  SELECT {R('(tp + tn) / (tp + fp + tn + fn)', 4)} AS accuracy, {R('2 * tp / (2 * tp + fp + fn)', 4)} AS f1, tp FROM (
+    SELECT count_if(y = 1 AND h)::DOUBLE AS tp, count_if(y = 0 AND h)::DOUBLE AS fp, count_if(y = 0 AND NOT h)::DOUBLE AS tn,
+           count_if(y = 1 AND NOT h)::DOUBLE AS fn
+    FROM (SELECT dropout_label AS y, {R(B.sql_prob(scorer), 4)} >= {K.TAU} AS h FROM split_t WHERE split = 'test')))
+UNPIVOT (value FOR metric IN (accuracy, f1, tp))"""
+
+
+_VERSIONS = [("v20240101_000000", SC.SCORER_A, "score_a"), ("v20240102_000000", SC.SCORER_B, "score_b")]
+
+
+@register("model_metrics", B.sql(*S.FEATURE_CTES, QM.SPLIT_SQL, select=" UNION ALL ".join(
+    _version_sql(v, s, v == _VERSIONS[-1][0]) for v, s, _ in _VERSIONS)))
+def q_model_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S11+S12: test metrics of two versions in the model store, projected from their metadata."""
+    root, t = _root(spark, "models"), test_split(spark, sf_dir)
+    for version, scorer, col in _VERSIONS:
+        m = EV.classification_metrics(EV.score_histogram(t, col, "label"), K.TAU).select("accuracy", "f1", "tp").first()
+        MS.save_bundle({}, root, version, list(scorer.coefs), m.asDict())
+    return MS.model_metrics(spark, root)
+
+
 @register("roc_comparison", B.sql(*QE.CTES, QE._ROC, select=f"""
 SELECT position, max(CASE WHEN model = 'fixed_a' THEN fpr END) AS fpr_stored, max(CASE WHEN model = 'fixed_a' THEN tpr END) AS tpr_stored,
        max(CASE WHEN model = 'rule' THEN fpr END) AS fpr_rule, max(CASE WHEN model = 'rule' THEN tpr END) AS tpr_rule

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.columns import clip, hash_id
+from ..functions.columns import clip, fround, hash_id
 from ..operators import scoring as SC
 from ..operators import state as ST
 from ..sources import cohort
@@ -146,21 +146,39 @@ def q_feedback_relabel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats
 
 
-@register("entity_360", B.sql(S.HISTORY, S.INTERVENTIONS, select="""
+@register("entity_360", B.sql(S.HISTORY, S.INTERVENTIONS, select=f"""
 SELECT c.c_custkey AS student_id, c.c_nationkey AS region_code, c.c_mktsegment AS programme,
        p.n_predictions, p.latest_score, strftime(p.latest_ts, '%Y-%m-%d') AS latest_ts,
-       i.n_interventions, i.n_successful, i.latest_intervention_type
+       i.n_interventions, i.n_successful, i.latest_intervention_type, pl.predictions, il.interventions,
+       {R('e.v', 4)} AS explained_value
 FROM customer c
 LEFT JOIN (SELECT entity_id, count(*) AS n_predictions, arg_max(risk_score, ts) AS latest_score, max(ts) AS latest_ts
            FROM history_b GROUP BY entity_id) p ON c.c_custkey = p.entity_id
 LEFT JOIN (SELECT student_id, count(*) AS n_interventions, count_if(coalesce(outcome = 'SUCCESSFUL', false)) AS n_successful,
                   arg_max(intervention_type, (created_at, id)) AS latest_intervention_type
-           FROM interventions_b GROUP BY student_id) i ON c.c_custkey = i.student_id"""))
+           FROM interventions_b GROUP BY student_id) i ON c.c_custkey = i.student_id
+LEFT JOIN (SELECT entity_id, string_agg(strftime(ts, '%Y-%m-%d') || '=' || printf('%.4f', risk_score), ';' ORDER BY ts DESC) AS predictions
+           FROM (SELECT * FROM history_b QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY ts DESC) <= 5)
+           GROUP BY entity_id) pl ON c.c_custkey = pl.entity_id
+LEFT JOIN (SELECT student_id, string_agg(id || ' ' || intervention_type || ' ' || status, ';' ORDER BY created_at DESC, id DESC) AS interventions
+           FROM (SELECT * FROM interventions_b QUALIFY row_number() OVER (PARTITION BY student_id ORDER BY created_at DESC, id DESC) <= 5)
+           GROUP BY student_id) il ON c.c_custkey = il.student_id
+LEFT JOIN (SELECT entity_id, arg_max(risk_score, ts) AS v FROM history_b WHERE week(ts) % 2 = 0 GROUP BY entity_id) e
+       ON c.c_custkey = e.entity_id"""))
 def q_entity_360(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Person + latest prediction + intervention summary (aggregated children)."""
-    preds = cohort.risk_history(spark, sf_dir).withColumnRenamed("entity_id", "student_id")
-    out = ST.entity_360(cohort.persons(spark, sf_dir), preds, cohort.interventions(spark, sf_dir), "student_id")
-    return out.withColumn("latest_ts", F.date_format("latest_ts", "yyyy-MM-dd"))
+    """J13+F15: person, latest prediction and its explanation (here: even weeks have one), the
+    newest five predictions and interventions as lists, counts."""
+    item = F.array(F.struct(F.lit("attendance_rate").alias("feature"), F.col("risk_score").alias("value"), F.lit(0.1).alias("contribution")))
+    preds = (cohort.risk_history(spark, sf_dir).withColumnRenamed("entity_id", "student_id")
+                   .withColumn("explanation", F.when(F.weekofyear("ts") % 2 == 0, F.to_json(item))))
+    out = ST.entity_360(cohort.persons(spark, sf_dir), preds, cohort.interventions(spark, sf_dir), "student_id", 5)
+    shown = lambda c, fn: F.array_join(F.transform(c, fn), ";").alias(c)
+    return out.select(
+        "student_id", "region_code", "programme", "n_predictions", "latest_score", F.date_format("latest_ts", "yyyy-MM-dd").alias("latest_ts"),
+        "n_interventions", "n_successful", "latest_intervention_type",
+        shown("predictions", lambda p: F.concat(F.date_format(p["ts"], "yyyy-MM-dd"), F.lit("="), F.format_string("%.4f", p["risk_score"]))),
+        shown("interventions", lambda i: F.concat_ws(" ", i["id"].cast("string"), i["intervention_type"], i["status"])),
+        fround(F.col("explanation")[0]["value"], 4).alias("explained_value"))
 
 
 @register("intervention_update", B.sql(S.INTERVENTIONS, select=f"""

@@ -36,16 +36,29 @@ def list_versions(spark: SparkSession, root: str) -> list[int]:
 
 
 def latest_version(spark: SparkSession, root: str) -> str | None:
-    vs = list_versions(spark, root)
-    return f"{root}/{PREFIX}{vs[-1]:06d}" if vs else None
+    return newest_folder(spark, root, PREFIX)
 
 
-def next_version(spark: SparkSession, root: str) -> str:
-    """Path of a version that no folder, finished or not, has yet."""
+def next_folder(spark: SparkSession, root: str, prefix: str) -> str:
+    """Path of a numbered folder under ``root`` that no folder, finished or not, has yet."""
     fs, p, _ = _fs(spark, root)
     names = [st.getPath().getName() for st in fs.listStatus(p)] if fs.exists(p) else []
-    taken = [int(n[len(PREFIX):]) for n in names if n.startswith(PREFIX)]
-    return f"{root}/{PREFIX}{max(taken, default=0) + 1:06d}"
+    taken = [int(n[len(prefix):]) for n in names if n.startswith(prefix)]
+    return f"{root}/{prefix}{max(taken, default=0) + 1:06d}"
+
+
+def newest_folder(spark: SparkSession, root: str, prefix: str, holds: str = "_SUCCESS") -> str | None:
+    """The numbered folder of the highest number that holds finished output: a file or
+    folder of the name (pattern) ``holds``."""
+    fs, p, jvm = _fs(spark, root)
+    found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{root}/{prefix}*/{holds}"))
+    names = {st.getPath().getParent().getName() for st in found or []}
+    return f"{root}/{max(names, key=lambda n: int(n[len(prefix):]))}" if names else None
+
+
+def next_version(spark: SparkSession, root: str) -> str:
+    """Path of a version that no folder, finished or not, has yet."""
+    return next_folder(spark, root, PREFIX)
 
 
 def write_version(df: DataFrame, root: str) -> str:
