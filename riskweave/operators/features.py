@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.columns import clip, col_, fround, to_double
-from ..session import cut_lineage, join_dimension
+from ..session import cut_lineage, join_dimension, side_by_side
 from .ranking import pct_ranks, value_counts_cumulative
 
 KEY = ["id_student", "code_module", "code_presentation"]
@@ -22,15 +22,17 @@ def student_key(*cols: str) -> Column:
     return F.concat_ws("_", *[F.col(c).cast("string") for c in (cols or KEY)])
 
 
+def score_and_weight() -> list[Column]:
+    """Numeric score, and numeric weight (none: 1)."""
+    return [to_double("score").alias("score"), F.coalesce(to_double("weight"), F.lit(1.0)).alias("weight")]
+
+
 def assessed(student_assessment: DataFrame, assessments: DataFrame) -> DataFrame:
     """Scores joined to assessment metadata; numeric score and weight. The
     metadata is broadcast if its rows, counted first, are few: the score rows are
     then not shuffled on its keys."""
     j = join_dimension(student_assessment, assessments, "id_assessment")
-    return j.select(
-        "id_assessment", "id_student", "code_module", "code_presentation",
-        to_double("score").alias("score"),
-        F.coalesce(to_double("weight"), F.lit(1.0)).alias("weight"))
+    return j.select("id_assessment", "id_student", "code_module", "code_presentation", *score_and_weight())
 
 
 def imd_to_aid(band: str | Column) -> Column:
@@ -78,11 +80,15 @@ def impute_median(df: DataFrame, columns: list[str], medians: dict[str, float] |
     return df.fillna({c: medians[c] for c in present})
 
 
-def dedupe_first(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
-    """Keep the first row per key under an explicit order (file order does
-    not exist in a distributed scan, so the tie-break is part of the API)."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+def first_registration(profile: DataFrame, totals: list[str]) -> DataFrame:
+    """One row per entity key, the first by (label, aid level): file order does not
+    exist in a distributed scan, so the order is part of the API. ``totals`` belong to
+    the entity. A label and an aid level (below 100) make one number, so that this is a
+    plain aggregate with partial results."""
+    code = result_to_label("final_result") * 100 + imd_to_aid("imd_band")
+    first = profile.groupBy(*KEY).agg(F.min(code).alias("_first"), *[F.max(c).alias(c) for c in totals])
+    return first.select(*KEY, F.floor(F.col("_first") / 100).cast("int").alias("dropout_label"),
+                        (F.col("_first") % 100).alias("financial_aid_status"), *totals)
 
 
 def activity(vle: DataFrame, rsd: float | None = None) -> DataFrame:
@@ -116,13 +122,48 @@ def sketch_error(lg_k: int = 12) -> float:
     return 1.04 / 2 ** (lg_k / 2)
 
 
+MAX_WORDS = 16  # 64-bit words of an entity's set of submitted assessments
+
+
+def numbered(assessments: DataFrame) -> tuple[DataFrame, int]:
+    """The metadata with the place of each assessment in its module (``place``, from 0),
+    and the words that a bit per place needs. A dimension table, a row per assessment."""
+    in_module = Window.partitionBy("code_module", "code_presentation").orderBy("id_assessment")
+    out = cut_lineage(assessments.withColumn("place", F.dense_rank().over(in_module) - 1), "assessments")
+    return out, int(out.agg(F.max("place")).first()[0] or 0) // 64 + 1
+
+
+def total_aggregates(known: Column | None = None, words: int | None = None) -> list[Column]:
+    """A2 + A4 aggregates over assessment rows: weighted score sum, weight sum
+    (unscored rows included) and distinct submitted assessments; of the ``known`` rows only.
+
+    With the rows' ``place`` in their module (``numbered``), the distinct count is that
+    of the bits set in ``words`` words: one more number in the aggregate, where a
+    distinct count shuffles every (entity, assessment) first.
+    """
+    of = (lambda c: c) if known is None else (lambda c: F.when(known, c))
+    submitted = F.col("score").isNotNull()
+    if words is None or words > MAX_WORDS:
+        distinct = F.count_distinct(of(F.when(submitted, F.col("id_assessment"))))
+    else:
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("place") % 64).cast("int"))
+        sets = [F.bit_or(of(F.when(submitted & (F.floor(F.col("place") / 64) == w), bit))) for w in range(words)]
+        distinct = sum((F.bit_count(F.coalesce(s, F.lit(0).cast("long"))) for s in sets), F.lit(0)).cast("long")
+    return [F.coalesce(F.sum(of(F.col("score") * F.col("weight"))), F.lit(0.0)).alias("total_weighted_score"),
+            F.sum(of(F.col("weight"))).alias("total_weight"), distinct.alias("submitted_assessments")]
+
+
 def assessment_totals(assessed_df: DataFrame) -> DataFrame:
-    """A2 + A4 in one pass over the assessment rows: weighted score sum, weight
-    sum (unscored rows included) and distinct submitted assessments per entity."""
-    return assessed_df.groupBy(*KEY).agg(
-        F.coalesce(F.sum(F.col("score") * F.col("weight")), F.lit(0.0)).alias("total_weighted_score"),
-        F.sum("weight").alias("total_weight"),
-        F.count_distinct(F.when(F.col("score").isNotNull(), F.col("id_assessment"))).alias("submitted_assessments"))
+    """A2 + A4 in one pass over the assessment rows."""
+    return assessed_df.groupBy(*KEY).agg(*total_aggregates())
+
+
+def with_totals(info: DataFrame, assessed_df: DataFrame) -> DataFrame:
+    """The profile rows with their assessment totals, for sources that keep them apart."""
+    return info.join(assessment_totals(assessed_df), KEY, "left")
+
+
+RANK_BOUND = 200_000  # distinct values that are ranked by one window per metric
 
 
 def activity_ranks(act: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -131,7 +172,7 @@ def activity_ranks(act: DataFrame) -> tuple[DataFrame, DataFrame]:
     long = act.select(F.explode(F.array(
         F.struct(F.lit("clicks").alias("metric"), F.col("total_clicks").alias("v")),
         F.struct(F.lit("sites").alias("metric"), F.col("n_distinct_sites").cast("double").alias("v")))).alias("x"))
-    ranks = cut_lineage(pct_ranks(long.select("x.*"), "v", "_pct", ["metric"]), "ranks")
+    ranks = pct_ranks(long.select("x.*"), "v", "_pct", ["metric"], RANK_BOUND)
     rate = fround(clip(F.col("_pct") * 100, 0, 100), 2)
     clicks = ranks.where("metric = 'clicks'").select(F.col("v").alias("total_clicks"), rate.alias("attendance_rate"))
     sites = ranks.where("metric = 'sites'").select(F.col("v").cast("long").alias("n_distinct_sites"),
@@ -139,44 +180,42 @@ def activity_ranks(act: DataFrame) -> tuple[DataFrame, DataFrame]:
     return clicks, sites
 
 
-def build_feature_table(info: DataFrame, vle: DataFrame, student_assessment: DataFrame,
-                        assessments: DataFrame) -> DataFrame:
-    """S2 + J4: the full source-tables -> feature-table job.
-
-    Output: student_key, student_id_orig, 5 features, dropout_label; one row per
-    entity key. The activity log feeds one aggregate (clicks and sites), the
-    assessment rows one aggregate (weighted scores and submissions); the
-    entity-level results are joined left onto the profile table (J2-J4). Tables
-    that feed several passes are written to the shared checkpoint folder.
-    """
+def ranked_activity(vle: DataFrame) -> DataFrame:
+    """(entity key, attendance_rate, mobile_engagement_freq): A1, A4 and W1 of the activity
+    log. The entities' totals are written: the ranks and the join read them."""
     act = cut_lineage(activity(vle), "entity-activity")
     clicks, sites = activity_ranks(act)
-    act = act.join(clicks, "total_clicks", "left").join(sites, "n_distinct_sites", "left").select(
+    return act.join(clicks, "total_clicks", "left").join(sites, "n_distinct_sites", "left").select(
         *KEY, "attendance_rate", "mobile_engagement_freq")
-    totals = assessment_totals(assessed(student_assessment, assessments))
-    # At most a row per assessment.
+
+
+def build_feature_table(profile: DataFrame, vle: DataFrame, assessments: DataFrame) -> DataFrame:
+    """S2 + J4: the full source-tables -> feature-table job.
+
+    ``profile`` has a row per registration: the entity key, imd_band, final_result
+    and the entity's assessment totals (``with_totals``, or one aggregate that gives
+    both). Output: student_key, student_id_orig, 5 features, dropout_label; one row
+    per entity key. Each log is aggregated once; results of entity size are joined
+    left onto the profile (J2-J4), and only such tables are written: the profile and
+    the activity, side by side, and the features, which the medians and the result read.
+    """
+    totals = ["total_weighted_score", "total_weight", "submitted_assessments"]
+    base, act = side_by_side(lambda: cut_lineage(first_registration(profile, totals), "entity-profile"),
+                             lambda: ranked_activity(vle))
+    # At most a row per assessment, and a module's assessments in a set.
     module_counts = assessments.groupBy("code_module", "code_presentation").agg(
-        F.count_distinct("id_assessment").alias("total_assessments"))
-    base = info.select(
-        *KEY,
-        imd_to_aid("imd_band").alias("financial_aid_status"),
-        result_to_label("final_result").alias("dropout_label"))
-    j = join_dimension(base.join(act, KEY, "left").join(totals, KEY, "left"),
-                       module_counts, ["code_module", "code_presentation"])
+        F.size(F.collect_set("id_assessment")).alias("total_assessments"))
+    j = base.join(act, KEY, "left").join(module_counts, ["code_module", "code_presentation"], "left")
     quiz_avg = F.col("total_weighted_score") / F.nullif(F.col("total_weight"), F.lit(0.0))
     sub = F.coalesce(F.col("submitted_assessments"), F.lit(0)).cast("double")
     tot = F.coalesce(F.nullif(F.col("total_assessments"), F.lit(0)), F.lit(1)).cast("double")
-    df = j.select(*KEY, "financial_aid_status", "dropout_label", "attendance_rate",
+    df = j.select(student_key().alias("student_key"), F.col("id_student").alias("student_id_orig"), "attendance_rate",
                   fround(clip(quiz_avg, 0, 100), 2).alias("quiz_average"),
                   fround(clip(sub / tot * 100, 0, 100), 2).alias("assignment_submission_rate"),
-                  "mobile_engagement_freq")
-    df = df.withColumn("student_key", student_key())
-    # First registration wins; the profile row order is (key, label, aid).
-    df = dedupe_first(df, ["student_key"], [F.col("dropout_label"), F.col("financial_aid_status")])
+                  "mobile_engagement_freq", "financial_aid_status", "dropout_label")
     # Two passes follow: the median fit and the result.
     df = impute_median(cut_lineage(df, "entity-features"), K.BASE_FEATURES)
-    return df.select("student_key", F.col("id_student").alias("student_id_orig"),
-                     *K.BASE_FEATURES, "dropout_label")
+    return df.select("student_key", "student_id_orig", *K.BASE_FEATURES, "dropout_label")
 
 
 def engineer(df: DataFrame) -> DataFrame:

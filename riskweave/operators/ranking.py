@@ -9,7 +9,7 @@ from ..session import cut_lineage
 
 
 def value_counts_cumulative(df: DataFrame, value_col: str, n_ranges: int | None = None,
-                            weight_col: str | None = None, groups: list[str] | None = None) -> DataFrame:
+                            weight_col: str | None = None, groups: list[str] | None = None, bound: int = 0) -> DataFrame:
     """Distinct (groups, value) with their count and the count of smaller values
     in the same group: (groups..., value, cnt, cnt_below, n_total).
 
@@ -20,12 +20,23 @@ def value_counts_cumulative(df: DataFrame, value_col: str, n_ranges: int | None
     ranges x groups rows) are added. No window sees a whole group, and no
     expression grows with the number of ranges. Null values and null groups are
     left out.
+
+    Up to ``bound`` distinct values, which are then written and counted first, one
+    window per group gives the same: that many rows are not worth the ranges.
     """
     groups = groups or []
     n_ranges = n_ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     weight = F.col(weight_col) if weight_col else F.lit(1)
     vals = (df.where(F.col(value_col).isNotNull())
               .groupBy(*groups, value_col).agg(F.sum(weight).cast("long").alias("cnt")))
+    if bound:
+        vals = cut_lineage(vals, "values")
+        if vals.count() <= bound:  # from the footers of the written table
+            gw = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(1))
+            below = gw.orderBy(value_col).rowsBetween(Window.unboundedPreceding, -1)
+            present = vals.dropna(subset=groups) if groups else vals
+            return present.select(*groups, value_col, "cnt", F.coalesce(F.sum("cnt").over(below), F.lit(0)).alias("cnt_below"),
+                                  F.sum("cnt").over(gw).alias("n_total"))
     ranged = cut_lineage(vals.repartitionByRange(n_ranges, value_col)
                              .withColumn("_range", F.spark_partition_id()), "ranges")
     in_range = (Window.partitionBy("_range", *groups).orderBy(value_col)
@@ -47,14 +58,14 @@ def value_counts_cumulative(df: DataFrame, value_col: str, n_ranges: int | None
                          "n_total"))
 
 
-def pct_ranks(df: DataFrame, value_col: str, out_col: str, groups: list[str] | None = None) -> DataFrame:
+def pct_ranks(df: DataFrame, value_col: str, out_col: str, groups: list[str] | None = None, bound: int = 0) -> DataFrame:
     """W1 as a table: (groups..., value, percentile rank with ties averaged), a row
     per distinct value. Nulls are excluded.
 
     pct = (count below + (ties + 1) / 2) / n, i.e. pandas ``rank(pct=True)``;
     not ``percent_rank`` ((rank - 1) / (n - 1)) nor ``cume_dist``.
     """
-    return value_counts_cumulative(df, value_col, groups=groups).select(
+    return value_counts_cumulative(df, value_col, groups=groups, bound=bound).select(
         *(groups or []), value_col,
         ((F.col("cnt_below") + (F.col("cnt") + 1) / 2) / F.col("n_total")).alias(out_col))
 

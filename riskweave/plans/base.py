@@ -10,7 +10,6 @@ from ..functions.columns import fround
 from ..operators import features as FE
 from ..operators import scoring as SC
 from ..sources import cohort
-from ..session import cut_lineage
 from ..sources.tables import read_table
 from . import sqlbits as S
 
@@ -28,11 +27,9 @@ def as_of(spark: SparkSession, sf_dir: str) -> str:
 
 
 def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Lines and orders are joined once, for the assessment and the profile rows.
-    lines = cut_lineage(cohort.lines_with_orders(spark, sf_dir), "lines")
-    return FE.build_feature_table(
-        cohort.student_info(spark, sf_dir, lines), cohort.student_vle(spark, sf_dir),
-        cohort.student_assessment(lines), cohort.assessments(spark, sf_dir))
+    assessments, words = FE.numbered(cohort.assessments(spark, sf_dir))
+    profile = cohort.student_profile(spark, sf_dir, assessments, words)
+    return FE.build_feature_table(profile, cohort.student_vle(spark, sf_dir), assessments)
 
 
 def students(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,10 +6,15 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
+from multiprocessing.pool import ThreadPool
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
 _SCRATCH: list[str] = []  # tables written by cut_lineage in this process
 
 # Defaults a job wants on any cluster. Settings already present on the session
@@ -78,7 +83,15 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     path = scratch_table_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     _SCRATCH.append(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)  # (without it a job reads the footers)
+
+
+def side_by_side(*steps: Callable[[], T]) -> list[T]:
+    """Run steps that don't need each other's tables at the same time: each starts
+    its own Spark jobs, which share the executors."""
+    run = inheritable_thread_target(SparkSession.getActiveSession())(lambda step: step())
+    with ThreadPool(len(steps)) as pool:
+        return pool.map(run, steps)
 
 
 def drop_scratch(spark: SparkSession) -> int:

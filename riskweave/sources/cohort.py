@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import fround
+from ..operators.features import score_and_weight, total_aggregates
 from .tables import read_table
 
 PRESENTATION = "P1"
@@ -44,14 +45,14 @@ def assessments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lines_with_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The order lines with their customer, columns of the two tables below."""
+    """The order lines with their customer, in the columns that the tables below need."""
     li = read_table(spark, sf_dir, "lineitem",
                     ["l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_returnflag"])
     od = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey"])
     return li.join(od, li.l_orderkey == od.o_orderkey, "inner").drop("l_orderkey", "o_orderkey")
 
 
-def student_assessment(lo: DataFrame) -> DataFrame:
+def student_assessment(lo: DataFrame, *extra: str) -> DataFrame:
     """studentAssessment(id_assessment, id_student, score text, '?' = not submitted)."""
     unsubmitted = (F.col("l_returnflag") == "R") & (F.col("l_linenumber") % 2 == 0)
     return lo.select(
@@ -59,6 +60,7 @@ def student_assessment(lo: DataFrame) -> DataFrame:
         F.col("o_custkey").alias("id_student"),
         F.when(unsubmitted, F.lit("?"))
         .otherwise((F.col("l_quantity") * 2).cast("string")).alias("score"),
+        *extra,
     )
 
 
@@ -74,12 +76,19 @@ def student_vle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def student_info(spark: SparkSession, sf_dir: str, lo: DataFrame) -> DataFrame:
-    """studentInfo(id_student, code_module, code_presentation, imd_band, final_result)."""
-    per_key = lo.groupBy(
-        F.col("o_custkey").alias("id_student"),
-        _module(F.col("l_partkey") % N_ASSESSMENTS).alias("code_module"),
-    ).agg(F.avg("l_quantity").alias("avg_q"))
+def student_profile(spark: SparkSession, sf_dir: str, numbered_assessments: DataFrame, words: int) -> DataFrame:
+    """studentInfo with the assessment totals of each entity beside it, from one
+    aggregate over one join of the lines: (id_student, code_module,
+    code_presentation, imd_band, final_result, total_weighted_score, total_weight,
+    submitted_assessments). The binding gives a line the same module in both tables,
+    so a line counts in the totals of its own entity, if its assessment is known."""
+    lo = lines_with_orders(spark, sf_dir)
+    meta = numbered_assessments.select("id_assessment", "weight", "place", F.lit(True).alias("_known"))
+    scored = student_assessment(lo, "l_quantity").join(meta, "id_assessment", "left").select(
+        "id_student", _module(F.col("id_assessment")).alias("code_module"),
+        "id_assessment", "place", "l_quantity", "_known", *score_and_weight())
+    per_key = scored.groupBy("id_student", "code_module").agg(
+        F.avg("l_quantity").alias("avg_q"), *total_aggregates(F.col("_known"), words))
     cust = read_table(spark, sf_dir, "customer", ["c_custkey", "c_acctbal"])
     decile = F.least(F.floor((F.col("c_acctbal") + 1000) / 1100), F.lit(9)).cast("int")
     deciles = F.create_map(*[F.lit(x) for i, s in enumerate(IMD_DECILES) for x in (i, s)])
@@ -87,8 +96,8 @@ def student_info(spark: SparkSession, sf_dir: str, lo: DataFrame) -> DataFrame:
     result = (F.when(F.col("avg_q") < 22, "Withdrawn").when(F.col("avg_q") < 24, "Fail")
               .when(F.col("avg_q") < 30, "Pass").otherwise("Distinction"))
     return per_key.join(cust, per_key.id_student == cust.c_custkey, "left").select(
-        "id_student", "code_module", F.lit(PRESENTATION).alias("code_presentation"),
-        imd.alias("imd_band"), result.alias("final_result"))
+        "id_student", "code_module", F.lit(PRESENTATION).alias("code_presentation"), imd.alias("imd_band"), result.alias("final_result"),
+        "total_weighted_score", "total_weight", "submitted_assessments")
 
 
 def week_bounds(spark: SparkSession, sf_dir: str) -> tuple:

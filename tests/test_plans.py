@@ -84,16 +84,48 @@ def test_matches_oracle_without_cross_join(spark, sf_dir, duck, name):
     assert got == want
 
 
-def test_feature_job_scans_each_raw_table_once(spark, sf_dir):
-    lines = cohort.lines_with_orders(spark, sf_dir)
-    plan = lines._jdf.queryExecution().executedPlan().toString()
-    assert len(re.findall("FileScan parquet", plan)) == 2
-    # What is built on the written join reads neither lineitem nor orders again.
-    from riskweave.session import cut_lineage
-    once = cut_lineage(lines, "lines")
-    for df in (cohort.student_info(spark, sf_dir, once), cohort.student_assessment(once)):
-        text = df._jdf.queryExecution().executedPlan().toString()
-        assert "lineitem.parquet" not in text and "orders.parquet" not in text
+def test_feature_job_scans_each_raw_table_once(spark, sf_dir, monkeypatch):
+    from riskweave.operators import features as FE
+    profile = cohort.student_profile(spark, sf_dir, *FE.numbered(cohort.assessments(spark, sf_dir)))
+    plan = profile._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall("FileScan parquet", plan)) == 4  # lineitem, orders, customer, the numbered assessments
+    keys = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", re.sub(r"#\d+L?", "", plan))
+    assert [k for k in keys if "code_module" in k] == ["id_student, code_module, 8"]  # once, after a partial aggregate
+    # Only tables of entity size (or smaller) are written, none of the lines.
+    written = {}
+    real = FE.cut_lineage
+
+    def counted(df, name="stage"):
+        written[name] = (out := real(df, name)).count()
+        return out
+
+    monkeypatch.setattr(FE, "cut_lineage", counted)
+    E.queries()["feature_table"](spark, sf_dir)
+    entities = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("user_id", "event_id % 5").distinct().count()
+    assert set(written) == {"assessments", "entity-profile", "entity-activity", "entity-features"} and written["entity-activity"] == entities
+    assert written["entity-features"] == written["entity-profile"] == profile.count()
+
+
+def test_submitted_assessments_by_bits_or_distinct(spark):
+    from pyspark.sql import functions as F
+
+    from riskweave.operators import features as FE
+    meta = spark.range(150).select(F.col("id").alias("id_assessment"), F.lit("M").alias("code_module"), F.lit("P").alias("code_presentation"),
+                                   F.lit("2").alias("weight"))
+    places, words = FE.numbered(meta)
+    assert words == 3
+    rows = spark.range(4000).select((F.col("id") % 7).alias("id_student"), (F.xxhash64("id") % 200).alias("id_assessment"),
+                                    F.when(F.col("id") % 3 > 0, "5").otherwise("?").alias("score"))
+    j = rows.join(places, "id_assessment", "left").select("id_student", "id_assessment", "place", F.col("code_module").isNotNull().alias("known"), *FE.score_and_weight())
+    got = [sorted(j.groupBy("id_student").agg(*FE.total_aggregates(F.col("known"), w)).collect()) for w in (words, None)]
+    assert got[0] == got[1] and max(r.submitted_assessments for r in got[0]) > 64
+
+
+def test_feature_job_is_few_jobs(spark, sf_dir):
+    tracker = spark.sparkContext.statusTracker()
+    before = set(tracker.getJobIdsForGroup(None))
+    E.queries()["feature_table"](spark, sf_dir).collect()
+    assert len(set(tracker.getJobIdsForGroup(None)) - before) < 30
 
 
 def test_dimension_join_shuffles_no_fact_rows(spark, sf_dir):

@@ -9,13 +9,13 @@ from riskweave.operators import splits as SP
 from riskweave.operators.ranking import avg_pct_rank, value_counts_cumulative
 
 
-@pytest.mark.parametrize("n_ranges", [1, 8, 1000, 4000])
-def test_running_counts_at_any_number_of_ranges(spark, n_ranges):
+@pytest.mark.parametrize("n_ranges, bound", [(1, 0), (8, 0), (1000, 0), (4000, 0), (8, 10), (8, 1000)])
+def test_running_counts_at_any_number_of_ranges(spark, n_ranges, bound):
     rnd = random.Random(1)
     rows = [(rnd.choice("ab"), rnd.randint(0, 60) / 7) for _ in range(500)] + [("a", None)]
     df = spark.createDataFrame(rows, "g string, v double")
     got = {(r.g, r.v): (r.cnt, r.cnt_below, r.n_total) for r in
-           value_counts_cumulative(df, "v", n_ranges=n_ranges, groups=["g"]).collect()}
+           value_counts_cumulative(df, "v", n_ranges=n_ranges, groups=["g"], bound=bound).collect()}
     vals = [r for r in rows if r[1] is not None]
     want = {(g, v): (sum(x == (g, v) for x in vals), sum(x[0] == g and x[1] < v for x in vals), sum(x[0] == g for x in vals))
             for g, v in set(vals)}
