@@ -70,8 +70,23 @@ def write_version(df: DataFrame, root: str) -> str:
 
 # --- tables in buckets of a key, changed batch by batch ------------------------------------
 # Folders <root>/batch=<id>-<attempt>/bucket=<k>/: a batch writes the buckets it touches; the
-# newest finished batch that has a bucket holds its rows.
-BUCKETS = 64
+# newest finished batch that has a bucket holds its rows. The number of buckets belongs to the
+# table: it is set from the rows it is made with, and kept in the folder <root>/buckets=<n>.
+BUCKET_ROWS = 200_000
+
+
+def n_buckets(spark: SparkSession, root: str) -> int | None:
+    """The number of buckets of the table; None if there is no table yet."""
+    path = newest_folder(spark, root, "buckets=", "_SUCCESS")
+    return int(path.rpartition("=")[2]) if path else None
+
+
+def create_buckets(spark: SparkSession, root: str, rows: int, rows_per_bucket: int = BUCKET_ROWS) -> int:
+    """Set the number of buckets of a new table from the rows that it starts with."""
+    n = max(1, -(-rows // rows_per_bucket))
+    fs, p, jvm = _fs(spark, f"{root}/buckets={n}/_SUCCESS")
+    fs.create(p, True).close()
+    return n
 
 
 def _batches(spark: SparkSession, root: str) -> list[tuple[int, str]]:
@@ -89,7 +104,7 @@ def is_applied(spark: SparkSession, root: str, batch: int) -> bool:
     return any(b == batch for b, _ in _batches(spark, root))
 
 
-def bucket_of(key: str, buckets: int = BUCKETS) -> Column:
+def bucket_of(key: str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int")
 
 
@@ -106,8 +121,9 @@ def read_buckets(spark: SparkSession, root: str, only: list[int] | None = None)
     return spark.read.parquet(*paths) if paths else None
 
 
-def write_buckets(df: DataFrame, root: str, key: str, batch: int, buckets: int = BUCKETS) -> None:
+def write_buckets(df: DataFrame, root: str, key: str, batch: int) -> None:
     """Write the rows of the touched buckets, whole, as batch ``batch``."""
+    buckets = n_buckets(df.sparkSession, root)
     path = f"{root}/batch={batch}-{uuid.uuid4().hex[:12]}"
     (df.withColumn("bucket", bucket_of(key, buckets)).repartition("bucket")
        .write.mode("error").partitionBy("bucket").parquet(path))

@@ -19,7 +19,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from .. import constants as K
 from ..functions.columns import clip, to_double
 from ..operators import state as ST
-from ..sources.versioned import bucket_of, is_applied, read_buckets, write_buckets
+from ..sources.versioned import (BUCKET_ROWS, bucket_of, create_buckets, is_applied, n_buckets, read_buckets,
+                                 write_buckets)
 
 UPLOAD_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in
                               ["student_id", "attendance_rate", "mobile_engagement_freq", "dropout_label",
@@ -39,11 +40,15 @@ def clean_upload(batch: DataFrame) -> DataFrame:
 
 
 def incremental_ingest(spark: SparkSession, source_dir: str, table_root: str, checkpoint: str,
-                       initial: DataFrame | None = None, max_files: int | None = None) -> None:
+                       initial: DataFrame | None = None, max_files: int | None = None,
+                       rows_per_bucket: int = BUCKET_ROWS) -> None:
     """CSV files arriving in ``source_dir`` are cleaned and upserted (J6) into
     the table at ``table_root``, which is kept in buckets of the key: a batch reads
-    and rewrites only the buckets its keys fall in. A batch is recorded by its id,
-    so one that is replayed after a restart is applied once."""
+    and rewrites only the buckets its keys fall in. Their number follows the rows
+    the table is made with. A batch is recorded by its id, so one that is replayed
+    after a restart is applied once."""
+    if n_buckets(spark, table_root) is None:
+        create_buckets(spark, table_root, initial.count() if initial is not None else 0, rows_per_bucket)
     if initial is not None and read_buckets(spark, table_root) is None:
         write_buckets(initial, table_root, "student_id", -1)
 
@@ -52,8 +57,9 @@ def incremental_ingest(spark: SparkSession, source_dir: str, table_root: str, ch
         if is_applied(session, table_root, batch_id):
             return
         rows = clean_upload(batch).where(F.col("student_id").isNotNull())
-        # At most BUCKETS numbers reach the driver.
-        touched = [r[0] for r in rows.select(bucket_of("student_id").alias("b")).distinct().collect()]
+        # A number per bucket reaches the driver.
+        buckets = n_buckets(session, table_root)
+        touched = [r[0] for r in rows.select(bucket_of("student_id", buckets).alias("b")).distinct().collect()]
         if not touched:
             return
         current = read_buckets(session, table_root, touched)

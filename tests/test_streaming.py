@@ -30,7 +30,7 @@ def initial(spark):
 
 
 def run(spark, tmp, **kw):
-    SJ.incremental_ingest(spark, str(tmp / "in"), str(tmp / "table"), str(tmp / "cp"), initial=initial(spark), **kw)
+    SJ.incremental_ingest(spark, str(tmp / "in"), str(tmp / "table"), str(tmp / "cp"), initial=initial(spark), rows_per_bucket=1, **kw)
 
 
 def test_ingest_in_batches_and_restart(spark, tmp_path):
@@ -45,7 +45,7 @@ def test_ingest_in_batches_and_restart(spark, tmp_path):
     run(spark, tmp_path)
     assert table(spark, str(tmp_path / "table"))["s1"] == 60
     # The last batch wrote the bucket of its one key only.
-    last = max((p for p in os.listdir(tmp_path / "table") if not p.startswith(".")), key=lambda p: int(p[6:].rpartition("-")[0]))
+    last = max((p for p in os.listdir(tmp_path / "table") if p.startswith("batch=")), key=lambda p: int(p[6:].rpartition("-")[0]))
     assert len([b for b in os.listdir(tmp_path / "table" / last) if b.startswith("bucket=")]) == 1
 
 
@@ -146,6 +146,16 @@ def test_flags_survive_a_failed_run(spark, tmp_path):
     assert flags(spark, tmp_path) == [(1, 1), (2, 2), (3, 2)]
 
 
+def test_the_table_keeps_its_number_of_buckets(spark, tmp_path):
+    root = str(tmp_path / "t")
+    assert V.n_buckets(spark, root) is None
+    assert V.create_buckets(spark, root, 1001, 100) == 11 == V.n_buckets(spark, root)
+    V.write_buckets(spark.range(50).select(F.col("id").cast("string").alias("student_id")), root, "student_id", 0)
+    assert V.read_buckets(spark, root).count() == 50
+    assert {int(p[7:]) for p in os.listdir(next((tmp_path / "t").glob("batch=*"))) if p.startswith("bucket=")} <= set(range(11))
+    assert V.create_buckets(spark, str(tmp_path / "e"), 0) == 1
+
+
 def test_bucket_of_is_stable(spark):
-    a = spark.range(100).select(F.col("id").cast("string").alias("k")).withColumn("b", V.bucket_of("k"))
-    assert all(0 <= r.b < V.BUCKETS for r in a.collect())
+    a = spark.range(100).select(F.col("id").cast("string").alias("k")).withColumn("b", V.bucket_of("k", 16))
+    assert all(0 <= r.b < 16 for r in a.collect())
