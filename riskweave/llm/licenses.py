@@ -7,7 +7,8 @@ lines), and becomes its identifier; where two start at one piece, the longer is
 taken. A licence rule is an ordered sequence of identifiers; rules are tried in
 order, the fuller text before the short notice, and a match uses its sentences up,
 so that one grant is reported once. Sentences of other kinds may stand between
-those of a rule.
+those of a rule. Rules run over the array of identifiers, in work proportional to
+its length and without a regular expression over it.
 
 The known sentences and rules are small fixed tables and travel as literals in
 the plan: one row in, one row out, no shuffle.
@@ -88,6 +89,46 @@ SENTENCES = {
     "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is"
                  " hereby granted provided that the above copyright notice and this permission notice appear in all"
                  " copies",
+    "agpl-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero"
+                 " general public license as published by the free software foundation either version 3 of the license or"
+                 " at your option any later version",
+    "agpl-see": "see the gnu affero general public license for more details",
+    "agpl-received": "you should have received a copy of the gnu affero general public license along with this program",
+    "agpl-notice": "licensed under the gnu affero general public license version 3",
+    "lgpl21-free": "this library is free software you can redistribute it and or modify it under the terms of the gnu"
+                   " lesser general public license as published by the free software foundation either version 2.1 of the"
+                   " license or at your option any later version",
+    "lgpl3-free": "this library is free software you can redistribute it and or modify it under the terms of the gnu"
+                  " lesser general public license as published by the free software foundation either version 3 of the"
+                  " license or at your option any later version",
+    "lgpl-hope": "this library is distributed in the hope that it will be useful but without any warranty without even the"
+                 " implied warranty of merchantability or fitness for a particular purpose",
+    "lgpl-see": "see the gnu lesser general public license for more details",
+    "lgpl21-notice": "licensed under the gnu lesser general public license version 2.1",
+    "epl2-terms": "this program and the accompanying materials are made available under the terms of the eclipse public"
+                  " license 2.0 which is available at https www.eclipse.org legal epl 2.0",
+    "epl1-terms": "this program and the accompanying materials are made available under the terms of the eclipse public"
+                  " license v1.0 which accompanies this distribution and is available at http www.eclipse.org legal epl"
+                  " v10.html",
+    "cddl-terms": "the contents of this file are subject to the terms of the common development and distribution license"
+                  " the license",
+    "zlib-as-is": "this software is provided as is without any express or implied warranty",
+    "zlib-liable": "in no event will the authors be held liable for any damages arising from the use of this software",
+    "zlib-grant": "permission is granted to anyone to use this software for any purpose including commercial applications"
+                  " and to alter it and redistribute it freely subject to the following restrictions",
+    "boost-notice": "distributed under the boost software license version 1.0",
+    "boost-grant": "permission is hereby granted free of charge to any person or organization obtaining a copy of the"
+                   " software and accompanying documentation covered by this license the software to use reproduce display"
+                   " distribute execute and transmit the software and to prepare derivative works of the software and to"
+                   " permit third parties to whom the software is furnished to do so all subject to the following",
+    "cc-by-nd": "licensed under cc by nd 4.0",
+    "cc-by-nc-sa": "licensed under cc by nc sa 4.0",
+    "cc-by-nc-nd": "licensed under cc by nc nd 4.0",
+    "cc-by-nd-work": "this work is licensed under a creative commons attribution noderivatives 4.0 international license",
+    "cc-by-nc-sa-work": "this work is licensed under a creative commons attribution noncommercial sharealike 4.0"
+                        " international license",
+    "cc-by-nc-nd-work": "this work is licensed under a creative commons attribution noncommercial noderivatives 4.0"
+                        " international license",
     "unlicense": "this is free and unencumbered software released into the public domain",
     "rights": "all rights reserved",
 }
@@ -102,6 +143,19 @@ RULES = (
     ("GPL-3.0-or-later", ("gpl-free", "gpl-hope", "gpl-see", "gpl-received")),
     ("GPL-3.0-or-later", ("gpl-free",)),
     ("GPL-2.0-or-later", ("gpl2-free",)),
+    ("AGPL-3.0-or-later", ("agpl-free", "gpl-hope", "agpl-see", "agpl-received")),
+    ("AGPL-3.0-or-later", ("agpl-free",)),
+    ("LGPL-2.1-or-later", ("lgpl21-free", "lgpl-hope", "lgpl-see")),
+    ("LGPL-2.1-or-later", ("lgpl21-free",)),
+    ("LGPL-3.0-or-later", ("lgpl3-free", "lgpl-hope", "lgpl-see")),
+    ("LGPL-3.0-or-later", ("lgpl3-free",)),
+    ("EPL-2.0", ("epl2-terms",)),
+    ("EPL-1.0", ("epl1-terms",)),
+    ("CDDL-1.0", ("cddl-terms", "apache-comply")),
+    ("CDDL-1.0", ("cddl-terms",)),
+    ("Zlib", ("zlib-as-is", "zlib-liable", "zlib-grant")),
+    ("BSL-1.0", ("boost-grant",)),
+    ("BSL-1.0", ("boost-notice",)),
     ("MPL-2.0", ("mpl-form", "mpl-copy")),
     ("MPL-2.0", ("mpl-form", "mpl-copy-https")),
     ("ISC", ("isc-grant",)),
@@ -113,6 +167,14 @@ RULES = (
     ("GPL-3.0", ("gpl3-notice",)),
     ("GPL-3.0", ("gpl3-short",)),
     ("LGPL-3.0", ("lgpl-notice",)),
+    ("LGPL-2.1", ("lgpl21-notice",)),
+    ("AGPL-3.0", ("agpl-notice",)),
+    ("CC-BY-NC-SA-4.0", ("cc-by-nc-sa",)),
+    ("CC-BY-NC-SA-4.0", ("cc-by-nc-sa-work",)),
+    ("CC-BY-NC-ND-4.0", ("cc-by-nc-nd",)),
+    ("CC-BY-NC-ND-4.0", ("cc-by-nc-nd-work",)),
+    ("CC-BY-ND-4.0", ("cc-by-nd",)),
+    ("CC-BY-ND-4.0", ("cc-by-nd-work",)),
     ("CC-BY-NC-4.0", ("cc-by-nc",)),
     ("CC-BY-NC-4.0", ("cc-by-nc-work",)),
     ("CC-BY-SA-4.0", ("cc-by-sa",)),
@@ -123,6 +185,7 @@ RULES = (
     ("Unlicense", ("unlicense",)),
     ("proprietary", ("rights",)),
 )
+_CHUNK = 64  # identifiers of a short list, in matching
 # A piece ends at sentence marks before white space or the end, or at a line break.
 CUT = r"[.!?;:]+(?:[\x20\x09-\x0D]+|$)|[\x0A\x0D]+"
 # Between words: anything but ASCII letters, digits, inner dots and other letters.
@@ -141,14 +204,39 @@ def _known(sentences: dict[str, str]) -> str:
     return r"\n(" + "|".join(r"[ \n]".join(map(re.escape, s.split())) for s in longest) + r")(?=\n)"
 
 
-def _pattern(rule: tuple[str, ...]) -> str:
-    """The identifiers of a rule in order, others allowed between, in a text like ``;a;b;c;``."""
-    return "((?:[^;]+;)*?)".join(f"{i};" for i in rule)
+def _use(ids: Column, rule: Column) -> Column:
+    """struct(n, left): how often the rule's identifiers occur in order, each used
+    once, and the identifiers that no occurrence used.
+
+    ``a[j]`` counts the identifiers taken as the rule's j-th. One is taken if an
+    occurrence that has all before it still waits, the oldest of which it serves; so
+    the occurrences end in the order they began, n is the count of the last, and the
+    first n taken at each place are the used ones. No occurrence is ever searched
+    back for: the work is proportional to the identifiers.
+    """
+    none = F.transform(rule, lambda _: F.lit(0).cast("long"))
 
+    def take(s: Column, x: Column) -> Column:
+        at = F.array_position(rule, x).cast("int")
+        ok = (at == 1) | ((at > 1) & (F.get(s["a"], at - 2) > F.get(s["a"], at - 1)))
+        return F.struct(
+            F.when(ok, F.transform(s["a"], lambda v, j: F.when(j == at - 1, v + 1).otherwise(v))).otherwise(s["a"]).alias("a"),
+            F.concat(s["o"], F.array(F.when(ok, F.get(s["a"], at - 1) + 1).otherwise(F.lit(0).cast("long")))).alias("o"))
 
-def _rest(rule: tuple[str, ...]) -> str:
-    """What a match leaves: a mark, and the identifiers between."""
-    return "_;" + "".join(f"${k}" for k in range(1, len(rule)))
+    def chunk(acc: Column, xs: Column) -> Column:
+        # Short lists grow; the long one is a list of them.
+        done = F.aggregate(xs, F.struct(acc["a"].alias("a"), F.array().cast("array<bigint>").alias("o")), take)
+        return F.transform(F.array(done), lambda d: F.struct(
+            d["a"].alias("a"), F.concat(acc["o"], F.array(d["o"])).alias("o")))[0]
+
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(ids) - 1) / _CHUNK).cast("int")),
+                         lambda i: F.slice(ids, i * _CHUNK + 1, F.lit(_CHUNK)))
+    run = F.aggregate(chunks, F.struct(none.alias("a"), F.array().cast("array<array<bigint>>").alias("o")), chunk,
+                      lambda acc: F.struct(F.element_at(acc["a"], -1).alias("n"), F.flatten(acc["o"]).alias("o")))
+    pairs = lambda r: F.arrays_zip(ids.alias("x"), r["o"].alias("o"))
+    return F.transform(F.array(run), lambda r: F.struct(
+        r["n"].alias("n"), F.when(r["n"] == 0, ids).otherwise(F.transform(
+            F.filter(pairs(r), lambda p: (p["o"] == 0) | (p["o"] > r["n"])), lambda p: p["x"])).alias("left")))[0]
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
@@ -166,18 +254,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     ids = F.transform(F.regexp_extract_all(whole, F.lit(_known(sentences)), F.lit(1)),
                       lambda s: F.element_at(known, F.translate(s, "\n", " ")))
     rows = src.select("doc_id", F.size("parts").cast("long").alias("n_sentences"), ids.alias("ids"))
-    table = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(_pattern(rule)).alias("pattern"),
-                               F.lit(_rest(rule)).alias("rest")) for name, rule in rules])
-    zero = F.struct(F.concat(F.lit(";"), F.array_join("ids", ";"), F.lit(";")).alias("left"),
-                    F.array().cast("array<string>").alias("got"))
+    table = F.array(*[F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, rule)).alias("rule")) for name, rule in rules])
+    zero = F.struct(F.col("ids").alias("left"), F.array().cast("array<string>").alias("got"))
 
     def use(acc: Column, rule: Column) -> Column:
-        # A match starts after a ';', which stays; the identifiers it uses are replaced by a mark.
-        pattern = F.concat(F.lit("(?<=;)"), rule["pattern"])
-        return F.struct(
-            F.regexp_replace(acc["left"], pattern, rule["rest"]).alias("left"),
-            F.when(F.regexp_like(acc["left"], pattern), F.array_union(acc["got"], F.array(rule["name"])))
-             .otherwise(acc["got"]).alias("got"))
+        there = F.size(F.array_except(rule["rule"], acc["left"])) == 0
+        used = F.transform(F.array(_use(acc["left"], rule["rule"])), lambda u: F.struct(
+            u["left"].alias("left"),
+            F.when(u["n"] > 0, F.array_union(acc["got"], F.array(rule["name"]))).otherwise(acc["got"]).alias("got")))[0]
+        return F.when(there, used).otherwise(acc)
 
     found = F.when(F.size("ids") > 0, F.aggregate(table, zero, use, lambda acc: acc["got"])) \
              .otherwise(F.array().cast("array<string>"))

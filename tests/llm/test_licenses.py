@@ -1,5 +1,6 @@
 """Operator 3 against brute force."""
 
+import random
 import re
 
 from riskweave.llm import licenses as L
@@ -72,7 +73,26 @@ def test_finds_licences(spark):
     assert got[13] == "GPL-3.0" and got[14] == "CC-BY-NC-4.0" and got[3] == ""
 
 
+def test_any_sequence_matches_brute_force(spark):
+    rnd = random.Random(2)
+    pools = [["mit-grant", "mit-include", "as-is", "mit-liable"], ["bsd-grant", "bsd-source", "bsd-binary", "bsd-name"],
+             ["apache-the", "apache-comply", "cddl-terms"], ["gpl-free", "gpl-hope", "gpl-see", "gpl-received", "agpl-free", "rights"]]
+    texts = [full(*rnd.choices(rnd.choice(pools) + rnd.choice(pools), k=rnd.randint(1, 200))) for _ in range(60)]
+    got = {r.doc_id: tuple(r)[1:] for r in L.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == brute(t)
+
+
+def test_very_many_licence_lines(spark):
+    """No recursion over identifiers: a grant before and after 200,000 notices."""
+    notices = "Released under the MIT License.\nAll rights reserved.\n" * 100_000
+    text = full("mit-grant") + "\n" + notices + full("mit-include", "as-is", "mit-liable", "bsd-grant")
+    r = L.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert r.n_known == 200_005 and r.licenses == "MIT,proprietary" and r.sentence_ids.endswith("mit-liable,bsd-grant")
+
+
 def test_tables_are_sound():
+    assert all(len(set(rule)) == len(rule) for _, rule in L.RULES)
     assert len(set(L.SENTENCES.values())) == len(L.SENTENCES)
     assert all(i in L.SENTENCES for _, rule in L.RULES for i in rule)
     for s in L.SENTENCES.values():
@@ -152,7 +172,42 @@ file, You can obtain one at http://mozilla.org/MPL/2.0/."""
 ISC = """Permission to use, copy, modify, and/or distribute this software for any
 purpose with or without fee is hereby granted, provided that the above
 copyright notice and this permission notice appear in all copies."""
+AGPL = GPL3.replace("GNU General", "GNU Affero General").replace("GNU\nGeneral", "GNU Affero\nGeneral")
+LGPL21 = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+Lesser General Public License for more details."""
+EPL = """This program and the accompanying materials are made
+available under the terms of the Eclipse Public License 2.0
+which is available at https://www.eclipse.org/legal/epl-2.0/"""
+CDDL = """The contents of this file are subject to the terms of the
+Common Development and Distribution License (the "License").
+You may not use this file except in compliance with the License."""
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:"""
+BOOST = """Permission is hereby granted, free of charge, to any person or organization
+obtaining a copy of the software and accompanying documentation covered by
+this license (the "Software") to use, reproduce, display, distribute,
+execute, and transmit the Software, and to prepare derivative works of the
+Software, and to permit third-parties to whom the Software is furnished to
+do so, all subject to the following:"""
 GENUINE = [
+    (AGPL, "agpl-free,gpl-hope,agpl-see,agpl-received", "AGPL-3.0-or-later"),
+    (LGPL21, "lgpl21-free,lgpl-hope,lgpl-see", "LGPL-2.1-or-later"),
+    (EPL, "epl2-terms", "EPL-2.0"),
+    (CDDL, "cddl-terms,apache-comply", "CDDL-1.0"),
+    (ZLIB, "zlib-as-is,zlib-liable,zlib-grant", "Zlib"),
+    (BOOST, "boost-grant", "BSL-1.0"),
     (MIT, "mit-grant,mit-include,as-is,mit-liable", "MIT"),
     (BSD, "bsd-grant,bsd-source,bsd-binary", "BSD-2-Clause"),
     (BSD3, "bsd-grant,bsd-source,bsd-binary,bsd-name", "BSD-3-Clause"),
