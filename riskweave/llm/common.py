@@ -6,6 +6,7 @@ import contextlib
 import sys
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -80,6 +81,43 @@ def texts_of(rb: pa.RecordBatch) -> list[bytes]:
     return [b"" if t is None else t for t in rb.column(1).to_pylist()]
 
 
+class Lookup:
+    """Places of 64-bit keys in an array of distinct keys, by a hash table in numpy: a
+    key lies in its slot or, where that was taken, in the next free one."""
+
+    def __init__(self, keys: np.ndarray):
+        self.shift = np.uint64(64 - max(4, int(4 * len(keys)).bit_length()))
+        size = (1 << 64 - int(self.shift)) + 64
+        self.key, self.place = np.zeros(size, np.uint64), np.full(size, -1)
+        place = self.place.tolist()
+        for i, at in enumerate(self._slot(keys.astype(np.uint64)).tolist()):
+            while place[at] >= 0:
+                at += 1
+            place[at] = i
+        if place[-1] >= 0:
+            raise ValueError("the keys don't fit their table")
+        self.place[:] = place
+        self.key[self.place >= 0] = keys.astype(np.uint64)[self.place[self.place >= 0]]
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 where it is none of the keys."""
+        keys = keys.astype(np.uint64)
+        at = self._slot(keys)
+        out = self.place[at]
+        open_ = np.flatnonzero((out >= 0) & (self.key[at] != keys))
+        out[open_] = -1
+        while len(open_):  # slots taken by another key: look at the next one
+            at[open_] += 1
+            there = self.place[at[open_]]
+            hit = (there >= 0) & (self.key[at[open_]] == keys[open_])
+            out[open_[hit]] = there[hit]
+            open_ = open_[(there >= 0) & ~hit]
+        return out
+
+
 @contextlib.contextmanager
 def conf(spark: SparkSession, **pairs: str):
     """Session settings (dots written as __) for the time of one step."""

@@ -36,7 +36,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, prepare, texts_of
+from .common import Lookup, map_texts, prepare, texts_of
 
 TOKENIZER = "byte_bpe_50k.json"
 TOKEN_LIMIT = 1024     # tokens beyond which a document is over the limit
@@ -110,7 +110,7 @@ class Vocabulary:
         merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         self.pair = np.array([(ids[a], ids[b]) for a, b in merges], np.int64).reshape(-1, 2)
         self.made = np.array([ids[a + b] for a, b in merges], np.int32)
-        self._place(self.pair[:, 0] << 32 | self.pair[:, 1])
+        self.pairs = Lookup(self.pair[:, 0] << 32 | self.pair[:, 1])
         # A symbol made at a rank is only used by later ranks: else merging rank
         # by rank at all places at once would not be the left-to-right order.
         born = np.full(self.size, -1)
@@ -122,22 +122,6 @@ class Vocabulary:
         self.special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True) if specials else []
         self.classes = char_classes()
 
-    def _place(self, keys: np.ndarray) -> None:
-        """Hash table of the pairs: a pair lies in its slot or, if that was taken, in
-        the next free one."""
-        self.shift = np.uint64(64 - max(4, int(4 * len(keys)).bit_length()))
-        self.key = np.full((1 << 64 - int(self.shift)) + 64, -1)
-        self.rank = np.full(len(self.key), _NO, np.int32)
-        for r, (k, at) in enumerate(zip(keys.tolist(), self._slot(keys).tolist())):
-            while self.key[at] >= 0:
-                at += 1
-            self.key[at], self.rank[at] = k, r
-        if self.key[-1] >= 0:
-            raise ValueError("the pairs don't fit their table")
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
-
     # -- cutting ---------------------------------------------------------
 
     def segments(self, text: str) -> tuple[list[str], int]:
@@ -197,18 +181,8 @@ class Vocabulary:
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of each pair of symbols."""
-        key = a.astype(np.int64) << 32 | b
-        at = self._slot(key)
-        out, found = self.rank[at], self.key[at]
-        open_ = np.flatnonzero((found != key) & (found >= 0))
-        out[found != key] = _NO
-        while len(open_):  # slots taken by another pair: look at the next one
-            at[open_] += 1
-            found = self.key[at[open_]]
-            hit = found == key[open_]
-            out[open_[hit]] = self.rank[at[open_[hit]]]
-            open_ = open_[~hit & (found >= 0)]
-        return out
+        found = self.pairs.find(a.astype(np.int64) << 32 | b)
+        return np.where(found >= 0, found, _NO).astype(np.int32)
 
     def merge(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of the byte strings after all merges, end to end, and the number of each."""

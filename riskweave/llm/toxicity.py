@@ -7,18 +7,22 @@ log-odds of the word, and the largest log-odds of its character grams, both from
 the training documents. Two GRUs read a window of ``WINDOW`` words from either
 end; attention weighs the states of its words into one vector and a logit.
 
-A document is scored by all windows of its whole text, each overlapping the next
-by half: the score is that of the most toxic window. Training is the same: the
-loss is taken at the largest window logit of a labelled document.
+A document is scored by all windows of its whole text, one from every word on that
+has a whole window after it (a shorter text is one window): the score is that of
+the most toxic window. Training is the same: the loss is taken at the largest
+window logit of a labelled document.
 
 The fit uses a bounded sample of labelled rows: about ``TRAIN_DOCS`` documents
-of each label, by id hash, of at most ``TRAIN_WORDS`` words each. Rows that are
-held out are never learned from; labels, lang, source and ids are no inputs.
+of each label, by id hash, one text each, of at most ``TRAIN_WORDS`` words. Rows
+that are held out are never learned from; labels, lang, source and ids are no
+inputs. What only longer documents hold is not learned: their windows are scored
+like any other, by what shorter documents taught.
 
 Edge cases: null, empty and wordless texts are one empty window, whose score is
 the network's for a zero state; texts of any length are scored whole; a null
-label is no label; without labels of both kinds every score is 0; repeated rows
-are each scored; an empty table gives an empty result.
+label is no label; of several texts of one id the fit takes one; without labels
+of both kinds every score is 0; repeated rows are each scored; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,17 +36,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, map_texts, prepare, step, texts_of
+from .common import Lookup, held_out, map_texts, prepare, step, texts_of
 from .fmindex import words_of
 
-WINDOW, STRIDE = 32, 16       # words
+WINDOW = 8                    # words; there is a window from every word on
 TRAIN_DOCS = 1500             # labelled documents of each label, about: the bound of the fit
 TRAIN_WORDS = 1500            # words of a training document, at most
 MAX_WORDS, MAX_GRAMS = 30_000, 20_000  # embeddings, most frequent first
 MIN_DOCS = 3                  # training documents that must hold a word or gram
-DIM, HIDDEN, ATTEND = 8, 8, 8
-EPOCHS, BATCH, RATE = 6, 32, 0.01
-_CHUNK = 2048                 # windows run through the network at once
+DIM, HIDDEN, ATTEND = 8, 4, 4
+EPOCHS, BATCH, RATE = 4, 32, 0.01  # few epochs: some labels are wrong, and are learned late
+STEPS = 200                   # updates at least: a small sample is gone through more often
+MISSED = 2.0                  # a toxic document that is missed weighs so much more than a clean one flagged
+_CHUNK = 4096                 # windows run through the network at once
 _CACHE = 120_000              # words a task keeps the inputs of
 
 
@@ -64,11 +70,6 @@ def grams_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(owners)
 
 
-def window_starts(n: int) -> range:
-    """Starts of the windows of ``n`` words; together they cover all, and there is one at least."""
-    return range(0, max(1, n - WINDOW + STRIDE), STRIDE)
-
-
 class Network:
     """Parameters, forward and backward pass. ``word`` and ``gram`` number the embeddings; 0 is none."""
 
@@ -76,8 +77,7 @@ class Network:
                  seed: int = 7):
         rng = np.random.default_rng(seed)
         self.word, self.word_odds, self.gram_odds = word, word_odds, gram_odds
-        self.gram_key = np.array(sorted(gram), np.uint64)
-        self.gram_id = np.array([gram[k] for k in sorted(gram)], np.int64)
+        self.grams = Lookup(np.array(list(gram), np.uint64))  # numbered from 1 in their order
         d = 2 * DIM + 2
 
         def random(*shape):
@@ -93,11 +93,10 @@ class Network:
         """What the network reads of each distinct word: row 0 is padding, word i is row i + 1."""
         w = np.array([0, *map(self.word.get, words, repeat(0))])
         flat, owner = np.empty(0, np.int64), np.empty(0, np.int64)
-        if words and len(self.gram_key):
+        if words:
             keys, of = grams_of(words)
-            at = np.minimum(np.searchsorted(self.gram_key, keys), len(self.gram_key) - 1)
-            known = self.gram_key[at] == keys
-            flat, owner = self.gram_id[at[known]], of[known] + 1
+            at = self.grams.find(keys)
+            flat, owner = at[at >= 0] + 1, of[at >= 0] + 1
             order = np.argsort(owner, kind="stable")  # three sorted runs
             flat, owner = flat[order], owner[order]
         count = np.bincount(owner, minlength=len(w))
@@ -194,13 +193,10 @@ class Network:
         return new
 
 
-def _windows(ids: list[int]) -> np.ndarray:
-    starts = window_starts(len(ids))
-    out = np.zeros((len(starts), WINDOW), np.int64)
-    for row, a in enumerate(starts):
-        part = ids[a:a + WINDOW]
-        out[row, :len(part)] = part
-    return out
+def _windows(ids: np.ndarray) -> np.ndarray:
+    """All windows of a text of these words, one at least (0 pads at the end)."""
+    padded = np.pad(ids, (0, max(0, WINDOW - len(ids))))
+    return np.lib.stride_tricks.sliding_window_view(padded, WINDOW)
 
 
 def _log_odds(docs: Iterable[Iterable], label: np.ndarray, most: int) -> tuple[dict, np.ndarray]:
@@ -215,8 +211,9 @@ def _log_odds(docs: Iterable[Iterable], label: np.ndarray, most: int) -> tuple[d
     return {k: i + 1 for i, k in enumerate(kept)}, np.array([0.0, *odds], np.float32) / 3
 
 
-def train(texts: list[bytes], label: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Network | None:
-    """A network fitted on whole texts; None without both labels."""
+def train(texts: list[bytes], label: np.ndarray, epochs: int = EPOCHS, seed: int = 7, steps: int = STEPS) -> Network | None:
+    """A network fitted on whole texts, in ``epochs`` passes and ``steps`` updates at
+    least; None without both labels."""
     if len(set(label.tolist())) < 2:
         return None
     docs = [words_of(t) for t in texts]
@@ -226,14 +223,15 @@ def train(texts: list[bytes], label: np.ndarray, epochs: int = EPOCHS, seed: int
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v = {k: np.zeros_like(x) for k, x in net.p.items()}
     time, weight = 0, {y: len(label) / 2 / max(1, (label == y).sum()) for y in (0, 1)}
-    for _ in range(epochs):
+    weight[1] *= MISSED
+    for _ in range(max(epochs, -(-steps * BATCH // len(docs)))):
         order = rng.permutation(len(docs))
         for a in range(0, len(order), BATCH):
             batch = [docs[i] for i in order[a:a + BATCH]]
             y = label[order[a:a + BATCH]]
             kinds = sorted({w for d in batch for w in d})
             at = {w: i + 1 for i, w in enumerate(kinds)}
-            wins = [_windows([at[w] for w in d]) for d in batch]
+            wins = [_windows(np.array([at[w] for w in d], np.int64)) for d in batch]
             i = net.inputs(kinds)
             x = net.embed(i)
             proj, ids = net.project(x), np.concatenate(wins)
@@ -339,12 +337,10 @@ class Scorer:
         best = np.full(len(docs), -np.inf)
         rows, owner, held = [], [], 0
         for k, d in enumerate(docs):
-            ids = np.fromiter(map(self.row.__getitem__, d), np.int64, len(d))
-            starts = np.arange(window_starts(len(d)).start, window_starts(len(d)).stop, STRIDE)
-            padded = np.pad(ids, (0, int(starts[-1]) + WINDOW - len(ids)))
-            rows.append(np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[starts])
-            owner.append(np.full(len(starts), k))
-            held += len(starts)
+            windows = _windows(np.fromiter(map(self.row.__getitem__, d), np.int64, len(d)))
+            rows.append(windows)
+            owner.append(np.full(len(windows), k))
+            held += len(windows)
             if held >= 4 * _CHUNK:
                 self._run(rows, owner, best)
                 held = 0
@@ -361,7 +357,7 @@ class Scorer:
 
 def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Network | None:
     """The network fitted on about ``train_docs`` labelled documents of each label."""
-    spark = prepare(docs.sparkSession)
+    prepare(docs.sparkSession)
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")) \
                   .where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     # Of a document labelled twice, the larger label.
@@ -373,9 +369,10 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Net
     some = step(known.where(F.pmod(F.xxhash64(F.lit(2), "doc_id"), F.lit(1 << 30)) < share * (1 << 30)).coalesce(1), "labelled")
     sample = (docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(some, "doc_id")
                   .where("text is not null").where(F.length("text") <= 16 * TRAIN_WORDS))
+    # One text of each id: as many rows as ids were taken.
+    sample = sample.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     rows = sorted((r["doc_id"], bytes(r["text"]), r["toxic"]) for r in sample.collect())
     rows = [r for r in rows if len(words_of(r[1])) <= TRAIN_WORDS]
-    del spark
     return train([r[1] for r in rows], np.array([r[2] for r in rows], np.int64))
 
 

@@ -68,16 +68,32 @@ def test_quick_form_equals_forward():
     words = sorted({w for t in texts for w in t.split()})
     proj = net.project(net.embed(net.inputs(words)))
     ids = np.random.default_rng(0).integers(1, len(words) + 1, (300, T.WINDOW))
-    ids[::3, 20:] = 0
+    ids[::3, 5:] = 0
     assert np.allclose(T.window_logits(net, proj, ids), net.forward(proj, ids)[0], atol=1e-4)
 
 
-def test_windows_cover_every_word():
-    for n in [0, 1, 31, 32, 33, 48, 49, 500]:
-        starts = T.window_starts(n)
-        seen = {i for a in starts for i in range(a, min(n, a + T.WINDOW))}
-        assert seen == set(range(n)) and len(starts) >= 1
-        assert all(b - a == T.STRIDE for a, b in zip(starts, starts[1:]))
+def test_a_window_starts_at_every_word():
+    for n in [0, 1, T.WINDOW - 1, T.WINDOW, T.WINDOW + 1, 500]:
+        ids = np.arange(1, n + 1)
+        got = T._windows(ids)
+        assert len(got) == max(1, n - T.WINDOW + 1)
+        assert all(np.array_equal(w[w > 0], ids[i:i + T.WINDOW]) for i, w in enumerate(got))
+
+
+def test_score_is_that_of_a_plain_loop_over_all_windows():
+    texts, y = small()
+    net = T.train(texts, y, epochs=2)
+    rnd, s = random.Random(1), T.Scorer(net)
+    kinds = sorted({w for t in texts for w in t.split()}) + [b"unseen", "wörter".encode()]
+    for n in (0, 1, 7, 8, 9, 40, 300):
+        words = rnd.choices(kinds, k=n)
+        own = sorted(set(words))
+        proj = net.project(net.embed(net.inputs(own)))
+        logits = []
+        for a in range(max(1, n - T.WINDOW + 1)):
+            ids = [own.index(w) + 1 for w in words[a:a + T.WINDOW]]
+            logits.append(net.forward(proj, np.array([ids + [0] * (T.WINDOW - len(ids))]))[0][0])
+        assert abs(s.scores([b" ".join(words)])[0] - 1 / (1 + np.exp(-max(logits)))) < 1e-5
 
 
 def test_learns_and_scores_the_worst_window(monkeypatch):
@@ -89,7 +105,7 @@ def test_learns_and_scores_the_worst_window(monkeypatch):
     clean = b"river stone green " * 400
     s = T.Scorer(net)
     assert s.scores([clean])[0] < 0.5 < s.scores([clean + b"zorgle " + clean])[0]
-    alone = [s.scores([b" ".join(clean.split()[a:a + T.WINDOW])])[0] for a in range(0, 300, T.STRIDE)]
+    alone = [s.scores([b" ".join(clean.split()[a:a + T.WINDOW])])[0] for a in range(300 - T.WINDOW + 1)]
     assert abs(max(alone) - s.scores([b" ".join(clean.split()[:300])])[0]) < 1e-5
     # The word cache may be dropped at any time.
     monkeypatch.setattr(T, "_CACHE", 5)
@@ -107,7 +123,7 @@ def test_held_out_accuracy(spark):
     held = [r for r in out if r.held_out]
     hit = sum(r.predicted == r.toxic for r in held) / len(held)
     found = [r.predicted for r in held if r.toxic]
-    assert hit > 0.97 and np.mean(found) > 0.9
+    assert hit > 0.97 and np.mean(found) >= 0.92
 
 
 def test_edge_rows(spark):
@@ -121,6 +137,15 @@ def test_edge_rows(spark):
     assert len(got) == len(rows) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
     empty = {r.score for r in got if r.doc_id in (900, 901, 902)}
     assert len(empty) == 1
+    # An id with many texts brings one of them to the fit.
+    many = spark.createDataFrame([(5, f"river stone {i}") for i in range(3000)], "doc_id long, text string")
+    collected = []
+    real = T.train
+    T.train = lambda t, *a, **k: collected.append(len(t)) or real(t, *a, **k)
+    try:
+        assert T.fit(docs.select("doc_id", "text").union(many), labels) is not None and collected[0] <= 120
+    finally:
+        T.train = real
     none = T.toxicity(docs, labels.where("toxic = 0")).collect()
     assert {(r.score, r.predicted) for r in none} == {(0.0, 0)}
     assert T.toxicity(docs.limit(0), labels).count() == 0
