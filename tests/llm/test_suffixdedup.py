@@ -85,6 +85,47 @@ def test_repeated_ids_null_ids_and_empty(spark):
     assert S.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_ids_of_any_type(spark):
+    rows = [(f"d{i:03d}", t) for i, t in made(4)[:60]]
+    df = spark.createDataFrame(rows, "doc_id string, text string").repartition(4)
+    assert sorted(tuple(r) for r in S.remove_repeats(df).collect()) == sorted(brute(rows))
+    rnd = random.Random(1)
+    a, last = prose(rnd, 60), (1 << 63) - 1
+    df = spark.createDataFrame([(None, a), (last, a), (None, a + "x")], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_removed) for r in S.remove_repeats(df).collect())
+    n = len(a.encode())
+    assert got == [(0, n), (0, n), (last, 0)]  # rows without id come after the largest id there is
+
+
+def test_removal_is_decided_by_bytes(spark, monkeypatch):
+    """With hashes of few values no different block is taken for a repeat: the job stops instead."""
+    texts = [prose(random.Random(i), 80) for i in range(6)]
+    real = S._scramble
+    monkeypatch.setattr(S, "_scramble", lambda x: real(x) & np.uint64(1 << 60))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for parts in (1, 7):
+        with pytest.raises(Exception, match="take another seed"):
+            S.remove_repeats(df.repartition(parts)).collect()
+
+
+def test_another_seed_gives_the_same(spark):
+    rows = made(5)[:40]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(tuple(r) for r in S.remove_repeats(df, seed=3).collect()) == sorted(brute(rows))
+
+
+@pytest.mark.parametrize("size", [8, 9, 16, 107, 180])
+def test_same_bytes(size):
+    rng = np.random.default_rng(size)
+    buf = rng.integers(0, 2, 4000).astype(np.uint8)
+    buf[2000:4000] = buf[:2000]
+    a, b = rng.integers(0, 1800, 300), rng.integers(2000, 3800, 300)
+    b[::2] = a[::2] + 2000
+    buf[b[::4] + size - 1] ^= 1
+    got = S.same_bytes(buf, a, b, np.full(300, size))
+    assert got.tolist() == [buf[x:x + size].tobytes() == buf[y:y + size].tobytes() for x, y in zip(a, b)] and got.any() and not got.all()
+
+
 def test_kept_bytes(spark):
     rows = made(3)[:20]
     df = spark.createDataFrame(rows, "doc_id long, text string")
