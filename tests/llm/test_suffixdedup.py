@@ -117,11 +117,11 @@ def test_another_seed_gives_the_same(spark):
 @pytest.mark.parametrize("size", [8, 9, 16, 107, 180])
 def test_same_bytes(size):
     rng = np.random.default_rng(size)
-    buf = rng.integers(0, 2, 4000).astype(np.uint8)
-    buf[2000:4000] = buf[:2000]
-    a, b = rng.integers(0, 1800, 300), rng.integers(2000, 3800, 300)
-    b[::2] = a[::2] + 2000
-    buf[b[::4] + size - 1] ^= 1
+    buf = rng.integers(0, 2, 80_000).astype(np.uint8)
+    buf[40_000:] = buf[:40_000]
+    a, b = rng.integers(0, 39_000, 300), rng.integers(40_000, 79_000, 300)
+    b[::2] = a[::2] + 40_000
+    buf[b[::20] + size - 1] ^= 1
     got = S.same_bytes(buf, a, b, np.full(300, size))
     assert got.tolist() == [buf[x:x + size].tobytes() == buf[y:y + size].tobytes() for x, y in zip(a, b)] and got.any() and not got.all()
 
