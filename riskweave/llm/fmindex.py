@@ -14,9 +14,12 @@ ends a run (no window crosses it), and a run shorter than the shortest window is
 left out (no window fits in it). No occurrence is lost by either.
 
 The benchmark's distinct rows are cut into blocks by hash, of about ``BLOCK_BYTES``
-of text each (more where a single item is longer). A block is sent to the tasks; a
-larger benchmark is worked off block by block in the same pass over the documents,
-and the spans of the blocks are merged row by row (no shuffle of documents).
+of text each (more where a single item is longer). A block is sent to the tasks by
+broadcast. A benchmark of one block needs one pass over the documents and no
+shuffle. A larger one is worked off block by block: a pass writes the spans of the
+texts that were hit, and its broadcast is dropped before the next begins, so that one
+block is held at any time; at the end the written spans are joined to the documents
+by the SHA-256 of their text and merged.
 
 Edge cases: null or wordless texts and items have no words and no windows;
 equal windows of several items count for each of them; a null item_id is the
@@ -27,6 +30,7 @@ nothing; no document crosses into another.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -266,11 +270,13 @@ class _Shard:
 _OUT = "struct<n_words:bigint,spans:array<struct<first:int,end:int>>,items:array<string>>"
 
 
+_KIND = pa.struct([("n_words", pa.int64()),
+                   ("spans", pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))),
+                   ("items", pa.list_(pa.string()))])
+
+
 def _pass(windows: Windows):
-    """mapInArrow function: adds the spans and items of one benchmark block to each row."""
-    kind = pa.struct([("n_words", pa.int64()),
-                      ("spans", pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))),
-                      ("items", pa.list_(pa.string()))])
+    """mapInArrow function: the spans and items of one benchmark block beside each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = _Shard(windows)
@@ -280,15 +286,10 @@ def _pass(windows: Windows):
             spans, items = shard.hits()
             first = 0
             for rb, counts in held:
-                out = []
-                for i, (n, old) in enumerate(zip(counts, rb.column(2).to_pylist(), strict=True)):
-                    s, t = spans.get(first + i, []), items.get(first + i, ())
-                    if old:
-                        s = merge_spans([*s, *((x["first"], x["end"]) for x in old["spans"])])
-                        t = {*t, *old["items"]}
-                    out.append({"n_words": n, "spans": [{"first": a, "end": b} for a, b in s], "items": sorted(t)})
+                out = [{"n_words": n, "spans": [{"first": a, "end": b} for a, b in spans.get(first + i, [])],
+                        "items": sorted(items.get(first + i, ()))} for i, n in enumerate(counts)]
                 first += len(counts)
-                yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(1), pa.array(out, kind)],
+                yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(1), pa.array(out, _KIND)],
                                                  names=["_row", "_text", "_out"])
             held.clear()
             shard.clear()
@@ -322,15 +323,37 @@ def find(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "te
     bench = step(bench.distinct(), "benchmark")
     size = bench.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
-    src = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"),
-                      F.col(f"`{text}`").cast("binary").alias("_text"), F.lit(None).cast(_OUT).alias("_out"))
-    schema = f"_row {src.schema['_row'].dataType.simpleString()}, _text binary, _out {_OUT}"
-    for b in range(blocks):
-        # One block: about BLOCK_BYTES of benchmark text.
+    src = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"), F.col(f"`{text}`").cast("binary").alias("_text"))
+
+    def block(b: int):
+        """One block, about BLOCK_BYTES of benchmark text, as a broadcast."""
         rows = bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).collect()
-        found = spark.sparkContext.broadcast(vars(Windows([(r.item, bytes(r.text)) for r in rows], window)))
-        src = src.mapInArrow(_lazy_pass(found), schema)
-    return src
+        return spark.sparkContext.broadcast(vars(Windows([(r.item, bytes(r.text)) for r in rows], window)))
+
+    schema = f"{{}}, _text binary, _out {_OUT}"
+    row = f"_row {src.schema['_row'].dataType.simpleString()}"
+    if blocks == 1:
+        return src.mapInArrow(_lazy_pass(block(0)), schema.format(row))
+    parts, hashed = [], src.select(F.sha2("_text", 256).alias("_row"), "_text")
+    for b in range(blocks):
+        sent = block(b)
+        hit = hashed.mapInArrow(_lazy_pass(sent), schema.format("_row string")).where(F.size("_out.spans") > 0)
+        parts.append(step(hit.groupBy("_row").agg(F.first("_out").alias("_out")), "hits"))  # equal texts have equal spans
+        sent.destroy()
+    hits = reduce(DataFrame.union, parts).groupBy(F.col("_row").alias("_sha")).agg(F.collect_list("_out").alias("_hits"))
+    rows = src.withColumn("_sha", F.sha2("_text", 256)).join(hits, "_sha", "left").select("_row", "_text", "_hits")
+    return rows.mapInArrow(_merge_blocks, schema.format(row))
+
+
+def _merge_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(_row, _text, the hits of each block) -> the hits of all."""
+    for rb in batches:
+        out = []
+        for text, hits in zip(rb.column(1).to_pylist(), rb.column(2).to_pylist(), strict=True):
+            spans = merge_spans([(x["first"], x["end"]) for h in hits or () for x in h["spans"]])
+            out.append({"n_words": len(words_of(text)), "spans": [{"first": a, "end": b} for a, b in spans],
+                        "items": sorted({i for h in hits or () for i in h["items"]})})
+        yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(1), pa.array(out, _KIND)], names=["_row", "_text", "_out"])
 
 
 def _lazy_pass(sent):

@@ -109,3 +109,19 @@ def test_repeated_benchmark_rows_share_no_block(spark, monkeypatch):
     monkeypatch.setattr(FM, "Windows", build)
     plain = FM.decontaminate(docs, spark.createDataFrame(items, "item_id string, text string"))
     assert sorted(out.collect()) == sorted(plain.collect())
+
+
+def test_blocks_do_not_chain_and_long_documents(spark, monkeypatch):
+    items = [(f"i{k}", " ".join(f"w{k}x{j}" for j in range(12))) for k in range(40)]
+    long = " ".join(f"filler{i % 977}" for i in range(60_000)) + " " + items[7][1] + " end " + items[30][1]
+    docs = [(1, long), (2, items[3][1]), (2, items[3][1]), (3, None), (4, "clean")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")
+    one = FM.decontaminate(d, b)
+    text = one._jdf.queryExecution().executedPlan().toString()
+    assert text.count("MapInArrow") == 1 and "Exchange" not in text
+    want = sorted(one.collect())
+    assert want[0].n_hit == 24 and want[0].n_items == 2 and [r.contaminated for r in want] == [True, True, True, False, False]
+    monkeypatch.setattr(FM, "BLOCK_BYTES", 300)
+    many = FM.decontaminate(d, b)
+    assert many._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1  # the merge; the passes are written
+    assert sorted(many.collect()) == want
