@@ -9,8 +9,8 @@ that n-grams common to every language count for none.
 
 Anything that is not a letter is one word boundary, a symbol with a vector of
 its own. Prototypes are fitted on a bounded sample of labelled rows
-(``TRAIN_DOCS`` documents of each language, by hash order); every text is scored
-whole. With D dimensions, the vectors of a batch are one product of the
+(``TRAIN_DOCS`` documents of each of the ``MAX_LANGS`` most frequent languages, by
+hash order); every text is scored whole. With D dimensions, the vectors of a batch are one product of the
 document x n-gram count matrix with the n-gram vectors.
 
 Edge cases: null text, or no letter: ``und``, score 0; ties go to the language
@@ -32,6 +32,7 @@ from .common import held_out, map_texts, prepare
 
 DIM = 1024          # dimensions of a vector
 NGRAM = 3           # letters
+MAX_LANGS = 256     # languages that are learned, those of most documents (a bound on the fit)
 TRAIN_DOCS = 1500   # documents of a language that prototypes are fitted on, about (a bound on the fit)
 SHARPNESS = 20.0    # softmax weight of the cosines in the score
 SEED = 20240229
@@ -43,8 +44,10 @@ _CACHE = 40_000     # n-gram vectors a task keeps
 def _letters() -> np.ndarray:
     """For each code point whether it is a letter (Unicode category L*)."""
     table = np.zeros(0x110000, bool)
-    for cp in range(0x32000):  # letters end below U+32000
+    for cp in range(len(table)):
         table[cp] = unicodedata.category(chr(cp))[0] == "L"
+    # Blocks of ideographs that later versions of Unicode than this Python's have filled.
+    table[0x20000:0x2FFFE] = table[0x30000:0x3FFFE] = True
     return table
 
 
@@ -148,11 +151,13 @@ def fit(docs: DataFrame, dim: int = DIM, ngram: int = NGRAM, train_docs: int = T
     driver gets one vector a language and task.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not sizes:
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    most = [(r["lang"], train_docs / r["n"]) for r in sizes.orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()]
+    if not most:
         return [], np.zeros((0, dim), np.float32)
-    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(train_docs / n)) for k, n in sorted(sizes.items())])
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30))
+    shares = docs.sparkSession.createDataFrame(most, "lang string, share double")  # MAX_LANGS rows at most
+    sample = (rows.select("lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("_at"))
+                  .join(F.broadcast(shares), "lang").where(F.col("_at") < F.col("share") * (1 << 30)))
 
     def run(batches: Iterator[pa.RecordBatch]):
         vectors, sums = Vectors(dim, ngram), {}

@@ -20,20 +20,26 @@ bucket grows with repeats. All random numbers are hashes, so reruns agree.
 
 Edge cases: null text has size 0; documents of size 0 take no words; a null
 source is a source of its own; repeated rows are each reported, their copies
-dealt evenly; an empty table gives an empty result; columns besides doc_id, text
+dealt evenly, first to those whose row (in all its columns) has the smallest hash; an empty table gives an empty result; columns besides doc_id, text
 and source are not read.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskweave.operators.ranking import value_counts_cumulative
+
 from .common import prepare, step, text_hash, words
 
 MAX_COPIES = 3  # a document's copies, and a target over its source's size, at most
+SOURCES = 100_000  # named sources that are ordered by one window
+_PART = 4096    # equal rows listed at once
+_PARTS = 256    # parts of a hot key's rows in numbering
 FAN_IN = 256    # items folded in one bucket, about
 SEED = 17
 
@@ -47,28 +53,31 @@ def targets(sizes: DataFrame, max_copies: int = MAX_COPIES) -> DataFrame:
     """(source, source_size, n, target) from rows of (source, size, m).
 
     The capped, reshared targets are a water level: all sources get their weight
-    times one level or, where that is more, their cap. In order of cap / weight
-    the capped sources come first, so running sums find the level. The windows
-    here see one row per source.
+    times one level or, where that is more, their cap. The level rises from that of
+    no capped source: sources it lifts above their cap are capped, and the rest is
+    shared again, until none is above. A source's place in the order comes from
+    running counts over ranges of the names (beyond ``SOURCES`` of them), and a step
+    of the level is an aggregate of two numbers, so that no task sees all sources.
     """
-    per = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size"),
-                                      F.count(F.lit(1)).alias("n"))
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    per = (per.withColumn("weight", ((F.row_number().over(order) - 1) % 3 + 1).cast("double"))
-              .withColumn("cap", F.col("source_size") * float(max_copies)))
-    by = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    before, whole = by.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(F.lit(1))
-    zero = F.lit(0.0)
-    per = (per.withColumn("rest", F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(before), zero))
-              .withColumn("share", F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), zero))
-              .withColumn("rank", F.row_number().over(by)))
-    # The first source whose cap is above the level that all before it leave sets the level.
-    above = F.col("cap") * F.col("share") > F.col("rest") * F.col("weight")
-    per = (per.withColumn("first", F.min(F.when(above, F.col("rank"))).over(whole))
-              .withColumn("level", F.max(F.when(F.col("rank") == F.col("first"), F.col("rest") / F.col("share"))).over(whole)))
-    capped = F.col("first").isNull() | (F.col("rank") < F.col("first"))
-    return per.select("source", "source_size", "n",
-                      F.when(capped, F.col("cap")).otherwise(F.col("level") * F.col("weight")).alias("target"))
+    per = step(sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size"),
+                                           F.count(F.lit(1)).alias("n")), "sources")
+    place = value_counts_cumulative(per, "source", bound=SOURCES).select("source", F.col("cnt_below").alias("_place"))
+    named = per.where("source is not null")
+    n_named = named.count()
+    placed = named.join(place, "source").unionByName(per.where("source is null").withColumn("_place", F.lit(n_named).cast("long")))
+    per = step(placed.withColumn("weight", (F.col("_place") % 3 + 1).cast("double"))
+                     .withColumn("cap", F.col("source_size") * float(max_copies)), "weights")
+    level, capped = 0.0, -1
+    while True:
+        above = F.col("weight") * F.lit(level) > F.col("cap") if capped >= 0 else F.lit(False)
+        r = per.agg(F.sum("source_size").alias("all"), F.sum(F.when(above, F.col("cap")).otherwise(0.0)).alias("given"),
+                    F.sum(F.when(above, 0.0).otherwise(F.col("weight"))).alias("weight"), F.count_if(above).alias("n")).first()
+        if r["n"] == capped or not r["weight"]:
+            break
+        level, capped = (r["all"] - r["given"]) / r["weight"], r["n"]
+    if r["weight"] == 0:  # every source is at its cap
+        return per.select("source", "source_size", "n", F.col("cap").alias("target"))
+    return per.select("source", "source_size", "n", F.least(F.col("cap"), F.col("weight") * F.lit(level)).alias("target"))
 
 
 def _exchange(acc: Column, x: Column) -> Column:
@@ -117,7 +126,7 @@ def decide(docs: DataFrame, max_copies: int = MAX_COPIES, fan_in: int = FAN_IN)
     rows = docs.select("doc_id", text_hash(F.col("text")).alias("th"), "source",
                        F.size(words(F.col("text"))).cast("long").alias("size"))
     sizes = step(rows.groupBy("doc_id", "th", "source", "size").agg(F.count(F.lit(1)).alias("m")), "sizes")
-    per = step(targets(sizes, max_copies).coalesce(1), "targets")  # a row per source
+    per = step(targets(sizes, max_copies), "targets")  # a row per source
     most = per.agg(F.max("n")).first()[0] or 0
 
     per = per.withColumnRenamed("source", "_source")
@@ -164,12 +173,38 @@ def _of_row(ordinal: Column) -> Column:
 def mix(docs: DataFrame, max_copies: int = MAX_COPIES) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, copies, taken."""
     out = decide(docs.select("doc_id", "text", "source"), max_copies)
-    out = out.withColumn("ordinal", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))))
+    # Many equal rows are listed part by part, by several tasks.
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("m") - 1) / _PART)))
+    few = out.where(F.col("m") <= _PART).withColumn("part", F.lit(0).cast("long"))
+    many = out.where(F.col("m") > _PART).withColumn("part", part).repartition("doc_id", "th", "part")
+    first = F.col("part") * _PART + 1
+    out = few.unionByName(many).withColumn("ordinal", F.explode(F.sequence(first, F.least(F.col("m"), first + _PART - 1))))
     out = out.withColumn("copies", _of_row(F.col("ordinal")))
     return out.select("doc_id", "source", "size", "source_size", "target", "copies",
                       (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def _numbered(rows: DataFrame, key: list[str]) -> DataFrame:
+    """``rows`` with their number ``n`` (from 1) among those of the same key, in the order
+    of a hash of the whole row: rows that are equal throughout are as good as each
+    other, so reruns take the same. No task sees a whole key: counts by parts of the
+    hash and by the partitions that rows were written in make the numbers.
+    """
+    kept = step(rows.withColumn("_h", F.xxhash64("_row")).withColumn("_part", F.pmod(F.col("_h"), F.lit(_PARTS)))
+                    .withColumn("_pid", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()), "equal-rows")
+    cells = kept.groupBy(*key, "_part", "_h", "_pid").agg(F.count(F.lit(1)).alias("c"))
+    up = lambda *by: Window.partitionBy(*by[0]).orderBy(*by[1]).rowsBetween(Window.unboundedPreceding, -1)
+    none = F.lit(0).cast("long")
+    parts = cells.groupBy(*key, "_part").agg(F.sum("c").alias("c")).withColumn("_a", F.coalesce(F.sum("c").over(up(key, ["_part"])), none))
+    cells = cells.withColumn("_b", F.coalesce(F.sum("c").over(up([*key, "_part"], ["_h", "_pid"])), none)).drop("c")
+    local = F.row_number().over(Window.partitionBy(*key, "_part", "_h", "_pid").orderBy("_i"))
+    same = lambda a, b, names: reduce(Column.__and__, [a[x].eqNullSafe(b[x]) for x in names])
+    kept = kept.withColumn("_l", local)
+    out = kept.join(cells, same(kept, cells, [*key, "_part", "_h", "_pid"])).select(*[kept[c] for c in kept.columns], "_b")
+    out = out.join(parts, same(out, parts, [*key, "_part"])).select(*[out[c] for c in out.columns], "_a")
+    return out.withColumn("n", F.col("_a") + F.col("_b") + F.col("_l")).drop("_h", "_part", "_pid", "_i", "_l", "_a", "_b")
+
+
 def mixed(docs: DataFrame, max_copies: int = MAX_COPIES) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it (0 times: gone)."""
     out = decide(docs.select("doc_id", "text", "source"), max_copies).where("copies > 0")
@@ -179,9 +214,8 @@ def mixed(docs: DataFrame, max_copies: int = MAX_COPIES) -> DataFrame:
     same = (F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t"))
             & F.col("source").eqNullSafe(F.col("_s")))
     got = keyed.join(out, same).select("_row", "_d", "_t", "_s", "m", "copies")
-    each = Window.partitionBy("_d", "_t", "_s").orderBy(F.lit(1))
-    # Equal rows are told apart by number; only they need the window.
+    # Equal rows are told apart by number; only they need one.
     single = got.where("m = 1").select("_row", "copies")
-    several = got.where("m > 1").withColumn("n", F.row_number().over(each)).select("_row", _of_row(F.col("n")).alias("copies"))
+    several = _numbered(got.where("m > 1"), ["_d", "_t", "_s"]).select("_row", _of_row(F.col("n")).alias("copies"))
     both = single.union(several).where("copies > 0")
     return both.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_copy")).select("_row.*")

@@ -40,7 +40,7 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 6: slot and shard of every document."""
     docs = read_table(spark, sf_dir, "documents", ["doc_id"])
-    return sharding.place(docs).withColumnRenamed("_slot", "slot")
+    return sharding.place(docs, slot_col="slot")
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,8 +10,9 @@ The table has ``SLOTS`` rows whatever the data, which bounds the broadcast;
 placement is one hash and one lookup.
 
 Edge cases: a null id is the empty text; equal ids share a shard (ids that are
-numbers and their decimal text too); an empty table gives an empty result; a
-``shard`` column of the input is replaced.
+numbers and their decimal text too); an empty table gives an empty result; columns
+of the input named like the new ones, in any case, are replaced, and all others
+(``_slot`` or ``_row`` too) are kept.
 """
 
 from __future__ import annotations
@@ -56,11 +57,16 @@ def lookup_table(spark: SparkSession, names: list[str], slots: int = SLOTS) -> D
     return spark.createDataFrame([(s, names[o]) for s, o in enumerate(owner)], "_slot bigint, _shard string").coalesce(1)
 
 
-def place(docs: DataFrame, id_col: str = "doc_id", shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
-    """``docs`` with the column ``shard`` (shard-00000 ...) and ``_slot``."""
+def place(docs: DataFrame, id_col: str = "doc_id", shards: int = SHARDS, slots: int = SLOTS, slot_col: str | None = None) -> DataFrame:
+    """``docs`` with the column ``shard`` (shard-00000 ...) and, if named, the slot in ``slot_col``."""
     spark = prepare(docs.sparkSession)
     table = lookup_table(spark, [f"shard-{i:05d}" for i in range(shards)], slots)
     key = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "shard"]).alias("_row")
-    keyed = docs.select(row, F.pmod(F.xxhash64(key), F.lit(slots)).alias("_slot"))
-    return keyed.join(F.broadcast(table), "_slot").select("_row.*", F.col("_shard").alias("shard"), "_slot")
+    new = {"shard", *([slot_col.lower()] if slot_col else [])}
+    kept = [c for c in docs.columns if c.lower() not in new]
+    # The row travels as one struct, so that its columns meet none of these names.
+    row = F.struct(*[F.col(f"`{c}`") for c in kept]) if kept else F.lit(None)
+    keyed = docs.select(row.alias("_row"), F.pmod(F.xxhash64(key), F.lit(slots)).alias("_slot"))
+    placed = keyed.join(F.broadcast(table), "_slot")
+    return placed.select(*[F.col(f"_row.`{c}`").alias(c) for c in kept], F.col("_shard").alias("shard"),
+                         *([F.col("_slot").alias(slot_col)] if slot_col else []))

@@ -63,3 +63,22 @@ def test_edge_rows(spark):
     none = df.withColumn("lang", F.lit(None).cast("string"))
     assert {r.lang_pred for r in L.identify(none).collect()} == {"und"}
     assert L.identify(df.limit(0)).count() == 0
+
+
+def test_letters_of_all_planes(spark):
+    table = L._letters()
+    import unicodedata
+    assert all(table[c] for c in range(0x110000) if unicodedata.category(chr(c))[0] == "L")
+    assert table[0x32100] and table[0x323AF] and not table[ord("1")] and not table[0x1F600]
+    far = "".join(chr(0x32100 + i % 7) for i in range(40))
+    rows = [(i, t, k) for i in range(40) for t, k in (("the cat and the dog", "en"), (far, "xx"))] + [(900, far[3:], None)]
+    got = {r.doc_id: r for r in L.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got[900].lang_pred == "xx" and got[900].score > 0.5
+
+
+def test_a_dirty_lang_column_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(L, "MAX_LANGS", 2)
+    rows = [(i, t, k) for i in range(60) for t, k in (("the cat and the dog", "en"), ("le chat et le chien", "fr"))]
+    rows += [(1000 + i, "junk text", f"junk{i}") for i in range(50)]
+    langs, protos = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert langs == ["en", "fr"] and len(protos) == 2

@@ -89,6 +89,59 @@ def test_mixed_rows_follow_the_decisions(spark):
     assert dict(got) == {k: v for k, v in want.items() if v}
 
 
+def plain_fold(items, level, u):
+    """Pivotal rounding of one bucket as a plain loop: (key, size, p) in order, largest first."""
+    out, acc = {}, None
+    for k, s, p in items:
+        if acc is None:
+            acc = (k, s, p)
+            continue
+        (a, sa, pa), (sx, px) = acc, (s, p)
+        more, less = min((1 - pa) * sa, px * sx), min(pa * sa, (1 - px) * sx)
+        d = more if u[k] * (more + less) < less else -less  # rises with the chance that keeps both expectations
+        pa, px = pa + d / sa, px - d / sx
+        pa, px = (round(v) if min(v, 1 - v) < 1e-9 else v for v in (pa, px))
+        if pa in (0, 1):
+            out[a], acc = pa, (k, sx, px)
+        else:
+            out[k], acc = px, (a, sa, pa)
+    return out, acc
+
+
+def test_fold_is_pivotal_rounding(spark):
+    rnd = random.Random(5)
+    rows = [("s", 0, (i, 7 * i), float(rnd.randint(1, 30)), rnd.random(), i) for i in range(200)]
+    df = spark.createDataFrame(rows, "source string, bucket long, k struct<doc_id:long,th:long>, s double, p double, h long")
+    got = M._fold(df, 0).first()
+    u = {(r.k.doc_id, r.k.th): r.u for r in df.select("k", M._uniform(M.SEED, 0, M.F.col("k.doc_id"), M.F.col("k.th")).alias("u")).collect()}
+    out, (k, s, p) = plain_fold([(r[2], r[3], r[4]) for r in sorted(rows, key=lambda r: (-r[3], r[5]))], 0, u)
+    assert {(o.k.doc_id, o.k.th): o.p for o in got.out} == pytest.approx(out)
+    assert (got.k.doc_id, got.s) == (k[0], s) and got.p == pytest.approx(p, abs=1e-6)
+    mass = sum(r[3] * r[4] for r in rows)
+    assert sum(o.p * rows[o.k.doc_id][3] for o in got.out) + got.p * got.s == pytest.approx(mass)
+
+
+def test_hot_equal_rows_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(M, "_PART", 16)
+    monkeypatch.setattr(M, "_PARTS", 4)
+    rows = [(1, "a b c", "s", "en" if i % 3 else "de", 5) for i in range(100)] + [(i, "w x", "t", "en", 3) for i in range(2, 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n long")
+    got = [r.copies for r in M.mix(df).collect() if r.doc_id == 1]
+    assert len(got) == 100 and max(got) - min(got) <= 1
+    runs = [sorted(map(tuple, M.mixed(x).collect())) for x in (df, df.repartition(5), df.orderBy("lang").repartition(2))]
+    assert runs[0] == runs[1] == runs[2] and sum(r[0] == 1 for r in runs[0]) == sum(got)
+
+
+def test_many_sources_equal_plain_resharing(spark):
+    rnd = random.Random(3)
+    sizes = {f"src{i:04d}é" if i % 7 else f"src{i}": rnd.choice([1, 3, 50, 4000]) for i in range(400)} | {None: 77}
+    rows = spark.createDataFrame([(s, n, 1) for s, n in sizes.items()], "source string, size long, m long")
+    got = {r.source: r.target for r in M.targets(rows).collect()}
+    assert got == pytest.approx(water_fill(sizes))
+    two = spark.createDataFrame([("a", 0, 1), ("b", 0, 1)], "source string, size long, m long")
+    assert [r.target for r in M.targets(two).collect()] == [0, 0]
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert M.mix(df).count() == 0 and M.mixed(df).count() == 0

@@ -71,3 +71,8 @@ def test_run_and_empty_documents(spark, sf_dir):
         docs = f(spark, docs, sf_dir)
         assert docs.count() == 0
     assert langid.keep_identified(docs).count() == 0
+
+
+def test_last_stage_keeps_a_column_named_slot(spark, sf_dir):
+    docs = spark.createDataFrame([(1, "t", 5, "old")], "doc_id long, text string, _slot int, Shard string")
+    assert P.STAGES[-1][1](spark, docs, sf_dir).columns == ["doc_id", "text", "_slot", "shard"]

@@ -3,6 +3,7 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from riskweave.llm import sharding as S
 
@@ -43,13 +44,23 @@ def test_bad_tables():
 def test_placement(spark):
     rows = [(i, "t", "old") for i in range(3000)] + [(None, "n", None), (5, "again", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, shard string")
-    out = S.place(df, shards=10, slots=1009).collect()
+    out = S.place(df, shards=10, slots=1009, slot_col="slot").collect()
     assert len(out) == len(rows)
     table = S.fill([f"shard-{i:05d}" for i in range(10)], 1009)
-    assert all(r.shard == f"shard-{table[r._slot]:05d}" for r in out)
+    assert all(r.shard == f"shard-{table[r.slot]:05d}" for r in out)
     assert len({r.shard for r in out if r.doc_id == 5}) == 1
     sizes = Counter(r.shard for r in out)
     assert len(sizes) == 10 and max(sizes.values()) < 1.4 * 300
     assert S.place(df.limit(0)).count() == 0
     same = spark.createDataFrame([("5",)], "doc_id string")
     assert S.place(same, shards=10, slots=1009).first().shard == next(r.shard for r in out if r.doc_id == 5)
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a", 7, "old", "s")], "doc_id long, _row string, _slot int, Shard string, _shard string")
+    out = S.place(df)
+    assert out.columns == ["doc_id", "_row", "_slot", "_shard", "shard"]
+    r = out.first()
+    assert (r._row, r._slot, r._shard) == ("a", 7, "s") and r.shard.startswith("shard-")
+    assert S.place(df, slot_col="_SLOT").columns == ["doc_id", "_row", "_shard", "shard", "_SLOT"]
+    assert S.place(df.select("Shard", F.col("doc_id").alias("id")).select("Shard", "id"), "id").columns == ["id", "shard"]
