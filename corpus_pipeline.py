@@ -36,7 +36,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: adds the shard of each document."""
-    return sharding.place(docs).drop("_slot")
+    return sharding.place(docs)
 
 
 STAGES = [
