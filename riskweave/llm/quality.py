@@ -2,12 +2,14 @@
 
 Every line is held against three groups of rules and removed if it fails one:
 
-* punctuation: it neither ends with a closing mark nor has a sentence end inside,
+* punctuation: it neither ends with a closing mark nor has a sentence end inside
+  (marks of all scripts; scripts that write none, as Thai and Lao, are let off),
   or symbols ``[#*$%&|<>]`` or doubled ``!!`` / ``??`` make up too much of it;
-* navigation: it is a list cut by bars or arrows, or a short line that starts
-  like a menu entry;
-* boilerplate: a short line with a notice (rights, cookies, scripts, log-in) or
-  holding a brace.
+* navigation, by shape: separators (bars, arrows, dots) cut it into items of few
+  words each;
+* boilerplate: it holds a notice (rights, cookies, scripts, subscriptions) and a
+  second sign of one: few words, a year, an address, a copyright sign or a second
+  notice. A word of a notice alone, in prose, is no sign. Or it is code by its braces.
 
 A document is rejected if the removed lines held more than ``MAX_LOSS`` of its
 word characters, or if the base rules fail it (under 50 words, or over half of
@@ -33,15 +35,28 @@ from .common import WHITE, prepare, words
 MIN_WORDS = 50
 MAX_LOSS = 0.5          # of the word characters, in removed lines
 MAX_SYMBOLS = 0.08      # symbols over characters of a line
-SHORT_LINE = 200        # characters; notices and menu entries are short
 SYMBOLS = "#*$%&|<>"
-ENDS = r"[.!?:;\x{2026}\x{3002}][\"')\]\x{00BB}\x{201D}]*[\x20\x09-\x0D]*$"
-INSIDE = r"[.!?][\"')\]\x{00BB}\x{201D}]*[\x20\x09-\x0D]"
+# Sentence ends (Latin, Greek, Armenian, Arabic, Urdu, Indic, Ethiopic, Khmer, Burmese, Tibetan,
+# Mongolian, ideographic and full-width marks), those that need no space after them, and closing quotes.
+MARKS = (r".!?:;\x{037E}\x{0589}\x{055C}\x{055E}\x{05C3}\x{061B}\x{061F}\x{06D4}\x{0700}-\x{0702}\x{0964}\x{0965}\x{0DF4}"
+         r"\x{0F0D}\x{0F0E}\x{104A}\x{104B}\x{1362}-\x{1368}\x{17D4}\x{17D5}\x{1803}\x{1809}\x{2026}\x{203C}-\x{203D}\x{2047}-\x{2049}"
+         r"\x{2E2E}")
+WIDE = r"\x{3002}\x{FF01}\x{FF0E}\x{FF1A}\x{FF1B}\x{FF1F}\x{FF61}"
+CLOSING = r"\"')\]}\x{00BB}\x{2018}\x{2019}\x{201C}\x{201D}\x{203A}\x{3009}\x{300B}\x{300D}\x{300F}\x{3011}\x{FF09}\x{FF3D}\x{FF63}"
+ENDS = rf"[{MARKS}{WIDE}][{CLOSING}]*[\x20\x09-\x0D]*$"
+INSIDE = rf"[{MARKS}][{CLOSING}]*[\x20\x09-\x0D]|[{WIDE}]"
+UNMARKED = r"[\x{0E01}-\x{0E3A}\x{0E81}-\x{0EBD}]"
 SHOUTS = 3              # doubled !! or ?? marks of a line, at least
-LISTED = r" [|\x{00BB}>\x{2022}\x{00B7}] [^\n]* [|\x{00BB}>\x{2022}\x{00B7}] "
-MENU = r"(?i)^[\x20\x09-\x0D]*(?:home|menu|about us|contact(?: us)?|log ?in|sign (?:in|up)|next|previous|back to top|share|search)(?:[^A-Za-z]|$)"
-NOTICE = (r"(?i)all rights reserved|copyright|\x{00A9}|cookie|privacy policy|terms of (?:use|service)|javascript"
-          r"|lorem ipsum|click here|subscribe|licen[sc]ed? under|released under the|powered by|[{}]")
+SEPARATOR = r" [|\x{00BB}>\x{203A}\x{2022}\x{00B7}\x{2192}] "
+ITEM_WORDS = 4          # words of a menu's item, on average, at most
+NOTICE = (r"(?i)all rights reserved|tous droits r\x{00E9}serv\x{00E9}s|alle rechte vorbehalten|todos los derechos reservados"
+          r"|tutti i diritti riservati|\x{0432}\x{0441}\x{0435} \x{043F}\x{0440}\x{0430}\x{0432}\x{0430} \x{0437}\x{0430}\x{0449}\x{0438}\x{0449}\x{0435}\x{043D}\x{044B}"
+          r"|\x{7248}\x{6743}\x{6240}\x{6709}|copyright|\x{00A9}|cookie|privacy policy|terms of (?:use|service)|javascript"
+          r"|lorem ipsum|click here|subscribe|licen[sc]ed? under|released under the|powered by|log ?in|sign (?:in|up)|back to top")
+TWO_NOTICES = rf"(?:{NOTICE[4:]}).*(?:{NOTICE[4:]})"
+SIGN = r"(?i)\x{00A9}|\(c\)|(?:19|20)[0-9][0-9]|https?:|www\.|[a-z0-9]@[a-z0-9]"
+NOTICE_WORDS = 8        # a line of so many words at most is short enough for a notice
+CODE = r"[{}][^{}]*[{}]|[{};][\x20\x09-\x0D]*$"
 
 _POS = (1 << 24) - 1  # positions fit in the low 24 bits; longer texts compare all windows by words
 
@@ -53,10 +68,13 @@ def _shouts(line: Column) -> Column:
 
 def line_fails(line: Column, n_symbols: Column) -> Column:
     """True if a line is to be removed."""
-    short = F.length(line) <= SHORT_LINE
-    return (~(line.rlike(ENDS) | line.rlike(INSIDE))
+    n_words = F.size(words(line))
+    menu = line.rlike(SEPARATOR) & (F.regexp_count(line, F.lit(SEPARATOR)) >= 2) \
+        & (n_words <= (ITEM_WORDS + 1) * (F.regexp_count(line, F.lit(SEPARATOR)) + 1))  # separators are words too
+    notice = line.rlike(NOTICE) & ((n_words <= NOTICE_WORDS) | line.rlike(SIGN) | line.rlike("(?i)" + TWO_NOTICES))
+    return (~(line.rlike(ENDS) | line.rlike(INSIDE) | line.rlike(UNMARKED))
             | (n_symbols > MAX_SYMBOLS * F.length(line)) | (_shouts(line) >= 2 * SHOUTS)
-            | line.rlike(LISTED) | (short & (line.rlike(MENU) | line.rlike(NOTICE))))
+            | menu | notice | (line.rlike("[{}]") & line.rlike(CODE)))
 
 
 def _word_chars(text: Column) -> Column:
@@ -122,6 +140,7 @@ def _ore(pattern: str) -> str:
     return pattern.replace("'", "''")
 
 
+_WORDS_SQL = f"len(list_filter(string_split_regex(x, '{WHITE}'), lambda y: y <> ''))"
 ORACLE_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, doc_id, t, list_filter(string_split_regex(t, '{WHITE}'), lambda x: x <> '') AS w,
@@ -135,10 +154,14 @@ m AS (
     length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
     (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
     array_to_string(list_filter(lines, lambda x: NOT (
-      NOT (regexp_matches(x, '{_ore(ENDS)}') OR regexp_matches(x, '{_ore(INSIDE)}'))
+      NOT (regexp_matches(x, '{_ore(ENDS)}') OR regexp_matches(x, '{_ore(INSIDE)}') OR regexp_matches(x, '{_ore(UNMARKED)}'))
       OR length(regexp_replace(x, '[^#*$%&|<>]', '', 'g')) > {MAX_SYMBOLS} * length(x)
-      OR length(x) - length(replace(replace(x, '!!', ''), '??', '')) >= {2 * SHOUTS} OR regexp_matches(x, '{_ore(LISTED)}')
-      OR (length(x) <= {SHORT_LINE} AND (regexp_matches(x, '{_ore(MENU)}') OR regexp_matches(x, '{_ore(NOTICE)}')))
+      OR length(x) - length(replace(replace(x, '!!', ''), '??', '')) >= {2 * SHOUTS}
+      OR (len(regexp_extract_all(x, '{_ore(SEPARATOR)}')) >= 2
+          AND {_WORDS_SQL} <= {ITEM_WORDS + 1} * (len(regexp_extract_all(x, '{_ore(SEPARATOR)}')) + 1))
+      OR (regexp_matches(x, '{_ore(NOTICE)}') AND ({_WORDS_SQL} <= {NOTICE_WORDS}
+          OR regexp_matches(x, '{_ore(SIGN)}') OR regexp_matches(x, '(?i){_ore(TWO_NOTICES)}')))
+      OR (regexp_matches(x, '[{{}}]') AND regexp_matches(x, '{_ore(CODE)}'))
     )), chr(10)) AS clean
   FROM w),
 s AS (
