@@ -83,7 +83,9 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     path = scratch_table_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     _SCRATCH.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)  # (without it a job reads the footers)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)  # (without it a job reads the footers)
+    out.scratch_path = path
+    return out
 
 
 def side_by_side(*steps: Callable[[], T]) -> list[T]:
@@ -94,13 +96,26 @@ def side_by_side(*steps: Callable[[], T]) -> list[T]:
         return pool.map(run, steps)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``cut_lineage`` has returned, once all that was built on
+    them is written itself."""
+    for df in tables:
+        if df.scratch_path in _SCRATCH:
+            _SCRATCH.remove(df.scratch_path)
+            _delete(df.sparkSession, df.scratch_path)
+
+
 def drop_scratch(spark: SparkSession) -> int:
     """Delete the tables that ``cut_lineage`` has written in this session so far;
     returns their number. Call it when the results built on them are written."""
-    jvm, n = spark.sparkContext._jvm, len(_SCRATCH)
+    n = len(_SCRATCH)
     while _SCRATCH:
-        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _SCRATCH.pop())
     return n
 
 
