@@ -45,6 +45,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskweave.session import release
+
 from .common import prepare, step, text_hash
 
 LENGTH = 100        # bytes of a window: the depth of the order
@@ -347,7 +349,7 @@ def _split(blocks: DataFrame, half: int) -> DataFrame:
 
 
 def _merge_equal(rows: DataFrame, same: list[str], place: Column) -> tuple[DataFrame, DataFrame]:
-    """(the first row of each class of equal blocks, rows that repeat an earlier one).
+    """(the written first row of each class of equal blocks, rows that repeat an earlier one).
 
     The classes are written before the join, so that both of its sides are plain
     shuffles and a frequent class is split by adaptive execution.
@@ -370,15 +372,17 @@ def spans(docs: DataFrame, seed: int = SEED) -> DataFrame:
     none = F.lit(None).cast("binary").alias("want")
     texts = docs.select("doc", "th", "text")
     found_ = step(texts.mapInArrow(_find_blocks(seed), _FOUND), "anchors")
-    found = [found_.where("len > 0").select("doc", "th", F.col("pk").alias("start"), "len", none)]
+    found = [step(found_.where("len > 0").select("doc", "th", F.col("pk").alias("start"), "len"), "combined").withColumn("want", F.lit(None).cast("binary"))]
     blocks = found_.where("len = 0").drop("len")
     # Pass 1: blocks whose anchor occurs again.
     twice = step(blocks.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "twice")
     blocks = step(blocks.join(twice, "h", "left_semi"), "again")
+    release(found_, twice)  # tables are deleted when what follows is written
     # Pass 2: equal blocks, in runs that repeat one earlier place.
     first, repeats = _merge_equal(blocks, ["h", "b"], F.struct("doc", "th", "pk"))
     of_doc = repeats.groupBy("doc", "th").agg(F.collect_list(F.struct("pk", "first.doc", "first.th", F.col("first.pk").alias("pk0"))).alias("l"))
     runs = step(of_doc.mapInArrow(_join_runs, _RUN), "runs")
+    release(blocks)
     source = texts.select(F.col("doc").alias("doc0"), F.col("th").alias("th0"), "text")
     want = F.substring("text", (F.col("start0") + 1).cast("int"), F.col("len").cast("int"))
     found.append(runs.join(source, ["doc0", "th0"]).select("doc", "th", "start", "len", want.alias("want")))
@@ -388,15 +392,20 @@ def spans(docs: DataFrame, seed: int = SEED) -> DataFrame:
     # Rows that agree in id and text are one document: its bytes are cut once.
     with_text = texts.join(of_doc, ["doc", "th"]).select("doc", "th", "text", "blocks")
     bytes_ = step(with_text.mapInArrow(_cut_blocks, _BLOCK), "bytes")
+    release(first)
     solved = [step(_solve_groups(bytes_.where(F.col("n") <= GROUP)), "repeats")]
     large, half = bytes_.where(F.col("n") > GROUP).drop("n"), 64
     while half and not large.isEmpty():
         parts = step(_split(large, half), "parts")
+        release(bytes_)
         first, repeats = _merge_equal(parts, ["g", "distance", "bytes"], F.struct("doc", "th", "start"))
         solved.append(step(repeats.select("doc", "th", "start", F.length("bytes").cast("long").alias("len")), "equal"))
         left = step(_with_count(first, "g").select("g", "n", "first.*", "distance", "bytes"), "left")
         solved.append(step(_solve_groups(left.where(F.col("n") <= GROUP)), "repeats"))
+        release(parts, first)
+        bytes_ = left
         large, half = left.where(F.col("n") > GROUP).drop("n"), half // 2
+    release(bytes_)
     return reduce(DataFrame.union, [*found, *(x.withColumn("want", none) for x in solved)])
 
 
