@@ -50,6 +50,7 @@ _TOKEN = re.compile(
     r"|(?P<text>[^<]++|<)", re.S)
 # A whole attribute: name, and value in quotes or without. A quote stands for itself but right after '='.
 _ATTR = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"?|'([^']*+)'?|([^\s>"'][^\s>]*+))?+)?+""")
+_BUTTON = re.compile(r"<(?P<end>/?)button[\s/>]", re.I)
 _WORD = re.compile(r"[a-z]+")
 _MARK = re.compile(r"[.!?…。](?:\s|$)")
 BLOCK = frozenset("html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption"
@@ -157,6 +158,11 @@ def parse(html: str, marks: bool = True) -> Page:
             at = end.start() if end else n
             hidden.append(tag)
             continue
+        if tag == "button":
+            # One that is never closed, or not before the next, hides nothing: its label is lost in the text.
+            after = _BUTTON.search(html, at)
+            if after is None or not after["end"]:
+                continue
         if hidden or tag in HIDDEN:
             if tag in HIDDEN or tag in hidden:
                 hidden.append(tag)
@@ -378,11 +384,50 @@ def _labelled() -> list[str]:
     return out
 
 
-LABELLED = _labelled()
+# Hand-labelled pages of other kinds: no class names, prose full of links, lines cut by br, tables, lists, short pages.
+_LINKS = ('The <a href="/m">mayor of the old town</a> said that the <a href="/b">bridge over the river</a> would be closed.',
+          'Said <a href="/x">the keeper of the northern gate</a>.', 'It is <a href="/l">the longest of its kind</a>, and the oldest too.',
+          'See also <a href="/r">the report of the council</a>, which came out in the spring of that year, and what was said of it.')
+_TOP = ('<ul label="0"><li><a href="/">Start</a></li><li><a href="/n">News</a></li><li><a href="/s">Sport</a></li></ul>',
+        '<div label="0"><a href="/">Start</a> <a href="/w">Weather</a> <a href="/j">Jobs</a></div>',
+        '<table label="0"><tr><td><a href="/1">One</a></td><td><a href="/2">Two</a></td></tr></table>',
+        '<p label="0"><a href="/">Back to the list</a> | <a href="/next">Next</a></p>', "")
+_END = ('<div label="0">&copy; 1999 The Town Paper</div>', '<p label="0"><a href="/i">Imprint</a> <a href="/p">Privacy</a></p>',
+        '<ul label="0"><li><a href="/a">Another story of that week</a></li><li><a href="/b">What the others wrote</a></li></ul>', "")
+_OTHER = (
+    '<div label="1"><h1>The bridge</h1><p>{0}</p><p>{1}</p><p>{l}</p></div>',
+    '<div label="1" class="story-text"><p>{l}</p><p>{1}</p><p>{0}</p></div>',
+    '<div label="1">{l}<br>{s}<br><br>{0}<br>{1}</div>',
+    '<div label="1">{l}<br><br>{l}</div>',
+    '<div label="1">{s}<br>{l}<br><i>{s}</i></div>',
+    '<div label="1"><h2>Figures</h2><p>{s}</p><table><tr><th>Year</th><th>Carts</th></tr><tr><td>1900</td><td>17</td></tr>'
+    '<tr><td>1901</td><td>23 a day, as far as is known.</td></tr></table><p>{l}</p></div>',
+    '<article label="1"><p>{s}</p></article>',
+    '<main label="1"><p>{s}</p><p>{1}</p></main>',
+    '<section label="1"><h1>Bread</h1><ul><li>500 g of flour</li><li>a spoon of salt</li></ul><ol><li>Mix it all.</li><li>{s}</li></ol></section>',
+    '<div label="1" id="post-7" class="entry-content"><p>{0} {2}</p><blockquote>{s}</blockquote><p>{3}</p></div>',
+    '<td label="1"><font>{l}</font><p>{0}</p><p>{l}</p></td>',
+    '<div label="1" class="blog-post"><h1>{s}</h1><p>{2}</p><p>{l}</p><pre>x = 1</pre></div>',
+    '<div label="1" class="article-content"><p>{1}</p><div><p>{3}</p></div><div><div><p>{s}</p></div></div></div>',
+    '<center label="1"><h1>Welcome</h1><p>{l}</p></center>',
+)
+
+
+def _others() -> list[str]:
+    out = []
+    for k in range(6 * len(_OTHER)):
+        body = _OTHER[k % len(_OTHER)].format(*_LINKS, l=_LONG, s=_SHORT[k % 3])
+        if body.startswith("<td"):
+            body = f'<table><tr><td label="0"><a href="/c">Contents</a><br><a href="/k">Links</a></td>{body}</tr></table>'
+        out.append(f"<html><body>{_TOP[k % 5]}{body}{_END[k // 3 % 4]}</body></html>")
+    return out
+
+
+LABELLED = [*_labelled(), *_others()]
 
 
 def fit(pages: DataFrame, html: str = "html", train_pages: int = TRAIN_PAGES) -> Model:
-    """Potentials from ``LABELLED`` and about ``train_pages`` pages of the table, by content hash."""
+    """Potentials from ``LABELLED`` (hand-labelled pages of many kinds) and about ``train_pages`` pages of the table, by content hash."""
     col = F.col(f"`{html}`")
     n = pages.count()
     some = pages.where(F.length(col) <= TRAIN_CHARS) \

@@ -140,3 +140,33 @@ def test_nothing_else_is_dropped(html, want):
 def test_hostile_tags_take_linear_time():
     for html in ("<p " + "a=" * 200000, "<p " + "a = 'b' " * 100000 + ">x", "<p " + "' " * 200000, "<svg>" * 50000 + "<p>x"):
         H.parse(html)
+
+
+# Held out: none of these pages or texts is among the labelled ones.
+PAGE_TEXT = "The ferry left at six, an hour before its time, and those who came late had to walk around the whole bay."
+HELD_OUT = [
+    (f'<div class=story-text><p>{PAGE_TEXT}</p><p>Said <a href=x>the captain of the small boat</a>.</p></div>',
+     [PAGE_TEXT, "Said the captain of the small boat."]),
+    ("<article><p>One two three. Four five.</p></article>", ["One two three. Four five."]),
+    (f"<p>Before.</p><button>Menu<p>{PAGE_TEXT}</p><p>{PAGE_TEXT} Again.</p>", [PAGE_TEXT, PAGE_TEXT + " Again."]),
+    (f'<ul><li><a href="/">Front</a></li><li><a href="/m">Maps</a></li></ul><div><h1>Ferries</h1><p>{PAGE_TEXT}</p>'
+     f'<p>It is <a href="/w">the way most people take</a>, they say.</p></div><div>&copy; 2001 The Bay</div>',
+     ["Ferries", PAGE_TEXT, "It is the way most people take, they say."]),
+    (f'<div><a href="/">Front</a> <a href="/t">Times</a></div><div>{PAGE_TEXT}<br>{PAGE_TEXT} Once more.</div>',
+     [f"{PAGE_TEXT} {PAGE_TEXT} Once more."]),
+    (f'<div id="content"><h2>Times</h2><p>{PAGE_TEXT}</p><table><tr><td>Six</td><td>On all days but Sunday.</td></tr></table></div>',
+     [PAGE_TEXT, "On all days but Sunday."]),
+]
+
+
+def test_held_out_layouts_without_any_page_of_the_table():
+    model = H.Model([H.parse(x) for x in H.LABELLED])
+    for html, want in HELD_OUT:
+        got = model.main_text([H.parse(html, marks=False)])[0].split("\n\n")
+        assert all(w in got for w in want), (html, got)
+        assert not any("Front" in g or "Maps" in g or "2001" in g for g in got), got
+
+
+def test_closed_buttons_stay_hidden():
+    page = H.parse("<div><button>Menu</button><p>a</p><button type=x>One<button>Two</button><p>b</p></div>", marks=False)
+    assert [t for t in page.text if t] == ["a", "One", "b"]
