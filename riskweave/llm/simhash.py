@@ -8,8 +8,10 @@ Candidates: the 64 bits are a ring of five segments. If at most 4 bits differ,
 some start i of the ring has a chain whose cumulative differences stay within
 the proportional budget: segment i differs in 0 bits, i..i+1 in at most 1,
 i..i+2 in at most 2, i..i+3 in at most 3. So segment i agrees whole and one half
-of segment i+1 agrees whole: those bits are the ten join keys of a fingerprint.
-Inside a key's bucket the longer chains prune before the full Hamming check.
+of segment i+1 agrees whole: those bits are the ten join keys of a fingerprint. Of
+the four halves of segments i+1 and i+2 two agree whole: beyond ``WIDE`` distinct
+fingerprints these make 30 keys of 26 bits, so that pairs that only share a bucket
+stay few. Inside a key's bucket the longer chains prune before the full Hamming check.
 
 Exact copies are merged before anything is paired (one row per distinct
 fingerprint), buckets larger than ``BLOCK`` are compared block by block in
@@ -25,7 +27,7 @@ a component_id unless all ids of its class are null.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +42,7 @@ SHINGLE = 4   # words
 MAX_BITS = 4  # differing bits that still link
 SEED = 42
 SEGMENTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))  # (first bit, bits)
+WIDE = 1 << 22  # distinct fingerprints beyond which keys are wide
 BLOCK = 2048  # members of a bucket compared in one task; larger buckets are split
 _CHUNK = 200_000  # shingles whose bits are counted at once
 
@@ -80,15 +83,20 @@ def _bits(fp: Column, first: int, n: int) -> Column:
     return F.shiftrightunsigned(fp, first).bitwiseAND((1 << n) - 1)
 
 
-def _keys(fp: Column) -> Column:
-    """Ten keys: ring start and half, whole segment i, one half of segment i+1."""
+def _keys(fp: Column, wide: bool) -> Column:
+    """Join keys. Narrow: ring start and half, whole segment i, one half of segment i+1 (ten
+    keys of about 19 bits). Wide: ring start and pair, whole segment i, two of the four
+    halves of segments i+1 and i+2 (30 keys of about 26 bits)."""
     keys = []
     for i, (first, n) in enumerate(SEGMENTS):
-        nxt, m = SEGMENTS[(i + 1) % 5]
-        low = m // 2
-        for half, (f, b) in enumerate(((nxt, low), (nxt + low, m - low))):
-            keys.append(F.lit((2 * i + half) << 40).bitwiseOR(F.shiftleft(_bits(fp, first, n), 20))
-                        .bitwiseOR(_bits(fp, f, b)))
+        halves = []
+        for f, m in (SEGMENTS[(i + 1) % 5], SEGMENTS[(i + 2) % 5])[:1 + wide]:
+            halves += [(f, m // 2), (f + m // 2, m - m // 2)]
+        for k, some in enumerate(combinations(halves, 1 + wide)):
+            key = F.lit((8 * i + k) << 40).bitwiseOR(F.shiftleft(_bits(fp, first, n), 20))
+            for j, (f, m) in enumerate(some):
+                key = key.bitwiseOR(F.shiftleft(_bits(fp, f, m), 10 * j))
+            keys.append(key)
     return F.array(*keys)
 
 
@@ -136,7 +144,7 @@ def _link_batches(max_bits: int):
         def flush(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
             if len(rows):
                 change = (rows[1:, :3] != rows[:-1, :3]).any(axis=1)
-                u, v = _link(np.r_[0, np.cumsum(change)], rows[:, 0] >> 41,
+                u, v = _link(np.r_[0, np.cumsum(change)], rows[:, 0] >> 43,
                              np.ascontiguousarray(rows[:, 3]).view(np.uint64), max_bits)
                 if len(u):
                     yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))],
@@ -158,12 +166,13 @@ def _link_batches(max_bits: int):
     return run
 
 
-def links(nodes: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
+def links(nodes: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK, wide: bool = False) -> DataFrame:
     """(u, v): stars whose components are those of all pairs of distinct
-    fingerprints (column ``fp``) within ``max_bits`` <= 4 differing bits."""
+    fingerprints (column ``fp``) within ``max_bits`` <= 4 differing bits. ``wide``
+    keys bring fewer pairs together, for three times the rows; the links are the same."""
     if max_bits > MAX_BITS:
         raise ValueError(f"the five-segment ring is exact up to {MAX_BITS} bits")
-    keyed = nodes.select("fp", F.explode(_keys(F.col("fp"))).alias("key"))
+    keyed = nodes.select("fp", F.explode(_keys(F.col("fp"), wide)).alias("key"))
     counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     parts = F.ceil(F.col("n") / block).cast("long")
     mine = F.pmod(F.xxhash64("fp"), F.col("parts"))
@@ -182,7 +191,8 @@ def classes(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """
     rep = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th")
     nodes = step(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.min(rep).alias("rep")), "prints")
-    roots = connected_components(links(nodes, max_bits)).withColumnRenamed("node", "fp")
+    wide = nodes.count() > WIDE  # from the footers of the written table
+    roots = connected_components(links(nodes, max_bits, wide=wide)).withColumnRenamed("node", "fp")
     of = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     of = step(of, "roots")
     low = of.groupBy("root").agg(F.min("low").alias("component_id"), F.min("rep").alias("rep"))

@@ -82,8 +82,8 @@ def test_repeated_rows_null_ids_and_empty(spark):
     assert S.dedupe(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("block", [3, 2048])
-def test_links_lose_no_pair(spark, block):
+@pytest.mark.parametrize("block, wide", [(3, False), (2048, False), (3, True), (2048, True)])
+def test_links_lose_no_pair(spark, block, wide):
     """All pairs within 4 bits stay connected, dense balls and split buckets included."""
     rng = np.random.default_rng(block)
     prints = set()
@@ -96,12 +96,31 @@ def test_links_lose_no_pair(spark, block):
     prints = sorted(prints)
     signed = [int(np.array(p, np.uint64).view(np.int64)) for p in prints]
     df = spark.createDataFrame([(p,) for p in signed], "fp long")
-    roots = {r.node: r.root for r in connected_components(S.links(df, block=block)).collect()}
+    roots = {r.node: r.root for r in connected_components(S.links(df, block=block, wide=wide)).collect()}
     got = [roots.get(p, p) for p in signed]
     want = brute_components(list(range(len(prints))), prints)
     assert len(set(zip(got, want))) == len(set(got)) == len(set(want))
 
 
+def test_wide_keys_bring_fewer_pairs_together(spark):
+    rng = np.random.default_rng(1)
+    df = spark.createDataFrame([(int(x),) for x in rng.integers(-(1 << 63), 1 << 63, 30_000)], "fp long")
+
+    def pairs(wide):
+        n = df.select(F.explode(S._keys(F.col("fp"), wide)).alias("k")).groupBy("k").count()
+        return n.agg(F.sum(F.col("count") * (F.col("count") - 1))).first()[0]
+
+    assert pairs(True) < pairs(False) / 20
+
+
+def test_classes_are_the_same_by_wide_keys(spark, monkeypatch):
+    ids, texts = made()
+    df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    want = sorted(S.near_duplicates(df).collect())
+    monkeypatch.setattr(S, "WIDE", 1)
+    assert sorted(S.near_duplicates(df).collect()) == want
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     path = [(i, i + 1) for i in range(100, 160)] + [(7, 7), (None, 3)] + [(500, 500 + i) for i in range(1, 40)]
     df = spark.createDataFrame(path, "a long, b long")
