@@ -49,11 +49,13 @@ UNMARKED = r"[\x{0E01}-\x{0E3A}\x{0E81}-\x{0EBD}]"
 SHOUTS = 3              # doubled !! or ?? marks of a line, at least
 SEPARATOR = r" [|\x{00BB}>\x{203A}\x{2022}\x{00B7}\x{2192}] "
 ITEM_WORDS = 4          # words of a menu's item, on average, at most
-NOTICE = (r"(?i)all rights reserved|tous droits r\x{00E9}serv\x{00E9}s|alle rechte vorbehalten|todos los derechos reservados"
+SHORT_LINE = 200        # characters; notices are short
+TAIL = 12               # last characters of a line, among which a closing mark stands
+NOTICE = (r"all rights reserved|tous droits r\x{00E9}serv\x{00E9}s|alle rechte vorbehalten|todos los derechos reservados"
           r"|tutti i diritti riservati|\x{0432}\x{0441}\x{0435} \x{043F}\x{0440}\x{0430}\x{0432}\x{0430} \x{0437}\x{0430}\x{0449}\x{0438}\x{0449}\x{0435}\x{043D}\x{044B}"
           r"|\x{7248}\x{6743}\x{6240}\x{6709}|copyright|\x{00A9}|cookie|privacy policy|terms of (?:use|service)|javascript"
           r"|lorem ipsum|click here|subscribe|licen[sc]ed? under|released under the|powered by|log ?in|sign (?:in|up)|back to top")
-TWO_NOTICES = rf"(?:{NOTICE[4:]}).*(?:{NOTICE[4:]})"
+TWO_NOTICES = rf"(?:{NOTICE}).*(?:{NOTICE})"
 SIGN = r"(?i)\x{00A9}|\(c\)|(?:19|20)[0-9][0-9]|https?:|www\.|[a-z0-9]@[a-z0-9]"
 NOTICE_WORDS = 8        # a line of so many words at most is short enough for a notice
 CODE = r"[{}][^{}]*[{}]|[{};][\x20\x09-\x0D]*$"
@@ -67,14 +69,16 @@ def _shouts(line: Column) -> Column:
 
 
 def line_fails(line: Column, n_symbols: Column) -> Column:
-    """True if a line is to be removed."""
+    """True if a line is to be removed. (Rules that are dear come after cheap ones that decide most lines.)"""
     n_words = F.size(words(line))
+    ended = F.right(line, F.lit(TAIL)).rlike(ENDS) | line.rlike(INSIDE) | line.rlike(UNMARKED)
+    shouts = (F.contains(line, F.lit("!!")) | F.contains(line, F.lit("??"))) & (_shouts(line) >= 2 * SHOUTS)
     menu = line.rlike(SEPARATOR) & (F.regexp_count(line, F.lit(SEPARATOR)) >= 2) \
         & (n_words <= (ITEM_WORDS + 1) * (F.regexp_count(line, F.lit(SEPARATOR)) + 1))  # separators are words too
-    notice = line.rlike(NOTICE) & ((n_words <= NOTICE_WORDS) | line.rlike(SIGN) | line.rlike("(?i)" + TWO_NOTICES))
-    return (~(line.rlike(ENDS) | line.rlike(INSIDE) | line.rlike(UNMARKED))
-            | (n_symbols > MAX_SYMBOLS * F.length(line)) | (_shouts(line) >= 2 * SHOUTS)
-            | menu | notice | (line.rlike("[{}]") & line.rlike(CODE)))
+    notice = (F.length(line) <= SHORT_LINE) & F.lower(line).rlike(NOTICE) & (
+        (n_words <= NOTICE_WORDS) | line.rlike(SIGN) | F.lower(line).rlike(TWO_NOTICES))
+    code = (F.contains(line, F.lit("{")) | F.contains(line, F.lit("}"))) & line.rlike(CODE)
+    return ~ended | (n_symbols > MAX_SYMBOLS * F.length(line)) | shouts | menu | notice | code
 
 
 def _word_chars(text: Column) -> Column:
@@ -154,13 +158,13 @@ m AS (
     length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
     (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
     array_to_string(list_filter(lines, lambda x: NOT (
-      NOT (regexp_matches(x, '{_ore(ENDS)}') OR regexp_matches(x, '{_ore(INSIDE)}') OR regexp_matches(x, '{_ore(UNMARKED)}'))
+      NOT (regexp_matches(right(x, {TAIL}), '{_ore(ENDS)}') OR regexp_matches(x, '{_ore(INSIDE)}') OR regexp_matches(x, '{_ore(UNMARKED)}'))
       OR length(regexp_replace(x, '[^#*$%&|<>]', '', 'g')) > {MAX_SYMBOLS} * length(x)
       OR length(x) - length(replace(replace(x, '!!', ''), '??', '')) >= {2 * SHOUTS}
       OR (len(regexp_extract_all(x, '{_ore(SEPARATOR)}')) >= 2
           AND {_WORDS_SQL} <= {ITEM_WORDS + 1} * (len(regexp_extract_all(x, '{_ore(SEPARATOR)}')) + 1))
-      OR (regexp_matches(x, '{_ore(NOTICE)}') AND ({_WORDS_SQL} <= {NOTICE_WORDS}
-          OR regexp_matches(x, '{_ore(SIGN)}') OR regexp_matches(x, '(?i){_ore(TWO_NOTICES)}')))
+      OR (length(x) <= {SHORT_LINE} AND regexp_matches(lower(x), '{_ore(NOTICE)}') AND ({_WORDS_SQL} <= {NOTICE_WORDS}
+          OR regexp_matches(x, '{_ore(SIGN)}') OR regexp_matches(lower(x), '{_ore(TWO_NOTICES)}')))
       OR (regexp_matches(x, '[{{}}]') AND regexp_matches(x, '{_ore(CODE)}'))
     )), chr(10)) AS clean
   FROM w),
