@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 T = TypeVar("T")
-_SCRATCH: list[str] = []  # tables written by cut_lineage in this process
+_SCRATCH: list[str] = []  # folders of intermediate tables given out in this process
 
 # Defaults a job wants on any cluster. Settings already present on the session
 # (from spark-submit or the cluster config) always win.
@@ -82,7 +82,6 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     twice unless also cached.) ``drop_scratch`` deletes the tables."""
     path = scratch_table_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    _SCRATCH.append(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)  # (without it a job reads the footers)
     out.scratch_path = path
     return out
@@ -111,8 +110,8 @@ def release(*tables: DataFrame) -> None:
 
 
 def drop_scratch(spark: SparkSession) -> int:
-    """Delete the tables that ``cut_lineage`` has written in this session so far;
-    returns their number. Call it when the results built on them are written."""
+    """Delete the intermediate tables of this process so far (those of ``cut_lineage``
+    and all other folders of ``scratch_table_path``); returns their number. Call it when the results built on them are written."""
     n = len(_SCRATCH)
     while _SCRATCH:
         _delete(spark, _SCRATCH.pop())
@@ -120,9 +119,11 @@ def drop_scratch(spark: SparkSession) -> int:
 
 
 def scratch_table_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared checkpoint folder for intermediate tables."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, "tables", name)
+    """A path under the shared checkpoint folder for intermediate tables, which
+    ``drop_scratch`` deletes."""
+    path = os.path.join(ensure_checkpoint_dir(spark), "tables", name)
+    _SCRATCH.append(path)
+    return path
 
 
 def is_finished(spark: SparkSession, path: str) -> bool:
