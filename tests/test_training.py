@@ -180,3 +180,53 @@ def test_kept_releases(spark):
     with TR.kept(df) as d:
         assert d.storageLevel.useMemory
     assert not df.storageLevel.useMemory
+
+
+def test_training_rows_are_dealt_by_their_number(spark, rows):
+    assert TR.parts_of(0, 12) == TR.parts_of(40_000, 12) == 1 and TR.parts_of(75_000, 12) == 2
+    assert TR.parts_of(4_500_000, 12) == 12 and TR.parts_of(27_000_000, 12) == 54
+    small = TR.training_table(rows.repartition(200), "student_key")
+    assert small.count() == rows.count() and small.rdd.getNumPartitions() <= 8
+    many = spark.range(100_000).select(F.col("id").cast("string").alias("k"), F.rand(1).alias("x")).coalesce(1)
+    table = TR.training_table(many, "k")
+    sizes = [r["count"] for r in table.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 3 and sum(sizes) == 100_000 and max(sizes) < 1.1 * min(sizes)
+    assert TR.fits_at_once(table, 100) == 8 and TR.fits_at_once(table, 5) == 5
+    assert TR.fits_at_once(spark.range(10, numPartitions=24), 5) == 1
+
+
+def test_feedback_fits_on_few_parts(spark, rows, tmp_path, monkeypatch):
+    seen = []
+    fit = TR.stacking_fit
+    monkeypatch.setattr(TR, "stacking_fit", lambda df, *a, **b: seen.append(df.rdd.getNumPartitions()) or fit(df, *a, **b))
+    base = rows.drop("split", "fold").repartition(40).withColumn("person", F.expr("cast(substring(student_key, 2) AS int)")).withColumn(
+        "dropout_label", F.col("label").cast("int"))
+    outcomes = spark.createDataFrame([(i, "SUCCESSFUL") for i in range(1, 60)], "student_id int, outcome string")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        RT.retrain_on_feedback(base, outcomes, "student_key", "person", FEATS, str(tmp_path / "models"), "v20240101_000000",
+                               str(tmp_path / "runs"), "2024-01-01 00:00:00", max_iter=1, forest_trees=1)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert len(seen) == 1 and seen[0] <= 8
+
+
+def test_learners_of_a_fold_are_fitted_side_by_side(rows):
+    import threading
+
+    meet = threading.Barrier(2, timeout=60)
+
+    class Meeting:
+        def fit(self, train):
+            meet.wait()
+            return TR.gbt_pipeline(FEATS, max_iter=1).fit(train)
+
+    train = rows.where("split = 'train'").withColumn("fold", F.col("fold") % 2)
+    oof = TR.out_of_fold(train, {"a": Meeting(), "b": Meeting()}, 2)
+    assert oof.count() == train.count() and {"p_a", "p_b"} <= set(oof.columns)
+
+
+def test_many_rows_grow_all_trees_at_once():
+    assert TR.steps_of(5_000, 300, 20) == [80, 160, 300] and TR.steps_of(5_000, 100, 20) == [80, 100]
+    assert TR.steps_of(50_000, 300, 20) == [300]
+    assert TR.in_parallel(len, []) == []
