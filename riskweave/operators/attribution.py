@@ -6,17 +6,30 @@ from the row and the others from the background row. Weighing the values by
 Shapley's formula gives one contribution per feature, and the contributions and
 the base value (the empty coalition) add up to the row's margin.
 
-As a Spark job: the coalitions and the background are literals of fixed size
-(2**n masks, at most ``MAX_BACKGROUND`` rows), exploded on each row, so nothing is
-joined; the cells are scored by the model inside the JVM and summed by key, and
-since all cells of a row come from one task, one row per key is shuffled.
+As a Spark job, boosted trees go leaf by leaf: a leaf is a box of the features on its
+path, and a mix of a row and a background row falls into it if every one of them comes
+from a row that is inside. So the sum over all coalitions and background rows is a
+function of *which* of the path's features the row has inside the box: a small table
+per box (2**d entries for d features), made once from the model and the background.
+The boxes, a table of the model's size, are broadcast, matched with each row and
+summed by key: a look-up per box instead of a score of all trees per coalition and
+background row, and the same sums.
+
+Any other classifier is scored cell by cell: the coalitions and the background are
+literals of fixed size (2**n masks, at most ``MAX_BACKGROUND`` rows), exploded on each
+row, so nothing is joined; the cells are scored by the model inside the JVM.
+
+In both forms the rows are dealt by key, all cells of a row come from one task and no
+other row is shuffled.
 """
 
 from __future__ import annotations
 
-from math import factorial
+import re
+from math import factorial, inf
 
 from pyspark.ml import PipelineModel, Transformer
+from pyspark.ml.classification import GBTClassificationModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +39,9 @@ from ..functions.columns import fround, risk_band
 
 MAX_BACKGROUND = 50
 MAX_FEATURES = 10
+MAX_PATH = 6           # features on a leaf's path: its table has 2**MAX_PATH entries at most
+BOX_GROUPS = 64        # the boxes are matched group by group
+ROWS_PER_TASK = 2_000  # a task is worth starting for so many rows
 
 
 def coalition_weights(n: int) -> list[tuple[int, list[float]]]:
@@ -64,6 +80,107 @@ def log_odds(model: Transformer) -> Column:
     return vector_to_array(F.col("rawPrediction"))[1] * factor
 
 
+Box = tuple[tuple[int, float, float], ...]  # (feature, above, up to) of the features on a path
+
+
+def tree_boxes(model: GBTClassificationModel) -> dict[Box, float] | None:
+    """The leaves of all trees as boxes and their margins (log-odds, tree weights
+    included); equal boxes of several trees are one. None if a split isn't a threshold."""
+    boxes: dict[Box, float] = {}
+    for tree, weight in zip(model.trees, model.treeWeights):
+        path: list[tuple[int, float, bool]] = []  # (feature, threshold, at or below it) from the root
+        for line in tree.toDebugString.splitlines()[1:]:
+            text = line.strip()
+            if m := re.fullmatch(r"If \(feature (\d+) <= (\S+)\)", text):
+                path.append((int(m[1]), float(m[2]), True))
+            elif m := re.fullmatch(r"Else \(feature (\d+) > (\S+)\)", text):
+                path.append((int(m[1]), float(m[2]), False))
+            elif m := re.fullmatch(r"Predict: (\S+)", text):
+                sides: dict[int, tuple[float, float]] = {}
+                for f, t, below in path:
+                    lo, hi = sides.get(f, (-inf, inf))
+                    sides[f] = (lo, min(hi, t)) if below else (max(lo, t), hi)
+                box = tuple((f, *sides[f]) for f in sorted(sides))
+                boxes[box] = boxes.get(box, 0.0) + 2.0 * weight * float(m[1])
+                while path and not path[-1][2]:  # both sides of these splits are done
+                    path.pop()
+                if path:  # the other side of this one follows
+                    path.pop()
+            elif text:
+                return None
+    return boxes
+
+
+def box_table(box: Box, value: float, background: list[list[float]], n: int) -> tuple[float, list[float]]:
+    """A box's part of the base value; and for every set of the path's features (bit by
+    bit) that a row has inside the box, its part of the n contributions, one after the other.
+
+    With a row inside in the features A and a background row in B, the coalitions that
+    reach the leaf hold all of A - B and nothing of B - A, and A + B is the whole path.
+    """
+    d = len(box)
+    whole = 2 ** d - 1
+    inside = [sum(1 << j for j, (f, lo, hi) in enumerate(box) if _inside(b[f], lo, hi)) for b in background]
+    out = [0.0] * (2 ** d * n)
+    for a in range(2 ** d):
+        for b in inside:
+            if a | b != whole:
+                continue
+            p, q = (a & ~b).bit_count(), (b & ~a).bit_count()
+            up = factorial(p - 1) * factorial(q) / factorial(p + q) if p else 0.0
+            down = factorial(p) * factorial(q - 1) / factorial(p + q) if q else 0.0
+            for j, (f, _, _) in enumerate(box):
+                if a & ~b & (1 << j):
+                    out[a * n + f] += value * up / len(background)
+                elif b & ~a & (1 << j):
+                    out[a * n + f] -= value * down / len(background)
+    return value * inside.count(whole) / len(background), out
+
+
+def _inside(v: float, lo: float, hi: float) -> bool:
+    return not v <= lo and (hi == inf or v <= hi) if lo > -inf else hi == inf or v <= hi
+
+
+def _by_boxes(rows: DataFrame, boxes: dict[Box, float], background: list[list[float]], n: int, key: str) -> DataFrame:
+    """key, _x, base_value, margin, _s0.. from the boxes of a boosted model."""
+    tables, base = [], 0.0
+    for i, (box, value) in enumerate(boxes.items()):
+        part, table = box_table(box, value, background, n)
+        base += part
+        place = {f: j for j, (f, _, _) in enumerate(box)}
+        lo = [next((x[1] for x in box if x[0] == f and x[1] > -inf), None) for f in range(n)]
+        hi = [next((x[2] for x in box if x[0] == f and x[2] < inf), None) for f in range(n)]
+        bits = [1 << place[f] if f in place else 0 for f in range(n)]
+        tables.append((i % BOX_GROUPS, 2 ** len(box) - 1, value, *lo, *hi, *bits, table))
+    schema = ("_g int, _whole int, _value double, " + ", ".join(f"_lo{f} double" for f in range(n)) + ", "
+              + ", ".join(f"_hi{f} double" for f in range(n)) + ", " + ", ".join(f"_bit{f} int" for f in range(n)) + ", _t array<double>")
+    model = F.broadcast(rows.sparkSession.createDataFrame(tables, schema))
+    hit = sum((F.when((F.col(f"_lo{f}").isNull() | ~(F.col("_x")[f] <= F.col(f"_lo{f}")))
+                      & (F.col(f"_hi{f}").isNull() | (F.col("_x")[f] <= F.col(f"_hi{f}"))), F.col(f"_bit{f}")).otherwise(0)
+               for f in range(n)), F.lit(0))
+    groups = F.array(*[F.lit(g) for g in range(min(BOX_GROUPS, len(tables)))])
+    cells = rows.withColumn("_g", F.explode(groups)).join(model, "_g").select(key, "_x", "_whole", "_value", "_t", hit.alias("_hit"))
+    return cells.groupBy(key).agg(
+        F.first("_x").alias("_x"), F.lit(base).alias("base_value"),
+        F.sum(F.when(F.col("_hit") == F.col("_whole"), F.col("_value")).otherwise(0.0)).alias("margin"),
+        *[F.sum(F.col("_t")[F.col("_hit") * n + i]).alias(f"_s{i}") for i in range(n)])
+
+
+def _by_cells(rows: DataFrame, classifier: Transformer, background: list[list[float]], n: int, key: str) -> DataFrame:
+    """key, _x, base_value, margin, _s0.. by scoring every coalition with every background row."""
+    masks = F.array(*[F.struct(F.lit(m).alias("mask"), _doubles(w).alias("w")) for m, w in coalition_weights(n)])
+    cells = (rows.withColumn("_c", F.explode(masks))
+                 .withColumn("_b", F.explode(F.array(*[_doubles(b) for b in background]))))
+    mixed = F.array(*[F.when(F.col("_c.mask").bitwiseAND(1 << i) != 0, F.col("_x")[i]).otherwise(F.col("_b")[i]) for i in range(n)])
+    scored = classifier.transform(cells.withColumn(classifier.getFeaturesCol(), array_to_vector(mixed)))
+    scored = scored.select(key, "_x", "_c", log_odds(classifier).alias("_v"))
+    mean = lambda c: F.sum(c) / len(background)
+    at = lambda mask: mean(F.when(F.col("_c.mask") == mask, F.col("_v")).otherwise(0.0))
+    return scored.groupBy(key).agg(
+        F.first("_x").alias("_x"), at(0).alias("base_value"), at(2 ** n - 1).alias("margin"),
+        *[mean(F.col("_c.w")[i] * F.col("_v")).alias(f"_s{i}") for i in range(n)])
+
+
 def tree_attribution(df: DataFrame, model: PipelineModel, features: list[str], background: list[list[float]],
                      key: str) -> DataFrame:
     """M13 (trained): ``df`` reduced to key, base_value, margin, risk_score, risk_band
@@ -75,20 +192,16 @@ def tree_attribution(df: DataFrame, model: PipelineModel, features: list[str], b
     n = len(features)
     if n > MAX_FEATURES:
         raise ValueError(f"2**{n} coalitions are too many: at most {MAX_FEATURES} features")
-    masks = F.array(*[F.struct(F.lit(m).alias("mask"), _doubles(w).alias("w")) for m, w in coalition_weights(n)])
     rows = df.select(F.col(key), F.array(*[F.col(f).cast("double") for f in features]).alias("_x"))
     rows = rows.where(~F.exists("_x", lambda v: v.isNull()))
-    cells = (rows.withColumn("_c", F.explode(masks))
-                 .withColumn("_b", F.explode(F.array(*[_doubles(b) for b in background]))))
-    mixed = F.array(*[F.when(F.col("_c.mask").bitwiseAND(1 << i) != 0, F.col("_x")[i]).otherwise(F.col("_b")[i]) for i in range(n)])
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    rows = rows.repartition(max(1, df.rdd.getNumPartitions(), min(2 * cores, -(-df.count() // ROWS_PER_TASK))), key)
     classifier = model.stages[-1]
-    scored = classifier.transform(cells.withColumn(classifier.getFeaturesCol(), array_to_vector(mixed)))
-    scored = scored.select(key, "_x", "_c", log_odds(classifier).alias("_v"))
-    mean = lambda c: F.sum(c) / len(background)
-    at = lambda mask: mean(F.when(F.col("_c.mask") == mask, F.col("_v")).otherwise(0.0))
-    out = scored.groupBy(key).agg(
-        F.first("_x").alias("_x"), at(0).alias("base_value"), at(2 ** n - 1).alias("margin"),
-        *[mean(F.col("_c.w")[i] * F.col("_v")).alias(f"_s{i}") for i in range(n)])
+    boxes = tree_boxes(classifier) if isinstance(classifier, GBTClassificationModel) else None
+    if boxes and max(map(len, boxes)) <= MAX_PATH:
+        out = _by_boxes(rows, boxes, background, n, key)
+    else:
+        out = _by_cells(rows, classifier, background, n, key)
     items = [F.struct(F.lit(f).alias("feature"), F.col("_x")[i].alias("value"), F.col(f"_s{i}").alias("contribution"))
              for i, f in enumerate(features)]
     p = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("margin")))

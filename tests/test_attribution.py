@@ -119,3 +119,29 @@ def test_cut_model_is_the_shorter_fit(spark, fitted):
     assert cut.stages[-1].getFeaturesCol() == "features" and len(cut.stages[-1].featureImportances) == len(FEATS)
     with pytest.raises(ValueError):
         TR.first_trees(model.stages[-1], 9)
+
+
+def test_boxes_give_what_cells_give(spark, fitted):
+    df, model = fitted
+    background = AT.background_rows(df, FEATS, "student_key")
+    boxes = AT.tree_boxes(model.stages[-1])
+    assert sum(len(t.toDebugString.split("Predict")) - 1 for t in model.stages[-1].trees) >= len(boxes)
+    rows = df.select("student_key", F.array(*FEATS).alias("_x")).limit(20)
+    cols = ["base_value", "margin", *[f"_s{i}" for i in range(7)]]
+    a, b = (o.orderBy("student_key").collect() for o in (AT._by_boxes(rows, boxes, background, 7, "student_key"),
+                                                         AT._by_cells(rows, model.stages[-1], background, 7, "student_key")))
+    assert len(a) == len(b) == 20
+    for x, y in zip(a, b):
+        assert x["student_key"] == y["student_key"] and [x[c] for c in cols] == pytest.approx([y[c] for c in cols], abs=1e-9)
+    # The trees are not scored again for every coalition and background row, and few rows are not left to one task.
+    out = AT.tree_attribution(df.coalesce(1).withColumn("x", F.explode(F.sequence(F.lit(1), F.lit(50)))).withColumn(
+        "student_key", F.concat_ws("-", "student_key", "x")), model, FEATS, background, "student_key")
+    assert "UDF" not in out._jdf.queryExecution().executedPlan().toString() and out.rdd.getNumPartitions() > 1
+    assert out.count() == 50 * df.count()
+
+
+def test_one_leaf(spark, fitted):
+    df, _ = fitted
+    stump = TR.gbt_pipeline(FEATS, max_iter=1, max_depth=0).fit(df)
+    r = AT.tree_attribution(df, stump, FEATS, [[1.0] * 7], "student_key").first()
+    assert r.base_value == pytest.approx(r.margin) and all(e.contribution == 0 for e in r.explanation)
