@@ -26,7 +26,7 @@ other row is shuffled.
 from __future__ import annotations
 
 import re
-from math import factorial, inf
+from math import factorial, inf, nan
 
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassificationModel
@@ -148,22 +148,27 @@ def _by_boxes(rows: DataFrame, boxes: dict[Box, float], background: list[list[fl
         part, table = box_table(box, value, background, n)
         base += part
         place = {f: j for j, (f, _, _) in enumerate(box)}
-        lo = [next((x[1] for x in box if x[0] == f and x[1] > -inf), None) for f in range(n)]
-        hi = [next((x[2] for x in box if x[0] == f and x[2] < inf), None) for f in range(n)]
+        lo = [next((x[1] for x in box if x[0] == f), -inf) for f in range(n)]
+        hi = [next((x[2] for x in box if x[0] == f and x[2] < inf), nan) for f in range(n)]  # nothing is above NaN
         bits = [1 << place[f] if f in place else 0 for f in range(n)]
         tables.append((i % BOX_GROUPS, 2 ** len(box) - 1, value, *lo, *hi, *bits, table))
-    schema = ("_g int, _whole int, _value double, " + ", ".join(f"_lo{f} double" for f in range(n)) + ", "
-              + ", ".join(f"_hi{f} double" for f in range(n)) + ", " + ", ".join(f"_bit{f} int" for f in range(n)) + ", _t array<double>")
+    sides = [f"_{x}{f} double NOT NULL" for x in ("lo", "hi") for f in range(n)]
+    schema = ", ".join(["_g int NOT NULL", "_whole int NOT NULL", "_value double NOT NULL", *sides,
+                        *[f"_bit{f} int NOT NULL" for f in range(n)], "_t array<double>"])
     model = F.broadcast(rows.sparkSession.createDataFrame(tables, schema))
-    hit = sum((F.when((F.col(f"_lo{f}").isNull() | ~(F.col("_x")[f] <= F.col(f"_lo{f}")))
-                      & (F.col(f"_hi{f}").isNull() | (F.col("_x")[f] <= F.col(f"_hi{f}"))), F.col(f"_bit{f}")).otherwise(0)
-               for f in range(n)), F.lit(0))
+    x = lambda f: F.col(f"_x{f}")
+    hit = F.lit(0)
+    for f in range(n):
+        above = (x(f) > F.col(f"_lo{f}")) | (F.col(f"_lo{f}") == -inf)
+        hit = hit.bitwiseOR(F.when(above & (x(f) <= F.col(f"_hi{f}")), F.col(f"_bit{f}")).otherwise(0))
+    rows = rows.select("*", *[F.coalesce(F.col("_x")[f], F.lit(nan)).alias(f"_x{f}") for f in range(n)])
     groups = F.array(*[F.lit(g) for g in range(min(BOX_GROUPS, len(tables)))])
     cells = rows.withColumn("_g", F.explode(groups)).join(model, "_g").select(key, "_x", "_whole", "_value", "_t", hit.alias("_hit"))
+    cells = cells.select(key, "_x", "_whole", "_value", "_hit", F.slice("_t", F.col("_hit") * n + 1, n).alias("_t"))
     return cells.groupBy(key).agg(
         F.first("_x").alias("_x"), F.lit(base).alias("base_value"),
         F.sum(F.when(F.col("_hit") == F.col("_whole"), F.col("_value")).otherwise(0.0)).alias("margin"),
-        *[F.sum(F.col("_t")[F.col("_hit") * n + i]).alias(f"_s{i}") for i in range(n)])
+        *[F.sum(F.get("_t", F.lit(i))).alias(f"_s{i}") for i in range(n)])
 
 
 def _by_cells(rows: DataFrame, classifier: Transformer, background: list[list[float]], n: int, key: str) -> DataFrame:
