@@ -230,3 +230,24 @@ def test_many_rows_grow_all_trees_at_once():
     assert TR.steps_of(5_000, 300, 20) == [80, 160, 300] and TR.steps_of(5_000, 100, 20) == [80, 100]
     assert TR.steps_of(50_000, 300, 20) == [300]
     assert TR.in_parallel(len, []) == []
+
+
+def test_feedback_query_refits_the_whole_stack(spark, rows, monkeypatch):
+    from riskweave.plans import q_training as Q
+
+    class Asked(Exception):
+        pass
+
+    def asked(df, features, k=K.N_FOLDS, max_iter=K.STACK_ITERATIONS, forest_trees=K.FOREST_TREES, root=None):
+        raise Asked(k, max_iter, forest_trees, df.count())
+
+    base = rows.drop("split", "fold").withColumn("student_id_orig", F.expr("cast(substring(student_key, 2) AS int)")).withColumn(
+        "dropout_label", F.col("label").cast("int"))
+    outcomes = spark.createDataFrame([(i, "SUCCESSFUL") for i in range(1, 60)], "student_id int, outcome string")
+    monkeypatch.setattr(Q, "labelled", lambda spark, sf_dir: base)
+    monkeypatch.setattr(Q.cohort, "interventions", lambda spark, sf_dir: outcomes)
+    monkeypatch.setattr(Q.B, "as_of", lambda spark, sf_dir: "2024-01-01 00:00:00")
+    monkeypatch.setattr(TR, "stacking_fit", asked)
+    with pytest.raises(Asked) as got:
+        Q.q_feedback_retrain(spark, "no folder")
+    assert got.value.args[:3] == (5, 400, 400) and got.value.args[3] >= 0.8 * base.count()
