@@ -40,6 +40,7 @@ from ..functions.columns import fround, risk_band
 MAX_BACKGROUND = 50
 MAX_FEATURES = 10
 MAX_PATH = 6           # features on a leaf's path: its table has 2**MAX_PATH entries at most
+MAX_CUTS = 63          # thresholds of a feature: the intervals between them are bits of a number
 BOX_GROUPS = 64        # the boxes are matched group by group
 ROWS_PER_TASK = 2_000  # a task is worth starting for so many rows
 
@@ -141,34 +142,58 @@ def _inside(v: float, lo: float, hi: float) -> bool:
     return not v <= lo and (hi == inf or v <= hi) if lo > -inf else hi == inf or v <= hi
 
 
+def thresholds_of(boxes: dict[Box, float], n: int) -> list[list[float]]:
+    """The thresholds of each feature in all boxes, ascending."""
+    return [sorted({t for box in boxes for f, *sides in box if f == i for t in sides if abs(t) < inf}) for i in range(n)]
+
+
+def _mask(side: tuple[float, float] | None, thresholds: list[float]) -> int:
+    """The intervals between a feature's thresholds that lie inside (above, up to], a bit
+    each, as a signed 64-bit number; the k-th interval ends with the k-th threshold."""
+    if side is None:
+        return 0
+    first = 0 if side[0] == -inf else thresholds.index(side[0]) + 1
+    last = len(thresholds) if side[1] == inf else thresholds.index(side[1])
+    bits = sum(1 << k for k in range(first, last + 1))
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
 def _by_boxes(rows: DataFrame, boxes: dict[Box, float], background: list[list[float]], n: int, key: str) -> DataFrame:
-    """key, _x, base_value, margin, _s0.. from the boxes of a boosted model."""
+    """key, _x, base_value, margin, _s0.. from the boxes of a boosted model. A box knows the
+    intervals inside it (``_in``) and which sets of its features add anything (``_live``):
+    pairs of a row and a box that add zeros only are dropped before they are summed."""
+    cuts = thresholds_of(boxes, n)
     tables, base = [], 0.0
     for i, (box, value) in enumerate(boxes.items()):
         part, table = box_table(box, value, background, n)
         base += part
+        whole = 2 ** len(box) - 1
+        live = sum(1 << a for a in range(whole + 1) if a == whole or any(table[a * n:(a + 1) * n]))
+        sides = {f: (lo, hi) for f, lo, hi in box}
         place = {f: j for j, (f, _, _) in enumerate(box)}
-        lo = [next((x[1] for x in box if x[0] == f), -inf) for f in range(n)]
-        hi = [next((x[2] for x in box if x[0] == f and x[2] < inf), nan) for f in range(n)]  # nothing is above NaN
-        bits = [1 << place[f] if f in place else 0 for f in range(n)]
-        tables.append((i % BOX_GROUPS, 2 ** len(box) - 1, value, *lo, *hi, *bits, table))
-    sides = [f"_{x}{f} double NOT NULL" for x in ("lo", "hi") for f in range(n)]
-    schema = ", ".join(["_g int NOT NULL", "_whole int NOT NULL", "_value double NOT NULL", *sides,
-                        *[f"_bit{f} int NOT NULL" for f in range(n)], "_t array<double>"])
+        masks = [_mask(sides.get(f), cuts[f]) for f in range(n)]
+        tables.append((i % BOX_GROUPS, whole, value, live - (1 << 64) if live >> 63 else live, *masks,
+                       *[place.get(f, 0) for f in range(n)], table))
+    schema = ", ".join(["_g int NOT NULL", "_whole int NOT NULL", "_value double NOT NULL", "_live long NOT NULL",
+                        *[f"_in{f} long NOT NULL" for f in range(n)], *[f"_at{f} int NOT NULL" for f in range(n)], "_t array<double>"])
     model = F.broadcast(rows.sparkSession.createDataFrame(tables, schema))
-    x = lambda f: F.col(f"_x{f}")
+    interval = lambda f: F.size(F.filter(_doubles(cuts[f]), lambda t: F.coalesce(F.col("_x")[f], F.lit(nan)) > t)) if cuts[f] else F.lit(0)
+    groups = F.array(*[F.lit(g) for g in range(min(BOX_GROUPS, len(tables)))])
     hit = F.lit(0)
     for f in range(n):
-        above = (x(f) > F.col(f"_lo{f}")) | (F.col(f"_lo{f}") == -inf)
-        hit = hit.bitwiseOR(F.when(above & (x(f) <= F.col(f"_hi{f}")), F.col(f"_bit{f}")).otherwise(0))
-    rows = rows.select("*", *[F.coalesce(F.col("_x")[f], F.lit(nan)).alias(f"_x{f}") for f in range(n)])
-    groups = F.array(*[F.lit(g) for g in range(min(BOX_GROUPS, len(tables)))])
-    cells = rows.withColumn("_g", F.explode(groups)).join(model, "_g").select(key, "_x", "_whole", "_value", "_t", hit.alias("_hit"))
-    cells = cells.select(key, "_x", "_whole", "_value", "_hit", F.slice("_t", F.col("_hit") * n + 1, n).alias("_t"))
-    return cells.groupBy(key).agg(
-        F.first("_x").alias("_x"), F.lit(base).alias("base_value"),
+        inside = F.call_function("shiftrightunsigned", F.col(f"_in{f}"), F.col(f"_k{f}")).bitwiseAND(1).cast("int")
+        hit = hit.bitwiseOR(F.call_function("shiftleft", inside, F.col(f"_at{f}")))
+    xs = [f"_x{f}" for f in range(n)]
+    rows = rows.select(key, *[F.col("_x")[f].alias(x) for f, x in enumerate(xs)], *[interval(f).alias(f"_k{f}") for f in range(n)])
+    cells = rows.select(key, *xs, *[f"_k{f}" for f in range(n)], F.explode(groups).alias("_g")).join(model, "_g")
+    cells = cells.select(key, *xs, "_whole", "_value", "_live", "_t", hit.alias("_hit"))
+    cells = cells.where(F.call_function("shiftrightunsigned", F.col("_live"), F.col("_hit")).bitwiseAND(1) == 1)
+    # Numbers only: with an array in its buffer the aggregate would sort all cells, on disk.
+    sums = cells.groupBy(key).agg(
+        *[F.first(x).alias(x) for x in xs],
         F.sum(F.when(F.col("_hit") == F.col("_whole"), F.col("_value")).otherwise(0.0)).alias("margin"),
-        *[F.sum(F.get("_t", F.lit(i))).alias(f"_s{i}") for i in range(n)])
+        *[F.sum(F.get("_t", F.col("_hit") * n + i)).alias(f"_s{i}") for i in range(n)])
+    return sums.select(key, F.array(*xs).alias("_x"), F.lit(base).alias("base_value"), "margin", *[f"_s{i}" for i in range(n)])
 
 
 def _by_cells(rows: DataFrame, classifier: Transformer, background: list[list[float]], n: int, key: str) -> DataFrame:
@@ -203,7 +228,7 @@ def tree_attribution(df: DataFrame, model: PipelineModel, features: list[str], b
     rows = rows.repartition(max(1, df.rdd.getNumPartitions(), min(2 * cores, -(-df.count() // ROWS_PER_TASK))), key)
     classifier = model.stages[-1]
     boxes = tree_boxes(classifier) if isinstance(classifier, GBTClassificationModel) else None
-    if boxes and max(map(len, boxes)) <= MAX_PATH:
+    if boxes and max(map(len, boxes)) <= MAX_PATH and max(map(len, thresholds_of(boxes, n))) <= MAX_CUTS:
         out = _by_boxes(rows, boxes, background, n, key)
     else:
         out = _by_cells(rows, classifier, background, n, key)

@@ -145,3 +145,21 @@ def test_one_leaf(spark, fitted):
     stump = TR.gbt_pipeline(FEATS, max_iter=1, max_depth=0).fit(df)
     r = AT.tree_attribution(df, stump, FEATS, [[1.0] * 7], "student_key").first()
     assert r.base_value == pytest.approx(r.margin) and all(e.contribution == 0 for e in r.explanation)
+
+
+def test_boxes_are_summed_without_sorting(spark, fitted):
+    df, model = fitted
+    background = AT.background_rows(df, FEATS, "student_key")
+    out = AT.tree_attribution(df, model, FEATS, background, "student_key")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan and "Sort [" not in plan
+    # Rows at a threshold, beside it, and without a number fall on the sides that the trees send them to.
+    boxes = AT.tree_boxes(model.stages[-1])
+    cuts = AT.thresholds_of(boxes, 7)
+    edges = [c + d for c in cuts[0][:5] for d in (0.0, 1e-9, -1e-9)] + [math.nan, math.inf, -math.inf]
+    odd = spark.createDataFrame([(f"e{i}", [e, *[float(10 * i % 100)] * 6]) for i, e in enumerate(edges)], "student_key string, _x array<double>")
+    for r in AT._by_boxes(odd, boxes, background, 7, "student_key").collect():
+        assert r.margin == pytest.approx(margin(model, r._x), abs=1e-9)
+        assert r.base_value + sum(r[f"_s{i}"] for i in range(7)) == pytest.approx(r.margin, abs=1e-6)
+    lo = [AT._mask((c, math.inf), cuts[0]) for c in cuts[0]]
+    assert AT._mask(None, cuts[0]) == 0 and AT._mask((-math.inf, math.inf), [float(i) for i in range(63)]) == -1 and len(set(lo)) == len(lo)
